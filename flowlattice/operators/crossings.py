@@ -5,7 +5,7 @@
 * `simple`: sign change of the centre between two observations.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowlattice.functions import geometry as g
 from flowlattice.functions.labels import DOWN, UP, crossing_key
@@ -16,7 +16,7 @@ from flowlattice.session import checkpointed
 _CLEAR_PLAN_EVERY = 8
 
 
-def _line_array(lines):
+def line_array(lines):
     return F.array(*(F.struct(
         F.lit(i).alias("line_order"), F.lit(line["name"]).alias("line"),
         *(F.lit(int(v)).alias(n) for n, v in zip(
@@ -33,24 +33,38 @@ def per_line(obs, lines, by=RUN_CAMERA):
     """
     if isinstance(lines, DataFrame):
         return obs.join(lines, list(by))
-    return obs.select("*", F.inline(_line_array(lines)))
+    return obs.select("*", F.inline(line_array(lines)))
 
 
-def near_lines(obs, lines, anchors="box", by=RUN_CAMERA):
-    """Observations within tolerance of a line, with the side all their anchors share.
+def _ends(line):
+    return [line[c] if line is not None else F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")]
+
+
+def shared_side(anchors="box", line=None):
+    """1 or -1 when all anchors lie on that side of the line, 0 when they straddle or touch it.
 
-    `side` is 1, -1, or 0 when the anchors straddle the line or lie on it. Anchors are the centre
-    and, with `anchors="box"`, the four corners.
+    Anchors are the centre and, with `anchors="box"`, the four corners. `line` is a struct with the
+    line's ends; without it they are columns of the row.
     """
-    ends = [F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")]
-    rows = per_line(obs, lines, by)
-    rows = rows.withColumn("distance", g.line_distance("cx", "cy", *ends)).filter(
-        F.col("distance") <= F.col("tolerance"))
     points = [(F.col("cx"), F.col("cy"))] + (g.box().corners if anchors == "box" else [])
-    sides = [g.line_side(px, py, *ends) for px, py in points]
+    sides = [g.line_side(px, py, *_ends(line)) for px, py in points]
     above = sides[0] > 0 if len(sides) == 1 else F.greatest(*sides) > 0
     below = sides[0] < 0 if len(sides) == 1 else F.least(*sides) < 0
-    return rows.withColumn("side", above.cast("int") - below.cast("int"))
+    return above.cast("int") - below.cast("int")
+
+
+def side_near(line, anchors="box"):
+    """`shared_side` within the line's tolerance, 0 beyond it."""
+    near = g.line_distance("cx", "cy", *_ends(line)) <= line["tolerance"]
+    return F.when(near, shared_side(anchors, line)).otherwise(F.lit(0))
+
+
+def near_lines(obs, lines, anchors="box", by=RUN_CAMERA):
+    """Observations within tolerance of a line, with distance and `side` (see `shared_side`)."""
+    rows = per_line(obs, lines, by).withColumn(
+        "distance", g.line_distance("cx", "cy", *_ends(None)))
+    return rows.filter(F.col("distance") <= F.col("tolerance")).withColumn(
+        "side", shared_side(anchors))
 
 
 def _first_per_key(events, keys):
@@ -88,7 +102,7 @@ def crossings_settled(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA
 
 def crossings_simple(lived, lines, by=RUN_CAMERA):
     """Sign change of the centre's side, taking the previous y at the present x."""
-    ends = [F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")]
+    ends = _ends(None)
     rows = per_line(lived.filter(~F.col("new_life")), lines, by)
     events = rows.filter(
         (g.line_distance("cx", "cy", *ends) <= F.col("tolerance"))
@@ -98,7 +112,7 @@ def crossings_simple(lived, lines, by=RUN_CAMERA):
     return _first_per_key(events, LIFE)
 
 
-def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA, n_lines=None):
+def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA):
     """Side change against the previous centre, confirmed by the line's side history.
 
     The history keeps the last N+1 qualifying sides since it was cleared, a count needs at least N
@@ -108,7 +122,7 @@ def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA,
     plain minimum find all counts, however long the life is.
     """
     n = max(1, min_crossing)
-    ends = [F.col(c) for c in ("lx1", "ly1", "lx2", "ly2")]
+    ends = _ends(None)
     rows = near_lines(lived.filter(~F.col("new_life")), lines, anchors, by).filter("side <> 0")
     previous = F.when(g.line_side("prev_cx", "prev_cy", *ends) > 0, 1).otherwise(-1)
     rows = rows.select(
@@ -134,13 +148,11 @@ def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA,
         return (frame > F.col("_clear.frame")) | (
             (frame == F.col("_clear.frame")) & (F.col("line_order") > F.col("_clear.line_order")))
 
-    if n_lines is None:
-        n_lines = lines.groupBy(*by).count().agg(F.max("count")).scalar() if isinstance(
-            lines, DataFrame) else F.lit(len(lines))
-        if isinstance(lines, DataFrame):
-            n_lines = candidates.sparkSession.range(1).select(n_lines.alias("n")).first()["n"] or 0
-        else:
-            n_lines = len(lines)
+    if not isinstance(lines, DataFrame):
+        n_lines = len(lines)
+    else:
+        # Lines per site, a number from the configuration.
+        n_lines = lines.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
     key = crossing_key(F.col("line"), F.col("direction"))
     event = F.struct("frame", "line_order", "line", "direction", "cls")

@@ -91,7 +91,8 @@ def derive_observations(spark, folder):
         F.col("h") / 2).cast("int")
     return moved.select(
         "run_id", "camera_id", "track_id", "frame", "event_id",
-        F.col("ts").cast("timestamp").alias("ts"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("w")).alias("x2"), (y1 + F.col("h")).alias("y2"),
+        # The same wall clock in UTC, whatever the session's time zone is.
+        F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))").alias("ts"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("w")).alias("x2"), (y1 + F.col("h")).alias("y2"),
         "cx", "cy", "conf", "cls")
 
 
@@ -107,3 +108,58 @@ def derive_detections(spark, folder):
         x1.cast("int").alias("x1"), y1.cast("int").alias("y1"),
         (x1 + 60 + i % 7).cast("int").alias("x2"), (y1 + 50 + i % 5).cast("int").alias("y2"),
         _conf().alias("conf"), _class_of(F.col("event_type")).alias("cls"))
+
+
+def tracked_boxes(spark, folder):
+    """Track boxes near the raw boxes, for the class joins."""
+    d = detections(spark, folder)
+    k = F.col("det_idx")
+    return d.select(
+        "run_id", "camera_id", "frame", (k + 1).cast("bigint").alias("track_id"),
+        (F.col("x1") + k * 3).alias("x1"), (F.col("y1") + 2 * k).alias("y1"),
+        (F.col("x2") + k * 3).alias("x2"), (F.col("y2") + 2 * k).alias("y2"))
+
+
+def site_configs(spark, folder):
+    """One made-up site per customer, many of them faulty, in the site-config schema."""
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    return c.selectExpr(
+        "concat('site-', k) AS site_id",
+        "CASE k % 7 WHEN 0 THEN 'lines' WHEN 1 THEN 'directions' WHEN 2 THEN 'other' ELSE 'zones' END AS counting_mode",
+        """map_from_entries(transform(filter(array(0, 1, 2), i -> i < k % 4), i -> struct(
+             concat('Z', i) AS key,
+             slice(array(array(0, 0), array(CAST(5 + (k*7+i) % 20 AS INT), 0),
+                         array(CAST(5 + (k*7+i) % 20 AS INT), CAST(5 + (k*7+i) % 20 AS INT)),
+                         array(0, CAST(5 + (k*7+i) % 20 AS INT))), 1, CAST(2 + (k+i) % 3 AS INT)) AS value))) AS zones""",
+        """transform(filter(array(0, 1), j -> j < k % 3), j -> named_struct(
+             'name', concat('L', j),
+             'points', slice(array(array(0, 0), array(CAST(4 + (k+j) % 15 AS INT), 0)), 1, CAST(1 + (k+j) % 2 AS INT)),
+             'tolerance', CAST(NULL AS INT))) AS lines""",
+        """named_struct('conf_threshold', (k % 13) / 10.0D, 'imgsz', CAST(200 + (k % 5) * 100 AS INT),
+             'min_area', CAST(k % 9 - 2 AS INT), 'max_area', CAST(k % 11 AS INT)) AS settings""",
+        """named_struct('slice_width', CAST(32 + (k % 3) * 32 AS INT), 'slice_height', CAST(48 + (k % 4) * 16 AS INT),
+             'overlap_ratio', (k % 12) / 10.0D, 'nms_threshold', 0.3D) AS sahi""",
+        """named_struct('max_age', CAST(k % 3 AS INT), 'min_hits', CAST(k % 2 AS INT),
+             'iou_threshold', (k % 6) / 4.0D) AS tracker""")
+
+
+def frame_sizes(spark, folder):
+    """One frame size per part."""
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("frame_id"),
+        (320 + (F.col("p_partkey") % 7) * 200).cast("int").alias("frame_width"),
+        (240 + (F.col("p_partkey") % 5) * 150).cast("int").alias("frame_height"))
+
+
+def drawn_zones(spark, folder):
+    """One five-cornered ring per customer."""
+    k = F.col("c_custkey")
+
+    def point(x, y):
+        return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    ring = F.array(
+        point(k % 50, k % 30), point(k % 50 + 100 + k % 17, k % 30 + k % 11),
+        point(k % 50 + 120, k % 30 + 90), point(k % 50 + 40, k % 30 + 60 + k % 13),
+        point(k % 50 - 20, k % 30 + 80))
+    return table(spark, folder, "customer").select(k.alias("zone_id"), ring.alias("ring"))
