@@ -9,6 +9,8 @@ track can be alive, and the stretches run in parallel. Inside a stretch the meth
 nature; frames stream through the task in Arrow batches and only the live tracks are held.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -186,7 +188,7 @@ def track_detections(dets, max_age=40, min_hits=3, iou=0.2):
     Ids count births in frame order over the whole camera: every stretch reports its births, and
     the running sum of earlier stretches is added. Boxes are truncated to whole pixels.
     """
-    def link(key, batches):
+    def link(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run_id, camera_id, stretch = key
         live = LiveTracks(max_age, min_hits, iou)
         open_frame, open_boxes = None, []

@@ -8,6 +8,7 @@ from flowlattice.operators import (
     routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
 from flowlattice.plans import oracle as sql, summary, views
 from flowlattice.sources import detections as source
+from flowlattice.streaming import flows, replay
 
 QUERIES, ORACLES = {}, {}
 
@@ -179,7 +180,7 @@ def filter_detections(spark, folder):
 
 _EDGES = """(VALUES (0,'D',200,40,320,260), (0,'D',320,260,200,480), (0,'D',200,480,80,260), (0,'D',80,260,200,40),
  (1,'C',150,100,600,100), (1,'C',600,100,600,420), (1,'C',600,420,380,250), (1,'C',380,250,150,420),
- (1,'C',150,420,150,100)) e(zo, z, ax, ay, bx, by)"""
+ (1,'C',150,420,150,100)) e(zo, z, ex1, ey1, ex2, ey2)"""
 SHAPES = {"D": [(200, 40), (320, 260), (200, 480), (80, 260)],
           "C": [(150, 100), (600, 100), (600, 420), (380, 250), (150, 420)]}
 
@@ -187,9 +188,9 @@ SHAPES = {"D": [(200, 40), (320, 260), (200, 480), (80, 260)],
 def _in_shapes(source_rows, x, y, id_column="event_id"):
     """Rows with the shapes that hold their point, by the even-odd rule over an edge table."""
     return f"""hits AS (SELECT p.*, zo, z,
-  sum(CASE WHEN (ay > {y}) <> (by > {y}) AND {x} < (bx-ax)*({y}-ay)/(by-ay)::DOUBLE + ax THEN 1 ELSE 0 END) % 2 = 1
-  OR bool_or(({x}-ax)*(by-ay) = (bx-ax)*({y}-ay) AND {x} BETWEEN least(ax,bx) AND greatest(ax,bx)
-    AND {y} BETWEEN least(ay,by) AND greatest(ay,by)) AS inside
+  sum(CASE WHEN (ey1 > {y}) <> (ey2 > {y}) AND {x} < (ex2-ex1)*({y}-ey1)/(ey2-ey1)::DOUBLE + ex1 THEN 1 ELSE 0 END) % 2 = 1
+  OR bool_or(({x}-ex1)*(ey2-ey1) = (ex2-ex1)*({y}-ey1) AND {x} BETWEEN least(ex1,ex2) AND greatest(ex1,ex2)
+    AND {y} BETWEEN least(ey1,ey2) AND greatest(ey1,ey2)) AS inside
   FROM {source_rows} p, {_EDGES} GROUP BY ALL)"""
 
 
@@ -545,17 +546,17 @@ LINES = [{"name": "L1", "pt1": (350, 0), "pt2": (350, 520), "tolerance": 60},
          {"name": "L2", "pt1": (0, 242), "pt2": (700, 242), "tolerance": 40}]
 DIRECTIONS = {"Norte": ((100, 200), (100, 0)), "Sur": ((100, 0), (100, 200)),
               "Este": ((0, 100), (200, 100)), "Oeste": ((200, 100), (0, 100))}
-_LINES_SQL = "(VALUES (0,'L1',350,0,350,520,60), (1,'L2',0,242,700,242,40)) ln(lo, line, ax, ay, bx, by, tol)"
+_LINES_SQL = "(VALUES (0,'L1',350,0,350,520,60), (1,'L2',0,242,700,242,40)) ln(lo, line, ex1, ey1, ex2, ey2, tol)"
 
 
 def _side(x, y):
-    return f"((bx-ax)*({y}-ay) - (by-ay)*({x}-ax))"
+    return f"((ex2-ex1)*({y}-ey1) - (ey2-ey1)*({x}-ex1))"
 
 
 _NEAR = sql.LIVED + f""",
 near AS (SELECT *, CASE WHEN hi > 0 AND lo_ < 0 THEN 0 WHEN hi > 0 THEN 1 WHEN lo_ < 0 THEN -1 ELSE 0 END AS side
- FROM (SELECT l.*, lo, line, ax, ay, bx, by, tol,
-   abs((bx-ax)*(ay-cy) - (ax-cx)*(by-ay)) / sqrt(CAST((bx-ax)*(bx-ax) + (by-ay)*(by-ay) AS DOUBLE)) AS distance,
+ FROM (SELECT l.*, lo, line, ex1, ey1, ex2, ey2, tol,
+   abs((ex2-ex1)*(ey1-cy) - (ex1-cx)*(ey2-ey1)) / sqrt(CAST((ex2-ex1)*(ex2-ex1) + (ey2-ey1)*(ey2-ey1) AS DOUBLE)) AS distance,
    greatest({_side('cx','cy')}, {_side('x1','y1')}, {_side('x2','y1')}, {_side('x2','y2')}, {_side('x1','y2')}) AS hi,
    least({_side('cx','cy')}, {_side('x1','y1')}, {_side('x2','y1')}, {_side('x2','y2')}, {_side('x1','y2')}) AS lo_
   FROM lived l, {_LINES_SQL}) WHERE distance <= tol)"""
@@ -571,7 +572,7 @@ def line_sides(spark, folder):
 _EVENT = "run_id, camera_id, track_id, life, line, direction, cls, frame, line || ' ' || direction AS route"
 
 
-@query("line_crossings_settled", sql.q(_NEAR + """,
+SETTLED_SQL = _NEAR + """,
 q1 AS (SELECT *, lag(side) OVER t AS ps, lag(cy) OVER t AS kcy FROM near WHERE side <> 0
   WINDOW t AS (PARTITION BY run_id, camera_id, track_id, life, line ORDER BY frame)),
 q2 AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> side THEN 1 ELSE 0 END) OVER
@@ -579,14 +580,17 @@ q2 AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> side THEN 1 ELSE 0 END) OVER
 q3 AS (SELECT *, row_number() OVER s AS nth, first_value(CASE WHEN cy > kcy THEN '↓' ELSE '↑' END) OVER s AS direction
   FROM q2 WINDOW s AS (PARTITION BY run_id, camera_id, track_id, life, line, seg ORDER BY frame)),
 q4 AS (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, life, line, direction ORDER BY frame) AS k
-  FROM q3 WHERE seg > 1 AND nth = 2)""", f"SELECT {_EVENT} FROM q4 WHERE k = 1"))
+  FROM q3 WHERE seg > 1 AND nth = 2)"""
+
+
+@query("line_crossings_settled", sql.q(SETTLED_SQL, f"SELECT {_EVENT} FROM q4 WHERE k = 1"))
 def line_crossings_settled(spark, folder):
     return crossings.line_crossings(lived(spark, folder), LINES, 2)
 
 
 @query("line_crossings_simple", sql.q(sql.LIVED + f""",
 x AS (SELECT l.*, lo, line, CASE WHEN cy > pcy THEN '↓' ELSE '↑' END AS direction FROM lived l, {_LINES_SQL}
-  WHERE opens = 0 AND abs((bx-ax)*(ay-cy) - (ax-cx)*(by-ay)) / sqrt(CAST((bx-ax)*(bx-ax) + (by-ay)*(by-ay) AS DOUBLE)) <= tol
+  WHERE opens = 0 AND abs((ex2-ex1)*(ey1-cy) - (ex1-cx)*(ey2-ey1)) / sqrt(CAST((ex2-ex1)*(ex2-ex1) + (ey2-ey1)*(ey2-ey1) AS DOUBLE)) <= tol
   AND sign({_side('cx','pcy')}) * sign({_side('cx','cy')}) < 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, life, line, direction ORDER BY frame) AS r FROM x)""",
     f"SELECT {_EVENT} FROM k WHERE r = 1"))
@@ -634,7 +638,7 @@ def line_crossings_strict_first(spark, folder):
         lived(spark, folder, prev=("cx", "cy")), LINES, 1, "strict", anchors="center")
 
 
-@query("headings", sql.q(sql.LIVED + """,
+HEADINGS_SQL = sql.LIVED + """,
 f AS (SELECT *, first_value(cx) OVER l AS fx, first_value(cy) OVER l AS fy FROM lived
   WINDOW l AS (PARTITION BY run_id, camera_id, track_id, life ORDER BY frame)),
 m AS (SELECT *, CAST(cx - fx AS DOUBLE) AS dx, CAST(cy - fy AS DOUBLE) AS dy FROM f),
@@ -642,7 +646,10 @@ s AS (SELECT m.*, d, name, (dx*vx + dy*vy) / (sqrt(dx*dx + dy*dy) * sqrt(CAST(vx
   FROM m, (VALUES (0,'Norte',0,-200),(1,'Sur',0,200),(2,'Este',200,0),(3,'Oeste',-200,0)) t(d, name, vx, vy)
   WHERE obs_no >= 5 AND sqrt(dx*dx + dy*dy) >= 10),
 b AS (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, life ORDER BY frame, score DESC, d) AS r
-  FROM s WHERE score > 0.5)""", """
+  FROM s WHERE score > 0.5)"""
+
+
+@query("headings", sql.q(HEADINGS_SQL, """
 SELECT run_id, camera_id, track_id, life, name AS direction, round(score, 6) AS score, cls, frame FROM b WHERE r = 1"""))
 def headings(spark, folder):
     return heading_ops.headings(lived(spark, folder, first=("cx", "cy")), DIRECTIONS).withColumn(
@@ -674,22 +681,22 @@ def heat_grid(spark, folder):
 
 
 @query("heat_smooth", sql.q(_HEAT + """,
-raw AS (SELECT o, exp(-o*o/50.0::DOUBLE) AS e FROM (SELECT CAST(unnest(range(-15, 16)) AS INTEGER) AS o)),
+raw AS (SELECT o, exp(-o*o/(2*1.1*1.1)::DOUBLE) AS e FROM (SELECT CAST(unnest(range(-2, 3)) AS INTEGER) AS o)),
 kern AS (SELECT o, e / (SELECT sum(e) FROM raw) AS k FROM raw),
 bx AS (SELECT run_id, camera_id, tx AS x, y, sum(weight * k) AS weight FROM (
   SELECT run_id, camera_id, y, weight, k, unnest(CASE
-    WHEN x > 0 AND x <= 15 THEN [x + o, -x + o] WHEN x < 699 AND x >= 684 THEN [x + o, 1398 - x + o] ELSE [x + o] END) AS tx
+    WHEN x > 0 AND x <= 2 THEN [x + o, -x + o] WHEN x < 699 AND x >= 697 THEN [x + o, 1398 - x + o] ELSE [x + o] END) AS tx
   FROM heat, kern) WHERE tx BETWEEN 0 AND 699 GROUP BY ALL),
 by_ AS (SELECT run_id, camera_id, x, ty AS y, sum(weight * k) AS weight FROM (
   SELECT run_id, camera_id, x, weight, k, unnest(CASE
-    WHEN y > 0 AND y <= 15 THEN [y + o, -y + o] WHEN y < 519 AND y >= 504 THEN [y + o, 1038 - y + o] ELSE [y + o] END) AS ty
+    WHEN y > 0 AND y <= 2 THEN [y + o, -y + o] WHEN y < 519 AND y >= 517 THEN [y + o, 1038 - y + o] ELSE [y + o] END) AS ty
   FROM bx, kern) WHERE ty BETWEEN 0 AND 519 GROUP BY ALL),
 peak AS (SELECT run_id, camera_id, greatest(max(weight), 1.0) AS p FROM by_ GROUP BY ALL)""", """
 SELECT b.run_id, b.camera_id, x, y, round(weight / p, 6) AS level FROM by_ b
  JOIN peak k ON b.run_id = k.run_id AND b.camera_id = k.camera_id WHERE weight / p > 0.05"""))
 def heat_smooth(spark, folder):
     grid = heat.heat_grid(kept(spark, folder), *views.FRAME_SIZE)
-    return heat.heat_smooth(grid, *views.FRAME_SIZE).withColumn("level", F.round("level", 6))
+    return heat.heat_smooth(grid, *views.FRAME_SIZE, size=5).withColumn("level", F.round("level", 6))
 
 
 # --- aggregates ------------------------------------------------------------------------------
@@ -850,3 +857,33 @@ SELECT run_id, camera_id, CAST(floor(epoch(ts)/3600)*3600 AS BIGINT) AS window_s
 FROM flt GROUP BY ALL"""))
 def flow_per_window(spark, folder):
     return summary.flow_per_window(kept(spark, folder))
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+FPS = 25.0
+
+
+@query("stream_routes", sql.q(sql.routes_cte(), """
+SELECT run_id, camera_id, track_id, v.first_frame AS life_start, r.frame, r.cls, r.origin, r.destination
+FROM routes r JOIN lives v USING (run_id, camera_id, track_id, life)"""))
+def stream_routes(spark, folder):
+    return replay.replay(zoned(spark, folder), lambda s: flows.stream_routes(s, FPS), FPS)
+
+
+@query("stream_headings", sql.q(HEADINGS_SQL + """, lives AS (
+SELECT run_id, camera_id, track_id, life, min(frame) AS life_start FROM lived GROUP BY ALL)""", """
+SELECT run_id, camera_id, track_id, v.life_start, b.frame, b.cls, b.name AS direction
+FROM b JOIN lives v USING (run_id, camera_id, track_id, life) WHERE r = 1"""))
+def stream_headings(spark, folder):
+    return replay.replay(
+        kept(spark, folder), lambda s: flows.stream_headings(s, DIRECTIONS, FPS), FPS, slices=2)
+
+
+@query("stream_crossings", sql.q(SETTLED_SQL + """, lives AS (
+SELECT run_id, camera_id, track_id, life, min(frame) AS life_start FROM lived GROUP BY ALL)""", """
+SELECT run_id, camera_id, track_id, v.life_start, q.frame, q.cls, q.line, q.direction
+FROM q4 q JOIN lives v USING (run_id, camera_id, track_id, life) WHERE k = 1"""))
+def stream_crossings(spark, folder):
+    return replay.replay(
+        kept(spark, folder), lambda s: flows.stream_crossings(s, LINES, FPS), FPS, slices=2)

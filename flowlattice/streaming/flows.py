@@ -147,7 +147,7 @@ class TrackProcessor(StatefulProcessor):
             body["last"] = frame
             last_ts = row["ts"]
         due = last_ts.value // 1_000_000 + int(
-            (self._purge_after(body["last"]) - body["last"]) * 1000 / self.fps)
+            (self._purge_after(body["last"]) - body["last"]) * 1000 / self.fps) + 1
         if timer is not None and timer != due:
             self.handle.deleteTimer(timer)
         if timer != due:
