@@ -79,7 +79,7 @@ def _direction(cy, before):
     return F.when(cy > before, F.lit(DOWN)).otherwise(F.lit(UP))
 
 
-def crossings_settled(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA):
+def crossings_settled(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA, total_frames=None):
     """A crossing counts at the N-th qualifying observation in a row on the new side."""
     n = max(1, min_crossing)
     rows = near_lines(lived, lines, anchors, by).filter("side <> 0").select(
@@ -91,7 +91,7 @@ def crossings_settled(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA
         built["_cy_change"] = F.lag("cy", n - 1).over(window) if n > 1 else F.col("cy")
         return built
 
-    rows = with_trailing(rows, [*LIFE, "line_order"], "frame", n, look)
+    rows = with_trailing(rows, [*LIFE, "line_order"], "frame", n, look, bound=total_frames)
     fires = F.col(f"_side{n}") == -F.col("side")
     for k in range(1, n):
         fires = fires & (F.col(f"_side{k}") == F.col("side"))
@@ -112,7 +112,8 @@ def crossings_simple(lived, lines, by=RUN_CAMERA):
     return _first_per_key(events, LIFE)
 
 
-def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA):
+def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA,
+                     total_frames=None):
     """Side change against the previous centre, confirmed by the line's side history.
 
     The history keeps the last N+1 qualifying sides since it was cleared, a count needs at least N
@@ -136,7 +137,7 @@ def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA)
         built["_older"] = F.lag("frame", n).over(window)
         return built
 
-    rows = with_trailing(rows, [*LIFE, "line_order"], "frame", n, look)
+    rows = with_trailing(rows, [*LIFE, "line_order"], "frame", n, look, bound=total_frames)
     steady = F.col("_flips") & F.col("_needs_after").isNotNull()
     for k in range(1, n):
         steady = steady & (F.col(f"_side{k}") == F.col("side"))

@@ -6,13 +6,13 @@ observation at frame c opens a new life when the last purge before c already dro
 
 from pyspark.sql import functions as F
 
-from flowlattice.operators.ordered import SPAN_BITS
+from flowlattice.operators.ordered import SPAN_BITS, fits
 from flowlattice.schemas import LIFE, RUN_CAMERA, TRACK
 
 EVERY, LIMIT = 120, 200
 
 
-def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS):
+def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS, total_frames=None):
     """Adds `life` (1, 2, ...), `obs_no` inside the life, `new_life` and `prev_frame`.
 
     `first` columns come back as `first_<c>` (value at the start of the life), `prev` columns as
@@ -20,7 +20,8 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS)
 
     A track is cut into spans of 2^bits frames and windows run inside a span. What a span takes over
     from earlier ones (last row, rows and lives so far, start of the open life) comes from one row
-    per span. One shuffle carries everything; the side pass reads only the columns it needs.
+    per span. One shuffle carries everything; the side pass reads only the columns it needs, and is
+    not planned at all when `total_frames`, the longest run, fits a span.
     """
     key = ", ".join(TRACK)
     kept = list(dict.fromkeys([*first, *prev]))
@@ -42,6 +43,23 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS)
                 FROM (SELECT {columns}, shiftright(frame, {bits}) AS _span FROM {{obs}})
                 WINDOW w AS (PARTITION BY {key}, _span ORDER BY frame))"""
 
+    out = f"""
+      SELECT {", ".join(obs.columns)}, _opened + _lives AS life, _rn - _start.n + 1 AS obs_no,
+             new_life, _before.frame AS prev_frame
+             {"".join(f", _start.{c} AS first_{c}" for c in first)}
+             {"".join(f", _before.{c} AS prev_{c}" for c in prev)}
+      FROM opened"""
+    if fits(total_frames, bits):
+        return obs.sparkSession.sql(f"""
+          WITH flagged AS (
+            SELECT *, _n = 1 OR _cut AS new_life, _prev AS _before, _n AS _rn, 0L AS _lives
+            FROM ({local("*")})),
+          opened AS (
+            SELECT *, sum(CAST(new_life AS BIGINT)) OVER w AS _opened,
+                   max(CASE WHEN new_life THEN struct(frame, _rn AS n{also}) END) OVER w AS _start
+            FROM flagged WINDOW w AS (PARTITION BY {key}, _span ORDER BY frame
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+          {out}""", obs=obs)
     return obs.sparkSession.sql(f"""
       WITH ends AS (
         SELECT {key}, _span, min(struct(frame, _n AS n{also})) AS head,
@@ -76,11 +94,7 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS)
                  open_start) AS _start
         FROM flagged WINDOW w AS (PARTITION BY {key}, _span ORDER BY frame
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-      SELECT {", ".join(obs.columns)}, _opened + _lives AS life, _rn - _start.n + 1 AS obs_no,
-             new_life, _before.frame AS prev_frame
-             {"".join(f", _start.{c} AS first_{c}" for c in first)}
-             {"".join(f", _before.{c} AS prev_{c}" for c in prev)}
-      FROM opened""", obs=obs)
+      {out}""", obs=obs)
 
 
 def last_frames(obs):

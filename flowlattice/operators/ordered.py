@@ -5,7 +5,9 @@ column, a window runs inside each span, and what a span needs from earlier ones
 span) is carried over by a join with the small table of span ends. A key that holds a third of all
 rows is then spread over as many tasks as it has spans, and no row is lost or moved twice.
 
-The order column must be an integer and unique inside a key.
+The order column must be an integer from 0 up, and unique inside a key. When the caller knows a bound on
+it (a run's frame total, say) that fits one span, there is nothing to carry and a single window is
+planned.
 """
 
 from pyspark.sql import Window, functions as F
@@ -18,10 +20,20 @@ def span_of(order, bits=SPAN_BITS):
     return F.shiftright(F.col(order).cast("bigint"), bits)
 
 
-def running(df, keys, order, sums, bits=SPAN_BITS):
+def fits(bound, bits=SPAN_BITS):
+    """True when no order value reaches the end of the first span."""
+    return bound is not None and 0 <= bound < (1 << bits)
+
+
+def running(df, keys, order, sums, bits=SPAN_BITS, bound=None):
     """Inclusive running sums of `sums` = {new column: BIGINT expression} along `order`."""
     keys = list(keys)
     names = list(sums)
+    if fits(bound, bits):
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *(
+            F.sum(sums[n].cast("bigint")).over(whole).alias(n) for n in names))
     source = df.withColumn(_SPAN, span_of(order, bits))
     inside = Window.partitionBy(*keys, _SPAN).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -45,12 +57,12 @@ def running(df, keys, order, sums, bits=SPAN_BITS):
           for n in names))
 
 
-def numbered(df, keys, order, name, bits=SPAN_BITS):
+def numbered(df, keys, order, name, bits=SPAN_BITS, bound=None):
     """1, 2, 3, ... along `order` inside each key."""
-    return running(df, keys, order, {name: F.lit(1)}, bits)
+    return running(df, keys, order, {name: F.lit(1)}, bits, bound)
 
 
-def with_trailing(df, keys, order, depth, build, bits=SPAN_BITS):
+def with_trailing(df, keys, order, depth, build, bits=SPAN_BITS, bound=None):
     """Columns that look back over at most `depth` earlier rows of the same key.
 
     `build(window)` returns {new column: expression over window}. Rows are numbered first; then
@@ -58,6 +70,9 @@ def with_trailing(df, keys, order, depth, build, bits=SPAN_BITS):
     looking back never leaves the bucket.
     """
     keys = list(keys)
+    if fits(bound, bits):
+        whole = Window.partitionBy(*keys).orderBy(order)
+        return df.select("*", *(expr.alias(n) for n, expr in build(whole).items()))
     size = 1 << bits
     if depth >= size:
         raise ValueError("depth must be smaller than a bucket")

@@ -14,6 +14,7 @@ and no task ever holds more than a chunk of it.
 from pyspark.sql import functions as F
 
 from flowlattice.functions.labels import route_key
+from flowlattice.operators.ordered import fits
 from flowlattice.schemas import LIFE
 
 CHUNK_BITS, SPAN_BITS = 12, 22
@@ -71,12 +72,16 @@ def _entry_index(n_zones, min_origin, min_dest):
 
 
 def zone_routes(lived, zone_names, min_origin=3, min_dest=3, direct="confirm",
-                chunk_bits=CHUNK_BITS, span_bits=SPAN_BITS):
+                chunk_bits=CHUNK_BITS, span_bits=SPAN_BITS, total_frames=None):
     """One row per life: state, origin, destination, class at first sight and route frame.
 
     `lived` needs the life, `frame`, `zone_order` (null outside every zone) and `cls`.
     `zone_names` lists the zones by order. `direct="immediate"` completes a route at once when a
-    settled track steps from its origin straight into another zone.
+    settled track steps from its origin straight into another zone. `total_frames`, the longest
+    run, saves the levels of composition it makes needless.
+
+    Runs of rows outside every zone act like their first row. Where `lived` has `prev_zone_order`,
+    only that row enters the machine.
     """
     min_origin, min_dest, n_zones = max(1, min_origin), max(2, min_dest), len(zone_names)
     key = ", ".join(LIFE)
@@ -88,32 +93,44 @@ def zone_routes(lived, zone_names, min_origin=3, min_dest=3, direct="confirm",
     names = "CAST(array(" + ", ".join(
         "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in zone_names) + ") AS array<string>)"
     states = "array(" + ", ".join(f"'{n}'" for n in STATE_NAMES) + ")"
+    entry = "struct(frame, z)"
+    if "prev_zone_order" in lived.columns:
+        entry = f"CASE WHEN z >= 0 OR new_life OR prev_zone_order IS NOT NULL THEN {entry} END"
+        also = ", prev_zone_order"
+    else:
+        also = ""
+
+    gathered = f"""array_sort(collect_list({entry})) AS seq, max(new_life) AS opens,
+               min(struct(frame, cls)) AS head, max(frame) AS last_frame"""
+    source = f"""
+      SELECT {key}, shiftright(frame, {span_bits}) AS _span, shiftright(frame, {chunk_bits}) AS _chunk,
+             frame, new_life, cls, CAST(coalesce(zone_order, -1) AS INT) AS z{also}
+      FROM {{lived}}"""
+    if fits(total_frames, chunk_bits):
+        ended = f"""
+          SELECT *, aggregate(seq, {_state(NEW)}, (s, r) -> {step}) AS _end
+          FROM (SELECT {key}, {gathered} FROM ({source}) GROUP BY {key})"""
+    else:
+        chunks = f"""
+          SELECT *, transform({entered}, e -> aggregate(seq, e, (s, r) -> {step})) AS exits
+          FROM (SELECT {key}, _span, _chunk, {gathered} FROM ({source}) GROUP BY {key}, _span, _chunk)"""
+        last = "_chunk"
+        if not fits(total_frames, span_bits):
+            chunks = f"""
+              SELECT *, transform({entered}, e -> aggregate(seq, e, (s, c) -> {follow})) AS exits
+              FROM (SELECT {key}, _span, array_sort(collect_list(struct(_chunk, exits))) AS seq, {summed}
+                    FROM ({chunks}) GROUP BY {key}, _span)"""
+            last = "_span"
+        ended = f"""
+          SELECT *, aggregate(seq, {_state(NEW)}, (s, c) -> {follow}) AS _end
+          FROM (SELECT {key}, array_sort(collect_list(struct({last}, exits))) AS seq, {summed}
+                FROM ({chunks}) GROUP BY {key})"""
     return lived.sparkSession.sql(f"""
-      WITH rows AS (
-        SELECT {key}, shiftright(frame, {span_bits}) AS _span, shiftright(frame, {chunk_bits}) AS _chunk,
-               frame, new_life, cls, CAST(coalesce(zone_order, -1) AS INT) AS z
-        FROM {{lived}}),
-      chunks AS (
-        SELECT {key}, _span, _chunk, array_sort(collect_list(struct(frame, z))) AS seq,
-               max(new_life) AS opens, min(struct(frame, cls)) AS head, max(frame) AS last_frame
-        FROM rows GROUP BY {key}, _span, _chunk),
-      run_chunks AS (
-        SELECT *, transform({entered}, e -> aggregate(seq, e, (s, r) -> {step})) AS exits FROM chunks),
-      spans AS (
-        SELECT {key}, _span, array_sort(collect_list(struct(_chunk, exits))) AS seq, {summed}
-        FROM run_chunks GROUP BY {key}, _span),
-      run_spans AS (
-        SELECT *, transform({entered}, e -> aggregate(seq, e, (s, c) -> {follow})) AS exits FROM spans),
-      lives AS (
-        SELECT {key}, array_sort(collect_list(struct(_span, exits))) AS seq, {summed}
-        FROM run_spans GROUP BY {key}),
-      ended AS (
-        SELECT *, aggregate(seq, {_state(NEW)}, (s, c) -> {follow}) AS _end FROM lives)
       SELECT {key}, get({states}, _end.st) AS state,
              CASE WHEN _end.o >= 0 THEN get({names}, _end.o) END AS origin,
              CASE WHEN _end.st = {DONE} THEN get({names}, _end.d) END AS destination,
              head.cls AS cls, _end.at AS frame, last_frame
-      FROM ended""", lived=lived)
+      FROM ({ended})""", lived=lived)
 
 
 def completed(routes):

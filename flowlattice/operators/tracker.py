@@ -170,19 +170,21 @@ class LiveTracks:
         return out
 
 
-def _stretches(dets, max_age):
+def _stretches(dets, max_age, total_frames):
     """Frames with detections, numbered by stretches between which no track survives."""
     frames = dets.select(*FRAME).distinct()
-    linked = with_trailing(frames, RUN_CAMERA, "frame", 1, lambda w: {"_last": F.lag("frame").over(w)})
+    linked = with_trailing(frames, RUN_CAMERA, "frame", 1, lambda w: {"_last": F.lag("frame").over(w)},
+                           bound=total_frames)
     starts = F.col("_last").isNull() | (F.col("frame") - F.col("_last") > max_age + 1)
-    return running(linked, RUN_CAMERA, "frame", {"_stretch": starts.cast("bigint")}).drop("_last")
+    return running(linked, RUN_CAMERA, "frame", {"_stretch": starts.cast("bigint")},
+                   bound=total_frames).drop("_last")
 
 
 _LINKED = ("run_id string, camera_id bigint, _stretch bigint, frame bigint, track_id bigint, "
            "x1 int, y1 int, x2 int, y2 int")
 
 
-def track_detections(dets, max_age=40, min_hits=3, iou=0.2):
+def track_detections(dets, max_age=40, min_hits=3, iou=0.2, total_frames=None):
     """Boxes of confirmed tracks (run_id, camera_id, frame, track_id, box), ids from 1 per camera.
 
     Ids count births in frame order over the whole camera: every stretch reports its births, and
@@ -223,11 +225,12 @@ def track_detections(dets, max_age=40, min_hits=3, iou=0.2):
 
     keys = [*RUN_CAMERA, "_stretch"]
     placed = dets.select(*FRAME, "det_idx", "x1", "y1", "x2", "y2").join(
-        _stretches(dets, max_age), list(FRAME))
+        _stretches(dets, max_age, total_frames), list(FRAME))
     ordered = placed.repartition(*keys).sortWithinPartitions(*keys, "frame", "det_idx")
     linked = checkpointed(ordered.groupBy(*keys).applyInPandas(link, _LINKED))
     births = linked.filter("frame IS NULL").select(*keys, F.col("track_id").alias("_born"))
-    offsets = running(births, RUN_CAMERA, "_stretch", {"_upto": F.col("_born")}).select(
+    offsets = running(births, RUN_CAMERA, "_stretch", {"_upto": F.col("_born")},
+                      bound=total_frames).select(
         *keys, (F.col("_upto") - F.col("_born")).alias("_offset"))
     return linked.filter("frame IS NOT NULL").join(offsets, keys).select(
         *FRAME, (F.col("track_id") + F.col("_offset")).alias("track_id"), "x1", "y1", "x2", "y2")

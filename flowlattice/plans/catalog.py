@@ -39,15 +39,22 @@ def zoned(spark, folder):
 
 
 def lived(spark, folder, first=(), prev=()):
-    return lives.with_lives(kept(spark, folder), first, prev)
+    return lives.with_lives(
+        kept(spark, folder), first, prev, total_frames=views.total_frames(spark, folder))
 
 
-def lived_in_zones(spark, folder, first=(), prev=()):
-    return lives.with_lives(zoned(spark, folder), first, prev)
+def lived_in_zones(spark, folder):
+    return lives.with_lives(zoned(spark, folder), prev=("zone_order",),
+                            total_frames=views.total_frames(spark, folder))
+
+
+def routes_of(spark, folder, rows, **options):
+    return route_ops.zone_routes(
+        rows, ZONE_NAMES, total_frames=views.total_frames(spark, folder), **options)
 
 
 def routes(spark, folder, **options):
-    return route_ops.zone_routes(lived_in_zones(spark, folder), ZONE_NAMES, **options)
+    return routes_of(spark, folder, lived_in_zones(spark, folder), **options)
 
 
 def events(spark, folder):
@@ -511,13 +518,14 @@ FROM lives v JOIN ends e USING (run_id, camera_id) JOIN states s USING (run_id,
 WHERE floor(e.f/120.0)*120 - v.last_frame <= 200"""))
 def track_report(spark, folder):
     rows = lived_in_zones(spark, folder)
-    states = shape.zone_states(route_ops.zone_routes(rows, ZONE_NAMES))
+    states = shape.zone_states(routes_of(spark, folder, rows))
     return shape.track_report(rows, lives.track_lives(rows), states)
 
 
 @query("track_detections")
 def track_detections(spark, folder):
-    return tracker.track_detections(views.detections(spark, folder), max_age=3)
+    return tracker.track_detections(views.detections(spark, folder), max_age=3,
+                                    total_frames=views.total_frames(spark, folder, "detections"))
 
 
 @query("detect_frames_stub", """
@@ -585,7 +593,8 @@ q4 AS (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, li
 
 @query("line_crossings_settled", sql.q(SETTLED_SQL, f"SELECT {_EVENT} FROM q4 WHERE k = 1"))
 def line_crossings_settled(spark, folder):
-    return crossings.line_crossings(lived(spark, folder), LINES, 2)
+    return crossings.line_crossings(
+        lived(spark, folder), LINES, 2, total_frames=views.total_frames(spark, folder))
 
 
 @query("line_crossings_simple", sql.q(sql.LIVED + f""",
@@ -629,13 +638,15 @@ walk({key}, i, h0, h1, seen, hit) AS (
 @query("line_crossings_strict", _strict_sql(2, "center"))
 def line_crossings_strict(spark, folder):
     return crossings.line_crossings(
-        lived(spark, folder, prev=("cx", "cy")), LINES, 2, "strict", anchors="center")
+        lived(spark, folder, prev=("cx", "cy")), LINES, 2, "strict", anchors="center",
+        total_frames=views.total_frames(spark, folder))
 
 
 @query("line_crossings_strict_first", _strict_sql(1, "center"))
 def line_crossings_strict_first(spark, folder):
     return crossings.line_crossings(
-        lived(spark, folder, prev=("cx", "cy")), LINES, 1, "strict", anchors="center")
+        lived(spark, folder, prev=("cx", "cy")), LINES, 1, "strict", anchors="center",
+        total_frames=views.total_frames(spark, folder))
 
 
 HEADINGS_SQL = sql.LIVED + """,
@@ -771,7 +782,7 @@ FROM lived l LEFT JOIN (SELECT run_id, camera_id, count(*) AS n, count(DISTINCT
  USING (run_id, camera_id) GROUP BY ALL"""))
 def run_summary(spark, folder):
     rows = lived_in_zones(spark, folder)
-    done = route_ops.completed(route_ops.zone_routes(rows, ZONE_NAMES))
+    done = route_ops.completed(routes_of(spark, folder, rows))
     found = summary.run_summary(rows, done)
     kinds = F.coalesce(F.map_keys("routes"), F.array())
     return found.withColumn("routes_seen", F.size(kinds).cast("bigint")).drop("routes")
@@ -828,7 +839,7 @@ SELECT run_id, camera_id, frame, round(avg(rate) OVER (PARTITION BY run_id, came
 def rolling_rate(spark, folder):
     rates = summary.active_per_frame(kept(spark, folder)).select(
         "run_id", "camera_id", "frame", (F.lit(1.0) / F.col("active")).alias("rate"))
-    return summary.rolling_rate(rates).select(
+    return summary.rolling_rate(rates, total_frames=views.total_frames(spark, folder)).select(
         "run_id", "camera_id", "frame", F.round("rolling", 6).alias("rolling"))
 
 
@@ -839,9 +850,10 @@ FROM ends e JOIN (SELECT unnest(range(1, 5000)) AS s) ON s*60 <= e.f
  LEFT JOIN routes r ON r.run_id = e.run_id AND r.camera_id = e.camera_id AND r.frame <= s*60 GROUP BY ALL"""))
 def progress_samples(spark, folder):
     rows = lived_in_zones(spark, folder)
-    runs = lives.last_frames(rows).withColumnRenamed("last_frame_of_run", "total_frames")
-    done = route_ops.completed(route_ops.zone_routes(rows, ZONE_NAMES))
-    return summary.progress_samples(done, runs).withColumn("pct", F.round("pct", 6))
+    runs = lives.last_frames(kept(spark, folder)).withColumnRenamed("last_frame_of_run", "total_frames")
+    done = route_ops.completed(routes_of(spark, folder, rows))
+    return summary.progress_samples(
+        done, runs, total_frames=views.total_frames(spark, folder)).withColumn("pct", F.round("pct", 6))
 
 
 @query("route_events", sql.q(sql.routes_cte(), """
@@ -849,7 +861,7 @@ SELECT run_id, camera_id, route, frame, count(*) AS new, min(cls) AS cls,
  CAST(sum(count(*)) OVER (PARTITION BY run_id, camera_id, route ORDER BY frame) AS BIGINT) AS cnt
 FROM routes GROUP BY run_id, camera_id, route, frame"""))
 def route_events(spark, folder):
-    return summary.route_events(events(spark, folder))
+    return summary.route_events(events(spark, folder), views.total_frames(spark, folder))
 
 
 @query("flow_per_window", sql.q(sql.FLT, """

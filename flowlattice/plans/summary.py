@@ -91,15 +91,15 @@ def vehicles_by_class(labelled):
     return class_totals(first)
 
 
-def rolling_rate(rates, value="rate", n=RATE_WINDOW):
+def rolling_rate(rates, value="rate", n=RATE_WINDOW, total_frames=None):
     """Mean of the last n per-frame values, fewer at the start of a run."""
     def look(window):
         return {"rolling": F.avg(value).over(window.rowsBetween(-(n - 1), 0))}
 
-    return with_trailing(rates, RUN_CAMERA, "frame", n - 1, look)
+    return with_trailing(rates, RUN_CAMERA, "frame", n - 1, look, bound=total_frames)
 
 
-def progress_samples(events, runs, every=PROGRESS_EVERY):
+def progress_samples(events, runs, every=PROGRESS_EVERY, total_frames=None):
     """Routes so far at every `every`-th frame, with percent done and share of frames left.
 
     `runs` gives (run_id, camera_id, total_frames). Events are counted per step first; the running
@@ -113,7 +113,7 @@ def progress_samples(events, runs, every=PROGRESS_EVERY):
     filled = steps.join(counted, [*RUN_CAMERA, "step"], "left").select(
         *RUN_CAMERA, "step", "total_frames", F.coalesce("new_routes", F.lit(0)).alias("new_routes"))
     frame = F.col("step") * every
-    return running(filled, RUN_CAMERA, "step", {"routes": F.col("new_routes")}).select(
+    return running(filled, RUN_CAMERA, "step", {"routes": F.col("new_routes")}, bound=total_frames).select(
         *RUN_CAMERA, frame.alias("frame"), "routes",
         (frame * F.lit(100.0) / F.col("total_frames")).alias("pct"),
         (F.col("total_frames") - frame).alias("frames_left"))
@@ -126,11 +126,12 @@ def with_clock(progress, fps):
         "eta", F.col("frames_left") / rate)
 
 
-def route_events(events):
+def route_events(events, total_frames=None):
     """Every completed route with the count its key has reached in its run so far."""
     keyed = events.groupBy("run_id", "camera_id", "route", "frame").agg(
         F.count(F.lit(1)).alias("new"), F.min("cls").alias("cls"))
-    return running(keyed, ["run_id", "camera_id", "route"], "frame", {"cnt": F.col("new")})
+    return running(keyed, ["run_id", "camera_id", "route"], "frame", {"cnt": F.col("new")},
+                   bound=total_frames)
 
 
 def flow_per_window(obs, seconds=3600):

@@ -52,6 +52,22 @@ def detections_path(spark, folder):
     return _written(spark, folder, "detections", derive_detections)
 
 
+def runs(spark, folder, name="observations"):
+    """Run metadata of a derived table: (run_id, camera_id, total_frames)."""
+    def build(spark, folder):
+        source = observations if name == "observations" else detections
+        return source(spark, folder).groupBy("run_id", "camera_id").agg(
+            F.max("frame").alias("total_frames"))
+
+    return spark.read.schema(f"{_KEY}, total_frames bigint").parquet(
+        _written(spark, folder, f"runs_of_{name}", build))
+
+
+def total_frames(spark, folder, name="observations"):
+    """The longest run, from the metadata."""
+    return runs(spark, folder, name).agg(F.max("total_frames")).first()[0]
+
+
 def observations(spark, folder):
     return spark.read.schema(OBSERVED).parquet(observations_path(spark, folder))
 

@@ -12,6 +12,7 @@ def local_session(cores="*", partitions=8, name="flowlattice", **conf):
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
