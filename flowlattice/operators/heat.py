@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from flowlattice.operators.lives import last_frames
 from flowlattice.schemas import RUN_CAMERA
@@ -14,7 +14,8 @@ def heat_grid(obs, width, height, decay=0.995, ends=None):
     """Weight per (camera, pixel): every hit counts decay^(last frame - frame).
 
     Hits are summed per block of frames first, relative to the block's end, so a busy pixel is
-    reduced before anything is shuffled; only the block sums meet the last frame of the run.
+    reduced before anything is shuffled; only the block sums meet the last frame of the run. Take
+    `ends` (run_id, camera_id, last_frame_of_run) from run metadata to save a pass.
     """
     ends = last_frames(obs) if ends is None else ends
     block = F.shiftright("frame", _BLOCK_BITS)
@@ -46,15 +47,16 @@ def _spread(grid, axis, other, extent, kernel):
     half = len(kernel) // 2
     taps = F.array(*(F.struct(F.lit(i - half).alias("offset"), F.lit(k).alias("k"))
                      for i, k in enumerate(kernel)))
-    grown = grid.select(*RUN_CAMERA, axis, other, "weight", F.inline(taps))
     # A source at s feeds target t with weight k(t - s), and again through its mirror images.
-    at = F.col(axis)
     last = extent - 1
-    direct = grown.withColumn("_t", at + F.col("offset"))
-    left = grown.filter((at > 0) & (at <= half)).withColumn("_t", -at + F.col("offset"))
-    right = grown.filter((at < last) & (at >= last - half)).withColumn(
-        "_t", 2 * last - at + F.col("offset"))
-    spread = direct.union(left).union(right).filter(F.col("_t").between(0, last))
+    at, offset = F.col(axis), F.col("offset")
+    targets = F.filter(F.array(
+        at + offset,
+        F.when((at > 0) & (at <= half), -at + offset),
+        F.when((at < last) & (at >= last - half), 2 * last - at + offset),
+    ), lambda t: t.between(0, last))
+    spread = grid.select(*RUN_CAMERA, axis, other, "weight", F.inline(taps)).select(
+        *RUN_CAMERA, other, "weight", "k", F.explode(targets).alias("_t"))
     return spread.groupBy(*RUN_CAMERA, F.col("_t").alias(axis), other).agg(
         F.sum(F.col("weight") * F.col("k")).alias("weight"))
 
@@ -66,9 +68,9 @@ def heat_smooth(grid, width, height, size=31, sigma=None, keep=0.05):
         raise ValueError("kernel must be smaller than the frame")
     kernel = gaussian_kernel(size, default_sigma(size) if sigma is None else sigma)
     blurred = _spread(_spread(grid, "x", "y", width, kernel), "y", "x", height, kernel)
-    peaks = blurred.groupBy(*RUN_CAMERA).agg(F.greatest(F.max("weight"), F.lit(1.0)).alias("_peak"))
+    # One camera is at most as many rows as its frame has pixels.
+    peak = F.greatest(F.max("weight").over(Window.partitionBy(*RUN_CAMERA)), F.lit(1.0))
     return (
-        blurred.join(peaks, list(RUN_CAMERA))
-        .select(*RUN_CAMERA, "x", "y", (F.col("weight") / F.col("_peak")).alias("level"))
+        blurred.select(*RUN_CAMERA, "x", "y", (F.col("weight") / peak).alias("level"))
         .filter(F.col("level") > keep)
     )

@@ -63,6 +63,18 @@ def best_assignment(gain):
     return pairs[:, ::-1] if flipped else pairs
 
 
+def _assigned(score):
+    """The best assignment, where pairs that overlap only each other need no search."""
+    meets = score > 0
+    alone = meets & (meets.sum(1, keepdims=True) == 1) & (meets.sum(0, keepdims=True) == 1)
+    rows, cols = (np.flatnonzero((meets & ~alone).any(axis=k)) for k in (1, 0))
+    pairs = np.argwhere(alone)
+    if len(rows):
+        rest = best_assignment(score[np.ix_(rows, cols)])
+        pairs = np.vstack([pairs, np.stack([rows[rest[:, 0]], cols[rest[:, 1]]], axis=1)])
+    return pairs[np.argsort(pairs[:, 0], kind="stable")]
+
+
 def overlap(a, b):
     """IoU of every box of `a` with every box of `b`."""
     low = np.maximum(a[:, None, :2], b[None, :, :2])
@@ -144,7 +156,7 @@ class LiveTracks:
         if near.sum(1).max() == 1 and near.sum(0).max() == 1:
             pairs = np.argwhere(near)
         else:
-            pairs = best_assignment(score)
+            pairs = _assigned(score)
         fits = score[pairs[:, 0], pairs[:, 1]] >= self.threshold
         free = np.setdiff1d(np.arange(len(boxes)), pairs[:, 0])
         return pairs[fits], np.concatenate([free, pairs[~fits, 0]]).astype(int)

@@ -7,6 +7,7 @@ from flowlattice.operators import (
     calibration, crossings, filters, headings as heading_ops, heat, lives, overlaps,
     routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
 from flowlattice.plans import oracle as sql, summary, views
+from flowlattice.session import materialized
 from flowlattice.sources import detections as source
 from flowlattice.streaming import flows, replay
 
@@ -517,7 +518,7 @@ FROM lives v JOIN ends e USING (run_id, camera_id) JOIN states s USING (run_id,
  JOIN ema USING (run_id, camera_id, track_id, life) JOIN tr USING (run_id, camera_id, track_id, life)
 WHERE floor(e.f/120.0)*120 - v.last_frame <= 200"""))
 def track_report(spark, folder):
-    rows = lived_in_zones(spark, folder)
+    rows = materialized(lived_in_zones(spark, folder))
     states = shape.zone_states(routes_of(spark, folder, rows))
     return shape.track_report(rows, lives.track_lives(rows), states)
 
@@ -680,15 +681,20 @@ def gate_counts(spark, folder):
 
 # --- density ---------------------------------------------------------------------------------
 
-_HEAT = sql.LIVED + """, ends AS (SELECT run_id, camera_id, max(frame) AS f FROM lived GROUP BY ALL),
+_HEAT = sql.LIVED + """, ends AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL),
 heat AS (SELECT l.run_id, l.camera_id, cx AS x, cy AS y, sum(pow(0.995::DOUBLE, e.f - l.frame)) AS weight
  FROM lived l JOIN ends e ON e.run_id = l.run_id AND e.camera_id = l.camera_id
  WHERE cx BETWEEN 0 AND 699 AND cy BETWEEN 0 AND 519 GROUP BY ALL)"""
 
 
+def _heat(spark, folder):
+    ends = views.runs(spark, folder).withColumnRenamed("total_frames", "last_frame_of_run")
+    return heat.heat_grid(kept(spark, folder), *views.FRAME_SIZE, ends=ends)
+
+
 @query("heat_grid", sql.q(_HEAT, "SELECT run_id, camera_id, x, y, round(weight, 6) AS weight FROM heat"))
 def heat_grid(spark, folder):
-    return heat.heat_grid(kept(spark, folder), *views.FRAME_SIZE).withColumn("weight", F.round("weight", 6))
+    return _heat(spark, folder).withColumn("weight", F.round("weight", 6))
 
 
 @query("heat_smooth", sql.q(_HEAT + """,
@@ -706,8 +712,7 @@ peak AS (SELECT run_id, camera_id, greatest(max(weight), 1.0) AS p FROM by_ GROU
 SELECT b.run_id, b.camera_id, x, y, round(weight / p, 6) AS level FROM by_ b
  JOIN peak k ON b.run_id = k.run_id AND b.camera_id = k.camera_id WHERE weight / p > 0.05"""))
 def heat_smooth(spark, folder):
-    grid = heat.heat_grid(kept(spark, folder), *views.FRAME_SIZE)
-    return heat.heat_smooth(grid, *views.FRAME_SIZE, size=5).withColumn("level", F.round("level", 6))
+    return heat.heat_smooth(_heat(spark, folder), *views.FRAME_SIZE, size=5).withColumn("level", F.round("level", 6))
 
 
 # --- aggregates ------------------------------------------------------------------------------
@@ -781,7 +786,7 @@ SELECT run_id, camera_id, max(l.frame) AS frames_processed,
 FROM lived l LEFT JOIN (SELECT run_id, camera_id, count(*) AS n, count(DISTINCT route) AS kinds FROM routes GROUP BY ALL) r
  USING (run_id, camera_id) GROUP BY ALL"""))
 def run_summary(spark, folder):
-    rows = lived_in_zones(spark, folder)
+    rows = materialized(lived_in_zones(spark, folder))
     done = route_ops.completed(routes_of(spark, folder, rows))
     found = summary.run_summary(rows, done)
     kinds = F.coalesce(F.map_keys("routes"), F.array())
@@ -843,17 +848,16 @@ def rolling_rate(spark, folder):
         "run_id", "camera_id", "frame", F.round("rolling", 6).alias("rolling"))
 
 
-@query("progress_samples", sql.q(sql.routes_cte(), """
+@query("progress_samples", sql.q(sql.routes_cte() + """,
+runs AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL)""", """
 SELECT e.run_id, e.camera_id, CAST(s*60 AS BIGINT) AS frame, count(r.frame) AS routes,
  round(s*60 * 100.0::DOUBLE / e.f, 6) AS pct, CAST(e.f - s*60 AS BIGINT) AS frames_left
-FROM ends e JOIN (SELECT unnest(range(1, 5000)) AS s) ON s*60 <= e.f
+FROM runs e JOIN (SELECT unnest(range(1, 5000)) AS s) ON s*60 <= e.f
  LEFT JOIN routes r ON r.run_id = e.run_id AND r.camera_id = e.camera_id AND r.frame <= s*60 GROUP BY ALL"""))
 def progress_samples(spark, folder):
-    rows = lived_in_zones(spark, folder)
-    runs = lives.last_frames(kept(spark, folder)).withColumnRenamed("last_frame_of_run", "total_frames")
-    done = route_ops.completed(routes_of(spark, folder, rows))
+    done = events(spark, folder)
     return summary.progress_samples(
-        done, runs, total_frames=views.total_frames(spark, folder)).withColumn("pct", F.round("pct", 6))
+        done, views.runs(spark, folder), total_frames=views.total_frames(spark, folder)).withColumn("pct", F.round("pct", 6))
 
 
 @query("route_events", sql.q(sql.routes_cte(), """

@@ -20,13 +20,17 @@ def top_routes(events, n=None, key="route"):
 
 
 def route_shares(events, key="route"):
-    """Counts with their share of all events in percent and of the largest count."""
-    counts = route_counts(events, key)
-    whole = counts.agg(F.sum("cnt").alias("t")).scalar()
-    largest = counts.agg(F.max("cnt").alias("m")).scalar()
-    return counts.select(
-        key, "cnt", (F.col("cnt") * F.lit(100.0) / whole).alias("share"),
-        (F.col("cnt") / largest.cast("double")).alias("of_largest"))
+    """Counts with their share of all events in percent and of the largest count.
+
+    There are as many counts as configured routes, so they meet in one row, and `events` is read
+    once.
+    """
+    whole = route_counts(events, key).agg(
+        F.collect_list(F.struct(key, "cnt")).alias("_counts"),
+        F.sum("cnt").alias("_sum"), F.max("cnt").alias("_max"))
+    return whole.select("_sum", "_max", F.inline("_counts")).select(
+        key, "cnt", (F.col("cnt") * F.lit(100.0) / F.col("_sum")).alias("share"),
+        (F.col("cnt") / F.col("_max").cast("double")).alias("of_largest"))
 
 
 def od_by_class(events):
@@ -46,14 +50,18 @@ def od_rollup(events):
 def od_matrix_long(events):
     """Square matrix in long form: every pair of zones seen in any role, zero filled.
 
-    Zones seen come as one sorted array (as short as the list of zones), so no join is needed.
+    The counts are no more than pairs of configured zones, so they meet in one row; the square is
+    spelled out from there and `events` is read once.
     """
     counts = events.groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("cnt"))
-    seen = counts.select(F.explode(F.array("origin", "destination")).alias("zone")).agg(
-        F.array_sort(F.collect_set("zone")).alias("zones"))
-    blank = seen.select(F.explode("zones").alias("origin"), "zones").select(
-        "origin", F.explode("zones").alias("destination"), F.lit(0).cast("bigint").alias("cnt"))
-    return counts.unionByName(blank).groupBy("origin", "destination").agg(F.sum("cnt").alias("cnt"))
+    pair = F.struct("origin", "destination")
+    square = counts.agg(
+        F.map_from_entries(F.collect_list(F.struct(pair, "cnt"))).alias("_counts"),
+        F.array_sort(F.array_union(F.collect_set("origin"), F.collect_set("destination"))).alias("_zones"))
+    pairs = square.select("_counts", "_zones", F.explode("_zones").alias("origin")).select(
+        "_counts", "origin", F.explode("_zones").alias("destination"))
+    return pairs.select("origin", "destination", F.coalesce(
+        F.element_at("_counts", pair), F.lit(0)).alias("cnt"))
 
 
 def od_matrix(events, zones=None):

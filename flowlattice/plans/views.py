@@ -39,7 +39,8 @@ def _written(spark, folder, name, build):
     key = (spark.sparkContext.applicationId, str(folder), name)
     if key not in _WRITTEN:
         path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
-        build(spark, folder).write.parquet(path)
+        # Files enough for all cores, like any larger table has.
+        build(spark, folder).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 

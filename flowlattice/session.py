@@ -1,6 +1,7 @@
 """Session helpers: sensible defaults and the shared folder for cut lineage."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +37,14 @@ def checkpointed(df):
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def materialized(df, name="table"):
+    """Write `df` as a table in the shared folder and return a scan of it.
+
+    For rows that several results read: they are computed once, and each reader scans only its
+    columns.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
