@@ -59,6 +59,26 @@ def filter_detections(dets, conf_threshold=0.10, conf_per_class=None, limits=Non
     return kept
 
 
+def filter_by_settings(dets, settings, exclusion=None, by=("site_id",)):
+    """`filter_detections` with every site's own settings and exclusion zones.
+
+    `settings` and `exclusion` are site tables (see `sources.site`). They are as long as the
+    configuration; Spark broadcasts them when their size allows and splits hot sites otherwise.
+    """
+    by = list(by)
+    limits = [name for pair in SHAPE_BOUNDS.values() for name in pair]
+    own = settings.select(*by, "conf_threshold", "conf_per_class", F.struct(*limits).alias("_limits"))
+    rows = dets.filter(F.col("cls").isin(*VEHICLES)).join(own, by)
+    rows = rows.filter(
+        (F.col("conf") >= confidence_floor(F.col("cls"), F.col("conf_threshold"), F.col("conf_per_class")))
+        & passes_shape(g.box(), F.col("_limits")))
+    if exclusion is not None:
+        rings = exclusion.groupBy(*by).agg(F.collect_list(F.struct("ring")).alias("_closed"))
+        rows = rows.join(rings, by, "left").filter(
+            ~in_any_polygon(*g.center(g.box()), F.col("_closed")))
+    return rows.select(*dets.columns)
+
+
 def filter_roi(dets, roi):
     """Only boxes whose centre lies in a region of interest."""
     return dets.filter(in_any_polygon(*g.center(g.box()), roi))

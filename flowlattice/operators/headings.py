@@ -1,19 +1,21 @@
 """Heading of a track: the configured direction closest to its displacement."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from flowlattice.functions import geometry as g
-from flowlattice.schemas import LIFE
+from flowlattice.operators.ordered import fits, span_of
+from flowlattice.schemas import LIFE, TRACK
 
 # Fixed values of the classification.
 FEWEST_OBSERVATIONS, SHORTEST_MOVE, LOWEST_SCORE = 5, 10, 0.5
 
 
-def headings(lived, directions, min_origin=3):
+def headings(lived, directions, min_origin=3, total_frames=None):
     """First observation of a life at which a direction fits, and which one.
 
     `lived` needs `first_cx`, `first_cy` and `obs_no`. `directions` is {name: (start, end)}; ties go
-    to the earlier one. No window is needed: each row decides alone, the earliest success wins.
+    to the earlier one. Each row decides alone and the earliest success wins. All but the first
+    success of a span are dropped in the order the rows already have, so little is left to group.
     """
     if not directions:
         return lived.select(*LIFE, F.lit(None).cast("string").alias("direction"),
@@ -25,12 +27,16 @@ def headings(lived, directions, min_origin=3):
         F.lit(-i).alias("tie"), F.lit(name).alias("direction"))
         for i, (name, (start, end)) in enumerate(directions.items())]
     best = scored[0] if len(scored) == 1 else F.greatest(*scored)
-    fits = (
+    found = (
         lived.filter((F.col("obs_no") >= max(min_origin, FEWEST_OBSERVATIONS))
                      & (F.hypot(dx, dy) >= SHORTEST_MOVE))
         .withColumn("_best", best).filter(F.col("_best.score") > LOWEST_SCORE)
     )
-    return fits.groupBy(*LIFE).agg(F.min(F.struct(
+    span = [] if fits(total_frames) else [span_of("frame")]
+    along = Window.partitionBy(*TRACK, *span).orderBy("frame")
+    earliest = found.withColumn("_life_before", F.lag("life").over(along)).filter(
+        F.col("_life_before").isNull() | (F.col("_life_before") != F.col("life")))
+    return earliest.groupBy(*LIFE).agg(F.min(F.struct(
         "frame", "cls", F.col("_best.score").alias("score"),
         F.col("_best.direction").alias("direction"))).alias("_first")).select(
         *LIFE, "_first.direction", "_first.score", "_first.cls", "_first.frame")

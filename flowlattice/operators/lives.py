@@ -24,6 +24,8 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS,
     not planned at all when `total_frames`, the longest run, fits a span.
     """
     key = ", ".join(TRACK)
+    bounded = fits(total_frames, bits)
+    part = key if bounded else f"{key}, _span"
     kept = list(dict.fromkeys([*first, *prev]))
     also = "".join(f", {c}" for c in kept)
 
@@ -41,7 +43,7 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS,
           FROM (SELECT *, lag(struct(frame{also})) OVER w AS _prev,
                        CAST(row_number() OVER w AS BIGINT) AS _n
                 FROM (SELECT {columns}, shiftright(frame, {bits}) AS _span FROM {{obs}})
-                WINDOW w AS (PARTITION BY {key}, _span ORDER BY frame))"""
+                WINDOW w AS (PARTITION BY {part} ORDER BY frame))"""
 
     out = f"""
       SELECT {", ".join(obs.columns)}, _opened + _lives AS life, _rn - _start.n + 1 AS obs_no,
@@ -49,7 +51,7 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS,
              {"".join(f", _start.{c} AS first_{c}" for c in first)}
              {"".join(f", _before.{c} AS prev_{c}" for c in prev)}
       FROM opened"""
-    if fits(total_frames, bits):
+    if bounded:
         return obs.sparkSession.sql(f"""
           WITH flagged AS (
             SELECT *, _n = 1 OR _cut AS new_life, _prev AS _before, _n AS _rn, 0L AS _lives
@@ -57,7 +59,7 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS,
           opened AS (
             SELECT *, sum(CAST(new_life AS BIGINT)) OVER w AS _opened,
                    max(CASE WHEN new_life THEN struct(frame, _rn AS n{also}) END) OVER w AS _start
-            FROM flagged WINDOW w AS (PARTITION BY {key}, _span ORDER BY frame
+            FROM flagged WINDOW w AS (PARTITION BY {part} ORDER BY frame
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
           {out}""", obs=obs)
     return obs.sparkSession.sql(f"""

@@ -3,6 +3,7 @@
 from pyspark.sql import Window, functions as F
 
 from flowlattice.functions import geometry as g
+from flowlattice.operators.ordered import fits
 from flowlattice.schemas import LIFE
 
 ALPHA = 0.3
@@ -12,12 +13,14 @@ AVERAGES = {"avg_width": "w", "avg_height": "h", "avg_area": "area", "avg_aspect
             "avg_elongation": "elongation"}
 
 
-def shape_ema(lived, alpha=ALPHA):
+def shape_ema(lived, alpha=ALPHA, total_frames=None):
     """Exponential averages of the box features over the observations of a life.
 
     The recurrence is a weighted sum: the i-th of n values weighs alpha*(1-alpha)^(n-i), the first
     (1-alpha)^(n-1). Weights are taken relative to blocks of 1,024 observations, so plain partial
-    sums do the work and stay within the range of a double.
+    sums do the work and stay within the range of a double. When `total_frames`, the longest run, is
+    known to be short, the few blocks of a life meet in one row; otherwise they are joined with the
+    life's length and summed again.
     """
     keep = 1.0 - alpha
     if keep ** (1 << _BLOCK_BITS) < 1e-290:
@@ -29,6 +32,14 @@ def shape_ema(lived, alpha=ALPHA):
     blocks = lived.groupBy(*LIFE, F.shiftright("obs_no", _BLOCK_BITS).alias("_block")).agg(
         F.max("obs_no").alias("_n"),
         *(F.sum(weight * features[f]).alias(name) for name, f in AVERAGES.items()))
+    if fits(total_frames):
+        names = ", ".join(AVERAGES)
+        lives = blocks.groupBy(*LIFE).agg(
+            F.max("_n").alias("samples"), F.collect_list(F.expr(f"struct(_block, {names})")).alias("_b"))
+        return lives.select(*LIFE, "samples", *(F.expr(
+            f"aggregate(_b, 0D, (s, b) -> s + b.{name} * "
+            f"pow({keep}D, samples - shiftleft(b._block, {_BLOCK_BITS})))").alias(name)
+            for name in AVERAGES))
     totals = blocks.groupBy(*LIFE).agg(F.max("_n").alias("samples"))
     ahead = F.pow(F.lit(keep), (
         F.col("samples") - F.shiftleft("_block", _BLOCK_BITS)).cast("double"))
@@ -49,7 +60,7 @@ def trails(lived, n=TRAIL):
         F.struct("frame", "cx", "cy"))).alias("trail"))
 
 
-def track_report(lived, lives, states):
+def track_report(lived, lives, states, total_frames=None):
     """One row per life still held at the end of the run.
 
     `lives` comes from `track_lives`; `states` gives (life key, cls, state, origin, direction) of
@@ -59,7 +70,7 @@ def track_report(lived, lives, states):
     points = trails(lived).select(
         *keys, F.col("trail")[0].alias("_a"), F.element_at("trail", -1).alias("_z"),
         F.size("trail").alias("trail_length"))
-    shape = shape_ema(lived)
+    shape = shape_ema(lived, total_frames=total_frames)
     digits = {"avg_width": 1, "avg_height": 1, "avg_area": 1, "avg_aspect": 2, "avg_elongation": 2}
     report = (
         lives.filter("survives").select(*keys, F.col("last_frame").alias("last_seen_frame"))

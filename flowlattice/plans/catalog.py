@@ -8,7 +8,7 @@ from flowlattice.operators import (
     routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
 from flowlattice.plans import oracle as sql, summary, views
 from flowlattice.session import materialized
-from flowlattice.sources import detections as source
+from flowlattice.sources import detections as source, site
 from flowlattice.streaming import flows, replay
 
 QUERIES, ORACLES = {}, {}
@@ -186,6 +186,25 @@ def filter_detections(spark, folder):
     return kept(spark, folder).select("event_id", "cls", "conf")
 
 
+@query("filter_by_settings", sql.q(sql.OBS, """
+SELECT event_id FROM obs WHERE cls IN ('car','truck','bus','motorbike')
+ AND conf >= CASE WHEN camera_id = 1 AND cls = 'bus' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE + camera_id * 0.1::DOUBLE END
+ AND (x2-x1)*(y2-y1) >= 100 * camera_id
+ AND NOT (camera_id = 2 AND (x1+x2)/2.0 BETWEEN 0 AND 200 AND (y1+y2)/2.0 BETWEEN 0 AND 300)"""))
+def filter_by_settings(spark, folder):
+    obs = views.observations(spark, folder)
+    cameras = views.runs(spark, folder).select("camera_id").distinct()
+    settings = cameras.select(
+        "camera_id", (F.lit(0.1) + F.col("camera_id") * F.lit(0.1)).alias("conf_threshold"),
+        F.when(F.col("camera_id") == 1, F.create_map(F.lit("bus"), F.lit(0.5))).alias("conf_per_class"),
+        (F.col("camera_id") * 100).cast("int").alias("min_area"), F.lit(999999).alias("max_area"),
+        *(F.lit(v).alias(n) for n, v in site.SHAPE_DEFAULTS.items()))
+    ring = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+                     for x, y in ((0, 0), (200, 0), (200, 300), (0, 300))))
+    closed = cameras.filter("camera_id = 2").select("camera_id", ring.alias("ring"))
+    return filters.filter_by_settings(obs, settings, closed, ("camera_id",)).select("event_id")
+
+
 _EDGES = """(VALUES (0,'D',200,40,320,260), (0,'D',320,260,200,480), (0,'D',200,480,80,260), (0,'D',80,260,200,40),
  (1,'C',150,100,600,100), (1,'C',600,100,600,420), (1,'C',600,420,380,250), (1,'C',380,250,150,420),
  (1,'C',150,420,150,100)) e(zo, z, ex1, ey1, ex2, ey2)"""
@@ -501,7 +520,8 @@ ema AS (SELECT run_id, camera_id, track_id, life, max(n) AS samples,
 SELECT run_id, camera_id, track_id, life, samples, round(avg_width, 6) AS avg_width, round(avg_height, 6) AS avg_height,
  round(avg_area, 6) AS avg_area, round(avg_aspect, 6) AS avg_aspect, round(avg_elongation, 6) AS avg_elongation FROM ema"""))
 def shape_ema(spark, folder):
-    return shape.shape_ema(lived(spark, folder)).select(
+    return shape.shape_ema(
+        lived(spark, folder), total_frames=views.total_frames(spark, folder)).select(
         "run_id", "camera_id", "track_id", "life", "samples",
         *(F.round(c, 6).alias(c) for c in shape.AVERAGES))
 
@@ -520,7 +540,8 @@ WHERE floor(e.f/120.0)*120 - v.last_frame <= 200"""))
 def track_report(spark, folder):
     rows = materialized(lived_in_zones(spark, folder))
     states = shape.zone_states(routes_of(spark, folder, rows))
-    return shape.track_report(rows, lives.track_lives(rows), states)
+    return shape.track_report(rows, lives.track_lives(rows), states,
+                              views.total_frames(spark, folder))
 
 
 @query("track_detections")
@@ -664,7 +685,9 @@ b AS (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, lif
 @query("headings", sql.q(HEADINGS_SQL, """
 SELECT run_id, camera_id, track_id, life, name AS direction, round(score, 6) AS score, cls, frame FROM b WHERE r = 1"""))
 def headings(spark, folder):
-    return heading_ops.headings(lived(spark, folder, first=("cx", "cy")), DIRECTIONS).withColumn(
+    return heading_ops.headings(
+        lived(spark, folder, first=("cx", "cy")), DIRECTIONS,
+        total_frames=views.total_frames(spark, folder)).withColumn(
         "score", F.round("score", 6))
 
 
