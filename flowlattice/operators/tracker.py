@@ -27,38 +27,39 @@ START_POSITION_VARIANCE, START_VELOCITY_VARIANCE = 10.0, 10000.0
 
 
 def best_assignment(gain):
-    """Pairs (row, column) with the largest total gain, one to one, by augmenting paths."""
+    """Pairs (row, column) with the largest total gain, one to one, by augmenting paths.
+
+    Plain lists: up to a hundred boxes they beat array calls, and most frames have few.
+    """
     flipped = gain.shape[0] > gain.shape[1]
-    cost = -(gain.T if flipped else gain)
-    n, m = cost.shape
-    price_row, price_col = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for row in range(n):
-        reach, came = np.full(m, np.inf), np.full(m, -1)
-        done = np.zeros(m, bool)
-        at, col = row, -1
-        base = 0.0
+    cost = (-(gain.T if flipped else gain)).tolist()
+    width = len(cost[0])
+    price_row, price_col, owner = [0.0] * len(cost), [0.0] * width, [-1] * width
+    for row in range(len(cost)):
+        reach, came = [float("inf")] * width, [-1] * width
+        unseen, seen = list(range(width)), []
+        at, col, base = row, -1, 0.0
         while True:
-            slack = base + cost[at] - price_row[at] - price_col
-            better = ~done & (slack < reach)
-            reach[better], came[better] = slack[better], col
-            col = int(np.argmin(np.where(done, np.inf, reach)))
-            base = reach[col]
-            done[col] = True
+            line, shift, nearest = cost[at], base - price_row[at], float("inf")
+            for c in unseen:
+                slack = line[c] - price_col[c] + shift
+                if slack < reach[c]:
+                    reach[c], came[c] = slack, col
+                if reach[c] < nearest:
+                    nearest, closest = reach[c], c
+            base, col = nearest, closest
             if owner[col] < 0:
                 break
+            unseen.remove(col)
+            seen.append(col)
             at = owner[col]
-        ends = done.copy()
-        ends[col] = False
-        price_row[owner[ends]] += base - reach[ends]
         price_row[row] += base
-        price_col[ends] -= base - reach[ends]
+        for c in seen:
+            price_row[owner[c]] += base - reach[c]
+            price_col[c] -= base - reach[c]
         while col >= 0:
-            before = came[col]
-            owner[col] = row if before < 0 else owner[before]
-            col = before
-    cols = np.flatnonzero(owner >= 0)
-    pairs = np.stack([owner[cols], cols], axis=1)
+            owner[col], col = row if came[col] < 0 else owner[came[col]], came[col]
+    pairs = np.array([(r, c) for c, r in enumerate(owner) if r >= 0])
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     return pairs[:, ::-1] if flipped else pairs
 
@@ -77,10 +78,10 @@ def _assigned(score):
 
 def overlap(a, b):
     """IoU of every box of `a` with every box of `b`."""
-    low = np.maximum(a[:, None, :2], b[None, :, :2])
-    high = np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.clip(high - low, 0, None), axis=2)
-    size = [np.prod(k[:, 2:] - k[:, :2], axis=1) for k in (a, b)]
+    side = np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2])
+    np.maximum(side, 0, out=side)
+    inter = side[:, :, 0] * side[:, :, 1]
+    size = [(k[:, 2] - k[:, 0]) * (k[:, 3] - k[:, 1]) for k in (a, b)]
     union = size[0][:, None] + size[1][None, :] - inter
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
@@ -97,19 +98,26 @@ class LiveTracks:
         self.ids, self.missed, self.streak = (np.empty(0, np.int64) for _ in range(3))
 
     def _keep(self, mask):
+        if mask.all():
+            return
         for name in ("pos", "vel", "pp", "pv", "vv", "ids", "missed", "streak"):
             setattr(self, name, getattr(self, name)[mask])
 
     @staticmethod
     def _measured(boxes):
         w, h = boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]
-        return np.stack([boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w * h, w / h], axis=1)
+        out = np.empty((len(boxes), 4))
+        out[:, 0], out[:, 1], out[:, 2], out[:, 3] = (
+            boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w * h, w / h)
+        return out
 
-    def boxes(self):
-        w = np.sqrt(self.pos[:, 2] * self.pos[:, 3])
-        h = self.pos[:, 2] / w
-        return np.stack([self.pos[:, 0] - w / 2, self.pos[:, 1] - h / 2,
-                         self.pos[:, 0] + w / 2, self.pos[:, 1] + h / 2], axis=1)
+    @staticmethod
+    def _boxes(pos):
+        half = np.empty((len(pos), 2))
+        half[:, 0] = np.sqrt(pos[:, 2] * pos[:, 3])
+        half[:, 1] = pos[:, 2] / half[:, 0]
+        half /= 2
+        return np.concatenate([pos[:, :2] - half, pos[:, :2] + half], axis=1)
 
     def _predict(self):
         self.vel[self.pos[:, 2] + self.vel[:, 2] <= 0, 2] = 0.0
@@ -120,7 +128,10 @@ class LiveTracks:
         self.vv += VELOCITY_NOISE
         self.streak[self.missed > 0] = 0
         self.missed += 1
-        self._keep(np.isfinite(self.boxes()).all(axis=1))
+        boxes = self._boxes(self.pos)
+        sound = np.isfinite(boxes).all(axis=1)
+        self._keep(sound)
+        return boxes[sound]
 
     def _correct(self, tracks, boxes):
         total = self.pp[tracks] + MEASUREMENT_NOISE
@@ -146,20 +157,21 @@ class LiveTracks:
         self.streak = np.append(self.streak, np.zeros(n, np.int64))
         self.born += n
 
-    def _matched(self, boxes):
+    def _matched(self, boxes, expected):
         """(detection, track) pairs and the detections left over, in order of birth."""
         none = np.empty((0, 2), int)
         if not len(self.ids) or not len(boxes):
             return none, np.arange(len(boxes))
-        score = overlap(boxes, self.boxes())
+        score = overlap(boxes, expected)
         near = score > self.threshold
         if near.sum(1).max() == 1 and near.sum(0).max() == 1:
             pairs = np.argwhere(near)
         else:
             pairs = _assigned(score)
         fits = score[pairs[:, 0], pairs[:, 1]] >= self.threshold
-        free = np.setdiff1d(np.arange(len(boxes)), pairs[:, 0])
-        return pairs[fits], np.concatenate([free, pairs[~fits, 0]]).astype(int)
+        free = np.ones(len(boxes), bool)
+        free[pairs[:, 0]] = False
+        return pairs[fits], np.concatenate([np.flatnonzero(free), pairs[~fits, 0]])
 
     def advance(self, frame, boxes):
         """One frame; skipped frames count as empty. Returns (boxes, ids) of confirmed tracks."""
@@ -170,14 +182,13 @@ class LiveTracks:
             self._predict()
             self._keep(self.missed <= self.max_age)
         self.frame = frame
-        self._predict()
-        pairs, free = self._matched(boxes)
+        pairs, free = self._matched(boxes, self._predict())
         if len(pairs):
             self._correct(pairs[:, 1], boxes[pairs[:, 0]])
         if len(free):
             self._begin(boxes[free])
         shown = (self.missed < 1) & ((self.streak >= self.min_hits) | (frame <= self.min_hits))
-        out = self.boxes()[shown], self.ids[shown]
+        out = self._boxes(self.pos[shown]), self.ids[shown]
         self._keep(self.missed <= self.max_age)
         return out
 
