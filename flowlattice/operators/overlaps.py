@@ -11,7 +11,7 @@ from flowlattice.operators.filters import passes_sample_constraints
 from flowlattice.schemas import FRAME
 from flowlattice.session import checkpointed
 
-CELL = 64
+CELL = 128
 CROWD = 2048
 
 
