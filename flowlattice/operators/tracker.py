@@ -107,15 +107,17 @@ class LiveTracks:
     def _measured(boxes):
         w, h = boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]
         out = np.empty((len(boxes), 4))
-        out[:, 0], out[:, 1], out[:, 2], out[:, 3] = (
-            boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w * h, w / h)
+        out[:, 0], out[:, 1], out[:, 2] = boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w * h
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[:, 3] = w / h
         return out
 
     @staticmethod
     def _boxes(pos):
         half = np.empty((len(pos), 2))
-        half[:, 0] = np.sqrt(pos[:, 2] * pos[:, 3])
-        half[:, 1] = pos[:, 2] / half[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            half[:, 0] = np.sqrt(pos[:, 2] * pos[:, 3])
+            half[:, 1] = pos[:, 2] / half[:, 0]
         half /= 2
         return np.concatenate([pos[:, :2] - half, pos[:, :2] + half], axis=1)
 
@@ -188,9 +190,11 @@ class LiveTracks:
         if len(free):
             self._begin(boxes[free])
         shown = (self.missed < 1) & ((self.streak >= self.min_hits) | (frame <= self.min_hits))
-        out = self._boxes(self.pos[shown]), self.ids[shown]
+        found, ids = self._boxes(self.pos[shown]), self.ids[shown]
         self._keep(self.missed <= self.max_age)
-        return out
+        # A box without height or width has no shape to follow; its track ends at the next frame.
+        sound = np.isfinite(found).all(axis=1)
+        return found[sound], ids[sound]
 
 
 def _stretches(dets, max_age, total_frames):

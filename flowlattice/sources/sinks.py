@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from flowlattice.functions.labels import duration_text
 from flowlattice.plans.summary import od_matrix, route_shares
 
+# Headers of the result files.
 ROUTES_HEADER = ("ruta", "conteo", "porcentaje")
 OD_CORNER = "origen\\destino"
 TRACK_COLUMNS = (

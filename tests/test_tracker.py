@@ -78,6 +78,13 @@ def test_cameras_count_their_own_ids_and_stretches_change_nothing(spark):
     assert {t for _, t, _ in want} == {1, 2, 3, 4, 5, 6}
 
 
+def test_flat_boxes_do_not_disturb_others():
+    live = tracker.LiveTracks(3, 1, 0.2)
+    for f in range(1, 6):
+        boxes, ids = live.advance(f, np.array([(5, 5, 5, 5), box(50, 50), (9, 9, 20, 9)], float))
+        assert np.isfinite(boxes).all() and 2 in ids
+
+
 def test_tracks_get_classes(spark):
     dets = scene(spark, {f: [box(10 + f, 10)] for f in range(1, 6)})
     labelled = attach_class(tracker.track_detections(dets), dets).collect()
