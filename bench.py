@@ -42,6 +42,8 @@ def main():
     started = time.perf_counter()
     views.observations_path(spark, folder)
     views.detections_path(spark, folder)
+    views.total_frames(spark, folder)
+    views.total_frames(spark, folder, "detections")
     prepared = time.perf_counter() - started
     seconds = {}
     for name in names:

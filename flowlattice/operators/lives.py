@@ -58,7 +58,7 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS,
             FROM ({local("*")})),
           opened AS (
             SELECT *, sum(CAST(new_life AS BIGINT)) OVER w AS _opened,
-                   max(CASE WHEN new_life THEN struct(frame, _rn AS n{also}) END) OVER w AS _start
+                   last(CASE WHEN new_life THEN struct(frame, _rn AS n{also}) END, true) OVER w AS _start
             FROM flagged WINDOW w AS (PARTITION BY {part} ORDER BY frame
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
           {out}""", obs=obs)
@@ -92,7 +92,7 @@ def with_lives(obs, first=(), prev=(), every=EVERY, limit=LIMIT, bits=SPAN_BITS,
         FROM ({local("*")}) r LEFT JOIN carry c USING ({key}, _span)),
       opened AS (
         SELECT *, sum(CAST(new_life AS BIGINT)) OVER w AS _opened, coalesce(
-                 max(CASE WHEN new_life THEN struct(frame, _rn AS n{also}) END) OVER w,
+                 last(CASE WHEN new_life THEN struct(frame, _rn AS n{also}) END, true) OVER w,
                  open_start) AS _start
         FROM flagged WINDOW w AS (PARTITION BY {key}, _span ORDER BY frame
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))

@@ -9,7 +9,7 @@ from flowlattice.operators import (
 from flowlattice.plans import oracle as sql, summary, views
 from flowlattice.session import materialized
 from flowlattice.sources import detections as source, site
-from flowlattice.streaming import flows, replay
+from flowlattice.streaming import flows, replay, tracks as live_tracks
 
 QUERIES, ORACLES = {}, {}
 
@@ -44,6 +44,11 @@ def lived(spark, folder, first=(), prev=()):
         kept(spark, folder), first, prev, total_frames=views.total_frames(spark, folder))
 
 
+def run_ends(spark, folder):
+    """The last frame of every run, from its metadata."""
+    return views.runs(spark, folder).withColumnRenamed("total_frames", "last_frame_of_run")
+
+
 def lived_in_zones(spark, folder):
     return lives.with_lives(zoned(spark, folder), prev=("zone_order",),
                             total_frames=views.total_frames(spark, folder))
@@ -481,7 +486,7 @@ SELECT v.run_id, v.camera_id, v.track_id, v.life, v.first_frame, v.last_frame, v
  floor(e.f/120.0)*120 - v.last_frame <= 200 AS survives
 FROM lives v JOIN ends e ON v.run_id = e.run_id AND v.camera_id = e.camera_id"""))
 def track_lives(spark, folder):
-    return lives.track_lives(lived(spark, folder))
+    return lives.track_lives(lived(spark, folder), run_ends(spark, folder))
 
 
 @query("previous_positions", sql.q(sql.LIVED, """
@@ -540,7 +545,7 @@ WHERE floor(e.f/120.0)*120 - v.last_frame <= 200"""))
 def track_report(spark, folder):
     rows = materialized(lived_in_zones(spark, folder))
     states = shape.zone_states(routes_of(spark, folder, rows))
-    return shape.track_report(rows, lives.track_lives(rows), states,
+    return shape.track_report(rows, lives.track_lives(rows, run_ends(spark, folder)), states,
                               views.total_frames(spark, folder))
 
 
@@ -711,8 +716,7 @@ heat AS (SELECT l.run_id, l.camera_id, cx AS x, cy AS y, sum(pow(0.995::DOUBLE,
 
 
 def _heat(spark, folder):
-    ends = views.runs(spark, folder).withColumnRenamed("total_frames", "last_frame_of_run")
-    return heat.heat_grid(kept(spark, folder), *views.FRAME_SIZE, ends=ends)
+    return heat.heat_grid(kept(spark, folder), *views.FRAME_SIZE, ends=run_ends(spark, folder))
 
 
 @query("heat_grid", sql.q(_HEAT, "SELECT run_id, camera_id, x, y, round(weight, 6) AS weight FROM heat"))
@@ -926,3 +930,9 @@ FROM q4 q JOIN lives v USING (run_id, camera_id, track_id, life) WHERE k = 1""")
 def stream_crossings(spark, folder):
     return replay.replay(
         kept(spark, folder), lambda s: flows.stream_crossings(s, LINES, FPS), FPS, slices=2)
+
+
+@query("stream_track_detections")
+def stream_track_detections(spark, folder):
+    return replay.replay(
+        views.detections(spark, folder), lambda s: live_tracks.stream_tracks(s, max_age=3), FPS, slices=2)

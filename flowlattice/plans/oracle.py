@@ -54,7 +54,7 @@ lived AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, camera_id, trac
 LIFE_SUM = LIVED + """,
 lives AS (SELECT run_id, camera_id, track_id, life, min(frame) AS first_frame, max(frame) AS last_frame,
   count(*) AS n_obs, arg_min(cls, frame) AS first_cls FROM lived GROUP BY ALL),
-ends AS (SELECT run_id, camera_id, max(frame) AS f FROM lived GROUP BY ALL)"""
+ends AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL)"""
 
 
 def routes_cte(min_origin=3, min_dest=3, immediate=False):

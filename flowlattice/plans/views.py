@@ -65,8 +65,11 @@ def runs(spark, folder, name="observations"):
 
 
 def total_frames(spark, folder, name="observations"):
-    """The longest run, from the metadata."""
-    return runs(spark, folder, name).agg(F.max("total_frames")).first()[0]
+    """The longest run, from the metadata; looked up once per application."""
+    key = (spark.sparkContext.applicationId, str(folder), f"longest_{name}")
+    if key not in _WRITTEN:
+        _WRITTEN[key] = runs(spark, folder, name).agg(F.max("total_frames")).first()[0]
+    return _WRITTEN[key]
 
 
 def observations(spark, folder):
