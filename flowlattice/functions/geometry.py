@@ -180,8 +180,15 @@ def point_in_polygon(px, py, points):
         return inside_bounds & point_in_ring(px, py, ring)
     crossings, on_edge = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]):
-        hit, on = _edge_tests(px, py, *(F.lit(v).cast("bigint") for v in (ax, ay, bx, by)))
-        crossings, on_edge = crossings + hit.cast("int"), on_edge | on
+        # The line through the edge: which side of it the point lies on.
+        across, down = by - ay, ax - bx
+        turn = px * F.lit(across).cast("bigint") + py * F.lit(down).cast("bigint") - F.lit(
+            ax * across + ay * down).cast("bigint")
+        low, high = min(ay, by), max(ay, by)
+        on_edge = on_edge | ((turn == 0) & px.between(min(ax, bx), max(ax, bx)) & py.between(low, high))
+        if low < high:
+            beyond = turn < 0 if by > ay else turn > 0
+            crossings = crossings + ((py >= low) & (py < high) & beyond).cast("int")
     return inside_bounds & (on_edge | (crossings % 2 == 1))
 
 

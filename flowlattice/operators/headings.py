@@ -1,8 +1,9 @@
 """Heading of a track: the configured direction closest to its displacement."""
 
+import math
+
 from pyspark.sql import Window, functions as F
 
-from flowlattice.functions import geometry as g
 from flowlattice.operators.ordered import fits, span_of
 from flowlattice.schemas import LIFE, TRACK
 
@@ -20,23 +21,31 @@ def headings(lived, directions, min_origin=3, total_frames=None):
     if not directions:
         return lived.select(*LIFE, F.lit(None).cast("string").alias("direction"),
                             F.lit(None).cast("double").alias("score"), "cls", "frame").limit(0)
-    dx = (F.col("cx") - F.col("first_cx")).cast("double")
-    dy = (F.col("cy") - F.col("first_cy")).cast("double")
-    scored = [F.struct(
-        g.cosine2d(dx, dy, F.lit(end[0] - start[0]), F.lit(end[1] - start[1])).alias("score"),
-        F.lit(-i).alias("tie"), F.lit(name).alias("direction"))
-        for i, (name, (start, end)) in enumerate(directions.items())]
-    best = scored[0] if len(scored) == 1 else F.greatest(*scored)
-    found = (
-        lived.filter((F.col("obs_no") >= max(min_origin, FEWEST_OBSERVATIONS))
-                     & (F.hypot(dx, dy) >= SHORTEST_MOVE))
-        .withColumn("_best", best).filter(F.col("_best.score") > LOWEST_SCORE)
-    )
+    # One plain column per direction keeps the expressions small for the optimizer.
+    moved = lived.select(
+        *LIFE, "frame", "cls", "obs_no", (F.col("cx") - F.col("first_cx")).cast("double").alias("_dx"),
+        (F.col("cy") - F.col("first_cy")).cast("double").alias("_dy"))
+    moved = moved.withColumn("_length", F.sqrt(
+        F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))).filter(
+        (F.col("obs_no") >= max(min_origin, FEWEST_OBSERVATIONS)) & (F.col("_length") >= SHORTEST_MOVE))
+    scores = []
+    for i, (start, end) in enumerate(directions.values()):
+        vx, vy = float(end[0] - start[0]), float(end[1] - start[1])
+        size = math.sqrt(vx * vx + vy * vy)
+        score = F.try_divide(F.col("_dx") * F.lit(vx) + F.col("_dy") * F.lit(vy),
+                             F.col("_length") * F.lit(size)) if size else F.lit(0.0)
+        scores.append(score.alias(f"_s{i}"))
+    names = [f"_s{i}" for i in range(len(scores))]
+    best = F.col(names[0]) if len(names) == 1 else F.greatest(*names)
+    found = moved.select(*LIFE, "frame", "cls", *scores).withColumn("score", best).filter(
+        F.col("score") > LOWEST_SCORE)
+    name = F.lit(None).cast("string")
+    for column, direction in reversed(list(zip(names, directions))):
+        name = F.when(F.col(column) == F.col("score"), F.lit(direction)).otherwise(name)
     span = [] if fits(total_frames) else [span_of("frame")]
     along = Window.partitionBy(*TRACK, *span).orderBy("frame")
     earliest = found.withColumn("_life_before", F.lag("life").over(along)).filter(
         F.col("_life_before").isNull() | (F.col("_life_before") != F.col("life")))
     return earliest.groupBy(*LIFE).agg(F.min(F.struct(
-        "frame", "cls", F.col("_best.score").alias("score"),
-        F.col("_best.direction").alias("direction"))).alias("_first")).select(
+        "frame", "cls", "score", name.alias("direction"))).alias("_first")).select(
         *LIFE, "_first.direction", "_first.score", "_first.cls", "_first.frame")

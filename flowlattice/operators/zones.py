@@ -22,12 +22,11 @@ def _first_zone(px, py, zones, bounds):
         width, height = bounds
         inside = px.between(0, width - 1) & py.between(0, height - 1)
     if isinstance(zones, dict):
-        order, name = F.lit(None).cast("int"), F.lit(None).cast("string")
-        for i, (zone, points) in reversed(list(enumerate(zones.items()))):
-            hit = inside & g.point_in_polygon(px, py, points)
-            order = F.when(hit, F.lit(i)).otherwise(order)
-            name = F.when(hit, F.lit(zone)).otherwise(name)
-        return order, name
+        order = F.lit(None).cast("int")
+        for i, points in reversed(list(enumerate(zones.values()))):
+            order = F.when(inside & g.point_in_polygon(px, py, points), F.lit(i)).otherwise(order)
+        names = F.array(*(F.lit(n) for n in zones)).cast("array<string>")
+        return order, F.get(names, F.col("zone_order"))
     hit = F.get(F.filter(zones, lambda z: inside & g.point_in_ring(px, py, z["ring"])), F.lit(0))
     return hit["zone_order"], hit["zone"]
 
