@@ -7,7 +7,18 @@ from pyspark.sql import Window, functions as F
 from flowlattice.operators.lives import last_frames
 from flowlattice.schemas import RUN_CAMERA
 
-_BLOCK_BITS = 12
+_LONGEST_BLOCK_BITS = 12
+_LEAST_WEIGHT = 1e-290
+
+
+def _block_bits(decay):
+    """Blocks so short that the weight of their first frame stays within the range of a double."""
+    if not 0.0 < decay <= 1.0:
+        raise ValueError("decay must be above 0 and at most 1")
+    if decay == 1.0:
+        return _LONGEST_BLOCK_BITS
+    frames = math.log(_LEAST_WEIGHT) / math.log(decay)
+    return max(0, min(_LONGEST_BLOCK_BITS, int(math.log2(frames))))
 
 
 def heat_grid(obs, width, height, decay=0.995, ends=None):
@@ -18,8 +29,8 @@ def heat_grid(obs, width, height, decay=0.995, ends=None):
     `ends` (run_id, camera_id, last_frame_of_run) from run metadata to save a pass.
     """
     ends = last_frames(obs) if ends is None else ends
-    block = F.shiftright("frame", _BLOCK_BITS)
-    block_end = F.shiftleft(block + 1, _BLOCK_BITS)
+    bits = _block_bits(decay)
+    block_end = F.shiftleft(F.shiftright("frame", bits) + 1, bits)
     hits = obs.filter(F.col("cx").between(0, width - 1) & F.col("cy").between(0, height - 1))
     blocks = hits.groupBy(*RUN_CAMERA, F.col("cx").alias("x"), F.col("cy").alias("y"),
                           block_end.alias("_end")).agg(

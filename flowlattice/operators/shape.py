@@ -28,8 +28,8 @@ def shape_ema(lived, alpha=ALPHA, total_frames=None):
     i = F.col("obs_no")
     features = g.box_features(g.box())
     weight = F.when(i == 1, F.lit(1.0)).otherwise(F.lit(alpha)) * F.pow(
-        F.lit(keep), -F.pmod(i, F.lit(1 << _BLOCK_BITS)).cast("double"))
-    blocks = lived.groupBy(*LIFE, F.shiftright("obs_no", _BLOCK_BITS).alias("_block")).agg(
+        F.lit(keep), -F.pmod(i - 1, F.lit(1 << _BLOCK_BITS)).cast("double"))
+    blocks = lived.groupBy(*LIFE, F.shiftright(i - 1, _BLOCK_BITS).alias("_block")).agg(
         F.max("obs_no").alias("_n"),
         *(F.sum(weight * features[f]).alias(name) for name, f in AVERAGES.items()))
     if fits(total_frames):
@@ -38,11 +38,11 @@ def shape_ema(lived, alpha=ALPHA, total_frames=None):
             F.max("_n").alias("samples"), F.collect_list(F.expr(f"struct(_block, {names})")).alias("_b"))
         return lives.select(*LIFE, "samples", *(F.expr(
             f"aggregate(_b, 0D, (s, b) -> s + b.{name} * "
-            f"pow({keep}D, samples - shiftleft(b._block, {_BLOCK_BITS})))").alias(name)
+            f"pow({keep}D, samples - 1 - shiftleft(b._block, {_BLOCK_BITS})))").alias(name)
             for name in AVERAGES))
     totals = blocks.groupBy(*LIFE).agg(F.max("_n").alias("samples"))
     ahead = F.pow(F.lit(keep), (
-        F.col("samples") - F.shiftleft("_block", _BLOCK_BITS)).cast("double"))
+        F.col("samples") - 1 - F.shiftleft("_block", _BLOCK_BITS)).cast("double"))
     return blocks.join(totals, list(LIFE)).groupBy(*LIFE).agg(
         F.max("samples").alias("samples"),
         *(F.sum(F.col(name) * ahead).alias(name) for name in AVERAGES))
