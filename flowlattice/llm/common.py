@@ -2,6 +2,8 @@
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from flowlattice.session import materialized  # noqa: F401  (re-exported: tables in the shared folder)
 
@@ -21,13 +23,36 @@ def ascii_lower_words(text):
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def arrow_schema(schema):
+    """(Spark schema, Arrow schema) of a DDL string or a Spark schema."""
+    struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    return struct, to_arrow_schema(struct)
+
+
+def add_columns(frame, needs, step, made, carry):
+    """The columns `carry` of `frame` as they are, then those that `step` makes of the lists of column `needs`.
+
+    Only the named columns are read, so other columns may have any name; one in `carry` gives way to a made one
+    of the same name.
+    """
+    struct, arrow = arrow_schema(made)
+    carry = [c for c in dict.fromkeys(carry) if c not in struct.names]
+    read = frame.select(*dict.fromkeys([*carry, needs]))
+    whole, whole_arrow = arrow_schema(StructType([read.schema[c] for c in carry] + struct.fields))
+
+    def run(batches):
+        for batch in batches:
+            columns = step({needs: batch.column(needs).to_pylist()})
+            arrays = [batch.column(c).cast(whole_arrow.field(c).type) for c in carry]
+            arrays += [pa.array(columns[field.name], type=field.type) for field in arrow]
+            yield pa.RecordBatch.from_arrays(arrays, schema=whole_arrow)
+
+    return read.mapInArrow(run, whole)
+
+
 def map_rows(frame, step, schema):
     """`mapInArrow` over lists: `step(columns)` takes and returns a dict of lists, one call per batch."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    struct = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    arrow = to_arrow_schema(struct)
+    struct, arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:

@@ -124,7 +124,7 @@ def _chosen_words(docs):
     """{language: common words}: from a bounded sample, so what reaches the driver is bounded."""
     ids = (docs.where("lang is not null").select("doc_id", F.xxhash64("doc_id").alias("_h"))
            .orderBy("_h", "doc_id").limit(SAMPLE_DOCS).select("doc_id").distinct())
-    sampled = docs.select("doc_id", "lang", "text").join(ids, "doc_id").where("lang is not null")
+    sampled = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").where("lang is not null")
 
     def count(columns):
         counts = Counter()
@@ -204,20 +204,20 @@ MADE = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint
         "kept boolean, class_divergence double, word_divergence double, nearest_language string")
 
 
-def quality_rules(docs, model=None):
+def quality_rules(docs, model=None, carry=()):
     """One verdict per row of `docs` (doc_id, text, lang; further columns are ignored).
 
     Null and empty texts have no words and fail the base rules. Repeated rows get the same verdict each.
     A null language takes no part in the references. An empty table gives an empty result.
+    `carry` names further columns of `docs` to return with the verdict.
     """
     model = model or references(docs)
 
     def step(columns):
         rows = [judge(text, model) for text in columns["text"]]
-        return {"doc_id": columns["doc_id"]} | {k.split()[0]: [r[k.split()[0]] for r in rows] for k in MADE.split(", ")}
+        return {k.split()[0]: [r[k.split()[0]] for r in rows] for k in MADE.split(", ")}
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return common.map_rows(docs.select("doc_id", "text"), step, f"doc_id {kind}, {MADE}")
+    return common.add_columns(docs, "text", step, MADE, ("doc_id", *carry))
 
 
 def op6_quality_rules(spark, sf_dir):

@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from flowlattice.llm import quality
+from flowlattice.llm import quality, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 
