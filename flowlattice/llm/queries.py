@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from flowlattice.llm import quality, toxicity
+from flowlattice.llm import packing, quality, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_packing": packing.op3_packing,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 
