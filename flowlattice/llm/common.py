@@ -33,16 +33,17 @@ def add_columns(frame, needs, step, made, carry):
     """The columns `carry` of `frame` as they are, then those that `step` makes of the lists of column `needs`.
 
     Only the named columns are read, so other columns may have any name; one in `carry` gives way to a made one
-    of the same name.
+    of the same name. `needs` is a column or a tuple of them.
     """
+    needs = (needs,) if isinstance(needs, str) else needs
     struct, arrow = arrow_schema(made)
     carry = [c for c in dict.fromkeys(carry) if c not in struct.names]
-    read = frame.select(*dict.fromkeys([*carry, needs]))
+    read = frame.select(*dict.fromkeys([*carry, *needs]))
     whole, whole_arrow = arrow_schema(StructType([read.schema[c] for c in carry] + struct.fields))
 
     def run(batches):
         for batch in batches:
-            columns = step({needs: batch.column(needs).to_pylist()})
+            columns = step({name: batch.column(name).to_pylist() for name in needs})
             arrays = [batch.column(c).cast(whole_arrow.field(c).type) for c in carry]
             arrays += [pa.array(columns[field.name], type=field.type) for field in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=whole_arrow)
