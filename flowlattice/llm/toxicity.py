@@ -29,7 +29,7 @@ SAMPLE_DOCS = {0: 6000, 1: 3000}
 ORDER, DISCOUNT, PASSAGE = 6, 0.95, 3
 CALIBRATE_EVERY = 3
 THRESHOLD = 0.7
-CACHED_WORDS = 300_000
+CACHED_WORDS, CACHED_GRAMS = 400_000, 400_000
 _START, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,30 +83,38 @@ class SharedBackoff:
             p = self._discounted(counts, contexts, gram[-k:], p)
         return p
 
-    def log_likelihoods(self, word):
-        """(ordinary, toxic) log-likelihood of one word."""
-        sums = [0.0, 0.0]
-        for gram in spelled(word):
-            below = self.shared(gram)
-            for label in (0, 1):
-                sums[label] += math.log(self._discounted(self.top[label], self.top_context[label], gram, below))
-        return sums
+    def log_likelihoods(self, gram):
+        """(ordinary, toxic) log-likelihood of the last letter of an n-gram of the highest order."""
+        below = self.shared(gram)
+        return [math.log(self._discounted(self.top[label], self.top_context[label], gram, below)) for label in (0, 1)]
 
-    def ratio(self, word):
-        ordinary, toxic = self.log_likelihoods(word)
+    def ratio(self, gram):
+        """Toxic less ordinary log-likelihood; nought where neither class knows the context."""
+        context = gram[:-1]
+        if context not in self.top_context[0] and context not in self.top_context[1]:
+            return 0.0
+        ordinary, toxic = self.log_likelihoods(gram)
         return toxic - ordinary
 
 
 class Scorer:
-    """Margins of texts; ratios of words are remembered up to a bound on memory."""
+    """Margins of texts; ratios of words and of n-grams are remembered up to a bound on memory."""
 
     def __init__(self, model):
-        self.model, self.known = model, {}
+        self.model, self.known, self.grams = model, {}, {}
 
     def _ratio(self, word):
         if len(self.known) >= CACHED_WORDS:
             self.known.clear()
-        ratio = self.known[word] = self.model.ratio(word)
+        if len(self.grams) >= CACHED_GRAMS:
+            self.grams.clear()
+        grams, ratio = self.grams, 0.0
+        for gram in spelled(word):
+            one = grams.get(gram)
+            if one is None:
+                one = grams[gram] = self.model.ratio(gram)
+            ratio += one
+        self.known[word] = ratio
         return ratio
 
     def margin(self, text):
