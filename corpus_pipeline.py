@@ -1,36 +1,61 @@
 """The corpus pipeline: quality rules, toxicity, near duplicates, decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet in the shared
-folder and reads it again as the next stage's documents.
+folder and reads it again as the next stage's documents. Ids of `documents` are unique.
 """
 
 from pyspark.sql import functions as F
 
-from flowlattice.llm import quality
+from flowlattice.llm import decontamination, jaccard, packing, quality, toxicity
+from flowlattice.llm.common import table
 from flowlattice.session import materialized
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _where(docs, verdicts, condition):
-    """The documents whose verdict holds; ids are unique in `documents`, so a semi join keeps every column."""
-    return docs.join(verdicts.where(condition).select("doc_id"), "doc_id", "left_semi").select(*DOCUMENT)
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the quality rules keep; the verdict is made beside the document, without a shuffle."""
+    return quality.quality_rules(docs, carry=DOCUMENT).where("kept").select(*DOCUMENT)
 
 
-def quality_rules(spark, docs, sf_dir):
-    """Documents that the quality rules keep."""
-    return _where(docs, quality.quality_rules(docs), F.col("kept"))
+def toxicity_stage(spark, docs, sf_dir):
+    """Documents not predicted to be toxic."""
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=DOCUMENT).where("predicted = 0").select(*DOCUMENT)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicate_stage(spark, docs, sf_dir):
+    """One document of each group of near duplicates, that of the smallest id."""
+    # A null id is in no group.
+    copies = jaccard.jaccard_components(docs).where("component_id < doc_id").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*DOCUMENT)
 
-# Stages 1 to 5 learn statistics, search by sets or tokenize, which SQL does not express; the tests compare
-# the pipeline with a brute-force version.
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents without any passage of the benchmark."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=DOCUMENT)
+    return found.where(~F.col("contaminated")).select(*DOCUMENT)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """The boundary records of the packed sequences."""
+    return packing.pack(docs, packing.vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+# The stages learn statistics, search by sets or tokenize, which SQL does not express; the tests compare the
+# pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialized(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
