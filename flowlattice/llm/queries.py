@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from flowlattice.llm import decontamination, jaccard, packing, quality, toxicity
+from flowlattice.llm import decontamination, jaccard, language, packing, quality, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_language": language.op5_language,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
 }
