@@ -13,6 +13,7 @@ run again later.
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from flowlattice.llm import common
 
 LENGTH, END_ID = 2048, 1
-CACHED_CHUNKS = 700_000
-# Letters that no normalisation joins to what follows, then marks that are never part of a word.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%$&*#]*)")
+CACHED_CHUNKS = 1_000_000
+# Marks that are never part of a word, and letters that no normalisation joins to a mark after them.
+_MARKS = b".,;:!?|%$&*#"
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def chunks_of(text):
@@ -34,10 +36,11 @@ def chunks_of(text):
 
 
 class ChunkTokenizer:
-    """Ids of texts by a tokenizer that drops white space, so chunks between white space are encoded once each.
+    """Ids of texts by a tokenizer that drops white space and lower-cases, so chunks between white space are encoded once each.
 
-    Chunks are remembered up to a bound on memory. A chunk of plain letters and marks is the ids of
-    both parts, as the tokenizer never joins letters with marks.
+    Chunks are remembered up to a bound on memory. A chunk of plain letters and closing marks is the ids of
+    both parts, as the tokenizer never joins letters with marks; a word of a-z goes to the tokenizer's model at once, since
+    its normalizer and splitter leave such a word alone.
     """
 
     def __init__(self, path):
@@ -45,31 +48,43 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = array(self.code).itemsize
         self.known = {}
 
+    def _encode(self, texts):
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, chunks):
-        parts, wanted = {}, set()
+        parts, plain, other, model = {}, set(), set(), self.tokenizer.model
         for chunk in chunks:
-            text = chunk.decode("utf-8", "surrogatepass")
-            plain = _PLAIN.fullmatch(text)
-            parts[chunk] = [x.encode() for x in (plain[1].lower(), plain[2]) if x] if plain else [chunk]
-            wanted.update(p for p in parts[chunk] if p not in self.known)
-        wanted = list(wanted)
-        texts = [w.decode("utf-8", "replace") for w in wanted]
-        for word, found in zip(wanted, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, self.width).tobytes()
-        for chunk, of in parts.items():
-            self.known[chunk] = b"".join(self.known[p] for p in of)
+            head = chunk.rstrip(_MARKS)
+            if not head.isalpha() and not (head and _LATIN.fullmatch(head.decode("utf-8", "replace"))):
+                head = chunk
+            parts[chunk] = (head, chunk[len(head):])
+            for part in parts[chunk]:
+                if part and part not in self.known:
+                    (plain if part.isalpha() and part.islower() else other).add(part)
+        for word in plain:
+            self.known[word] = array(self.code, [t.id for t in model.tokenize(word.decode())]).tobytes()
+        other = list(other)
+        for word, ids in zip(other, self._encode([w.decode("utf-8", "replace") for w in other])):
+            self.known[word] = array(self.code, ids).tobytes()
+        for chunk, (head, tail) in parts.items():
+            self.known[chunk] = self.known[head] + self.known[tail] if tail else self.known[head]
 
     def encode(self, texts, end):
-        """The ids of each text and the end id, as little-endian bytes of the vocabulary's width."""
-        split = [chunks_of(t) for t in texts]
+        """The ids of each text and the end id, as bytes of the vocabulary's width."""
         if len(self.known) > CACHED_CHUNKS:
             self.known.clear()
-        self._learn({c for chunks in split for c in chunks if c not in self.known})
-        get, close = self.known.__getitem__, np.array([end], self.width).tobytes()
-        return [b"".join(map(get, chunks)) + close for chunks in split]
+        get, close = self.known.get, array(self.code, [end]).tobytes()
+        split = [chunks_of(t) for t in texts]
+        found = [list(map(get, chunks)) for chunks in split]
+        missing = [k for k, ids in enumerate(found) if None in ids]
+        self._learn({c for k in missing for c, ids in zip(split[k], found[k]) if ids is None})
+        for k in missing:
+            found[k] = map(get, split[k])
+        return [b"".join(ids) + close for ids in found]
 
 
 _TOKENIZERS = {}  # one per file and Python process
@@ -92,12 +107,12 @@ def tokenized(docs, path, end=END_ID):
             texts = batch.column(1).to_pylist()
             for low in range(0, len(texts), 1000):
                 ids = tokenizer.encode(texts[low:low + 1000], end)
-                lengths = np.array([len(x) for x in ids], np.int64) // tokenizer.width().itemsize
+                lengths = np.array([len(x) for x in ids], np.int64) // tokenizer.width
                 starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
                 start += int(lengths.sum())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, 1000), pa.array(np.full(len(ids), part)), pa.array(starts),
-                     pa.array(np.full(len(ids), tokenizer.width().itemsize, np.int32)), pa.array(ids, pa.binary())], schema=arrow)
+                     pa.array(np.full(len(ids), tokenizer.width, np.int32)), pa.array(ids, pa.binary())], schema=arrow)
 
     return common.materialized(docs.select("doc_id", "text").mapInArrow(run, struct), "tokens")
 
