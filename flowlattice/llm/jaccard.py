@@ -213,97 +213,97 @@ def frequent_shingles(docs):
     return hashes[order], np.array([r["count"] for r in rows], np.int64)[order]
 
 
-def _signatures(docs, buckets, hot, hot_count):
-    """One table of two kinds of rows, written once: a signature per document, and packed fronts per bucket of shingles."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    struct, arrow = common.arrow_schema(
-        f"bucket int, doc_id {id_type}, n bigint, node bigint, tokens binary, nodes binary, sizes binary")
-    empty = [pa.nulls(0, f.type) for f in arrow]
+def _signatures(docs):
+    """(doc_id, n, node) per document: how many shingles, and which node its set is."""
+    def step(columns):
+        sets = [_SHINGLER(t) for t in columns["text"]]
+        return {"n": [len(s) for s in sets], "node": [set_key(s) if len(s) else None for s in sets]}
+
+    return common.materialized(common.add_columns(docs, "text", step, "n bigint, node bigint", ("doc_id",)), "signatures")
+
+
+def _packed_fronts(docs, buckets, hot, hot_count):
+    """(bucket, tokens, nodes): the fronts' shingles by range of hashes, as sorted arrays; a set once per task."""
+    struct, arrow = common.arrow_schema("bucket int, tokens binary, nodes binary")
     per = (1 << 64) // buckets + 1
+    bounds = np.array([k * per for k in range(buckets)], _U)
 
     def run(batches):
         seen, parts, held = set(), [], 0
 
         def flush():
-            tokens = np.concatenate([p[0] for p in parts])
-            nodes = np.repeat(np.array([p[1] for p in parts], np.int64), [len(p[0]) for p in parts])
-            sizes = np.repeat(np.array([p[2] for p in parts], np.int32), [len(p[0]) for p in parts])
+            tokens = np.concatenate([p for p, _ in parts])
+            nodes = np.repeat(np.array([n for _, n in parts], np.int64), [len(p) for p, _ in parts])
             order = np.argsort(tokens)
-            tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
-            bounds = np.array([min(k * per, (1 << 64) - 1) for k in range(buckets)], _U)
+            tokens, nodes = tokens[order], nodes[order]
             cut = np.append(np.searchsorted(tokens, bounds), len(tokens))
             some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-            columns = {"bucket": some} | {name: [a[cut[k]:cut[k + 1]].tobytes() for k in some]
-                                          for name, a in (("tokens", tokens), ("nodes", nodes), ("sizes", sizes))}
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(some), f.type) for f in arrow], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(
+                (some, *([a[cut[k]:cut[k + 1]].tobytes() for k in some] for a in (tokens, nodes))), arrow)], schema=arrow)
 
         for batch in batches:
-            sizes, nodes = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(0).to_pylist():
                 shingles = _SHINGLER(text)
                 node = set_key(shingles) if len(shingles) else None
-                sizes.append(len(shingles))
-                nodes.append(node)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
-                piece = front(shingles, hot, hot_count)
-                parts.append((piece, node, len(shingles)))
-                held += len(piece)
-            made = {"doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.int64())}
-            yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(len(sizes), f.type)) for f in arrow], schema=arrow)
+                parts.append((front(shingles, hot, hot_count), node))
+                held += len(parts[-1][0])
             if held >= FLUSH_POSTINGS:
                 yield flush()
                 parts, held = [], 0
-        yield flush() if parts else pa.RecordBatch.from_arrays(empty, schema=arrow)
+        if parts:
+            yield flush()
 
-    return common.materialized(docs.select("doc_id", "text").mapInArrow(run, struct), "signatures")
+    return docs.select("text").mapInArrow(run, struct)
 
 
 def _shared_fronts(packed):
-    """(token, node, n, df): the postings of the fronts' shingles that two or more nodes have."""
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("df", pa.int64())])
+    """(token, node, df): the postings of the fronts' shingles that two or more nodes have."""
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("df", pa.int64())])
 
     def gather(group):
         tokens = np.concatenate([np.frombuffer(x, _U) for x in group.column("tokens").to_pylist()])
         nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()])
-        sizes = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("sizes").to_pylist()])
         order = np.argsort(tokens, kind="stable")
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+        tokens, nodes = tokens[order], nodes[order]
         same = tokens[1:] == tokens[:-1]
         several = np.append(same, False) | np.append(False, same)
-        tokens, nodes, sizes = tokens[several], nodes[several], sizes[several]
+        tokens, nodes = tokens[several], nodes[several]
         order = np.lexsort((nodes, tokens))
-        tokens, nodes, sizes = tokens[order], nodes[order], sizes[order]
+        tokens, nodes = tokens[order], nodes[order]
         new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])) if len(tokens) else np.zeros(0, bool)
-        tokens, nodes, sizes = tokens[new], nodes[new], sizes[new]
+        tokens, nodes = tokens[new], nodes[new]
         _, which, df = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = df[which]
-        keep = df > 1
+        keep = df[which] > 1
         return pa.Table.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(nodes[keep]),
-                                     pa.array(sizes[keep].astype(np.int64)), pa.array(df[keep].astype(np.int64))], schema=schema)
+                                     pa.array(df[which][keep].astype(np.int64))], schema=schema)
+
+    return common.materialized(packed.groupBy("bucket").applyInArrow(gather, "token bigint, node bigint, df bigint"), "fronts")
+
 
-    shared = packed.groupBy("bucket").applyInArrow(gather, "token bigint, node bigint, n bigint, df bigint")
-    return common.materialized(shared, "fronts")
+_SET = f"node bigint, n bigint, shared double, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
 
 
 def _sets(docs, nodes):
-    """(node, shared, shingles, least): the sets of `nodes` (node, doc_id, shared), cut again from one text each."""
-    picked = docs.select("doc_id", "text").join(nodes, "doc_id").select("node", "shared", "text")
-    schema = f"node bigint, shared double, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
+    """(node, n, shared, shingles, least...): the sets of `nodes` (node, doc_id, shared), cut again from one text each."""
+    struct, arrow = common.arrow_schema(_SET)
 
-    def step(columns):
-        sets = [_SHINGLER(t) for t in columns["text"]]
-        keys = [set_key(s) if len(s) else None for s in sets]
-        made = {"node": columns["node"], "shared": columns["shared"],
-                # One id may stand for several texts; only the text of the node counts.
-                "shingles": [s.tobytes() if k == node else None for s, k, node in zip(sets, keys, columns["node"])]}
-        for k in range(MIN_HASHES):
-            made[f"least{k}"] = [int((s * _MIX[k + 1]).min().view(np.int64)) if len(s) else None for s in sets]
-        return made
+    def run(batches):
+        seen = set()  # rows of one id may be repeated, and one id may stand for several texts
+        for batch in batches:
+            rows = []
+            for node, shared, text in zip(*(c.to_pylist() for c in batch.columns)):
+                shingles = _SHINGLER(text)
+                if node in seen or not len(shingles) or set_key(shingles) != node:
+                    continue
+                seen.add(node)
+                rows.append([node, len(shingles), shared, shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    return common.materialized(common.map_rows(picked, step, schema).where("shingles is not null").dropDuplicates(["node"]), "sets")
+    picked = docs.select("doc_id", "text").join(nodes, "doc_id").select("node", "shared", "text")
+    return common.materialized(picked.mapInArrow(run, struct), "sets")
 
 
 def _leader_links(spark, sets, cells):
@@ -330,19 +330,27 @@ def _cross_links(spark, sets, fronts, roots, blocks):
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     placed = roots.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
     known = common.materialized(
-        sets.select("node", "shingles").join(placed, "node", "left").select(
-            "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"), "shingles",
+        sets.select("node", "n").join(placed, "node", "left").select(
+            "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"),
             F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("cell")), "known")
     posted = fronts.select("token", "node").join(known.select("node", "comp", "size", "cell"), "node")
     mixed = posted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("size", "comp")).alias("top")).where("low <> high")
     posted = common.materialized(posted.join(mixed.select("token", "top"), "token"), "mixed")
     reached = posted.select("token", "cell").distinct()
-    asking = posted.where("comp <> top.comp").select("token", "node").join(reached, "token").select("node", "cell").distinct()
-    members = posted.select("node").distinct().join(known, "node").select("cell", F.lit(0).alias("kind"), "node", "comp", "size", "shingles")
-    queries = asking.join(known.drop("cell"), "node").select("cell", F.lit(1).alias("kind"), "node", "comp", "size", "shingles")
+    asking = posted.where("comp <> top.comp").select("token", "node").join(reached, "token").groupBy("node", "cell").agg(F.count("*").alias("many"))
+    asking = asking.join(known.drop("cell"), "node").where(F.col("many") >= _least_shared(F.col("n")))
+    full = sets.select("node", "shingles")
+    members = posted.select("node", "cell", "comp", "size").distinct().join(full, "node").select("cell", F.lit(0).alias("kind"), "node", "comp", "size", "shingles")
+    queries = asking.join(full, "node").select("cell", F.lit(1).alias("kind"), "node", "comp", "size", "shingles")
     return _search(spark, members, queries, blocks)
 
 
+def _least_shared(n):
+    """How many shingles of its front a set of n shares at least with any set linked to it, which may be smaller by a fifth."""
+    smaller = F.floor((4 * n + 4) / 5)
+    return 1 + F.floor(F.floor((4 * smaller + 4) / 5) / 20)
+
+
 def jaccard_components(docs):
     """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text).
 
@@ -352,16 +360,12 @@ def jaccard_components(docs):
     spark = docs.sparkSession
     total = docs.count()
     hot, hot_count = frequent_shingles(docs)
-    signatures = _signatures(docs, max(8, -(-total // NODES_PER_BUCKET)), hot, hot_count)
-    rows = signatures.where("bucket is null").select("doc_id", "n", "node")
-    fronts = _shared_fronts(signatures.where("bucket is not null").select("bucket", "tokens", "nodes", "sizes"))
-    # A partner may be smaller by a fifth, so the least shared front is that of the smaller set.
-    smaller = F.floor((4 * F.col("n") + 4) / 5)
-    least = 1 + F.floor(F.floor((4 * smaller + 4) / 5) / 20)
-    shared = fronts.groupBy("node").agg(F.max("n").alias("n"), F.count("*").alias("many"), F.sum(F.log2("df")).alias("logs")).where(
-        F.col("many") >= least).select("node", (F.col("logs") / F.col("n")).alias("shared"))
-    firsts = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    nodes = common.materialized(shared.join(firsts, "node"), "nodes")
+    rows = _signatures(docs)
+    fronts = _shared_fronts(_packed_fronts(docs, max(8, -(-total // NODES_PER_BUCKET)), hot, hot_count))
+    firsts = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    shared = fronts.groupBy("node").agg(F.count("*").alias("many"), F.sum(F.log2("df")).alias("logs"))
+    nodes = common.materialized(shared.join(firsts, "node").where(F.col("many") >= _least_shared(F.col("n"))).select(
+        "node", "doc_id", (F.col("logs") / F.col("n")).alias("shared")), "nodes")
     sets = _sets(docs, nodes)
     blocks = max(1, -(-nodes.count() // NODES_PER_BLOCK))
     cells = max(blocks, 8)

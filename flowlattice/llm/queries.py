@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from flowlattice.llm import decontamination, jaccard, language, packing, quality, scoring, toxicity
+from flowlattice.llm import decontamination, jaccard, language, packing, quality, scoring, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -10,6 +10,9 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op9_lm_scoring": scoring.op9_lm_scoring,
+    "op10_warc": warc.op10_warc,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op10_warc": warc.ORACLE_OP10,
+}
