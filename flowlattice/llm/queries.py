@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from flowlattice.llm import decontamination, jaccard, language, packing, quality, scoring, toxicity, warc
+from flowlattice.llm import decontamination, html, jaccard, language, packing, quality, scoring, toxicity, warc
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_language": language.op5_language,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_html": html.op8_html,
     "op9_lm_scoring": scoring.op9_lm_scoring,
     "op10_warc": warc.op10_warc,
 }
