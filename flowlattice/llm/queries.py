@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from flowlattice.llm import decontamination, html, jaccard, language, packing, quality, scoring, toxicity, warc
+from flowlattice.llm import decontamination, html, jaccard, language, packing, preference, quality, scoring, toxicity, warc
 
 QUERIES = {
+    "op1_preference": preference.op1_preference,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_preference": preference.ORACLE_OP1,
     "op10_warc": warc.ORACLE_OP10,
 }
