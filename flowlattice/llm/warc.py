@@ -4,7 +4,7 @@ Of records with equal payloads of at least `REVISIT_BYTES` bytes the one with th
 others as revisits that refer to it; a revisit keeps the HTTP header with the full length. Archives are
 plain WARC 1.1 files in the shared folder, one per task, of about `ARCHIVE_BYTES` bytes, written and read by Spark.
 
-The reader checks every record: version line, header, length, closing blank lines and block digest. Where a check
+The reader checks every record: version line, header, length, closing blank lines and both digests. Where a check
 fails it looks for the next valid record, at a version line or the start of a gzip member, goes on from there, and
 logs the bytes in between as a gap.
 """
@@ -26,6 +26,7 @@ ARCHIVE_BYTES = 8_000_000
 MAX_HEADER = 1 << 16
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
+_DIGEST = re.compile(r"sha1:[A-Z2-7]{32}")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -78,6 +79,11 @@ def parse(data, at):
     digest = fields.get("warc-block-digest", "")
     if digest and digest != f"sha1:{_base32(hashlib.sha1(block).digest())}":
         raise Damaged("block digest differs")
+    payload = fields.get("warc-payload-digest", "")
+    if payload and not _DIGEST.fullmatch(payload):
+        raise Damaged("payload digest is none")
+    if payload and fields.get("warc-type") == "response" and payload != f"sha1:{_base32(hashlib.sha1(block.partition(b'\r\n\r\n')[2]).digest())}":
+        raise Damaged("payload digest differs")
     return fields, block, end + 4
 
 
