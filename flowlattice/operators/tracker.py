@@ -19,11 +19,13 @@ from flowlattice.operators.ordered import running, with_trailing
 from flowlattice.schemas import FRAME, RUN_CAMERA
 from flowlattice.session import checkpointed
 
-# Fixed values of the method: noise of centre x, centre y, area, shape; velocities of the first three.
-POSITION_NOISE = np.array([1.0, 1.0, 1.0, 1.0])
-VELOCITY_NOISE = np.array([0.01, 0.01, 0.0001])
+# Fixed values of the method, per measured axis: centre x, centre y, area, shape. The shape has no speed.
+VALUE_NOISE = np.array([1.0, 1.0, 1.0, 1.0])
+SPEED_NOISE = np.array([0.01, 0.01, 0.0001, 0.0])
 MEASUREMENT_NOISE = np.array([1.0, 1.0, 10.0, 10.0])
-START_POSITION_VARIANCE, START_VELOCITY_VARIANCE = 10.0, 10000.0
+START_VALUE_VARIANCE = np.array([10.0, 10.0, 10.0, 10.0])
+START_SPEED_VARIANCE = np.array([10000.0, 10000.0, 10000.0, 0.0])
+AREA = 2
 
 
 def best_assignment(gain):
@@ -64,16 +66,35 @@ def best_assignment(gain):
     return pairs[:, ::-1] if flipped else pairs
 
 
-def _assigned(score):
-    """The best assignment, where pairs that overlap only each other need no search."""
-    meets = score > 0
-    alone = meets & (meets.sum(1, keepdims=True) == 1) & (meets.sum(0, keepdims=True) == 1)
-    rows, cols = (np.flatnonzero((meets & ~alone).any(axis=k)) for k in (1, 0))
-    pairs = np.argwhere(alone)
-    if len(rows):
-        rest = best_assignment(score[np.ix_(rows, cols)])
-        pairs = np.vstack([pairs, np.stack([rows[rest[:, 0]], cols[rest[:, 1]]], axis=1)])
-    return pairs[np.argsort(pairs[:, 0], kind="stable")]
+def overlap_groups(meets):
+    """[(rows, columns)] of the connected groups of a table of meetings; boxes of different groups have nothing to gain
+    from each other."""
+    groups, free = [], set(np.flatnonzero(meets.any(axis=1)).tolist())
+    while free:
+        rows, columns, border = set(), set(), {free.pop()}
+        while border:
+            rows |= border
+            columns |= set(np.flatnonzero(meets[sorted(border)].any(axis=0)).tolist())
+            border = set(np.flatnonzero(meets[:, sorted(columns)].any(axis=1)).tolist()) - rows
+        free -= rows
+        groups.append((np.array(sorted(rows)), np.array(sorted(columns))))
+    return groups
+
+
+def matches(score, threshold):
+    """(row, column) pairs of at least `threshold`, one to one within each group of overlapping boxes.
+
+    A group in which every good overlap is some pair's only one is settled by them; in any other the pairs
+    have the largest total overlap.
+    """
+    found = []
+    for rows, columns in overlap_groups(score > 0):
+        part = score[np.ix_(rows, columns)]
+        good = part > threshold
+        clear = good.any() and good.sum(axis=0).max() == 1 and good.sum(axis=1).max() == 1
+        pairs = np.argwhere(good) if clear else best_assignment(part)
+        found += [(rows[r], columns[c]) for r, c in pairs if part[r, c] >= threshold]
+    return np.array(sorted(found), int).reshape(-1, 2)
 
 
 def overlap(a, b):
@@ -86,115 +107,114 @@ def overlap(a, b):
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
+class AxisFilters:
+    """Constant-speed filters of many tracks, one per measured axis; axes do not mix, so every filter is a few scalars.
+
+    `value` and `speed` are the means, `spread` their variances and covariance (value, both, speed).
+    """
+
+    def __init__(self):
+        self.value, self.speed, self.spread = np.empty((0, 4)), np.empty((0, 4)), np.empty((3, 0, 4))
+
+    def __len__(self):
+        return len(self.value)
+
+    def take(self, rows):
+        self.value, self.speed, self.spread = self.value[rows], self.speed[rows], self.spread[:, rows]
+
+    def start(self, measured):
+        still = np.zeros_like(measured)
+        spread = np.stack([still + START_VALUE_VARIANCE, still, still + START_SPEED_VARIANCE])
+        self.value, self.speed = np.vstack([self.value, measured]), np.vstack([self.speed, still])
+        self.spread = np.concatenate([self.spread, spread], axis=1)
+
+    def step(self):
+        """One frame on. An area never shrinks to nothing: its speed is dropped before that."""
+        vanishing = self.value[:, AREA] + self.speed[:, AREA] <= 0
+        self.speed[vanishing, AREA] = 0.0
+        self.value += self.speed
+        own, both, speed = self.spread
+        self.spread = np.stack([own + 2 * both + speed + VALUE_NOISE, both + speed, speed + SPEED_NOISE])
+
+    def absorb(self, rows, measured):
+        own, both, speed = self.spread[:, rows]
+        total = own + MEASUREMENT_NOISE
+        surprise = measured - self.value[rows]
+        self.value[rows] += own / total * surprise
+        self.speed[rows] += both / total * surprise
+        self.spread[:, rows] = own * MEASUREMENT_NOISE / total, both * MEASUREMENT_NOISE / total, speed - both * both / total
+
+
+def measured(boxes):
+    """Centre, area and shape (width by height) of boxes."""
+    size = boxes[:, 2:] - boxes[:, :2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.column_stack([boxes[:, :2] + size / 2, size.prod(axis=1), size[:, 0] / size[:, 1]])
+
+
+def boxes_of(values):
+    with np.errstate(divide="ignore", invalid="ignore"):
+        width = np.sqrt(values[:, 2] * values[:, 3])
+        half = np.column_stack([width, values[:, 2] / width]) / 2
+    return np.hstack([values[:, :2] - half, values[:, :2] + half])
+
+
 class LiveTracks:
-    """All tracks of one camera, as arrays. Axes of the filter do not mix, so each keeps scalars."""
+    """All tracks of one camera. A track knows the frame it was last seen in and the one its unbroken run began in."""
 
     def __init__(self, max_age, min_hits, threshold):
         self.max_age, self.min_hits, self.threshold = max_age, min_hits, threshold
-        self.born = 0
-        self.frame = None
-        self.pos, self.vel = np.empty((0, 4)), np.empty((0, 3))
-        self.pp, self.pv, self.vv = np.empty((0, 4)), np.empty((0, 3)), np.empty((0, 3))
-        self.ids, self.missed, self.streak = (np.empty(0, np.int64) for _ in range(3))
-
-    def _keep(self, mask):
-        if mask.all():
-            return
-        for name in ("pos", "vel", "pp", "pv", "vv", "ids", "missed", "streak"):
-            setattr(self, name, getattr(self, name)[mask])
-
-    @staticmethod
-    def _measured(boxes):
-        w, h = boxes[:, 2] - boxes[:, 0], boxes[:, 3] - boxes[:, 1]
-        out = np.empty((len(boxes), 4))
-        out[:, 0], out[:, 1], out[:, 2] = boxes[:, 0] + w / 2, boxes[:, 1] + h / 2, w * h
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out[:, 3] = w / h
-        return out
-
-    @staticmethod
-    def _boxes(pos):
-        half = np.empty((len(pos), 2))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            half[:, 0] = np.sqrt(pos[:, 2] * pos[:, 3])
-            half[:, 1] = pos[:, 2] / half[:, 0]
-        half /= 2
-        return np.concatenate([pos[:, :2] - half, pos[:, :2] + half], axis=1)
-
-    def _predict(self):
-        self.vel[self.pos[:, 2] + self.vel[:, 2] <= 0, 2] = 0.0
-        self.pos[:, :3] += self.vel
-        self.pp[:, :3] += 2 * self.pv + self.vv
-        self.pp += POSITION_NOISE
-        self.pv += self.vv
-        self.vv += VELOCITY_NOISE
-        self.streak[self.missed > 0] = 0
-        self.missed += 1
-        boxes = self._boxes(self.pos)
-        sound = np.isfinite(boxes).all(axis=1)
-        self._keep(sound)
-        return boxes[sound]
-
-    def _correct(self, tracks, boxes):
-        total = self.pp[tracks] + MEASUREMENT_NOISE
-        gain_pos, gain_vel = self.pp[tracks] / total, self.pv[tracks] / total[:, :3]
-        off = self._measured(boxes) - self.pos[tracks]
-        self.pos[tracks] += gain_pos * off
-        self.vel[tracks] += gain_vel * off[:, :3]
-        self.vv[tracks] -= gain_vel * self.pv[tracks]
-        self.pv[tracks] *= 1 - gain_pos[:, :3]
-        self.pp[tracks] *= 1 - gain_pos
-        self.missed[tracks] = 0
-        self.streak[tracks] += 1
-
-    def _begin(self, boxes):
-        n = len(boxes)
-        self.pos = np.vstack([self.pos, self._measured(boxes)])
-        self.vel = np.vstack([self.vel, np.zeros((n, 3))])
-        self.pp = np.vstack([self.pp, np.full((n, 4), START_POSITION_VARIANCE)])
-        self.pv = np.vstack([self.pv, np.zeros((n, 3))])
-        self.vv = np.vstack([self.vv, np.full((n, 3), START_VELOCITY_VARIANCE)])
-        self.ids = np.append(self.ids, self.born + 1 + np.arange(n))
-        self.missed = np.append(self.missed, np.zeros(n, np.int64))
-        self.streak = np.append(self.streak, np.zeros(n, np.int64))
-        self.born += n
-
-    def _matched(self, boxes, expected):
-        """(detection, track) pairs and the detections left over, in order of birth."""
-        none = np.empty((0, 2), int)
-        if not len(self.ids) or not len(boxes):
-            return none, np.arange(len(boxes))
-        score = overlap(boxes, expected)
-        near = score > self.threshold
-        if near.sum(1).max() == 1 and near.sum(0).max() == 1:
-            pairs = np.argwhere(near)
-        else:
-            pairs = _assigned(score)
-        fits = score[pairs[:, 0], pairs[:, 1]] >= self.threshold
-        free = np.ones(len(boxes), bool)
-        free[pairs[:, 0]] = False
-        return pairs[fits], np.concatenate([np.flatnonzero(free), pairs[~fits, 0]])
-
-    def advance(self, frame, boxes):
-        """One frame; skipped frames count as empty. Returns (boxes, ids) of confirmed tracks."""
-        quiet = 0 if self.frame is None else frame - self.frame - 1
-        for _ in range(quiet):
+        self.born, self.frame, self.late = 0, None, 0
+        self.filters = AxisFilters()
+        self.ids, self.seen, self.since = (np.empty(0, np.int64) for _ in range(3))
+
+    def state(self):
+        """All that later frames depend on, as plain arrays and numbers."""
+        return {"born": self.born, "frame": self.frame, "late": self.late, "ids": self.ids, "seen": self.seen, "since": self.since, "filters": vars(self.filters)}
+
+    def resume(self, state):
+        filters = state.pop("filters")
+        vars(self).update(state)
+        vars(self.filters).update(filters)
+        return self
+
+    def _take(self, rows):
+        self.filters.take(rows)
+        self.ids, self.seen, self.since = self.ids[rows], self.seen[rows], self.since[rows]
+
+    def _move_to(self, frame):
+        """Predict up to `frame`; tracks unseen for too long end on the way."""
+        for now in range(frame if self.frame is None else self.frame + 1, frame + 1):
             if not len(self.ids):
                 break
-            self._predict()
-            self._keep(self.missed <= self.max_age)
+            self.filters.step()
+            expected = boxes_of(self.filters.value)
+            self._take(np.isfinite(expected).all(axis=1) & ((now == frame) | (now - self.seen <= self.max_age)))
         self.frame = frame
-        pairs, free = self._matched(boxes, self._predict())
+
+    def advance(self, frame, boxes):
+        """One frame; skipped frames count as empty. Returns (boxes, ids) of confirmed tracks."""
+        self._move_to(frame)
+        pairs = matches(overlap(boxes, boxes_of(self.filters.value)), self.threshold) if len(boxes) and len(self.ids) else np.empty((0, 2), int)
+        used, tracks = pairs.T
         if len(pairs):
-            self._correct(pairs[:, 1], boxes[pairs[:, 0]])
-        if len(free):
-            self._begin(boxes[free])
-        shown = (self.missed < 1) & ((self.streak >= self.min_hits) | (frame <= self.min_hits))
-        found, ids = self._boxes(self.pos[shown]), self.ids[shown]
-        self._keep(self.missed <= self.max_age)
-        # A box without height or width has no shape to follow; its track ends at the next frame.
-        sound = np.isfinite(found).all(axis=1)
-        return found[sound], ids[sound]
+            self.filters.absorb(tracks, measured(boxes[used]))
+            self.since[tracks] = np.where(self.seen[tracks] == frame - 1, self.since[tracks], frame - 1)
+            self.seen[tracks] = frame
+        new = np.delete(boxes, used, axis=0)
+        if len(new):
+            self.filters.start(measured(new))
+            self.ids = np.append(self.ids, self.born + 1 + np.arange(len(new)))
+            self.seen, self.since = (np.append(x, np.full(len(new), frame)) for x in (self.seen, self.since))
+            self.born += len(new)
+        current = boxes_of(self.filters.value)
+        # The first frames of a run show tracks before they can have been seen often enough. A box without height or
+        # width has no shape to follow; its track ends at the next frame.
+        long_enough = self.seen - self.since >= (self.min_hits if frame > self.min_hits else 0)
+        shown = (self.seen == frame) & long_enough & np.isfinite(current).all(axis=1)
+        result = current[shown], self.ids[shown]
+        self._take(frame - self.seen <= self.max_age)
+        return result
 
 
 def _stretches(dets, max_age, total_frames):

@@ -7,7 +7,9 @@ purge that would drop the track, so state stays as small as the traffic in view.
 Needs the RocksDB state store; `start` sets it.
 """
 
+import bisect
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -85,34 +87,56 @@ class CrossingMachine:
                     yield {"cls": row["cls"], "line": line, "direction": run["turn"]}
 
 
+class Compass:
+    """The configured direction nearest to a displacement, by angle.
+
+    Directions are sorted by angle once, so a displacement only meets its two neighbours around the circle. It fits when the
+    cosine between both is over `LOWEST_SCORE`. Of directions with one angle the first counts; one without length has no angle.
+    """
+
+    def __init__(self, directions):
+        by_angle = {}
+        for name, (start, end) in directions.items():
+            if tuple(start) != tuple(end):
+                by_angle.setdefault(math.atan2(end[1] - start[1], end[0] - start[0]), name)
+        self.angles = sorted(by_angle)
+        self.names = [by_angle[a] for a in self.angles]
+        self.rank = {name: k for k, name in enumerate(directions)}
+
+    def nearest(self, dx, dy):
+        if not self.names:
+            return None
+        angle = math.atan2(dy, dx)
+        at = bisect.bisect(self.angles, angle)
+        near = [((math.cos(angle - self.angles[k]), -self.rank[self.names[k]]), self.names[k])
+                for k in (at - 1, at % len(self.angles))]
+        (score, _), name = max(near)
+        return name if score > LOWEST_SCORE else None
+
+
 class HeadingMachine:
-    """Heading of a track; `directions` is {name: (start, end)}."""
+    """Heading of a track; `directions` is {name: (start, end)}. The state is where the track began, how often it was
+    seen, and nothing more once its heading is known."""
 
     output = "direction string"
     columns = ("cx", "cy")
 
     def __init__(self, directions, min_origin=3):
-        self.vectors = {n: (b[0] - a[0], b[1] - a[1]) for n, (a, b) in directions.items()}
-        self.fewest = max(min_origin, FEWEST_OBSERVATIONS)
+        self.compass, self.fewest = Compass(directions), max(min_origin, FEWEST_OBSERVATIONS)
 
     def fresh(self, row):
-        return {"x": row["cx"], "y": row["cy"], "n": 0, "done": False}
+        return {"from": (row["cx"], row["cy"]), "count": 0}
 
     def step(self, s, row):
-        s["n"] += 1
-        dx, dy = row["cx"] - s["x"], row["cy"] - s["y"]
-        moved = (dx * dx + dy * dy) ** 0.5
-        if s["done"] or s["n"] < self.fewest or moved < SHORTEST_MOVE:
+        if s["from"] is None:
             return
-        best, best_score = None, -2.0
-        for name, (vx, vy) in self.vectors.items():
-            size = (vx * vx + vy * vy) ** 0.5
-            score = (dx * vx + dy * vy) / (moved * size) if size else 0.0
-            if score > best_score:
-                best, best_score = name, score
-        if best is not None and best_score > LOWEST_SCORE:
-            s["done"] = True
-            yield {"cls": row["cls"], "direction": best}
+        s["count"] += 1
+        dx, dy = (row[c] - began for c, began in zip(("cx", "cy"), s["from"]))
+        if s["count"] >= self.fewest and math.hypot(dx, dy) >= SHORTEST_MOVE:
+            direction = self.compass.nearest(dx, dy)
+            if direction is not None:
+                s["from"] = None
+                yield {"cls": row["cls"], "direction": direction}
 
 
 class TrackProcessor(StatefulProcessor):

@@ -1,7 +1,9 @@
 """Live tracking: the tracker of `operators.tracker` on a stream of detections.
 
 State is the arrays of one camera's live tracks. A camera's frames must arrive in order, which is the
-nature of a camera; frames of one micro-batch are put in order here.
+nature of a camera; frames of one micro-batch are put in order here. Boxes of a frame that arrives after a later
+one was tracked cannot change what was given out; they are left out and counted in the camera's state, and the stream
+goes on.
 """
 
 import pickle
@@ -27,16 +29,17 @@ class CameraProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         live = LiveTracks(*self.settings)
         if self.live.exists():
-            vars(live).update(pickle.loads(self.live.get()[0]))
+            live.resume(pickle.loads(self.live.get()[0]))
         out = []
         batch = pd.concat(list(rows)).sort_values(["frame", "det_idx"])
         for frame, boxes in batch.groupby("frame", sort=True):
             if live.frame is not None and frame <= live.frame:
-                raise ValueError(f"frame {frame} of camera {key} arrived after frame {live.frame}")
+                live.late += len(boxes)
+                continue
             found, ids = live.advance(int(frame), boxes[["x1", "y1", "x2", "y2"]].to_numpy(float))
             for box, track in zip(np.trunc(found).astype(int).tolist(), ids.tolist()):
                 out.append((*key, int(frame), track, *box))
-        self.live.update((pickle.dumps(vars(live)),))
+        self.live.update((pickle.dumps(live.state()),))
         yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self):
