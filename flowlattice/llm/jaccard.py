@@ -9,7 +9,8 @@ To get there without comparing everything with everything:
 1. Equal sets are one node, so exact copies cost nothing further.
 2. Shingles have one global order: rare ones first (those that a bounded sample of documents does not show to be
    frequent), then by hash. A linked pair shares a few shingles at the front of this order, so only these fronts, about a
-   quarter of all shingles, are gathered by shingle. Nodes with too few shared ones have no partner and are done.
+   quarter of all shingles, are gathered by shingle. Nodes with too few shared ones have no partner and are done. Of those
+   that remain all shingles are gathered, and nodes of which fewer than T are shared are done too.
 3. The others' sets are tried against one leader of their neighbourhood each (the node with the most shared front among
    those with the same smallest hash). Real links found so make large groups of near copies one component.
 4. A list whose nodes all lie in one component cannot add a link. Nodes on other lists become queries against all nodes
@@ -33,9 +34,9 @@ from flowlattice.llm.components import components
 SHINGLE = 5
 SAMPLE_DOCS, FREQUENT_IN_SAMPLE, MOST_FREQUENT = 3000, 3, 200_000
 MIN_HASHES = 3
-NODES_PER_BUCKET, NODES_PER_BLOCK, FOLLOWERS_PER_CELL = 8000, 4000, 500
+NODES_PER_BUCKET, SHINGLES_PER_BUCKET, NODES_PER_BLOCK, FOLLOWERS_PER_CELL = 8000, 1_500_000, 4000, 500
 FLUSH_POSTINGS = 2_000_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 _U = np.uint64
 # Odd multipliers that mix hashes.
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -222,8 +223,9 @@ def _signatures(docs):
     return common.materialized(common.add_columns(docs, "text", step, "n bigint, node bigint", ("doc_id",)), "signatures")
 
 
-def _packed_fronts(docs, buckets, hot, hot_count):
-    """(bucket, tokens, nodes): the fronts' shingles by range of hashes, as sorted arrays; a set once per task."""
+def _packed(frame, cut, buckets):
+    """(bucket, tokens, nodes): shingles by range of hashes, as sorted arrays. `cut` makes (node, shingles) of a batch; a
+    node counts once per task."""
     struct, arrow = common.arrow_schema("bucket int, tokens binary, nodes binary")
     per = (1 << 64) // buckets + 1
     bounds = np.array([k * per for k in range(buckets)], _U)
@@ -236,27 +238,61 @@ def _packed_fronts(docs, buckets, hot, hot_count):
             nodes = np.repeat(np.array([n for _, n in parts], np.int64), [len(p) for p, _ in parts])
             order = np.argsort(tokens)
             tokens, nodes = tokens[order], nodes[order]
-            cut = np.append(np.searchsorted(tokens, bounds), len(tokens))
-            some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+            cuts = np.append(np.searchsorted(tokens, bounds), len(tokens))
+            some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(
-                (some, *([a[cut[k]:cut[k + 1]].tobytes() for k in some] for a in (tokens, nodes))), arrow)], schema=arrow)
+                (some, *([a[cuts[k]:cuts[k + 1]].tobytes() for k in some] for a in (tokens, nodes))), arrow)], schema=arrow)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                shingles = _SHINGLER(text)
-                node = set_key(shingles) if len(shingles) else None
-                if node is None or node in seen:
+            for node, tokens in cut(batch):
+                if node in seen:
                     continue
                 seen.add(node)
-                parts.append((front(shingles, hot, hot_count), node))
-                held += len(parts[-1][0])
-            if held >= FLUSH_POSTINGS:
-                yield flush()
-                parts, held = [], 0
+                parts.append((tokens, node))
+                held += len(tokens)
+                if held >= FLUSH_POSTINGS:
+                    yield flush()
+                    parts, held = [], 0
         if parts:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, struct)
+    return frame.mapInArrow(run, struct)
+
+
+def _packed_fronts(docs, buckets, hot, hot_count):
+    def cut(batch):
+        for text in batch.column(0).to_pylist():
+            shingles = _SHINGLER(text)
+            if len(shingles):
+                yield set_key(shingles), front(shingles, hot, hot_count)
+
+    return _packed(docs.select("text"), cut, buckets)
+
+
+def _packed_sets(sets, buckets):
+    def cut(batch):
+        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield node, np.frombuffer(raw, _U)
+
+    return _packed(sets.select("node", "shingles"), cut, buckets)
+
+
+def _shared(group):
+    """(tokens, nodes, df) of the postings in one bucket whose token two or more nodes have."""
+    tokens = np.concatenate([np.frombuffer(x, _U) for x in group.column("tokens").to_pylist()])
+    nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()])
+    order = np.argsort(tokens, kind="stable")
+    tokens, nodes = tokens[order], nodes[order]
+    same = tokens[1:] == tokens[:-1]
+    several = np.append(same, False) | np.append(False, same)
+    tokens, nodes = tokens[several], nodes[several]
+    order = np.lexsort((nodes, tokens))
+    tokens, nodes = tokens[order], nodes[order]
+    new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])) if len(tokens) else np.zeros(0, bool)
+    tokens, nodes = tokens[new], nodes[new]
+    _, which, df = np.unique(tokens, return_inverse=True, return_counts=True)
+    df = df[which]
+    return tokens[df > 1], nodes[df > 1], df[df > 1]
 
 
 def _shared_fronts(packed):
@@ -264,45 +300,46 @@ def _shared_fronts(packed):
     schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("df", pa.int64())])
 
     def gather(group):
-        tokens = np.concatenate([np.frombuffer(x, _U) for x in group.column("tokens").to_pylist()])
-        nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()])
-        order = np.argsort(tokens, kind="stable")
-        tokens, nodes = tokens[order], nodes[order]
-        same = tokens[1:] == tokens[:-1]
-        several = np.append(same, False) | np.append(False, same)
-        tokens, nodes = tokens[several], nodes[several]
-        order = np.lexsort((nodes, tokens))
-        tokens, nodes = tokens[order], nodes[order]
-        new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])) if len(tokens) else np.zeros(0, bool)
-        tokens, nodes = tokens[new], nodes[new]
-        _, which, df = np.unique(tokens, return_inverse=True, return_counts=True)
-        keep = df[which] > 1
-        return pa.Table.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(nodes[keep]),
-                                     pa.array(df[which][keep].astype(np.int64))], schema=schema)
+        tokens, nodes, df = _shared(group)
+        return pa.Table.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes), pa.array(df.astype(np.int64))], schema=schema)
 
     return common.materialized(packed.groupBy("bucket").applyInArrow(gather, "token bigint, node bigint, df bigint"), "fronts")
 
 
-_SET = f"node bigint, n bigint, shared double, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
+def _support(packed):
+    """(node, many, logs): how many of a node's shingles some other node has too, and the sum of log2 of how many have them."""
+    schema = pa.schema([("node", pa.int64()), ("many", pa.int64()), ("logs", pa.float64())])
+
+    def count(group):
+        _, nodes, df = _shared(group)
+        names, which = np.unique(nodes, return_inverse=True)
+        return pa.Table.from_arrays([pa.array(names), pa.array(np.bincount(which, minlength=len(names)).astype(np.int64)),
+                                     pa.array(np.bincount(which, weights=np.log2(df), minlength=len(names)))], schema=schema)
+
+    parts = packed.groupBy("bucket").applyInArrow(count, "node bigint, many bigint, logs double")
+    return parts.groupBy("node").agg(F.sum("many").alias("many"), F.sum("logs").alias("logs"))
+
+
+_SET = f"node bigint, n bigint, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
 
 
 def _sets(docs, nodes):
-    """(node, n, shared, shingles, least...): the sets of `nodes` (node, doc_id, shared), cut again from one text each."""
+    """(node, n, shingles, least...): the sets of `nodes` (node, doc_id), cut again from one text each."""
     struct, arrow = common.arrow_schema(_SET)
 
     def run(batches):
         seen = set()  # rows of one id may be repeated, and one id may stand for several texts
         for batch in batches:
             rows = []
-            for node, shared, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
                 shingles = _SHINGLER(text)
                 if node in seen or not len(shingles) or set_key(shingles) != node:
                     continue
                 seen.add(node)
-                rows.append([node, len(shingles), shared, shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
+                rows.append([node, len(shingles), shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    picked = docs.select("doc_id", "text").join(nodes, "doc_id").select("node", "shared", "text")
+    picked = docs.select("doc_id", "text").join(nodes, "doc_id").select("node", "text")
     return common.materialized(picked.mapInArrow(run, struct), "sets")
 
 
@@ -363,11 +400,15 @@ def jaccard_components(docs):
     rows = _signatures(docs)
     fronts = _shared_fronts(_packed_fronts(docs, max(8, -(-total // NODES_PER_BUCKET)), hot, hot_count))
     firsts = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    shared = fronts.groupBy("node").agg(F.count("*").alias("many"), F.sum(F.log2("df")).alias("logs"))
-    nodes = common.materialized(shared.join(firsts, "node").where(F.col("many") >= _least_shared(F.col("n"))).select(
-        "node", "doc_id", (F.col("logs") / F.col("n")).alias("shared")), "nodes")
-    sets = _sets(docs, nodes)
-    blocks = max(1, -(-nodes.count() // NODES_PER_BLOCK))
+    nodes = common.materialized(fronts.groupBy("node").agg(F.count("*").alias("many")).join(firsts, "node").where(
+        F.col("many") >= _least_shared(F.col("n"))).select("node", "doc_id"), "nodes")
+    candidates = _sets(docs, nodes)
+    # Of the whole set T shingles must be shared, which leaves little more than near copies.
+    shingles = candidates.agg(F.sum("n")).first()[0] or 0
+    support = _support(_packed_sets(candidates, max(8, -(-shingles // SHINGLES_PER_BUCKET))))
+    sets = common.materialized(candidates.join(support, "node").where(F.col("many") >= F.floor((4 * F.col("n") + 4) / 5)).withColumn(
+        "shared", F.col("logs") / F.col("n")), "near")
+    blocks = max(1, -(-sets.count() // NODES_PER_BLOCK))
     cells = max(blocks, 8)
     first = _leader_links(spark, sets, cells)
     second = _cross_links(spark, sets, fronts, components(first), blocks)
