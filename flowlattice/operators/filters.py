@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from flowlattice.functions import geometry as g
 from flowlattice.functions.labels import VEHICLES, confidence_floor
+from flowlattice.sources.site import SETTING_DEFAULTS, SHAPE_DEFAULTS
 
 # Inclusive bounds; a missing bound does not restrict.
 SHAPE_BOUNDS = {"area": ("min_area", "max_area"), "w": ("min_width", "max_width"),
@@ -68,9 +69,12 @@ def filter_by_settings(dets, settings, exclusion=None, by=("site_id",)):
     by = list(by)
     limits = [name for pair in SHAPE_BOUNDS.values() for name in pair]
     own = settings.select(*by, "conf_threshold", "conf_per_class", F.struct(*limits).alias("_limits"))
-    rows = dets.filter(F.col("cls").isin(*VEHICLES)).join(own, by)
-    rows = rows.filter(
-        (F.col("conf") >= confidence_floor(F.col("cls"), F.col("conf_threshold"), F.col("conf_per_class")))
+    # A camera without a row has the default settings.
+    rows = dets.filter(F.col("cls").isin(*VEHICLES)).join(own, by, "left")
+    usual = F.struct(*(F.lit({**SHAPE_DEFAULTS, **SETTING_DEFAULTS}[n]).cast(own.schema["_limits"].dataType[n].dataType).alias(n) for n in limits))
+    rows = rows.withColumn("_limits", F.coalesce("_limits", usual)).filter(
+        (F.col("conf") >= confidence_floor(
+            F.col("cls"), F.coalesce("conf_threshold", F.lit(SETTING_DEFAULTS["conf_threshold"])), F.col("conf_per_class")))
         & passes_shape(g.box(), F.col("_limits")))
     if exclusion is not None:
         rings = exclusion.groupBy(*by).agg(F.collect_list(F.struct("ring")).alias("_closed"))

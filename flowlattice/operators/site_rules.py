@@ -11,7 +11,7 @@ SMALLEST_ZONE, SHORTEST_LINE = 100, 10
 
 
 def _points(ring):
-    return F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
 
 
 def site_violations(configs):
@@ -69,12 +69,25 @@ def site_violations(configs):
 
     def length(line):
         a, b = F.get(line["points"], F.lit(0)), F.get(line["points"], F.lit(1))
-        return F.hypot((b[0] - a[0]).cast("double"), (b[1] - a[1]).cast("double"))
+        return F.hypot(*((F.get(b, F.lit(k)) - F.get(a, F.lit(k))).cast("double") for k in (0, 1)))
 
     short_lists = F.transform(lines, lambda k: broken(
         F.size(k["points"]) < 2, "line_with_fewer_than_2_points", k["name"], F.size(k["points"])))
     short = F.transform(lines, lambda k: broken(
         (mode == "lines") & (F.size(k["points"]) >= 2) & (length(k) < SHORTEST_LINE),
         "line_shorter_than_10", k["name"], length(k)))
-    found = F.array_compact(F.concat(single, few_points, small, short_lists, short))
+    directions = F.coalesce(F.map_entries("directions"), F.array().cast(
+        "array<struct<key:string,value:array<array<int>>>>"))
+    pointless = F.transform(directions, lambda d: broken(
+        F.size(d["value"]) < 2, "direction_with_fewer_than_2_points", d["key"], F.size(d["value"])))
+
+    def lame(points):
+        return F.exists(points, lambda p: F.coalesce(F.size(p) < 2, F.lit(True)))
+
+    def pointless_entries(entries, name, points):
+        return F.transform(entries, lambda e: broken(lame(e[points]), "point_without_two_coordinates", e[name], none))
+
+    no_point = [pointless_entries(zones, "key", "value"), pointless_entries(lines, "name", "points"),
+                pointless_entries(directions, "key", "value")]
+    found = F.array_compact(F.concat(single, few_points, small, short_lists, short, pointless, *no_point))
     return configs.select("site_id", F.inline(found))

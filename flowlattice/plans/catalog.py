@@ -7,6 +7,7 @@ from flowlattice.operators import (
     calibration, crossings, filters, headings as heading_ops, heat, lives, overlaps,
     routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
 from flowlattice.plans import oracle as sql, summary, views
+from flowlattice.schemas import SITE_CONFIG
 from flowlattice.session import materialized
 from flowlattice.sources import detections as source, site
 from flowlattice.streaming import flows, replay, tracks as live_tracks
@@ -68,8 +69,8 @@ def events(spark, folder):
 
 
 @query("od_by_class", sql.q(sql.routes_cte(), """
-SELECT origin, destination, cls, count(*) AS cnt, CAST(grouping(cls) AS TINYINT) AS is_total
-FROM routes GROUP BY GROUPING SETS ((origin, destination), (origin, destination, cls))"""))
+SELECT run_id, camera_id, origin, destination, cls, count(*) AS cnt, CAST(grouping(cls) AS TINYINT) AS is_total
+FROM routes GROUP BY GROUPING SETS ((run_id, camera_id, origin, destination), (run_id, camera_id, origin, destination, cls))"""))
 def od_by_class(spark, folder):
     return summary.od_by_class(events(spark, folder))
 
@@ -193,13 +194,13 @@ def filter_detections(spark, folder):
 
 @query("filter_by_settings", sql.q(sql.OBS, """
 SELECT event_id FROM obs WHERE cls IN ('car','truck','bus','motorbike')
- AND conf >= CASE WHEN camera_id = 1 AND cls = 'bus' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE + camera_id * 0.1::DOUBLE END
- AND (x2-x1)*(y2-y1) >= 100 * camera_id
- AND NOT (camera_id = 2 AND (x1+x2)/2.0 BETWEEN 0 AND 200 AND (y1+y2)/2.0 BETWEEN 0 AND 300)"""))
+ AND conf >= CASE WHEN camera_id = 3 THEN {floor}::DOUBLE WHEN camera_id = 1 AND cls = 'bus' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE + camera_id * 0.1::DOUBLE END
+ AND (x2-x1)*(y2-y1) >= CASE WHEN camera_id = 3 THEN {least} ELSE 100 * camera_id END
+ AND NOT (camera_id = 2 AND (x1+x2)/2.0 BETWEEN 0 AND 200 AND (y1+y2)/2.0 BETWEEN 0 AND 300)""".format(floor=site.SETTING_DEFAULTS["conf_threshold"], least=site.SETTING_DEFAULTS["min_area"])))
 def filter_by_settings(spark, folder):
     obs = views.observations(spark, folder)
     cameras = views.runs(spark, folder).select("camera_id").distinct()
-    settings = cameras.select(
+    settings = cameras.filter("camera_id <> 3").select(
         "camera_id", (F.lit(0.1) + F.col("camera_id") * F.lit(0.1)).alias("conf_threshold"),
         F.when(F.col("camera_id") == 1, F.create_map(F.lit("bus"), F.lit(0.5))).alias("conf_per_class"),
         (F.col("camera_id") * 100).cast("int").alias("min_area"), F.lit(999999).alias("max_area"),
@@ -321,11 +322,32 @@ SELECT site_id, rule, subject, CAST(found AS DOUBLE) AS found FROM (
  UNION ALL SELECT site_id, 'zone_area_below_100', 'Z' || i, CASE np WHEN 3 THEN s*s/2.0 ELSE s*s END FROM zn
    WHERE mode = 'zones' AND np >= 3 AND CASE np WHEN 3 THEN s*s/2.0 ELSE s*s END < 100
  UNION ALL SELECT site_id, 'line_with_fewer_than_2_points', 'L' || j, np FROM ln WHERE np < 2
- UNION ALL SELECT site_id, 'line_shorter_than_10', 'L' || j, len FROM ln WHERE mode = 'lines' AND np >= 2 AND len < 10)"""))
+ UNION ALL SELECT site_id, 'line_shorter_than_10', 'L' || j, len FROM ln WHERE mode = 'lines' AND np >= 2 AND len < 10
+ UNION ALL SELECT site_id, 'direction_with_fewer_than_2_points', 'D', 1 FROM c WHERE k % 5 = 0
+ UNION ALL SELECT site_id, 'point_without_two_coordinates', 'D', NULL FROM c WHERE k % 5 = 1)"""))
 def site_violations(spark, folder):
     return site_rules.site_violations(views.site_configs(spark, folder))
 
 
+def _site_tables(spark, folder):
+    """The configurations as they come out of JSON files."""
+    configs = views.site_configs(spark, folder)
+    return site.site_tables(configs.select(F.from_json(F.to_json(F.struct("*")), SITE_CONFIG).alias("c")).select("c.*"))
+
+
+@query("site_tables_lines", sql.q(_SITE, """
+SELECT site_id, CAST(j AS INTEGER) AS line_order, 'L' || j AS line, 0 AS lx1, 0 AS ly1, CAST(len AS INTEGER) AS lx2, 0 AS ly2,
+ 15 AS tolerance FROM ln WHERE np >= 2"""))
+def site_tables_lines(spark, folder):
+    return _site_tables(spark, folder).lines
+
+
+@query("site_tables_directions", sql.q(_SITE, """
+SELECT site_id, CAST(0 AS INTEGER) AS dir_order, 'D' AS direction, CAST(k % 9 AS INTEGER) AS dx, 5 AS dy FROM c WHERE k % 5 > 1"""))
+def site_tables_directions(spark, folder):
+    return _site_tables(spark, folder).directions
+
+
 # --- boxes against boxes, tiles ---------------------------------------------------------------
 
 _IOU = """CASE WHEN least({a}.x2,{b}.x2) > greatest({a}.x1,{b}.x1) AND least({a}.y2,{b}.y2) > greatest({a}.y1,{b}.y1) THEN
@@ -413,11 +435,11 @@ def attach_class_first_iou(spark, folder):
 
 
 @query("vehicles_by_class", sql.q(f"{sql.DET}, {_TRK}", f"""
-SELECT cls, count(*) AS cnt FROM (
+SELECT 'am' AS run_id, camera_id, cls, count(*) AS cnt FROM (
  SELECT camera_id, track_id, arg_min(cls, frame) AS cls FROM (
   SELECT t.camera_id, t.frame, t.track_id, arg_min(d.cls, d.det_idx) FILTER ({_IOU.format(a='t', b='d')} > 0.5) AS cls
   FROM trk t LEFT JOIN det d ON d.camera_id = t.camera_id AND d.frame = t.frame GROUP BY ALL)
- WHERE cls IS NOT NULL GROUP BY ALL) GROUP BY cls"""))
+ WHERE cls IS NOT NULL GROUP BY ALL) GROUP BY camera_id, cls"""))
 def vehicles_by_class(spark, folder):
     return summary.vehicles_by_class(overlaps.attach_class(
         views.tracked_boxes(spark, folder), views.detections(spark, folder), "first"))
@@ -742,6 +764,24 @@ def heat_smooth(spark, folder):
     return heat.heat_smooth(_heat(spark, folder), *views.FRAME_SIZE, size=5).withColumn("level", F.round("level", 6))
 
 
+@query("heat_smooth_wide", sql.q(_HEAT + """,
+raw AS (SELECT o, exp(-o*o/(2*5.0*5.0)::DOUBLE) AS e FROM (SELECT CAST(unnest(range(-15, 16)) AS INTEGER) AS o)),
+kern AS (SELECT o, e / (SELECT sum(e) FROM raw) AS k FROM raw),
+bx AS (SELECT run_id, camera_id, tx AS x, y, sum(weight * k) AS weight FROM (
+  SELECT run_id, camera_id, y, weight, k, unnest(CASE
+    WHEN x > 0 AND x <= 15 THEN [x + o, -x + o] WHEN x < 699 AND x >= 684 THEN [x + o, 1398 - x + o] ELSE [x + o] END) AS tx
+  FROM (SELECT * REPLACE (weight * 40 AS weight) FROM heat), kern) WHERE tx BETWEEN 0 AND 699 GROUP BY ALL),
+by_ AS (SELECT run_id, camera_id, x, ty AS y, sum(weight * k) AS weight FROM (
+  SELECT run_id, camera_id, x, weight, k, unnest(CASE
+    WHEN y > 0 AND y <= 15 THEN [y + o, -y + o] WHEN y < 519 AND y >= 504 THEN [y + o, 1038 - y + o] ELSE [y + o] END) AS ty
+  FROM bx, kern) WHERE ty BETWEEN 0 AND 519 GROUP BY ALL),
+peak AS (SELECT run_id, camera_id, greatest(max(weight), 1.0) AS p FROM by_ GROUP BY ALL)""", """
+SELECT b.run_id, b.camera_id, x, y, round(weight / p, 6) AS level FROM by_ b
+ JOIN peak k ON b.run_id = k.run_id AND b.camera_id = k.camera_id WHERE weight / p > 0.05"""))
+def heat_smooth_wide(spark, folder):
+    return heat.heat_smooth(_heat(spark, folder).withColumn("weight", F.col("weight") * 40), *views.FRAME_SIZE).withColumn("level", F.round("level", 6))
+
+
 # --- aggregates ------------------------------------------------------------------------------
 
 @query("route_counts", sql.q(sql.routes_cte(), "SELECT run_id, camera_id, route, count(*) AS cnt FROM routes GROUP BY ALL"))
@@ -750,41 +790,43 @@ def route_counts(spark, folder):
 
 
 @query("top_routes", sql.q(sql.routes_cte(), """
-SELECT route, trim(split_part(route, '→', 1)) AS origin, count(*) AS cnt FROM routes GROUP BY ALL
-ORDER BY cnt DESC, route LIMIT 3"""))
+SELECT *, CAST(row_number() OVER (PARTITION BY run_id, camera_id ORDER BY cnt DESC, route) AS INTEGER) AS rank FROM (
+ SELECT run_id, camera_id, route, trim(split_part(route, '→', 1)) AS origin, count(*) AS cnt FROM routes GROUP BY ALL)"""))
 def top_routes(spark, folder):
-    return summary.top_routes(events(spark, folder), 3).select(
-        "route", labels.route_origin(F.col("route")).alias("origin"), "cnt")
+    return summary.top_routes(events(spark, folder)).withColumn("origin", labels.route_origin(F.col("route")))
 
 
 @query("route_shares", sql.q(sql.routes_cte(), """
-SELECT route, count(*) AS cnt, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS share,
- round(count(*) / CAST(max(count(*)) OVER () AS DOUBLE), 6) AS of_largest FROM routes GROUP BY route"""))
+SELECT run_id, camera_id, route, count(*) AS cnt,
+ round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY run_id, camera_id), 6) AS share,
+ round(count(*) / CAST(max(count(*)) OVER (PARTITION BY run_id, camera_id) AS DOUBLE), 6) AS of_largest
+FROM routes GROUP BY run_id, camera_id, route"""))
 def route_shares(spark, folder):
-    return summary.route_shares(events(spark, folder)).select(
-        "route", "cnt", F.round("share", 6).alias("share"), F.round("of_largest", 6).alias("of_largest"))
+    return summary.route_shares(events(spark, folder)).withColumns(
+        {"share": F.round("share", 6), "of_largest": F.round("of_largest", 6)})
 
 
 @query("od_rollup", sql.q(sql.routes_cte(), """
-SELECT origin, destination, count(*) AS cnt, CAST(grouping(origin, destination) AS BIGINT) AS level
-FROM routes GROUP BY ROLLUP (origin, destination)"""))
+SELECT run_id, camera_id, origin, destination, count(*) AS cnt, CAST(grouping(origin, destination) AS BIGINT) AS level
+FROM routes GROUP BY GROUPING SETS ((run_id, camera_id, origin, destination), (run_id, camera_id, origin), (run_id, camera_id))"""))
 def od_rollup(spark, folder):
     return summary.od_rollup(events(spark, folder))
 
 
 @query("od_matrix_long", sql.q(sql.routes_cte() + """,
-seen AS (SELECT origin AS z FROM routes UNION SELECT destination FROM routes)""", """
-SELECT a.z AS origin, b.z AS destination, count(r.track_id) AS cnt FROM seen a CROSS JOIN seen b
- LEFT JOIN routes r ON r.origin = a.z AND r.destination = b.z GROUP BY ALL"""))
+seen AS (SELECT run_id, camera_id, origin AS z FROM routes UNION SELECT run_id, camera_id, destination FROM routes)""", """
+SELECT a.run_id, a.camera_id, a.z AS origin, b.z AS destination, count(r.track_id) AS cnt
+FROM seen a JOIN seen b USING (run_id, camera_id)
+ LEFT JOIN routes r ON r.run_id = a.run_id AND r.camera_id = a.camera_id AND r.origin = a.z AND r.destination = b.z GROUP BY ALL"""))
 def od_matrix_long(spark, folder):
     return summary.od_matrix_long(events(spark, folder))
 
 
 @query("od_matrix", sql.q(sql.routes_cte() + """,
-seen AS (SELECT origin AS z FROM routes UNION SELECT destination FROM routes)""", """
-SELECT a.z AS origin, """ + ", ".join(
+seen AS (SELECT DISTINCT run_id, camera_id, z FROM routes, (VALUES """ + ", ".join(f"('{z}')" for z in sorted(views.ZONES)) + """) t(z))""", """
+SELECT a.run_id, a.camera_id, a.z AS origin, """ + ", ".join(
     f"count(r.track_id) FILTER (r.destination = '{z}') AS {z}" for z in sorted(views.ZONES)) + """
-FROM seen a LEFT JOIN routes r ON r.origin = a.z GROUP BY a.z"""))
+FROM seen a LEFT JOIN routes r ON r.run_id = a.run_id AND r.camera_id = a.camera_id AND r.origin = a.z GROUP BY ALL"""))
 def od_matrix(spark, folder):
     return summary.od_matrix(events(spark, folder), sorted(views.ZONES))
 
@@ -801,23 +843,25 @@ def active_per_frame(spark, folder):
     return summary.active_per_frame(kept(spark, folder))
 
 
-@query("class_totals", sql.q(sql.routes_cte(), "SELECT coalesce(cls, 'unknown') AS cls, count(*) AS cnt FROM routes GROUP BY ALL"))
+@query("class_totals", sql.q(sql.routes_cte(), "SELECT run_id, camera_id, coalesce(cls, 'unknown') AS cls, count(*) AS cnt FROM routes GROUP BY ALL"))
 def class_totals(spark, folder):
     return summary.class_totals(events(spark, folder))
 
 
-@query("run_summary", sql.q(sql.routes_cte(), """
-SELECT run_id, camera_id, max(l.frame) AS frames_processed,
- count(DISTINCT (track_id, life)) AS total_vehicles_tracked,
- coalesce(max(r.n), 0) AS total_routes_completed, coalesce(max(r.kinds), 0) AS routes_seen
-FROM lived l LEFT JOIN (SELECT run_id, camera_id, count(*) AS n, count(DISTINCT route) AS kinds FROM routes GROUP BY ALL) r
- USING (run_id, camera_id) GROUP BY ALL"""))
+@query("run_summary", sql.q(sql.routes_cte() + """,
+vehicles AS (SELECT run_id, camera_id, count(DISTINCT (track_id, life)) AS v FROM lived GROUP BY ALL),
+per AS (SELECT run_id, camera_id, route, count(*) AS cnt FROM routes GROUP BY ALL),
+done AS (SELECT run_id, camera_id, CAST(sum(cnt) AS BIGINT) AS n, string_agg(route || '=' || cnt, '; ' ORDER BY cnt DESC, route) AS listed
+ FROM per GROUP BY ALL)""", """
+SELECT run_id, camera_id, max(o.frame) AS frames_processed, coalesce(max(v), 0) AS total_vehicles_tracked,
+ coalesce(max(n), 0) AS total_routes_completed, coalesce(max(listed), '') AS routes
+FROM obs o LEFT JOIN vehicles USING (run_id, camera_id) LEFT JOIN done USING (run_id, camera_id) GROUP BY ALL"""))
 def run_summary(spark, folder):
     rows = materialized(lived_in_zones(spark, folder))
     done = route_ops.completed(routes_of(spark, folder, rows))
-    found = summary.run_summary(rows, done)
-    kinds = F.coalesce(F.map_keys("routes"), F.array())
-    return found.withColumn("routes_seen", F.size(kinds).cast("bigint")).drop("routes")
+    found = summary.run_summary(rows, done, views.runs(spark, folder))
+    return found.withColumn("routes", F.array_join(F.transform(
+        F.map_entries("routes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; "))
 
 
 @query("learn_constraints", sql.q(sql.FLT, """

@@ -13,65 +13,63 @@ def route_counts(events, key="route", by=()):
     return events.groupBy(*by, key).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def top_routes(events, n=None, key="route"):
-    """Routes by count, largest first; equal counts by name."""
-    ranked = route_counts(events, key).orderBy(F.col("cnt").desc(), key)
-    return ranked if n is None else ranked.limit(n)
+def top_routes(events, n=None, key="route", by=RUN_CAMERA):
+    """Every run's routes with their rank, largest first; equal counts by name. `n` keeps the first n of each run."""
+    along = Window.partitionBy(*by).orderBy(F.col("cnt").desc(), key)
+    ranked = route_counts(events, key, by).withColumn("rank", F.row_number().over(along))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
-def route_shares(events, key="route"):
-    """Counts with their share of all events in percent and of the largest count.
+def route_shares(events, key="route", by=RUN_CAMERA):
+    """Counts with their share of a run's events in percent and of its largest count.
 
-    There are as many counts as configured routes, so they meet in one row, and `events` is read
-    once.
+    The window runs over counts, as many per run as its site has routes.
     """
-    whole = route_counts(events, key).agg(
-        F.collect_list(F.struct(key, "cnt")).alias("_counts"),
-        F.sum("cnt").alias("_sum"), F.max("cnt").alias("_max"))
-    return whole.select("_sum", "_max", F.inline("_counts")).select(
-        key, "cnt", (F.col("cnt") * F.lit(100.0) / F.col("_sum")).alias("share"),
-        (F.col("cnt") / F.col("_max").cast("double")).alias("of_largest"))
+    run = Window.partitionBy(*by)
+    return route_counts(events, key, by).select(
+        *by, key, "cnt", (F.col("cnt") * F.lit(100.0) / F.sum("cnt").over(run)).alias("share"),
+        (F.col("cnt") / F.max("cnt").over(run).cast("double")).alias("of_largest"))
 
 
-def od_by_class(events):
-    """Counts per origin and destination, in total (cls null) and per class."""
-    return events.groupingSets(
-        [["origin", "destination"], ["origin", "destination", "cls"]],
-        "origin", "destination", "cls",
-    ).agg(F.count(F.lit(1)).alias("cnt"), F.grouping("cls").alias("is_total"))
+def od_by_class(events, by=RUN_CAMERA):
+    """A run's counts per origin and destination, in total (cls null) and per class."""
+    pair = [*by, "origin", "destination"]
+    return events.groupingSets([pair, [*pair, "cls"]], *pair, "cls").agg(
+        F.count(F.lit(1)).alias("cnt"), F.grouping("cls").alias("is_total"))
 
 
-def od_rollup(events):
-    """Counts with all marginals: origin, origin and destination, grand total."""
-    return events.rollup("origin", "destination").agg(
-        F.count(F.lit(1)).alias("cnt"), F.grouping_id().alias("level"))
+def od_rollup(events, by=RUN_CAMERA):
+    """A run's counts with all marginals: origin and destination, origin, whole run."""
+    sets = [[*by, "origin", "destination"], [*by, "origin"], [*by]]
+    return events.groupingSets(sets, *by, "origin", "destination").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        (F.grouping("origin").cast("bigint") * 2 + F.grouping("destination")).alias("level"))
 
 
-def od_matrix_long(events):
-    """Square matrix in long form: every pair of zones seen in any role, zero filled.
+def od_matrix_long(events, zones=None, by=RUN_CAMERA):
+    """Square matrix in long form, per run: every pair of its zones seen in any role or listed in `zones`, zero filled.
 
-    The counts are no more than pairs of configured zones, so they meet in one row; the square is
+    A run's counts are no more than pairs of its site's zones, so they meet in one row; the square is
     spelled out from there and `events` is read once.
     """
-    counts = events.groupBy("origin", "destination").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = events.groupBy(*by, "origin", "destination").agg(F.count(F.lit(1)).alias("cnt"))
     pair = F.struct("origin", "destination")
-    square = counts.agg(
+    listed = F.array(*map(F.lit, zones or ())).cast("array<string>")
+    square = counts.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct(pair, "cnt"))).alias("_counts"),
-        F.array_sort(F.array_union(F.collect_set("origin"), F.collect_set("destination"))).alias("_zones"))
-    pairs = square.select("_counts", "_zones", F.explode("_zones").alias("origin")).select(
-        "_counts", "origin", F.explode("_zones").alias("destination"))
-    return pairs.select("origin", "destination", F.coalesce(
+        F.array_sort(F.array_union(listed, F.array_union(F.collect_set("origin"), F.collect_set("destination")))).alias("_zones"))
+    pairs = square.select(*by, "_counts", "_zones", F.explode("_zones").alias("origin")).select(
+        *by, "_counts", "origin", F.explode("_zones").alias("destination"))
+    return pairs.select(*by, "origin", "destination", F.coalesce(
         F.element_at("_counts", pair), F.lit(0)).alias("cnt"))
 
 
-def od_matrix(events, zones=None):
-    """Square matrix, one row per origin and one column per destination.
+def od_matrix(events, zones=None, by=RUN_CAMERA):
+    """Square matrix per run, one row per origin and one column per zone of any run, which Spark looks up first.
 
-    Without `zones` the columns are the zones seen, which Spark looks up first.
+    A zone that a run does not have is null in its rows. For more zones than `spark.sql.pivotMaxValues` use the long form.
     """
-    table = od_matrix_long(events).groupBy("origin")
-    table = table.pivot("destination", list(zones)) if zones else table.pivot("destination")
-    return table.agg(F.sum("cnt")).na.fill(0)
+    return od_matrix_long(events, zones, by).groupBy(*by, "origin").pivot("destination").agg(F.sum("cnt"))
 
 
 def vehicles_total(lived, by=RUN_CAMERA, approximate=False):
@@ -87,15 +85,14 @@ def active_per_frame(obs):
     return obs.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("active"))
 
 
-def class_totals(rows):
-    return rows.groupBy(F.coalesce("cls", F.lit("unknown")).alias("cls")).agg(
-        F.count(F.lit(1)).alias("cnt")).orderBy(F.col("cnt").desc(), "cls")
+def class_totals(rows, by=RUN_CAMERA):
+    return rows.groupBy(*by, F.coalesce("cls", F.lit("unknown")).alias("cls")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def vehicles_by_class(labelled):
     """Distinct tracks per class, taking a track's first known class."""
     first = labelled.filter("cls <> 'unknown'").groupBy(*RUN_CAMERA, "track_id").agg(
-        F.min(F.struct("frame", "cls")).alias("_first")).select(F.col("_first.cls").alias("cls"))
+        F.min(F.struct("frame", "cls")).alias("_first")).select(*RUN_CAMERA, F.col("_first.cls").alias("cls"))
     return class_totals(first)
 
 
@@ -150,17 +147,18 @@ def flow_per_window(obs, seconds=3600):
         *RUN_CAMERA, F.unix_timestamp("_w.start").alias("window_start"), "cls", "boxes")
 
 
-def run_summary(lived, events, by=RUN_CAMERA):
-    """Totals of a run: frames, vehicles, routes and the routes as a map, largest first."""
+def run_summary(lived, events, runs, by=RUN_CAMERA):
+    """Totals of every run in `runs` (run_id, camera_id, total_frames), also of runs without a box.
+
+    Frames, vehicles, completed routes, and the routes as a map with the largest first.
+    """
     by = list(by)
-    seen = lived.groupBy(*by).agg(
-        F.max("frame").alias("frames_processed"),
-        F.sum(F.col("new_life").cast("bigint")).alias("total_vehicles_tracked"))
-    counts = route_counts(events, by=by)
-    routes = counts.groupBy(*by).agg(
+    seen = lived.groupBy(*by).agg(F.sum(F.col("new_life").cast("bigint")).alias("_vehicles"))
+    routes = route_counts(events, by=by).groupBy(*by).agg(
         F.sum("cnt").alias("_done"),
         F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("rank"), "route", "cnt"))).alias("_l"))
-    listed = F.map_from_entries(F.transform("_l", lambda e: F.struct(e["route"], e["cnt"])))
-    return seen.join(routes, by, "left").select(
-        *by, "frames_processed", "total_vehicles_tracked",
+    listed = F.map_from_entries(F.transform(
+        F.coalesce("_l", F.array().cast("array<struct<rank:bigint,route:string,cnt:bigint>>")), lambda e: F.struct(e["route"], e["cnt"])))
+    return runs.join(seen, by, "left").join(routes, by, "left").select(
+        *by, F.col("total_frames").alias("frames_processed"), F.coalesce("_vehicles", F.lit(0)).alias("total_vehicles_tracked"),
         F.coalesce("_done", F.lit(0)).alias("total_routes_completed"), listed.alias("routes"))

@@ -155,6 +155,9 @@ def site_configs(spark, folder):
              'name', concat('L', j),
              'points', slice(array(array(0, 0), array(CAST(4 + (k+j) % 15 AS INT), 0)), 1, CAST(1 + (k+j) % 2 AS INT)),
              'tolerance', CAST(NULL AS INT))) AS lines""",
+        # One direction each: one point, a point of one coordinate, or a sound one.
+        """map('D', CASE k % 5 WHEN 0 THEN array(array(1, 1)) WHEN 1 THEN array(array(1, 1), array(2))
+             ELSE array(array(0, 0), array(CAST(k % 9 AS INT), 5)) END) AS directions""",
         """named_struct('conf_threshold', (k % 13) / 10.0D, 'imgsz', CAST(200 + (k % 5) * 100 AS INT),
              'min_area', CAST(k % 9 - 2 AS INT), 'max_area', CAST(k % 11 AS INT)) AS settings""",
         """named_struct('slice_width', CAST(32 + (k % 3) * 32 AS INT), 'slice_height', CAST(48 + (k % 4) * 16 AS INT),

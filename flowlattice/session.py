@@ -22,10 +22,12 @@ def local_session(cores="*", partitions=8, name="flowlattice", **conf):
 
 
 def shared_dir(spark):
-    """The cluster's shared folder. Only a session without one (a test) gets a temporary folder."""
+    """The cluster's shared folder. Only a local session without one (a test) gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         existing = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not existing.isDefined() and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = existing.get() if existing.isDefined() else tempfile.mkdtemp(prefix="flowlattice-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

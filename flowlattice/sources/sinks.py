@@ -27,11 +27,12 @@ def write_run_summary(summary, path, facts=None, mode="errorifexists"):
     summary.withColumns({k: F.lit(v) for k, v in facts.items()}).write.mode(mode).json(path)
 
 
-def write_routes_csv(events, path, key="route", mode="errorifexists"):
-    """Route, count and percentage with one decimal, largest count first."""
-    shares = route_shares(events, key).orderBy(F.col("cnt").desc(), key)
-    _csv(shares.select(key, "cnt", F.format_string("%.1f", "share").alias("share")).toDF(
-        *ROUTES_HEADER), path, mode)
+def write_routes_csv(events, path, key="route", with_run=False, mode="errorifexists"):
+    """Route, count and percentage with one decimal, largest count first. Events of several runs need `with_run`."""
+    first = ["run_id", "camera_id"] if with_run else []
+    shares = route_shares(events, key).orderBy(*first, F.col("cnt").desc(), key)
+    _csv(shares.select(*first, key, "cnt", F.format_string("%.1f", "share").alias("share")).toDF(
+        *first, *ROUTES_HEADER), path, mode)
 
 
 def write_tracks_csv(report, path, with_run=False, mode="errorifexists"):
@@ -43,11 +44,13 @@ def write_tracks_csv(report, path, with_run=False, mode="errorifexists"):
     return True
 
 
-def write_od_csv(events, path, zones=None, mode="errorifexists"):
-    """The square origin-destination matrix, zones sorted; nothing without routes."""
+def write_od_csv(events, path, zones=None, with_run=False, mode="errorifexists"):
+    """The square origin-destination matrix, zones sorted; nothing without routes. Events of several runs need `with_run`."""
     if events.isEmpty():
         return False
-    matrix = od_matrix(events, zones).orderBy("origin").withColumnRenamed("origin", OD_CORNER)
+    first = ["run_id", "camera_id"] if with_run else []
+    matrix = od_matrix(events, zones).orderBy(*first, "origin").withColumnRenamed("origin", OD_CORNER)
+    matrix = matrix.select(*first, OD_CORNER, *[c for c in matrix.columns if c not in ("run_id", "camera_id", OD_CORNER)])
     _csv(matrix, path, mode)
     return True
 

@@ -36,7 +36,7 @@ def _rings(configs, column, order_column=None):
     entries = F.transform(F.map_entries(column), lambda e: F.struct(
         e["key"].alias("zone"),
         F.transform(e["value"], lambda p: F.struct(
-            p[0].alias("x"), p[1].alias("y"))).alias("ring")))
+            F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("ring")))
     rows = configs.select("site_id", *([order_column] if order_column else []),
                           F.posexplode(entries).alias("_at", "_e"))
     place = F.col("_at")
@@ -48,10 +48,21 @@ def _rings(configs, column, order_column=None):
                        F.col("_e.zone").alias("zone"), F.col("_e.ring").alias("ring"))
 
 
+def _two_points(column):
+    """The coordinates of the first two points; null where the list or a point is too short."""
+    return [[F.get(F.get(F.col(column), F.lit(i)), F.lit(k)) for k in (0, 1)] for i in (0, 1)]
+
+
+def _whole(points):
+    """Lines and directions without two points of two coordinates are reported by the site rules, not used."""
+    (a, b), (c, d) = points
+    return a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull()
+
+
 def _lines(configs):
     rows = configs.select("site_id", F.posexplode("lines").alias("line_order", "_l"))
-    rows = rows.filter(F.size("_l.points") >= 2)
-    point = [[F.col("_l.points")[i][k] for k in (0, 1)] for i in (0, 1)]
+    point = _two_points("_l.points")
+    rows = rows.filter(_whole(point))
     return rows.select(
         "site_id", "line_order",
         F.coalesce("_l.name", F.concat(F.lit("Linea "), F.col("line_order") + 1)).alias("line"),
@@ -62,9 +73,9 @@ def _lines(configs):
 
 def _directions(configs):
     rows = configs.select("site_id", F.posexplode(F.map_entries("directions")).alias("dir_order", "_d"))
-    a, b = F.col("_d.value")[0], F.col("_d.value")[1]
-    return rows.select("site_id", "dir_order", F.col("_d.key").alias("direction"),
-                       (b[0] - a[0]).alias("dx"), (b[1] - a[1]).alias("dy"))
+    a, b = point = _two_points("_d.value")
+    return rows.filter(_whole(point)).select("site_id", "dir_order", F.col("_d.key").alias("direction"),
+                                             (b[0] - a[0]).alias("dx"), (b[1] - a[1]).alias("dy"))
 
 
 def _settings(configs):

@@ -339,8 +339,12 @@ def test_two_vehicles_and_matrix(observe):
     assert summary.vehicles_total(lived, approximate=True).first().vehicles == 2
     matrix = {r.origin: (r.A, r.B) for r in summary.od_matrix(done).collect()}
     assert matrix == {"A": (0, 1), "B": (1, 0)}
+    wider = {r.origin: (r.A, r.B, r.C) for r in summary.od_matrix(done, ["C"]).collect()}
+    assert wider == {"A": (0, 1, 0), "B": (1, 0, 0), "C": (0, 0, 0)}
     by_class = {(r.origin, r.cls): r.cnt for r in summary.od_by_class(done).collect()}
     assert by_class == {("A", None): 1, ("A", "car"): 1, ("B", None): 1, ("B", "truck"): 1}
-    row = summary.run_summary(lived, done).first()
+    both = obs.sparkSession.createDataFrame([("r", 0, 900), ("r", 7, 30)], "run_id string, camera_id bigint, total_frames bigint")
+    row, idle = summary.run_summary(lived, done, both).orderBy("camera_id").collect()
+    assert (row.frames_processed, idle.frames_processed, idle.total_vehicles_tracked, idle.routes) == (900, 30, 0, {})
     assert (row.total_vehicles_tracked, row.total_routes_completed) == (2, 2)
     assert row.routes == {"A → B": 1, "B → A": 1}

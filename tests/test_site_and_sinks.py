@@ -51,10 +51,12 @@ def test_zone_table_places_points(spark, sites):
 def test_violations(spark, sites, tmp_path):
     rules = {(r.site_id, r.rule, r.subject) for r in site_rules.site_violations(sites.raw).collect()}
     assert rules == {("vacio", "fewer_than_2_zones", None), ("cruce", "line_with_fewer_than_2_points", "bad")}
-    (tmp_path / "malo.json").write_text(json.dumps({"zones": {"Z": [[1, 1]]}, "settings": {"imgsz": 100}}))
+    (tmp_path / "malo.json").write_text(json.dumps({"zones": {"Z": [[1, 1], [2]]}, "settings": {"imgsz": 100}, "directions": {"d": [[0, 0]]}}))
     bad = site.read_sites(spark, str(tmp_path / "malo.json"))
     found = {(r.rule, r.subject) for r in site_rules.site_violations(bad.raw).collect()}
-    assert found == {("fewer_than_2_zones", None), ("imgsz_below_320", None), ("zone_with_fewer_than_3_points", "Z")}
+    assert found == {("fewer_than_2_zones", None), ("imgsz_below_320", None), ("zone_with_fewer_than_3_points", "Z"),
+                     ("point_without_two_coordinates", "Z"), ("direction_with_fewer_than_2_points", "d")}
+    assert bad.directions.count() == 0 and bad.zones.count() == 1
 
 
 def read_csv(path):
@@ -84,11 +86,11 @@ def test_sinks(spark, observe, tmp_path):
     assert rows[0] == list(sinks.TRACK_COLUMNS)
     assert [r[0] for r in rows[1:]] == ["1", "2", "3"]
     assert rows[1][2:11] == ["done", "A", "", "50", "50", "350", "50", "5", "5"]
-    sinks.write_run_summary(summary.run_summary(lived, done), str(tmp_path / "run"), {"tracker": "sort", "fps_avg": 12.3456})
+    runs = spark.createDataFrame([("r", 0, 125)], "run_id string, camera_id bigint, total_frames bigint")
+    sinks.write_run_summary(summary.run_summary(lived, done, runs), str(tmp_path / "run"), {"tracker": "sort", "fps_avg": 12.3456})
     record = spark.read.json(str(tmp_path / "run")).first()
     assert (record.total_vehicles_tracked, record.total_routes_completed, record.fps_avg, record.tracker) == (3, 3, 12.35, "sort")
     assert record.routes["A → B"] == 2
-    runs = spark.createDataFrame([("r", 0, 125)], "run_id string, camera_id bigint, total_frames bigint")
     progress = summary.with_clock(summary.progress_samples(done, runs), 25.0)
     sinks.write_progress(progress, str(tmp_path / "progress"))
     saved = spark.read.parquet(str(tmp_path / "progress")).orderBy("frame").collect()
