@@ -980,3 +980,19 @@ def stream_crossings(spark, folder):
 def stream_track_detections(spark, folder):
     return replay.replay(
         views.detections(spark, folder), lambda s: live_tracks.stream_tracks(s, max_age=3), FPS, slices=2)
+
+
+# --- runs of unknown length ------------------------------------------------------------------
+
+def _long_runs(name):
+    """The same question where no metadata bounds a run, so the plans carry state from span to span."""
+    def asked(spark, folder):
+        with views.unbounded_runs():
+            return QUERIES[name](spark, folder)
+
+    query(f"{name}_long_runs", ORACLES[name])(asked)
+
+
+for _name in ("track_lives", "zone_routes", "headings", "shape_ema", "line_crossings_settled", "line_crossings_strict", "rolling_rate",
+              "route_events", "od_by_class", "track_report"):
+    _long_runs(_name)

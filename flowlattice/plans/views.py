@@ -5,6 +5,7 @@ to the shared folder once per application, as the detection table a user would h
 scanned from there by every query.
 """
 
+import contextlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -64,8 +65,23 @@ def runs(spark, folder, name="observations"):
         _written(spark, folder, f"runs_of_{name}", build))
 
 
+_UNBOUNDED = []
+
+
+@contextlib.contextmanager
+def unbounded_runs():
+    """Plans made inside know no bound on the length of a run."""
+    _UNBOUNDED.append(True)
+    try:
+        yield
+    finally:
+        _UNBOUNDED.pop()
+
+
 def total_frames(spark, folder, name="observations"):
     """The longest run, from the metadata; looked up once per application."""
+    if _UNBOUNDED:
+        return None
     key = (spark.sparkContext.applicationId, str(folder), f"longest_{name}")
     if key not in _WRITTEN:
         _WRITTEN[key] = runs(spark, folder, name).agg(F.max("total_frames")).first()[0]
