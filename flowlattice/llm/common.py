@@ -8,6 +8,21 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from flowlattice.session import materialized  # noqa: F401  (re-exported: tables in the shared folder)
 
 
+_HELD = {}
+
+
+def held(name, build):
+    """What `build` makes, held in this Python process until something else is asked for.
+
+    Spark's Python workers live on from task to task, so words, models and tokenizers are kept between the tasks of a stage, but
+    those of an earlier stage are let go.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

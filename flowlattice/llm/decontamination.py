@@ -143,16 +143,13 @@ def _counted(docs, block, shipped, name):
     return counts
 
 
-_BLOCKS = {}  # the last block of each Python process
-
-
 def _block_of(name, shipped):
-    if name not in _BLOCKS:
-        _BLOCKS.clear()
+    def build():
         block = Block.__new__(Block)
         block.__dict__.update(shipped.value)
-        _BLOCKS[name] = block
-    return _BLOCKS[name]
+        return block
+
+    return common.held(name, build)
 
 
 def _joined(frame, name, shipped, first, carry):

@@ -88,7 +88,8 @@ class Shingler:
         return np.unique(mixed)
 
 
-_SHINGLER = Shingler()  # one per Python process
+def shingler():
+    return common.held("shingler", Shingler)
 
 
 def set_key(shingles):
@@ -205,7 +206,7 @@ def frequent_shingles(docs):
     def cut(batches):
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_SHINGLER(text).view(np.int64))], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingler()(text).view(np.int64))], ["s"])
 
     rows = (sampled.select("text").mapInArrow(cut, "s bigint").groupBy("s").count().where(F.col("count") >= FREQUENT_IN_SAMPLE)
             .orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect())
@@ -217,7 +218,7 @@ def frequent_shingles(docs):
 def _signatures(docs):
     """(doc_id, n, node) per document: how many shingles, and which node its set is."""
     def step(columns):
-        sets = [_SHINGLER(t) for t in columns["text"]]
+        sets = list(map(shingler(), columns["text"]))
         return {"n": [len(s) for s in sets], "node": [set_key(s) if len(s) else None for s in sets]}
 
     return common.materialized(common.add_columns(docs, "text", step, "n bigint, node bigint", ("doc_id",)), "signatures")
@@ -262,7 +263,7 @@ def _packed(frame, cut, buckets):
 def _packed_fronts(docs, buckets, hot, hot_count):
     def cut(batch):
         for text in batch.column(0).to_pylist():
-            shingles = _SHINGLER(text)
+            shingles = shingler()(text)
             if len(shingles):
                 yield set_key(shingles), front(shingles, hot, hot_count)
 
@@ -332,7 +333,7 @@ def _sets(docs, nodes):
         for batch in batches:
             rows = []
             for node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                shingles = _SHINGLER(text)
+                shingles = shingler()(text)
                 if node in seen or not len(shingles) or set_key(shingles) != node:
                     continue
                 seen.add(node)

@@ -87,13 +87,8 @@ class ChunkTokenizer:
         return [b"".join(ids) + close for ids in found]
 
 
-_TOKENIZERS = {}  # one per file and Python process
-
-
 def tokenizer_of(path):
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+    return common.held(path, lambda: ChunkTokenizer(path))
 
 
 def tokenized(docs, path, end=END_ID):

@@ -57,7 +57,8 @@ class _Words:
         return out
 
 
-_WORDS = _Words()  # one per Python process
+def word_hashes():
+    return common.held("words", _Words)
 
 
 def _pairs(h, starts):
@@ -86,7 +87,7 @@ def _blocks(docs, held):
 
         for batch in batches:
             for doc, text, out in zip(*(c.to_pylist() for c in batch.columns)):
-                texts.append(_WORDS(text))
+                texts.append(word_hashes()(text))
                 ids.append(doc)
                 flags.append(out)
                 size += len(texts[-1])

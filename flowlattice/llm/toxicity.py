@@ -128,14 +128,8 @@ class Scorer:
         return float((sums[width:] - sums[:-width]).max() / width)
 
 
-_SCORERS = {}  # the last scorer of each Python process, so its words are remembered across tasks
-
-
 def scorer_of(name, counts):
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(SharedBackoff(counts.value))
-    return _SCORERS[name]
+    return common.held(name, lambda: Scorer(SharedBackoff(counts.value)))
 
 
 def fitted_curve(margins, labels):
