@@ -36,6 +36,7 @@ SAMPLE_DOCS, FREQUENT_IN_SAMPLE, MOST_FREQUENT = 3000, 3, 200_000
 MIN_HASHES = 3
 NODES_PER_BUCKET, SHINGLES_PER_BUCKET, NODES_PER_BLOCK, FOLLOWERS_PER_CELL = 8000, 1_500_000, 4000, 500
 FLUSH_POSTINGS = 2_000_000
+BITMAP_BITS = 1 << 25
 CACHED_WORDS = 300_000
 _U = np.uint64
 # Odd multipliers that mix hashes.
@@ -169,12 +170,13 @@ class Lists:
 _ROW = "cell bigint, kind int, node bigint, comp bigint, size bigint, shingles binary"
 
 
-def _search(spark, members, queries, cells):
-    """Links (u, v) of the queries with the members of their cells; both have the columns of `_ROW`.
+def _search(spark, members, queries, sets, cells):
+    """Links (u, v) of the queries with the members of their cells; both have the columns of `_ROW` but the sets.
 
     A cell's members come first and are indexed, then its queries stream past.
     """
-    rows = members.unionByName(queries).repartition(max(1, cells), "cell").sortWithinPartitions("cell", "kind", "node")
+    rows = members.withColumn("kind", F.lit(0)).unionByName(queries.withColumn("kind", F.lit(1))).join(sets.select("node", "shingles"), "node")
+    rows = rows.repartition(max(1, cells), "cell").sortWithinPartitions("cell", "kind", "node")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
@@ -324,6 +326,31 @@ def _support(packed):
 _SET = f"node bigint, n bigint, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
 
 
+def _likely(docs, ids):
+    """The rows of `docs` whose id may be among `ids`, by a bitmap of hashed ids of a fixed size, so that few texts of other
+    documents are shuffled. The fuller the bitmap the more others pass; the join that follows decides."""
+    def place(column):
+        return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+    counted = place("doc_id") + 1  # Spark counts places and buckets from 1
+    parts = ids.groupBy(F.bitmap_bucket_number(counted).alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(counted)).alias("bits")).collect()  # BITMAP_BITS / 8 bytes at most
+    bits = np.zeros((BITMAP_BITS // 32768, 4096), np.uint8)
+    for row in parts:
+        bits[row["k"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    flags = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def run(batches):
+        known = np.frombuffer(flags.value, np.uint8)
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            keep = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1])
+
+    kinds = docs.select("doc_id", "text").schema
+    return docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("_at")).mapInArrow(run, kinds)
+
+
 def _sets(docs, nodes):
     """(node, n, shingles, least...): the sets of `nodes` (node, doc_id), cut again from one text each."""
     struct, arrow = common.arrow_schema(_SET)
@@ -340,7 +367,7 @@ def _sets(docs, nodes):
                 rows.append([node, len(shingles), shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
-    picked = docs.select("doc_id", "text").join(nodes, "doc_id").select("node", "text")
+    picked = _likely(docs, nodes).join(nodes, "doc_id").select("node", "text")
     return common.materialized(picked.mapInArrow(run, struct), "sets")
 
 
@@ -356,11 +383,10 @@ def _leader_links(spark, sets, cells):
     # A leader with many followers is copied to several cells.
     pairs = common.materialized(pairs.select("node", "leader", F.xxhash64("leader", F.pmod(F.xxhash64("node"), F.ceil(
         F.col("many") / FOLLOWERS_PER_CELL).cast("bigint"))).alias("cell")), "leaders")
-    members = pairs.select("cell", F.col("leader").alias("node")).distinct().join(sets.select("node", "shingles"), "node").select(
-        "cell", F.lit(0).alias("kind"), "node", F.col("node").alias("comp"), F.lit(1).cast("bigint").alias("size"), "shingles")
-    queries = pairs.select("cell", "node").join(sets.select("node", "shingles"), "node").select(
-        "cell", F.lit(1).alias("kind"), "node", F.col("node").alias("comp"), F.lit(0).cast("bigint").alias("size"), "shingles")
-    return _search(spark, members, queries, cells)
+    members = pairs.select("cell", F.col("leader").alias("node")).distinct().select(
+        "cell", "node", F.col("node").alias("comp"), F.lit(1).cast("bigint").alias("size"))
+    queries = pairs.select("cell", "node", F.col("node").alias("comp"), F.lit(0).cast("bigint").alias("size"))
+    return _search(spark, members, queries, sets, cells)
 
 
 def _cross_links(spark, sets, fronts, roots, blocks):
@@ -377,10 +403,9 @@ def _cross_links(spark, sets, fronts, roots, blocks):
     reached = posted.select("token", "cell").distinct()
     asking = posted.where("comp <> top.comp").select("token", "node").join(reached, "token").groupBy("node", "cell").agg(F.count("*").alias("many"))
     asking = asking.join(known.drop("cell"), "node").where(F.col("many") >= _least_shared(F.col("n")))
-    full = sets.select("node", "shingles")
-    members = posted.select("node", "cell", "comp", "size").distinct().join(full, "node").select("cell", F.lit(0).alias("kind"), "node", "comp", "size", "shingles")
-    queries = asking.join(full, "node").select("cell", F.lit(1).alias("kind"), "node", "comp", "size", "shingles")
-    return _search(spark, members, queries, blocks)
+    members = posted.select("cell", "node", "comp", "size").distinct()
+    queries = asking.select("cell", "node", "comp", "size")
+    return _search(spark, members, queries, sets, blocks)
 
 
 def _least_shared(n):
