@@ -23,6 +23,11 @@ def held(name, build):
     return _HELD[name]
 
 
+def let_go():
+    """Free what `held` holds, before a stage that needs none of it."""
+    _HELD.clear()
+
+
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from flowlattice.llm import common
 
-BLOCK_TOKENS, TOKENS_PER_SHARD = 2_000_000, 1_500_000
+BLOCK_TOKENS, TOKENS_PER_SHARD = 1_000_000, 1_500_000
 MASS = 50.0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 _U = np.uint64
 # No word holds white space, so these two are no word's hash input.
 END, START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\r")
@@ -119,6 +119,7 @@ def _questions(blocks, shards):
     struct, arrow = common.arrow_schema(schema)
 
     def run(batches):
+        common.let_go()
         bounds = _bounds(shards)
         for batch in batches:
             for row in batch.to_pylist():
