@@ -1,5 +1,7 @@
 """Small helpers shared by the operators of this subpackage."""
 
+import contextlib
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -8,6 +10,20 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from flowlattice.session import materialized  # noqa: F401  (re-exported: tables in the shared folder)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def batches_of(spark, rows):
+    """Actions inside hand rows to Python in batches of at most so many, as whole texts and sets are long."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 _HELD = {}
 
 

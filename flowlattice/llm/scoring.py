@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowlattice.llm import common
 
-BLOCK_TOKENS, TOKENS_PER_SHARD = 1_000_000, 1_500_000
+BLOCK_TOKENS, TOKENS_PER_SHARD = 1_000_000, 1_000_000
 MASS = 50.0
 CACHED_WORDS = 150_000
 _U = np.uint64
@@ -203,10 +203,11 @@ def lm_scores(docs, held):
     A null or empty text is the end alone. Repeated rows train and are scored each. Null ids are scored like others. With no
     training document every word is unknown.
     """
-    blocks = _blocks(docs, held)
-    size = blocks.agg(F.sum(F.length("ids") / 4)).first()[0] or 0
-    shards = int(max(1, -(-size // TOKENS_PER_SHARD)))
-    answers = _answers(_questions(blocks, shards))
+    with common.batches_of(docs.sparkSession, 1000):
+        blocks = _blocks(docs, held)
+        size = blocks.agg(F.sum(F.length("ids") / 4)).first()[0] or 0
+        shards = int(max(1, -(-size // TOKENS_PER_SHARD)))
+        answers = _answers(_questions(blocks, shards))
     totals = answers.where("block is null").agg(F.sum("tokens"), F.sum("distinct")).first()
     tokens, distinct = (int(x or 0) for x in totals)
     kind = docs.schema["doc_id"].dataType.simpleString()
