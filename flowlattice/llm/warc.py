@@ -2,7 +2,8 @@
 
 Of records with equal payloads of at least `REVISIT_BYTES` bytes the one with the largest page id is written whole, the
 others as revisits that refer to it; a revisit keeps the HTTP header with the full length. Archives are
-plain WARC 1.1 files in the shared folder, one per task, of about `ARCHIVE_BYTES` bytes, written and read by Spark.
+plain WARC 1.1 files in the shared folder, written and read by Spark; a task starts a new one after as many records as make
+`ARCHIVE_BYTES` on average.
 
 The reader checks every record: version line, header, length, closing blank lines and both digests. Where a check
 fails it looks for the next valid record, at a version line or the start of a gzip member, goes on from there, and
@@ -156,14 +157,16 @@ def planned(pages):
         "sha1", F.sha1("payload"))
     large = rows.where((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
     kept = large.groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = large.select("page_id", "sha1", "payload_bytes").join(kept, ["sha1", "payload_bytes"]).where("page_id < kept").select(
-        "page_id", "sha1", F.col("kept").alias("refers_to")).distinct()
+    # Written first, so Spark knows its size: a small table is sent to the pages, and only a large one makes them move.
+    revisits = common.materialized(large.select("page_id", "sha1", "payload_bytes").join(kept, ["sha1", "payload_bytes"]).where(
+        "page_id < kept").select("page_id", "sha1", F.col("kept").alias("refers_to")).distinct(), "revisits")
     return rows.join(revisits, ["page_id", "sha1"], "left")
 
 
 def write_archives(pages, folder):
     """Write `pages` (page_id, url, html) as WARC files into `folder`."""
-    size = pages.agg(F.sum(F.length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    size, n = pages.agg(F.sum(F.length(F.coalesce("html", F.lit("")))), F.count("*")).first()
+    per_file = max(1, int(ARCHIVE_BYTES * n / max(size or 0, 1)))
 
     def records(columns):
         rows = zip(*(columns[c] for c in ("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to")))
@@ -171,8 +174,9 @@ def write_archives(pages, folder):
         # The writer closes every record with the last line end.
         return {"record": [m[:-2] for m in made]}
 
-    rows = common.map_rows(planned(pages).repartition(int(size // ARCHIVE_BYTES) + 1, F.xxhash64("page_id", "sha1")), records, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").text(folder)
+    rows = common.map_rows(planned(pages), records, "record binary")
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option(
+        "maxRecordsPerFile", min(per_file, 1_000_000)).text(folder)
     return folder
 
 
