@@ -48,5 +48,5 @@ def materialized(df, name="table"):
     columns.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
