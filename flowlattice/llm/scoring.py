@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from flowlattice.llm import common
 
-BLOCK_TOKENS, TOKENS_PER_SHARD = 1_000_000, 1_000_000
+BLOCK_TOKENS, TOKENS_PER_SHARD = 1_500_000, 1_000_000
 MASS = 50.0
 CACHED_WORDS = 150_000
 _U = np.uint64
