@@ -7,19 +7,20 @@ documents by the Jensen-Shannon divergence (base 2, 0 to 1); the nearest languag
 documents have noisy histograms, so each comparison has a guard on length, and a document that
 passes no guard is kept unless a base rule fails it.
 
-The reference histograms are sums over all documents of a language. Which words are common is taken from a
-bounded sample of documents (`SAMPLE_DOCS` of the smallest id hashes); their counts cover all documents.
+The reference histograms are sums over all documents of a language, and the common words are those in the most of all its
+documents. Every language has a reference; one from fewer than `MIN_LANGUAGE_DOCS` documents is not reliable: it
+fails no text of its language and excuses none of another.
 """
 
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlattice.llm import common
 
-SAMPLE_DOCS = 4000
 COMMON_WORDS = 120
 MIN_CHARS, MAX_CLASS_DIVERGENCE = 200, 0.10
 MIN_WORDS, MAX_WORD_DIVERGENCE = 60, 0.30
@@ -110,41 +111,36 @@ def divergence(counts, references):
     total = counts.sum()
     if not total or not len(references):
         return np.zeros(len(references))
-    p = counts / total
-    middle = (references + p) / 2
-
-    def toward(x):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(x > 0, x * np.log2(x / middle), 0.0).sum(axis=1)
-
-    return np.maximum((toward(np.broadcast_to(p, references.shape)) + toward(references)) / 2, 0.0)
+    bins = np.flatnonzero(counts)
+    p, q = counts[bins] / total, references[:, bins]
+    middle = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        toward = (p * np.log2(p / middle)).sum(axis=1) + np.where(q > 0, q * np.log2(q / middle), 0.0).sum(axis=1)
+    # A bin that the text lacks adds its share.
+    return np.maximum((toward + 1 - q.sum(axis=1)) / 2, 0.0)
 
 
 def _chosen_words(docs):
-    """{language: common words}: from a bounded sample, so what reaches the driver is bounded."""
-    ids = (docs.where("lang is not null").select("doc_id", F.xxhash64("doc_id").alias("_h"))
-           .orderBy("_h", "doc_id").limit(SAMPLE_DOCS).select("doc_id").distinct())
-    sampled = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").where("lang is not null")
-
+    """{language: common words}: the words in the most documents of the language, of equal ones the last in order."""
     def count(columns):
         counts = Counter()
         for lang, text in zip(columns["lang"], columns["text"]):
             counts.update((lang, w) for w in {_bare(w) for w in common.ascii_lower_words(text)} if w)
         return {"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "docs": list(counts.values())}
 
-    counted = common.map_rows(sampled, count, "lang string, word binary, docs bigint")
-    ranked = counted.groupBy("lang", "word").agg(F.sum("docs").alias("docs")).where("docs > 2")
+    counted = common.map_rows(docs.select("lang", "text").where("lang is not null"), count, "lang string, word binary, docs bigint")
+    ranked = counted.groupBy("lang", "word").agg(F.sum("docs").alias("docs"))
+    # Spark cuts each partition to its own first ranks before a language's words meet.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("docs"), F.desc("word")))
     chosen = {}
-    for row in ranked.groupBy("lang").agg(
-            F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("docs", "word")))), 1, COMMON_WORDS).alias("top")).collect():
-        chosen[row["lang"]] = sorted(bytes(x["word"]) for x in row["top"])
+    for row in ranked.withColumn("_place", place).where(F.col("_place") <= COMMON_WORDS).select("lang", "word").collect():
+        chosen.setdefault(row["lang"], []).append(bytes(row["word"]))
     return chosen
 
 
 def references(docs):
-    """Reference histograms of every language with enough documents, summed over all documents."""
-    chosen = _chosen_words(docs)
-    every = sorted({w for words in chosen.values() for w in words})
+    """Reference histograms of every language, summed over all documents, and which of them are reliable."""
+    every = sorted({w for words in _chosen_words(docs).values() for w in words})
     at = {w: i for i, w in enumerate(every)}
     width = _SKIP + len(every) + 3
 
@@ -153,30 +149,28 @@ def references(docs):
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang, text in zip(langs, texts):
-                if lang not in chosen:
-                    continue
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 total = sums.setdefault(lang, np.zeros(width))
                 total[:_SKIP] += _class_counts(_byte_counts(raw))
                 total[_SKIP:-1] += _word_counts(raw.lower().split(), at)
                 total[-1] += 1
-        yield pa.RecordBatch.from_pydict(
-            {"lang": list(sums), "sums": [v.tolist() for v in sums.values()]},
-            schema=pa.schema([("lang", pa.string()), ("sums", pa.list_(pa.float64()))]))
+        for lang, total in sums.items():
+            bins = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(bins), "i": bins, "x": total[bins]},
+                                             schema=pa.schema([("lang", pa.string()), ("i", pa.int64()), ("x", pa.float64())]))
 
-    parts = docs.select("lang", "text").mapInArrow(add_up, "lang string, sums array<double>")
-    summed = (parts.select("lang", F.posexplode("sums").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")))
+    parts = docs.select("lang", "text").where("lang is not null").mapInArrow(add_up, "lang string, i bigint, x double")
     sums = {}
-    for row in summed.collect():  # languages x bins, whatever the number of documents
+    for row in parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).collect():  # languages x bins, whatever the number of documents
         sums.setdefault(row["lang"], np.zeros(width))[row["i"]] = row["x"]
-    kept = [k for k in sorted(sums) if sums[k][-1] >= MIN_LANGUAGE_DOCS] or sorted(sums)
-    classes = np.array([sums[k][:_SKIP] for k in kept]).reshape(len(kept), _SKIP)
-    words = np.array([sums[k][_SKIP:-1] for k in kept]).reshape(len(kept), len(every) + 2)
+    languages = sorted(sums)
+    table = np.array([sums[k] for k in languages]).reshape(len(languages), width)
 
     def share(x):
         return x / np.maximum(x.sum(axis=1, keepdims=True), 1)
 
-    return {"languages": kept, "words": at, "class_share": share(classes), "word_share": share(words)}
+    return {"languages": languages, "reliable": table[:, -1] >= MIN_LANGUAGE_DOCS, "words": at,
+            "class_share": share(table[:, :_SKIP]), "word_share": share(table[:, _SKIP:-1])}
 
 
 def _word_counts(words, at):
@@ -185,17 +179,24 @@ def _word_counts(words, at):
     return np.bincount(np.fromiter(bins, np.int64, len(words)), minlength=other + 2)
 
 
-def judge(text, model):
-    """All columns of the verdict for one text."""
+def judge(text, lang, model):
+    """All columns of the verdict for one text and its language.
+
+    A text of a language with a reliable reference is compared with the reliable references, any other with all of them. Only a
+    text of a reliable language, or of none where some language is reliable, can be too far from its nearest.
+    """
     counts, words, by_byte = base_counts(text)
     n, repeats = counts["n_words"], counts["n_repeat_words"]
     counts["base_failed"] = n < MIN_BASE_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-    of_class = divergence(_class_counts(by_byte), model["class_share"])
-    of_words = divergence(_word_counts([w.lower() for w in words], model["words"]), model["word_share"])
+    reliable = [k for k, sure in zip(model["languages"], model["reliable"]) if sure]
+    languages, rows = (reliable, model["reliable"]) if lang in reliable else (model["languages"], slice(None))
+    of_class = divergence(_class_counts(by_byte), model["class_share"][rows])
+    of_words = divergence(_word_counts([w.lower() for w in words], model["words"]), model["word_share"][rows])
     class_far, word_far = (float(x.min()) if len(x) else 0.0 for x in (of_class, of_words))
-    strange = (counts["word_chars"] >= MIN_CHARS and class_far > MAX_CLASS_DIVERGENCE
-               or n >= MIN_WORDS and word_far > MAX_WORD_DIVERGENCE)
-    nearest = model["languages"][int(np.argmin(of_class + of_words))] if len(of_class) else None
+    judged = bool(reliable) if lang is None else lang in reliable
+    strange = judged and (counts["word_chars"] >= MIN_CHARS and class_far > MAX_CLASS_DIVERGENCE
+                          or n >= MIN_WORDS and word_far > MAX_WORD_DIVERGENCE)
+    nearest = languages[int(np.argmin(of_class + of_words))] if len(of_class) else None
     return counts | {"kept": not counts["base_failed"] and not strange, "class_divergence": class_far,
                      "word_divergence": word_far, "nearest_language": nearest}
 
@@ -208,16 +209,16 @@ def quality_rules(docs, model=None, carry=()):
     """One verdict per row of `docs` (doc_id, text, lang; further columns are ignored).
 
     Null and empty texts have no words and fail the base rules. Repeated rows get the same verdict each.
-    A null language takes no part in the references. An empty table gives an empty result.
+    A null language takes no part in the references; its texts may be near any of them. An empty table gives an empty result.
     `carry` names further columns of `docs` to return with the verdict.
     """
     model = model or references(docs)
 
     def step(columns):
-        rows = [judge(text, model) for text in columns["text"]]
+        rows = [judge(text, lang, model) for text, lang in zip(columns["text"], columns["lang"])]
         return {k.split()[0]: [r[k.split()[0]] for r in rows] for k in MADE.split(", ")}
 
-    return common.add_columns(docs, "text", step, MADE, ("doc_id", *carry))
+    return common.add_columns(docs, ("text", "lang"), step, MADE, ("doc_id", *carry))
 
 
 def op6_quality_rules(spark, sf_dir):

@@ -41,6 +41,36 @@ def test_quality_verdict_on_strange_and_plain_text(spark):
     assert kept == set(range(60))
 
 
+def test_quality_knows_rare_languages_of_a_large_table(spark):
+    rng = random.Random(4)
+
+    def texts(words, n):
+        return [" ".join(rng.choice(words) for _ in range(90)) + "." for _ in range(n)]
+
+    greek = texts(["και", "το", "ποταμός", "πέτρα", "πράσινο", "δάσος", "νύχτα", "δρόμος"], 30)
+    thai = texts(["แม่น้ำ", "หิน", "และ", "เดิน", "เขียว", "ป่า", "คืน", "ถนน"], 5)
+    junk = [" | ".join(f"{rng.randint(0, 999)}" for _ in range(120)) for _ in range(2)]
+    rows = [(t, "en") for t in texts(["the", "of", "river", "stone", "and", "walked", "green", "to"], 6000)]
+    rows += [(t, "el") for t in greek] + [(t, "th") for t in thai] + [(junk[0], "en"), (junk[1], "el")]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
+    assert {k for k, r in got.items() if not r["kept"] and not r["base_failed"]} == {6035, 6036}
+    assert {got[k]["nearest_language"] for k in range(6000, 6030)} == {"el"} and got[6032]["nearest_language"] == "th"
+    # The same documents alone: too few Thai texts fail nothing, and no other language is missing.
+    few = {r["doc_id"]: r["kept"] or r["base_failed"] for r in quality.quality_rules(docs.where("doc_id >= 6000 and doc_id < 6035")).collect()}
+    assert all(few.values())
+
+
+def test_common_words_are_counted_over_all_documents(spark):
+    rows = [(k, "rare " * 12 if k < 3 else f"often w{k % 7} x{k}", "en" if k % 2 else "de") for k in range(5000)] + [(6000, "once", "fr"), (6001, "no", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    want = {}
+    for lang in ("en", "de", "fr"):
+        counts = Counter(w for _, text, of in rows if of == lang for w in set(text.encode().split()))
+        want[lang] = sorted(sorted(counts, key=lambda w: (counts[w], w), reverse=True)[:quality.COMMON_WORDS])
+    assert {k: sorted(v) for k, v in quality._chosen_words(docs).items()} == want
+
+
 def test_repeated_words_matches_plain_count():
     rng = random.Random(5)
     for _ in range(200):
