@@ -571,10 +571,16 @@ def track_report(spark, folder):
                               views.total_frames(spark, folder))
 
 
+def filtered(spark, folder):
+    """Raw boxes that reach the tracker: vehicles over the usual floors."""
+    usual = site.SETTING_DEFAULTS
+    return filters.filter_detections(views.detections(spark, folder), usual["conf_threshold"],
+                                     limits={name: usual[name] for name in ("min_area", "max_area")})
+
+
 @query("track_detections")
 def track_detections(spark, folder):
-    return tracker.track_detections(views.detections(spark, folder), max_age=3,
-                                    total_frames=views.total_frames(spark, folder, "detections"))
+    return tracker.track_detections(filtered(spark, folder), total_frames=views.total_frames(spark, folder, "detections"))
 
 
 @query("detect_frames_stub", """
@@ -979,7 +985,7 @@ def stream_crossings(spark, folder):
 @query("stream_track_detections")
 def stream_track_detections(spark, folder):
     return replay.replay(
-        views.detections(spark, folder), lambda s: live_tracks.stream_tracks(s, max_age=3), FPS, slices=2)
+        filtered(spark, folder), live_tracks.stream_tracks, FPS, slices=2)
 
 
 # --- runs of unknown length ------------------------------------------------------------------

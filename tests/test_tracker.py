@@ -5,6 +5,7 @@ import pytest
 
 from flowlattice.operators import scoring, tracker
 from flowlattice.operators.overlaps import attach_class
+from flowlattice.plans import catalog, views
 
 SCHEMA = ("run_id string, camera_id bigint, frame bigint, det_idx int, x1 int, y1 int, x2 int, y2 int, "
           "conf double, cls string")
@@ -78,6 +79,24 @@ def test_cameras_count_their_own_ids_and_stretches_change_nothing(spark):
     assert {t for _, t, _ in want} == {1, 2, 3, 4, 5, 6}
 
 
+@pytest.mark.parametrize("name", ["track_detections", "stream_track_detections"])
+def test_registered_tracking_keeps_ids_over_gaps_of_up_to_forty_frames(spark, monkeypatch, name):
+    # Unseen for 4, 19 and 40 frames, then for 41.
+    seen = [*range(1, 9), *range(13, 21), *range(40, 48), *range(88, 96), *range(137, 145)]
+    boxes = {f: [(box(10, 10), 0.9, "bus"), (box(300, 10), 0.1, "car"), (box(10, 300), 0.05, "car"), (box(300, 300), 0.9, "person")]
+             for f in seen}
+    rows = [("r", c, f, i, *b, conf, cls) for c in (0, 1) for f, found in boxes.items() for i, (b, conf, cls) in enumerate(found)]
+    monkeypatch.setattr(views, "detections", lambda *_: spark.createDataFrame(rows, SCHEMA))
+    monkeypatch.setattr(views, "total_frames", lambda *_: max(seen))
+    got = sorted((r.camera_id, r.frame, r.track_id, r.x1, r.y1) for r in catalog.QUERIES[name](spark, "").collect())
+    live, want = tracker.LiveTracks(40, 3, 0.2), []
+    for f in seen:
+        found, ids = live.advance(f, np.array([b for b, conf, cls in boxes[f] if conf >= 0.1 and cls != "person"], float))
+        want += [(c, f, int(t), int(b[0]), int(b[1])) for c in (0, 1) for b, t in zip(found, ids)]
+    assert got == sorted(want)
+    assert {r[2] for r in got if r[1] < 100} == {1, 2} and {r[2] for r in got if r[1] > 100} == {3, 4}
+
+
 def test_flat_boxes_do_not_disturb_others():
     live = tracker.LiveTracks(3, 1, 0.2)
     for f in range(1, 6):
