@@ -35,6 +35,19 @@ def test_declared_article(spark):
     assert got == {1: "A & B é One boldly two three Four five six x y <p> 1 < 2", 2: "", 3: "", 4: "just <text> here", 5: "a", 6: "deep", 7: "abc"}
 
 
+def test_articles_that_are_cards_do_not_replace_the_page(spark):
+    rng = random.Random(2)
+    body = {i: " ".join(f"own{rng.randint(0, 10**9)}" for _ in range(30)) for i in range(4)}
+    card = "<article class=card>one teaser of eight words on every page</article>"
+    got = texts(pages_of(spark, [
+        (1, "a", "<main><h1>Title</h1><p>body</p><article class=card>teaser</article></main>"),
+        (2, "a", "<main><p>in</p><article>first</article><p>mid</p><article>second</article></main><div>out</div>"),
+        (3, "b", "<article>x y</article><nav>menu</nav><article>z</article><article> </article>"),
+        (4, "c", f"<div>menu</div><article>{body[0]}</article><article></article>"),
+        *((10 + i, "http://d/", f"<nav>no</nav><div>{body[i]}</div>{card}") for i in range(4))]))
+    assert got == {1: "Title body teaser", 2: "in first mid second", 3: "x y z", 4: body[0], **{10 + i: body[i] for i in range(4)}}
+
+
 def test_boilerplate_of_a_host_is_found(spark):
     rng = random.Random(1)
     shared = " ".join(f"shared{k}" for k in range(30))
