@@ -24,8 +24,8 @@ from flowlattice.session import shared_dir
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 8_000_000
-MAX_HEADER = 1 << 16
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_HEAD_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.[01]\r\n")  # a version line before the blank line is another record's
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _DIGEST = re.compile(r"sha1:[A-Z2-7]{32}")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,9 +60,10 @@ def parse(data, at):
     version = _VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
-    end_of_head = data.find(b"\r\n\r\n", version.end() - 2, version.end() + MAX_HEADER)
-    if end_of_head < 0:
+    closed = _HEAD_END.search(data, version.end() - 2)
+    if not closed or len(closed[0]) > 4:
         raise Damaged("header not closed")
+    end_of_head = closed.start()
     fields = {}
     for line in data[version.end():end_of_head].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -209,12 +210,14 @@ def round_trip(pages):
     """Write `pages` (page_id, url, html) and read the archives back.
 
     Null html is an empty payload. Null and repeated page ids are written like others, but a null id is never part of a
-    revisit, and copies of the page to keep under its own id are all written whole. An empty table gives no record.
+    revisit, and copies of the page to keep under its own id are all written whole. An empty table gives no record. A gap in the
+    archives just written is an error.
     """
     spark = pages.sparkSession
     folder = write_archives(pages, f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return read_archives(spark, folder, payloads=False).where("gap is null").select(
+    whole = F.assert_true(F.col("gap").isNull(), F.concat(F.lit("gap in "), F.col("archive"), F.lit(": "), F.col("gap"))).isNull()
+    return read_archives(spark, folder, payloads=False).where(whole).select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 

@@ -95,6 +95,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_pages_with_long_urls_come_back(spark):
+    rows = [(1, "data:," + "x" * 200_000, "a"), (2, "http://h/" + " \n" * 40_000, "b"), (3, "http://h/WARC/1.1", "c"), (4, "\r\nWARC/1.1\r\n\r\n", "d")]
+    got = warc.round_trip(pages_of(spark, rows))
+    assert Counter(map(tuple, got.collect())) == brute_warc(rows)
+
+
+def test_a_gap_in_written_archives_is_an_error(spark, tmp_path, monkeypatch):
+    (tmp_path / "part.txt").write_bytes(warc.record(1, "u", 1, hashlib.sha1(b"p").digest(), b"p") + b"WARC/1.1\r\nWARC-Type: response\r\n")
+    monkeypatch.setattr(warc, "write_archives", lambda pages, folder: str(tmp_path))
+    with pytest.raises(Exception, match="header not closed"):
+        warc.round_trip(pages_of(spark, [(1, "u", "p")])).count()
+
+
 def test_payloads_come_back_whole(spark, tmp_path):
     pages = common.table(spark, SMALL, "pages")
     folder = warc.write_archives(pages, str(tmp_path / "warc"))
