@@ -65,6 +65,28 @@ def arrow_schema(schema):
     return struct, to_arrow_schema(struct)
 
 
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 23
+
+
+def slices(batch):
+    """A batch in slices of at most `BATCH_ROWS` rows and, but for single rows, about `BATCH_BYTES`.
+
+    Texts become Python objects a slice at a time, so a worker's memory follows the longest texts and not the batch.
+    """
+    low = 0
+    while low < batch.num_rows:
+        rows = min(BATCH_ROWS, batch.num_rows - low)
+        while rows > 1 and batch.slice(low, rows).nbytes > BATCH_BYTES:
+            rows = -(-rows // 4)
+        yield batch.slice(low, rows)
+        low += rows
+
+
+def each(column):
+    """The values of an Arrow column one by one, without a list of all."""
+    return (value.as_py() for value in column)
+
+
 def add_columns(frame, needs, step, made, carry):
     """The columns `carry` of `frame` as they are, then those that `step` makes of the lists of column `needs`.
 
@@ -79,22 +101,24 @@ def add_columns(frame, needs, step, made, carry):
 
     def run(batches):
         for batch in batches:
-            columns = step({name: batch.column(name).to_pylist() for name in needs})
-            arrays = [batch.column(c).cast(whole_arrow.field(c).type) for c in carry]
-            arrays += [pa.array(columns[field.name], type=field.type) for field in arrow]
-            yield pa.RecordBatch.from_arrays(arrays, schema=whole_arrow)
+            for part in slices(batch):
+                columns = step({name: part.column(name).to_pylist() for name in needs})
+                arrays = [part.column(c).cast(whole_arrow.field(c).type) for c in carry]
+                arrays += [pa.array(columns[field.name], type=field.type) for field in arrow]
+                yield pa.RecordBatch.from_arrays(arrays, schema=whole_arrow)
 
     return read.mapInArrow(run, whole)
 
 
 def map_rows(frame, step, schema):
-    """`mapInArrow` over lists: `step(columns)` takes and returns a dict of lists, one call per batch."""
+    """`mapInArrow` over lists: `step(columns)` takes and returns a dict of lists, one call per slice of a batch."""
     struct, arrow = arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            made = step({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(made[field.name], type=field.type) for field in arrow], schema=arrow)
+            for part in slices(batch):
+                made = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made[field.name], type=field.type) for field in arrow], schema=arrow)
 
     return frame.mapInArrow(run, struct)
