@@ -6,11 +6,11 @@ from flowlattice.functions import geometry as g, labels
 from flowlattice.operators import (
     calibration, crossings, filters, headings as heading_ops, heat, lives, overlaps,
     routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
-from flowlattice.plans import oracle as sql, summary, views
+from flowlattice.plans import oracle as sql, replay, summary, views
 from flowlattice.schemas import SITE_CONFIG
 from flowlattice.session import materialized
 from flowlattice.sources import detections as source, site
-from flowlattice.streaming import flows, replay, tracks as live_tracks
+from flowlattice.streaming import flows, totals, tracks as live_tracks
 
 QUERIES, ORACLES = {}, {}
 
@@ -982,6 +982,69 @@ def stream_crossings(spark, folder):
         kept(spark, folder), lambda s: flows.stream_crossings(s, LINES, FPS), FPS, slices=2)
 
 
+# Rows arrive up to 200 frames (8 of the 10 seconds that a row may be late) after later ones, so batches overlap.
+LATE_FRAMES = 200
+
+
+@query("stream_routes_late", ORACLES["stream_routes"])
+def stream_routes_late(spark, folder):
+    return replay.replay(zoned(spark, folder), lambda s: flows.stream_routes(s, FPS), FPS, delay_frames=LATE_FRAMES)
+
+
+@query("stream_headings_late", ORACLES["stream_headings"])
+def stream_headings_late(spark, folder):
+    return replay.replay(kept(spark, folder), lambda s: flows.stream_headings(s, DIRECTIONS, FPS), FPS, delay_frames=LATE_FRAMES)
+
+
+@query("stream_crossings_late", ORACLES["stream_crossings"])
+def stream_crossings_late(spark, folder):
+    return replay.replay(kept(spark, folder), lambda s: flows.stream_crossings(s, LINES, FPS), FPS, delay_frames=LATE_FRAMES)
+
+
+@query("stream_flow_per_window", sql.q(sql.FLT, f"""
+SELECT run_id, camera_id, CAST({replay.RUN_START_SECONDS} + floor((frame - 1) / 25.0 / 10) * 10 AS BIGINT) AS window_start, cls, count(*) AS boxes
+FROM flt GROUP BY ALL"""))
+def stream_flow_per_window(spark, folder):
+    found = replay.replay(kept(spark, folder), lambda s: flows.flow_per_window(s, "10 seconds"), FPS, delay_frames=LATE_FRAMES)
+    return found.select("run_id", "camera_id", F.unix_timestamp("window.start").alias("window_start"), "cls", "boxes")
+
+
+@query("stream_progress", sql.q(sql.routes_cte() + f""",
+boxes AS (SELECT run_id, camera_id, floor((frame - 1) / 25.0 / 10) AS w, count(*) AS boxes, count(DISTINCT track_id) AS tracks FROM flt GROUP BY ALL),
+done AS (SELECT run_id, camera_id, floor((frame - 1) / 25.0 / 10) AS w, count(*) AS routes FROM routes GROUP BY ALL)""", f"""
+SELECT run_id, camera_id, CAST({replay.RUN_START_SECONDS} + w * 10 AS BIGINT) AS window_start, boxes, tracks,
+ boxes / CAST(10 AS DOUBLE) AS rate, coalesce(routes, 0) AS routes FROM boxes LEFT JOIN done USING (run_id, camera_id, w)"""))
+def stream_progress(spark, folder):
+    """Progress of the stream per window, with the routes that the route stream completed in it."""
+    load = replay.replay(kept(spark, folder), lambda s: flows.progress_per_window(s, 10), FPS, delay_frames=LATE_FRAMES)
+    done = replay.with_frame_time(stream_routes(spark, folder), FPS).groupBy(
+        "run_id", "camera_id", F.window("ts", "10 seconds").start.alias("window_start")).agg(F.count(F.lit(1)).alias("routes"))
+    return load.join(done, ["run_id", "camera_id", "window_start"], "left").select(
+        "run_id", "camera_id", F.unix_timestamp("window_start").alias("window_start"), "boxes", "tracks", "rate",
+        F.coalesce("routes", F.lit(0)).alias("routes"))
+
+
+@query("stream_od_upsert", sql.q(sql.routes_cte(), """
+SELECT run_id, camera_id, origin, destination, cls, count(*) AS cnt FROM routes GROUP BY ALL"""))
+def stream_od_upsert(spark, folder):
+    """Origin-destination totals of a stream whose batches are all delivered twice."""
+    keys = ("run_id", "camera_id", "origin", "destination", "cls")
+
+    def sink(path):
+        return totals.Totals(spark, path, keys)
+
+    def deliver(events, path, checkpoint):
+        def twice(batch, batch_id):
+            counted = batch.select(*keys, F.lit(1).alias("cnt"))
+            for _ in range(2):
+                sink(path).write(counted, batch_id)
+
+        return flows.on_batch(events, twice, checkpoint)
+
+    return replay.replay(zoned(spark, folder), lambda s: flows.stream_routes(s, FPS), FPS, delay_frames=LATE_FRAMES,
+                         read=lambda path: sink(path).read(), deliver=deliver)
+
+
 @query("stream_track_detections")
 def stream_track_detections(spark, folder):
     return replay.replay(

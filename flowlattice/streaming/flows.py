@@ -1,16 +1,17 @@
 """Live routes, crossings and headings: the batch semantics on Structured Streaming.
 
-State is one small record per (run, camera, track). A micro-batch brings a track's new rows, they are
-put in frame order and stepped through the record. An event-time timer drops the record at the
-purge that would drop the track, so state stays as small as the traffic in view.
+Rows of a track may arrive in any order within the lateness of the watermark. They wait in a list, and a timer at the watermark
+releases them in frame order; rows behind the watermark are dropped by Spark and counted in its progress (`late_rows`). What is
+released steps a small typed record per (run, camera, track), so results do not depend on how rows fall into batches. An
+event-time timer drops the record at the purge that would drop the track, so state stays as small as the traffic in view.
+
+Results of a frame come when the watermark has passed it. Rows without a track are heartbeats: they move the watermark on and mean nothing
+else, so a source that ends or pauses sends one to have its last frames released.
 
 Needs the RocksDB state store; `start` sets it.
 """
 
-import bisect
-import json
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -24,123 +25,120 @@ from flowlattice.schemas import TRACK
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _runs(values):
+    """(start, stop) of the runs of equal neighbours; None equals None."""
+    if not len(values):
+        return []
+    starts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist()]
+    return list(zip(starts, [*starts[1:], len(values)]))
+
+
 class RouteMachine:
-    """Zone routes; rows need `zone`."""
+    """Zone routes, a run of rows in one zone at a time; rows need `zone`, `min_origin` and `min_dest`."""
 
     output = "origin string, destination string"
-    columns = ("zone",)
-
-    def __init__(self, min_origin=3, min_dest=3):
-        self.min_origin, self.min_dest = max(1, min_origin), max(2, min_dest)
-
-    def fresh(self, row):
-        return {"at": "new", "cls": row["cls"]}
-
-    def step(self, s, row):
-        zone, at = row["zone"], s["at"]
-        if at == "new":
-            if zone is not None:
-                s.update(at="origin", origin=zone, held=1)
-        elif at == "origin":
-            if zone == s["origin"]:
-                s["held"] += 1
-            elif s["held"] >= self.min_origin:
-                s.update(at="transit", dest=zone, stayed=1)
-            elif zone is None:
-                s["at"] = "new"
-        elif at == "transit":
-            if zone is None or zone == s["origin"]:
-                s["dest"] = None
-            elif zone != s["dest"]:
-                s.update(dest=zone, stayed=1)
-            else:
-                s["stayed"] += 1
-                if s["stayed"] >= self.min_dest:
-                    s["at"] = "done"
-                    yield {"cls": s["cls"], "origin": s["origin"], "destination": zone}
+    columns = ("zone", "min_origin", "min_dest")
+    held = "zone string, min_origin int, min_dest int"
+    state = "at string, origin string, seen int, dest string, stayed int"
+    fresh = ("new", None, 0, None, 0)
+    class_of_life = True
+
+    def advance(self, state, rows):
+        at, origin, seen, dest, stayed = state
+        zones = np.array([z if isinstance(z, str) else None for z in rows["zone"]], object)
+        found = []
+        for start, stop in _runs(zones):
+            zone, left = zones[start], stop - start
+            need, stay = max(1, int(rows["min_origin"].iloc[start])), max(2, int(rows["min_dest"].iloc[start]))
+            if at == "new" and zone is not None:
+                at, origin, seen = "origin", zone, left
+            elif at == "origin" and zone == origin:
+                seen += left
+            elif at == "origin" and seen < need:
+                at = "new" if zone is None else at
+            elif at == "origin":
+                at, dest, stayed, left = "transit", zone, 0, left
+            if at == "transit":
+                if zone is None or zone == origin:
+                    dest, stayed = None, 0
+                    continue
+                stayed = stayed if zone == dest else 0
+                dest = zone
+                if stayed + left >= stay:
+                    found.append((start + stay - stayed - 1, (origin, zone)))
+                    at = "done"
+                stayed += left
+        return (at, origin, seen, dest, stayed), found
 
 
 class CrossingMachine:
-    """Settled line crossings; rows need `sides`, an array of (line, side) near the row."""
+    """Settled line crossings; rows need `cy` and `sides`, one of + - 0 for every line."""
 
     output = "line string, direction string"
     columns = ("cy", "sides")
-
-    def __init__(self, min_crossing=2):
-        self.n = max(1, min_crossing)
-
-    def fresh(self, row):
-        return {"lines": {}, "seen": []}
-
-    def step(self, s, row):
-        for line, side in ((k["line"], k["side"]) for k in row["sides"]):
-            run = s["lines"].get(line)
-            if run is None or run["side"] != side:
-                run = {"side": side, "length": 0, "turn": run and (DOWN if row["cy"] > run["cy"] else UP)}
-                s["lines"][line] = run
-            run["length"] += 1
-            run["cy"] = row["cy"]
-            if run["length"] == self.n and run["turn"]:
-                key = f"{line} {run['turn']}"
-                if key not in s["seen"]:
-                    s["seen"].append(key)
-                    yield {"cls": row["cls"], "line": line, "direction": run["turn"]}
-
-
-class Compass:
-    """The configured direction nearest to a displacement, by angle.
-
-    Directions are sorted by angle once, so a displacement only meets its two neighbours around the circle. It fits when the
-    cosine between both is over `LOWEST_SCORE`. Of directions with one angle the first counts; one without length has no angle.
-    """
-
-    def __init__(self, directions):
-        by_angle = {}
-        for name, (start, end) in directions.items():
-            if tuple(start) != tuple(end):
-                by_angle.setdefault(math.atan2(end[1] - start[1], end[0] - start[0]), name)
-        self.angles = sorted(by_angle)
-        self.names = [by_angle[a] for a in self.angles]
-        self.rank = {name: k for k, name in enumerate(directions)}
-
-    def nearest(self, dx, dy):
-        if not self.names:
-            return None
-        angle = math.atan2(dy, dx)
-        at = bisect.bisect(self.angles, angle)
-        near = [((math.cos(angle - self.angles[k]), -self.rank[self.names[k]]), self.names[k])
-                for k in (at - 1, at % len(self.angles))]
-        (score, _), name = max(near)
-        return name if score > LOWEST_SCORE else None
+    held = "cy int, sides string"
+    state = "side array<int>, length array<int>, turn array<int>, y array<int>, seen array<int>"
+    class_of_life = False
+
+    def __init__(self, names, min_crossing=2):
+        self.names, self.n = names, max(1, min_crossing)
+        self.fresh = tuple([0] * len(names) for _ in range(5))
+
+    def advance(self, state, rows):
+        side, length, turn, last, seen = (list(v) for v in state)
+        y, found = rows["cy"].to_numpy(), []
+        signs = np.array([[{"+": 1, "-": -1}.get(c, 0) for c in s] for s in rows["sides"]], int).reshape(len(rows), len(self.names))
+        for k, name in enumerate(self.names):
+            near = np.flatnonzero(signs[:, k])
+            for start, stop in _runs(signs[near, k]):
+                here, many = int(signs[near[start], k]), stop - start
+                if here != side[k]:
+                    # Turns: 1 down, 2 up, 0 where the track came from nowhere.
+                    turn[k] = 0 if side[k] == 0 else 1 if y[near[start]] > last[k] else 2
+                    side[k], length[k] = here, 0
+                at = self.n - length[k] - 1
+                if 0 <= at < many and turn[k] and not seen[k] & turn[k]:
+                    seen[k] |= turn[k]
+                    found.append((int(near[start + at]), (name, DOWN if turn[k] == 1 else UP)))
+                length[k] = min(length[k] + many, self.n)
+                last[k] = int(y[near[stop - 1]])
+        return (side, length, turn, last, seen), sorted(found, key=lambda e: e[0])
 
 
 class HeadingMachine:
-    """Heading of a track; `directions` is {name: (start, end)}. The state is where the track began, how often it was
-    seen, and nothing more once its heading is known."""
+    """Heading of a track; `directions` is {name: (start, end)}. Scores are the batch operator's, term by term, so ties are too."""
 
     output = "direction string"
     columns = ("cx", "cy")
+    held = "cx int, cy int"
+    state = "x int, y int, seen int, done boolean"
+    fresh = (None, None, 0, False)
+    class_of_life = False
 
     def __init__(self, directions, min_origin=3):
-        self.compass, self.fewest = Compass(directions), max(min_origin, FEWEST_OBSERVATIONS)
-
-    def fresh(self, row):
-        return {"from": (row["cx"], row["cy"]), "count": 0}
-
-    def step(self, s, row):
-        if s["from"] is None:
-            return
-        s["count"] += 1
-        dx, dy = (row[c] - began for c, began in zip(("cx", "cy"), s["from"]))
-        if s["count"] >= self.fewest and math.hypot(dx, dy) >= SHORTEST_MOVE:
-            direction = self.compass.nearest(dx, dy)
-            if direction is not None:
-                s["from"] = None
-                yield {"cls": row["cls"], "direction": direction}
-
-
-class TrackProcessor(StatefulProcessor):
-    """Keeps a machine's record per track, with the batch rule for lives."""
+        self.names, self.fewest = list(directions), max(min_origin, FEWEST_OBSERVATIONS)
+        self.vectors = [(float(end[0] - start[0]), float(end[1] - start[1])) for start, end in directions.values()]
+
+    def advance(self, state, rows):
+        x, y, seen, done = state
+        if done or not self.names:
+            return state, []
+        x, y = (int(rows["cx"].iloc[0]), int(rows["cy"].iloc[0])) if seen == 0 else (x, y)
+        dx, dy = rows["cx"].to_numpy(float) - x, rows["cy"].to_numpy(float) - y
+        length, count = np.sqrt(dx * dx + dy * dy), seen + 1 + np.arange(len(rows))
+        scores = np.zeros((len(self.names), len(rows)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k, (vx, vy) in enumerate(self.vectors):
+                size = float(np.sqrt(vx * vx + vy * vy))
+                if size:
+                    scores[k] = (dx * vx + dy * vy) / (length * size)
+        fits = np.flatnonzero((count >= self.fewest) & (length >= SHORTEST_MOVE) & (scores.max(axis=0) > LOWEST_SCORE))
+        found = [(int(fits[0]), (self.names[int(scores[:, fits[0]].argmax())],))] if len(fits) else []
+        return (x, y, seen + len(rows), bool(found)), found
+
+
+class OrderedTracks(StatefulProcessor):
+    """Holds a track's rows until the watermark has passed them, then steps a machine through them, by the batch rule for lives."""
 
     def __init__(self, machine, columns, fps, every=EVERY, limit=LIMIT):
         self.machine, self.columns = machine, columns
@@ -148,40 +146,80 @@ class TrackProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.record = handle.getValueState("record", "body string, timer bigint")
+        self.names = ["frame", "ts", "cls", *self.machine.columns]
+        self.waiting = handle.getListState("waiting", f"frame bigint, ts bigint, kind string, {self.machine.held}")
+        self.life = handle.getValueState("life", f"life_start bigint, last bigint, last_ts bigint, kind string, {self.machine.state}")
+        self.timer = handle.getValueState("timer", "at bigint")
 
     def _purge_after(self, frame):
         return ((frame + self.limit) // self.every + 1) * self.every
 
-    def handleInputRows(self, key, rows, timerValues):
+    def _wake_at(self, ms):
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before != ms:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def _stepped(self, key, rows):
+        """Events of `rows`, which are in frame order and follow all that came before."""
+        frames, clock = rows["frame"].to_numpy(), rows["ts"].to_numpy()
+        life = self.life.get() if self.life.exists() else None
+        before = np.concatenate(([life[1] if life else frames[0]], frames[:-1]))
+        opens = ((before + self.limit) // self.every + 1) * self.every <= frames - 1
+        opens[0] |= life is None
+        found = []
+        starts = sorted({0, *np.flatnonzero(opens).tolist()})
+        for start, stop in zip(starts, [*starts[1:], len(rows)]):
+            part = rows.iloc[start:stop]
+            begun, _, _, cls, *state = (int(frames[start]), None, None, part["cls"].iloc[0], *self.machine.fresh) if opens[start] else life
+            state, events = self.machine.advance(tuple(state), part)
+            life = (begun, int(frames[stop - 1]), int(clock[stop - 1]), cls, *state)
+            found += [(*key, begun, int(frames[start + at]), cls if self.machine.class_of_life else part["cls"].iloc[at], *event)
+                      for at, event in events]
+        self.life.update(life)
+        return found
+
+    def _release(self, key, watermark):
+        held = pd.DataFrame(list(self.waiting.get()), columns=self.names) if self.waiting.exists() else pd.DataFrame(columns=self.names)
+        due = held["ts"].to_numpy(np.int64) <= watermark * 1000 if len(held) else np.zeros(0, bool)
         found = []
-        body, timer = None, None
-        if self.record.exists():
-            stored = self.record.get()
-            body, timer = json.loads(stored[0]), stored[1]
-        batch = pd.concat(list(rows)).sort_values("frame")
-        last_ts = None
-        for row in batch.to_dict("records"):
-            frame = int(row["frame"])
-            if body is None or self._purge_after(body["last"]) <= frame - 1:
-                body = {"life_start": frame, "state": self.machine.fresh(row)}
-            for event in self.machine.step(body["state"], row):
-                found.append({**dict(zip(TRACK, key)), "life_start": body["life_start"],
-                              "frame": frame, **event})
-            body["last"] = frame
-            last_ts = row["ts"]
-        due = last_ts.value // 1_000_000 + int(
-            (self._purge_after(body["last"]) - body["last"]) * 1000 / self.fps) + 1
-        if timer is not None and timer != due:
-            self.handle.deleteTimer(timer)
-        if timer != due:
-            self.handle.registerTimer(due)
-        self.record.update((json.dumps(body), due))
-        yield pd.DataFrame(found, columns=self.columns)
+        if due.any():
+            found = self._stepped(key, held[due].sort_values("frame", kind="stable"))
+            rest = held[~due]
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.put(list(rest.astype(object).where(rest.notna(), None).itertuples(index=False, name=None)))
+            held = rest
+        if len(held):
+            # A timer fires when the watermark is past it.
+            self._wake_at(-(-int(held["ts"].min()) // 1000))
+        elif self.life.exists():
+            _, last, clock, *_ = self.life.get()
+            purge = clock // 1000 + int((self._purge_after(last) - last) * 1000 / self.fps) + 1
+            if purge < watermark:
+                self.life.clear()
+                self.timer.clear()
+            else:
+                self._wake_at(purge)
+        return pd.DataFrame(found, columns=self.columns)
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = pd.concat(list(rows))
+        if key[-1] is None or pd.isna(key[-1]):
+            yield pd.DataFrame([], columns=self.columns)
+            return
+        clock = batch["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        kept = batch[["frame", "cls", *self.machine.columns]].astype(object)
+        kept.insert(1, "ts", clock.astype(object))
+        kept = kept.where(kept.notna(), None)
+        self.waiting.appendList(list(kept.itertuples(index=False, name=None)))
+        yield self._release(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.record.clear()
-        yield pd.DataFrame([], columns=self.columns)
+        self.timer.clear()
+        yield self._release(key, timerValues.getCurrentWatermarkInMs())
 
     def close(self):
         pass
@@ -193,32 +231,58 @@ def _events(observations, machine, fps):
     columns = [field.split()[0] for field in schema.split(", ")]
     rows = observations.select(*TRACK, "frame", "ts", "cls", *machine.columns)
     return rows.groupBy(*TRACK).transformWithStateInPandas(
-        TrackProcessor(machine, columns, fps), schema, "append", "eventTime")
+        OrderedTracks(machine, columns, fps), schema, "append", "eventTime")
 
 
 def stream_routes(observations, fps, min_origin=3, min_dest=3):
-    """Completed routes of a stream of observations that already have a `zone`."""
-    return _events(observations, RouteMachine(min_origin, min_dest), fps)
+    """Completed routes of a stream of observations that already have a `zone`.
+
+    The thresholds may be columns of the stream, as a join with a table of sites adds them.
+    """
+    given = {"min_origin": min_origin, "min_dest": min_dest}
+    asked = observations.withColumns({n: (v if hasattr(v, "alias") else F.lit(v)).cast("int") for n, v in given.items()})
+    return _events(asked, RouteMachine(), fps)
 
 
 def stream_crossings(observations, lines, fps, min_crossing=2, anchors="box"):
     """Settled crossings. The sides near every row are worked out before the stateful step."""
-    near = F.transform(crossing_ops.line_array(lines), lambda k: F.struct(
-        k["line"].alias("line"), crossing_ops.side_near(k, anchors).alias("side")))
-    with_sides = observations.withColumn("sides", F.filter(near, lambda k: k["side"] != 0))
-    return _events(with_sides, CrossingMachine(min_crossing), fps)
+    near = F.transform(crossing_ops.line_array(lines), lambda k: crossing_ops.side_near(k, anchors))
+    signs = F.transform(near, lambda side: F.when(side > 0, "+").when(side < 0, "-").otherwise("0"))
+    return _events(observations.withColumn("sides", F.array_join(signs, "")),
+                   CrossingMachine([line["name"] for line in lines], min_crossing), fps)
 
 
 def stream_headings(observations, directions, fps, min_origin=3):
     return _events(observations, HeadingMachine(directions, min_origin), fps)
 
 
+def late_rows(query):
+    """Rows of a stream that came behind the watermark and were left out, by Spark's count."""
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress for state in progress["stateOperators"])
+
+
+def _without_heartbeats(observations, column):
+    """Rows that are no heartbeats. The condition names the event time, so it is not pushed below the watermark, which heartbeats move."""
+    return observations.where(F.col(column).isNotNull() | F.col("ts").isNull())
+
+
 def flow_per_window(observations, window="1 minute"):
-    """Boxes per camera, class and tumbling window; late rows beyond the watermark are dropped."""
-    return observations.groupBy("run_id", "camera_id", F.window("ts", window), "cls").agg(
+    """Boxes per camera, class and tumbling window, given out when the watermark closes it; late rows beyond the watermark are dropped."""
+    return _without_heartbeats(observations, "camera_id").groupBy("run_id", "camera_id", F.window("ts", window), "cls").agg(
         F.count(F.lit(1)).alias("boxes"))
 
 
+def progress_per_window(observations, seconds=10):
+    """Boxes, tracks and boxes a second per camera and window, given out when the watermark closes it.
+
+    Tracks are counted exactly: boxes are summed per track first, so state is one number per track and window in view.
+    """
+    window = F.window("ts", f"{seconds} seconds")
+    per_track = _without_heartbeats(observations, "track_id").groupBy(*TRACK, window).agg(F.count(F.lit(1)).alias("boxes"))
+    return per_track.groupBy("run_id", "camera_id", "window").agg(F.sum("boxes").alias("boxes"), F.count(F.lit(1)).alias("tracks")).select(
+        "run_id", "camera_id", F.col("window.start").alias("window_start"), "boxes", "tracks", (F.col("boxes") / F.lit(float(seconds))).alias("rate"))
+
+
 def start(events, path, checkpoint, fmt="parquet", available_now=True):
     """Starts writing an event stream; append mode, exactly once with the file sink."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -27,7 +27,7 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).columns == ["origin", "destination", "cls", "cnt", "is_total"]
+    assert entry.entry(spark).columns == ["run_id", "camera_id", "origin", "destination", "cls", "cnt", "is_total"]
 
 
 def plan_of(df):

@@ -1,10 +1,13 @@
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowlattice.operators import lives, tracker
-from flowlattice.plans import views
+from flowlattice.operators import headings, lives, tracker
+from flowlattice.plans import replay, views
 from flowlattice.sources.detections import stream_detections
-from flowlattice.streaming import flows, replay, tracks
+from flowlattice.streaming import flows, totals, tracks
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,3 +65,92 @@ def test_batches_can_be_handed_to_a_function(spark, tmp_path):
     tracked = tracks.stream_tracks(stream, min_hits=1)
     flows.on_batch(tracked, lambda df, n: seen.append(df.count()), f"{home}/checkpoint").awaitTermination()
     assert len(seen) >= 1
+
+
+def test_rows_in_any_order_inside_the_lateness(spark, observe):
+    """Rows that arrive batch by batch in reverse order give what the table gives."""
+    walk = {k: [(f, 50 if f < 20 + k else 350, 50 + 3 * f) for f in range(1, 60)] for k in range(5)}
+    obs = observe(walk).withColumn("zone", F.when(F.col("cx") < 100, "A").otherwise("B"))
+    want = replay.replay(obs, lambda s: flows.stream_routes(s, 25.0, 4, 4), 25.0, slices=2).collect()
+    got = replay.replay(obs, lambda s: flows.stream_routes(s, 25.0, 4, 4), 25.0, slices=4, delay_frames=200).collect()
+    assert sorted(got) == sorted(want) and sorted((r.track_id, r.frame) for r in got) == [(k, 23 + k) for k in range(5)]
+
+
+def test_rows_behind_the_watermark_are_counted(spark, observe, tmp_path):
+    home = str(tmp_path)
+    obs = replay.with_frame_time(observe({1: [(1, 50, 50), (2, 50, 50), (5000, 50, 50)], 2: [(7000, 1, 1)]}).withColumn("zone", F.lit("A")), 1.0)
+    late = replay.with_frame_time(observe({1: [(3, 350, 50), (4, 350, 50)]}).withColumn("zone", F.lit("B")), 1.0)
+    for rows in (obs, late):
+        rows.write.mode("append").parquet(f"{home}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in").withWatermark("ts", "10 seconds")
+        query = flows.start(flows.stream_routes(stream, 1.0, 1, 2), f"{home}/out", f"{home}/checkpoint")
+        query.awaitTermination()
+    assert flows.late_rows(query) == 2
+
+
+def _plain_route(zones, need, stay):
+    """(at, route) of a machine that looks at one row after the other."""
+    at, origin, seen, dest, stayed = "new", None, 0, None, 0
+    for k, zone in enumerate(zones):
+        if at == "new" and zone:
+            at, origin, seen = "origin", zone, 1
+        elif at == "origin":
+            if zone == origin:
+                seen += 1
+            elif seen >= need:
+                at, dest, stayed = "transit", zone, 1
+            elif not zone:
+                at = "new"
+        elif at == "transit":
+            if not zone or zone == origin:
+                dest = None
+            elif zone != dest:
+                dest, stayed = zone, 1
+            else:
+                stayed += 1
+            if dest and stayed >= stay and zone == dest and stayed > 1:
+                return k, (origin, zone)
+    return None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["A", "B", "C", None]), min_size=1, max_size=30), st.integers(1, 3), st.integers(2, 4), st.lists(st.integers(1, 29), max_size=4))
+def test_route_machine_by_runs_equals_row_by_row(zones, need, stay, cuts):
+    machine, found, edges = flows.RouteMachine(), [], sorted({0, *(c for c in cuts if c < len(zones)), len(zones)})
+    state = machine.fresh
+    for low, high in zip(edges, edges[1:]):
+        part = pd.DataFrame({"zone": zones[low:high], "min_origin": need, "min_dest": stay})
+        state, events = machine.advance(state, part)
+        found += [(low + at, event) for at, event in events]
+    want = _plain_route(zones, need, stay)
+    assert found == ([want] if want else [])
+
+
+@pytest.mark.parametrize("moves", [[(150, 200)], [(-200, 150)], [(-7 * k, k) for k in range(2, 90)], [(3 * k, 4 * k) for k in range(4, 60)]])
+def test_stream_headings_break_ties_like_the_batch(spark, observe, moves):
+    directions = {"Norte": ((100, 200), (100, 0)), "Sur": ((100, 0), (100, 200)), "Este": ((0, 100), (200, 100)), "Oeste": ((200, 100), (0, 100)),
+                  "Diag": ((0, 0), (7, 7)), "Anti": ((0, 0), (-100, 100))}
+    tracks = {k: [(f, 1000, 1000) for f in range(1, 5)] + [(5, 1000 + x, 1000 + y)] for k, (x, y) in enumerate(moves)}
+    obs = observe(tracks)
+    batch = headings.headings(lives.with_lives(obs, first=("cx", "cy"), total_frames=10), directions, total_frames=10)
+    machine, live = flows.HeadingMachine(directions), {}
+    for track, rows in tracks.items():
+        _, found = machine.advance(machine.fresh, pd.DataFrame(rows, columns=["frame", "cx", "cy"]))
+        live.update({track: event[0] for _, event in found})
+    assert {r.track_id: r.direction for r in batch.collect()} == live
+
+
+def test_totals_count_a_batch_once(spark, tmp_path):
+    def batch(n):
+        return spark.createDataFrame([("a", n), ("b", 1)], "k string, cnt bigint")
+
+    sums = totals.Totals(spark, str(tmp_path / "t"), ["k"])
+    assert sums.read(batch(0)).count() == 0
+    assert [sums.write(batch(2), 0), sums.write(batch(2), 0), sums.write(batch(5), 1)] == [True, False, True]
+    # Written but not entered, as after a crash: not read, and replaced when it comes again.
+    batch(100).write.parquet(str(tmp_path / "t/batches/2"))
+    assert {tuple(r) for r in sums.read().collect()} == {("a", 7), ("b", 2)}
+    sums.compact()
+    assert {tuple(r) for r in sums.read().collect()} == {("a", 7), ("b", 2)}
+    assert [sums.write(batch(5), 1), sums.write(batch(3), 2)] == [False, True]
+    assert {tuple(r) for r in sums.read().collect()} == {("a", 10), ("b", 3)}
