@@ -196,15 +196,23 @@ def line_crossings(lived, lines, min_crossing=2, semantics="settled", **options)
     return SEMANTICS[semantics](lived, lines, min_crossing, **options)
 
 
-def gate_crossings(lived, width, height, ratios=(0.5, 0.7), tolerance=10):
+def gate_crossings(lived, width="frame_width", height="frame_height", ratios=(0.5, 0.7), tolerance=10, cameras=None):
     """Once-only count over horizontal gates at relative heights: upper first, then lower.
 
+    `width` and `height` are the frame's, or columns of `cameras` (run_id, camera_id, frame_width, frame_height), where every camera has
+    its own; rows of a camera that is not listed count nowhere.
+
     Every track counts at its first crossing of either gate and never again. `lived` needs
     `prev_cy`, which looks back across lives, since ids are never dropped here.
     """
-    gates = [(name, int(height * r)) for name, r in zip(("up", "down"), ratios)]
-    at_gate = F.array(*(F.struct(F.lit(i).alias("gate_order"), F.lit(name).alias("gate"),
-                                 F.lit(y).alias("gate_y")) for i, (name, y) in enumerate(gates)))
+    if cameras is not None:
+        lived = lived.join(cameras.select(*RUN_CAMERA, width, height), list(RUN_CAMERA))
+        width, height = F.col(width), F.col(height)
+        levels = [F.floor(height * F.lit(float(r))).cast("int") for r in ratios]
+    else:
+        levels = [F.lit(int(height * r)) for r in ratios]
+    at_gate = F.array(*(F.struct(F.lit(i).alias("gate_order"), F.lit(name).alias("gate"), y.alias("gate_y"))
+                        for i, (name, y) in enumerate(zip(("up", "down"), levels))))
     y, cy, before = F.col("gate_y"), F.col("cy"), F.col("prev_cy")
     falls, rises = (before < y) & (cy >= y), (before > y) & (cy <= y)
     rows = lived.filter(F.col("cx").between(0, width) & before.isNotNull()).select(
@@ -216,6 +224,6 @@ def gate_crossings(lived, width, height, ratios=(0.5, 0.7), tolerance=10):
         *TRACK, "_first.gate", "_first.direction", "_first.cls", "_first.frame")
 
 
-def gate_counts(gates):
-    return gates.groupBy("gate", "direction", F.coalesce("cls", F.lit("unknown")).alias("cls")).agg(
+def gate_counts(gates, by=()):
+    return gates.groupBy(*by, "gate", "direction", F.coalesce("cls", F.lit("unknown")).alias("cls")).agg(
         F.count(F.lit(1)).alias("cnt"))

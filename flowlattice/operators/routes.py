@@ -11,7 +11,7 @@ levels. Almost every life is one chunk and costs one run; a life of any length s
 and no task ever holds more than a chunk of it.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from flowlattice.functions.labels import route_key
 from flowlattice.operators.ordered import fits
@@ -50,13 +50,14 @@ def _step(min_origin, min_dest, direct):
 
 
 def _entry_states(n_zones, min_origin, min_dest):
-    """Every state a chunk can be entered in except `done`, ordered as `_entry_index` counts."""
-    if not n_zones:
-        return f"array({_state(NEW)})"
-    zones = f"sequence(0, {n_zones - 1})"
+    """Every state a chunk can be entered in except `done`, ordered as `_entry_index` counts.
+
+    The numbers may be columns: a row has as many entry states as its site's zones and thresholds ask for.
+    """
+    zones = f"slice(sequence(0, {n_zones}), 1, {n_zones})"
     held = (f"flatten(transform({zones}, o -> transform(sequence(1, {min_origin}), "
             f"k -> {_state(ORIGIN, 'o', 'k')})))")
-    toward = (f"flatten(transform({zones}, d -> transform(sequence(1, {min_dest - 1}), "
+    toward = (f"flatten(transform({zones}, d -> transform(sequence(1, {min_dest} - 1), "
               f"k -> {_state(TRANSIT, 'o', min_origin, 'd', 'k')})))")
     bound = (f"flatten(transform({zones}, o -> "
              f"concat(array({_state(TRANSIT, 'o', min_origin)}), {toward})))")
@@ -64,11 +65,11 @@ def _entry_states(n_zones, min_origin, min_dest):
 
 
 def _entry_index(n_zones, min_origin, min_dest):
-    transit = f"1 + {n_zones * min_origin} + s.o * {1 + n_zones * (min_dest - 1)}"
+    transit = f"1 + {n_zones} * {min_origin} + s.o * (1 + {n_zones} * ({min_dest} - 1))"
     return f"""CASE WHEN s.st = {NEW} THEN 0
       WHEN s.st = {ORIGIN} THEN s.o * {min_origin} + s.zf
       WHEN s.d < 0 THEN {transit}
-      ELSE {transit} + 1 + s.d * {min_dest - 1} + s.df - 1 END"""
+      ELSE {transit} + 1 + s.d * ({min_dest} - 1) + s.df - 1 END"""
 
 
 def zone_routes(lived, zone_names, min_origin=3, min_dest=3, direct="confirm",
@@ -76,22 +77,37 @@ def zone_routes(lived, zone_names, min_origin=3, min_dest=3, direct="confirm",
     """One row per life: state, origin, destination, class at first sight and route frame.
 
     `lived` needs the life, `frame`, `zone_order` (null outside every zone) and `cls`.
-    `zone_names` lists the zones by order. `direct="immediate"` completes a route at once when a
-    settled track steps from its origin straight into another zone. `total_frames`, the longest
-    run, saves the levels of composition it makes needless.
+    `zone_names` lists the zones by order, or is a table of cameras (run_id, camera_id, zone_names, min_origin, min_dest) where every
+    site has its own; it meets the groups of a life and not its rows, and a camera without a row has no zones.
+    `direct="immediate"` completes a route at once when a settled track steps from its origin straight into another zone.
+    `total_frames`, the longest run, saves the levels of composition it makes needless.
 
     Runs of rows outside every zone act like their first row. Where `lived` has `prev_zone_order`,
     only that row enters the machine.
     """
-    min_origin, min_dest, n_zones = max(1, min_origin), max(2, min_dest), len(zone_names)
     key = ", ".join(LIFE)
+    cameras = zone_names if isinstance(zone_names, DataFrame) else None
+    if cameras is None:
+        min_origin, min_dest, n_zones = max(1, min_origin), max(2, min_dest), len(zone_names)
+        names = "CAST(array(" + ", ".join(
+            "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in zone_names) + ") AS array<string>)"
+    else:
+        min_origin, min_dest, n_zones, names = (
+            f"greatest(1, coalesce(_site.min_origin, {min_origin}))", f"greatest(2, coalesce(_site.min_dest, {min_dest}))",
+            "coalesce(size(_site.zone_names), 0)", "coalesce(_site.zone_names, CAST(array() AS array<string>))")
+
+    def sited(groups):
+        if cameras is None:
+            return groups
+        return f"""SELECT g.*, c._site FROM ({groups}) g LEFT JOIN (
+            SELECT run_id, camera_id, struct(zone_names, min_origin, min_dest) AS _site FROM {{cameras}}) c
+            ON g.run_id = c.run_id AND g.camera_id = c.camera_id"""
+
     entered = f"IF(opens, array({_state(NEW)}), {_entry_states(n_zones, min_origin, min_dest)})"
     step = _step(min_origin, min_dest, direct)
     follow = (f"IF(s.st = {DONE}, s, "
               f"get(c.exits, CAST({_entry_index(n_zones, min_origin, min_dest)} AS INT)))")
     summed = "max(opens) AS opens, min(head) AS head, max(last_frame) AS last_frame"
-    names = "CAST(array(" + ", ".join(
-        "'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in zone_names) + ") AS array<string>)"
     states = "array(" + ", ".join(f"'{n}'" for n in STATE_NAMES) + ")"
     entry = "struct(frame, z)"
     if "prev_zone_order" in lived.columns:
@@ -109,28 +125,26 @@ def zone_routes(lived, zone_names, min_origin=3, min_dest=3, direct="confirm",
     if fits(total_frames, chunk_bits):
         ended = f"""
           SELECT *, aggregate(seq, {_state(NEW)}, (s, r) -> {step}) AS _end
-          FROM (SELECT {key}, {gathered} FROM ({source}) GROUP BY {key})"""
+          FROM ({sited(f"SELECT {key}, {gathered} FROM ({source}) GROUP BY {key}")})"""
     else:
         chunks = f"""
           SELECT *, transform({entered}, e -> aggregate(seq, e, (s, r) -> {step})) AS exits
-          FROM (SELECT {key}, _span, _chunk, {gathered} FROM ({source}) GROUP BY {key}, _span, _chunk)"""
+          FROM ({sited(f"SELECT {key}, _span, _chunk, {gathered} FROM ({source}) GROUP BY {key}, _span, _chunk")})"""
         last = "_chunk"
         if not fits(total_frames, span_bits):
             chunks = f"""
               SELECT *, transform({entered}, e -> aggregate(seq, e, (s, c) -> {follow})) AS exits
-              FROM (SELECT {key}, _span, array_sort(collect_list(struct(_chunk, exits))) AS seq, {summed}
-                    FROM ({chunks}) GROUP BY {key}, _span)"""
+              FROM ({sited(f"SELECT {key}, _span, array_sort(collect_list(struct(_chunk, exits))) AS seq, {summed} FROM ({chunks}) GROUP BY {key}, _span")})"""
             last = "_span"
         ended = f"""
           SELECT *, aggregate(seq, {_state(NEW)}, (s, c) -> {follow}) AS _end
-          FROM (SELECT {key}, array_sort(collect_list(struct({last}, exits))) AS seq, {summed}
-                FROM ({chunks}) GROUP BY {key})"""
+          FROM ({sited(f"SELECT {key}, array_sort(collect_list(struct({last}, exits))) AS seq, {summed} FROM ({chunks}) GROUP BY {key}")})"""
     return lived.sparkSession.sql(f"""
       SELECT {key}, get({states}, _end.st) AS state,
              CASE WHEN _end.o >= 0 THEN get({names}, _end.o) END AS origin,
              CASE WHEN _end.st = {DONE} THEN get({names}, _end.d) END AS destination,
              head.cls AS cls, _end.at AS frame, last_frame
-      FROM ({ended})""", lived=lived)
+      FROM ({ended})""", lived=lived, **({} if cameras is None else {"cameras": cameras}))
 
 
 def completed(routes):

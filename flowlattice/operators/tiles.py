@@ -2,7 +2,7 @@
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from flowlattice.functions.geometry import box
 
@@ -32,13 +32,14 @@ def tile_grid(frames, size_w=512, size_h=512, overlap=0.2):
 
 
 def tiles_of_box(dets, width, height, size_w=512, size_h=512, overlap=0.2):
-    """One row per (box, tile it overlaps). The tile numbers follow from the coordinates."""
+    """One row per (box, tile it overlaps). The tile numbers follow from the coordinates. The frame's size may be columns of `dets`."""
     b = box()
+    width, height = (v if isinstance(v, Column) else F.lit(v) for v in (width, height))
 
     def numbers(low, high, size, extent):
         step = tile_step(size, overlap)
         first = F.greatest(F.lit(0).cast("bigint"), F.floor((low - size) / F.lit(float(step))) + 1)
-        last = F.least(F.lit(math.ceil(extent / step) - 1).cast("bigint"),
+        last = F.least(F.ceil(extent / F.lit(float(step))).cast("bigint") - 1,
                        F.ceil(high / F.lit(float(step))) - 1)
         return F.when((first <= last) & (low < extent), F.sequence(first, last)).otherwise(
             F.array().cast("array<bigint>"))

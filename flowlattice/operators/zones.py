@@ -1,6 +1,6 @@
 """Which zone a point lies in."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowlattice.functions import geometry as g
 from flowlattice.schemas import RUN_CAMERA
@@ -51,16 +51,17 @@ def zone_spans(zones, width, height, by=("site_id",)):
     """Raster masks as pixel spans (zone_order, zone, y, x_from, x_to), clipped to the frame.
 
     A scan line at an integer y meets the ring in pairs of crossings; the pixels between a pair,
-    ends included, belong to the mask. Horizontal edges add their own pixels.
+    ends included, belong to the mask. Horizontal edges add their own pixels. The frame's size may be columns of `zones`.
     """
+    width, height = (v if isinstance(v, Column) else F.lit(v) for v in (width, height))
     n = F.size("ring")
     following = F.concat(F.slice("ring", 2, F.greatest(n - 1, F.lit(0))), F.slice("ring", 1, 1))
     edges = F.zip_with("ring", following, lambda a, b: F.struct(
         a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
-    shaped = zones.select(*by, "zone_order", "zone", edges.alias("_edges"))
+    shaped = zones.select(*by, "zone_order", "zone", edges.alias("_edges"), width.alias("_width"), height.alias("_height"))
     lows = F.array_min(F.transform("_edges", lambda e: e["ay"]))
     highs = F.array_max(F.transform("_edges", lambda e: e["ay"]))
-    lows, highs = F.greatest(F.lit(0), lows), F.least(F.lit(height - 1), highs)
+    lows, highs = F.greatest(F.lit(0), lows), F.least(F.col("_height") - 1, highs)
     lines = shaped.select("*", F.explode(F.when(
         lows <= highs, F.sequence(lows, highs)).otherwise(F.array().cast("array<int>"))).alias("y"))
 
@@ -92,16 +93,16 @@ def zone_spans(zones, width, height, by=("site_id",)):
                            F.greatest(e["ax"], e["bx"]).cast("double").alias("x_to")))
     spans = F.concat(paired(crossings(True)), paired(crossings(False)), flat)
     return (
-        lines.select(*by, "zone_order", "zone", "y", F.inline(spans))
+        lines.select(*by, "zone_order", "zone", "y", "_width", F.inline(spans))
         .select(*by, "zone_order", "zone", "y",
                 F.greatest(F.lit(0), F.round("x_from").cast("int")).alias("x_from"),
-                F.least(F.lit(width - 1), F.round("x_to").cast("int")).alias("x_to"))
+                F.least(F.col("_width") - 1, F.round("x_to").cast("int")).alias("x_to"))
         .filter("x_from <= x_to").distinct()
     )
 
 
 def zone_of_point_raster(obs, zones, width, height, x="cx", y="cy", by=RUN_CAMERA):
-    """The mask variant of `zone_of_point`: only points on the frame can match.
+    """The mask variant of `zone_of_point`: only points on the frame can match. The frame's size may be columns of `zones`.
 
     Spans are folded to one row per (site, scan line) before the join, so the join is an equi-join
     that keeps the observations' row count and needs no second grouping.

@@ -473,10 +473,9 @@ def match_samples(spark, folder):
 
 @query("synthetic_ids", sql.q(sql.DET, """
 SELECT camera_id, frame, det_idx, CAST(row_number() OVER (PARTITION BY camera_id, frame ORDER BY det_idx) AS BIGINT) AS track_id
-FROM det WHERE conf >= 0.3"""))
+FROM det"""))
 def synthetic_ids(spark, folder):
-    rows = views.detections(spark, folder).filter(F.col("conf") >= 0.3)
-    return overlaps.synthetic_ids(rows).select("camera_id", "frame", "det_idx", "track_id")
+    return overlaps.synthetic_ids(views.detections(spark, folder)).select("camera_id", "frame", "det_idx", "track_id")
 
 
 _TILES = """tiles AS (SELECT p_partkey AS frame_id, w, h, CAST(tc AS INTEGER) AS tile_col, CAST(tr AS INTEGER) AS tile_row,
@@ -788,6 +787,128 @@ def heat_smooth_wide(spark, folder):
     return heat.heat_smooth(_heat(spark, folder).withColumn("weight", F.col("weight") * 40), *views.FRAME_SIZE).withColumn("level", F.round("level", 6))
 
 
+# Single hits spread over 31 by 31 pixels are below the usual cut of 0.05.
+FAINT = 0.0005
+
+
+@query("heat_smooth_31", sql.q(_HEAT + """,
+raw AS (SELECT o, exp(-o*o/(2*5.0*5.0)::DOUBLE) AS e FROM (SELECT CAST(unnest(range(-15, 16)) AS INTEGER) AS o)),
+kern AS (SELECT o, e / (SELECT sum(e) FROM raw) AS k FROM raw),
+bx AS (SELECT run_id, camera_id, tx AS x, y, sum(weight * k) AS weight FROM (
+  SELECT run_id, camera_id, y, weight, k, unnest(CASE
+    WHEN x > 0 AND x <= 15 THEN [x + o, -x + o] WHEN x < 699 AND x >= 684 THEN [x + o, 1398 - x + o] ELSE [x + o] END) AS tx
+  FROM heat, kern) WHERE tx BETWEEN 0 AND 699 GROUP BY ALL),
+by_ AS (SELECT run_id, camera_id, x, ty AS y, sum(weight * k) AS weight FROM (
+  SELECT run_id, camera_id, x, weight, k, unnest(CASE
+    WHEN y > 0 AND y <= 15 THEN [y + o, -y + o] WHEN y < 519 AND y >= 504 THEN [y + o, 1038 - y + o] ELSE [y + o] END) AS ty
+  FROM bx, kern) WHERE ty BETWEEN 0 AND 519 GROUP BY ALL),
+peak AS (SELECT run_id, camera_id, greatest(max(weight), 1.0) AS p FROM by_ GROUP BY ALL)""", """
+SELECT b.run_id, b.camera_id, x, y, round(weight / p, 6) AS level FROM by_ b
+ JOIN peak k ON b.run_id = k.run_id AND b.camera_id = k.camera_id WHERE weight / p > 0.0005"""))
+def heat_smooth_31(spark, folder):
+    return heat.heat_smooth(_heat(spark, folder), *views.FRAME_SIZE, keep=FAINT).withColumn("level", F.round("level", 6))
+
+
+# --- sites with zones, thresholds, directions and frame sizes of their own -----------------------
+
+def lived_by_site(spark, folder):
+    zones = views.cameras(spark, folder).select("run_id", "camera_id", F.inline("zones"))
+    return lives.with_lives(zone_ops.zone_of_point(kept(spark, folder), zones), first=("cx", "cy"), prev=("zone_order", "cy"),
+                            total_frames=views.total_frames(spark, folder))
+
+
+@query("zone_routes_by_site", sql.q(sql.routes_cte("(2 + s.camera_id % 3)", "(2 + s.camera_id % 2)", lives=sql.BY_SITE), "SELECT * FROM states"))
+def zone_routes_by_site(spark, folder):
+    return route_ops.zone_routes(lived_by_site(spark, folder), views.cameras(spark, folder), total_frames=views.total_frames(spark, folder))
+
+
+_SITE_DIRECTIONS = """(VALUES (0, 0, 'up', 0, 0, -10, -1), (0, 1, 'down', 0, 0, 20, 1), (0, 2, 'right', 30, 0, 0, 5),
+ (1, 0, 'left', -40, 0, 0, 0), (1, 1, 'right', 30, 0, 0, 5), (1, 2, 'down', 0, 0, 20, 1), (1, 3, 'up', 0, 0, -10, -1)) t(odd, d, name, ax, bx, ay, by_)"""
+
+
+@query("headings_by_site", sql.q(sql.LIVED + f""",
+f AS (SELECT *, first_value(cx) OVER l AS fx, first_value(cy) OVER l AS fy FROM lived
+  WINDOW l AS (PARTITION BY run_id, camera_id, track_id, life ORDER BY frame)),
+m AS (SELECT *, CAST(cx - fx AS DOUBLE) AS dx, CAST(cy - fy AS DOUBLE) AS dy FROM f),
+v AS (SELECT m.*, d, name, CAST(ax + bx * camera_id AS DOUBLE) AS vx, CAST(ay + by_ * camera_id AS DOUBLE) AS vy
+  FROM m JOIN {_SITE_DIRECTIONS} ON odd = camera_id % 2 WHERE obs_no >= greatest(5, 2 + camera_id % 3) AND sqrt(dx*dx + dy*dy) >= 10),
+s AS (SELECT *, (dx*vx + dy*vy) / (sqrt(dx*dx + dy*dy) * sqrt(vx*vx + vy*vy)) AS score FROM v),
+b AS (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, life ORDER BY frame, score DESC, d) AS r
+  FROM s WHERE score > 0.5)""", """
+SELECT run_id, camera_id, track_id, life, name AS direction, round(score, 6) AS score, cls, frame FROM b WHERE r = 1"""))
+def headings_by_site(spark, folder):
+    return heading_ops.headings(lived_by_site(spark, folder), views.cameras(spark, folder),
+                                total_frames=views.total_frames(spark, folder)).withColumn("score", F.round("score", 6))
+
+
+@query("gate_counts_by_site", sql.q(sql.LIVED + """,
+x AS (SELECT l.*, g, gate, gy, pcy < gy AND cy >= gy AS falls FROM (
+  SELECT *, CAST(floor((520 - 40 * camera_id) * ratio) AS INTEGER) AS gy FROM lived, (VALUES (0,'up',0.5::DOUBLE),(1,'down',0.7::DOUBLE)) t(g, gate, ratio)) l
+ WHERE cx BETWEEN 0 AND 700 - 50 * camera_id AND pcy IS NOT NULL AND cy BETWEEN gy - 10 AND gy + 10
+  AND ((pcy < gy AND cy >= gy) OR (pcy > gy AND cy <= gy))),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id ORDER BY frame, g) AS r FROM x)""", """
+SELECT run_id, camera_id, gate, CASE WHEN falls THEN 'DOWN' ELSE 'UP' END AS direction, cls, count(*) AS cnt FROM k WHERE r = 1 GROUP BY ALL"""))
+def gate_counts_by_site(spark, folder):
+    gates = crossings.gate_crossings(lived_by_site(spark, folder), cameras=views.cameras(spark, folder))
+    return crossings.gate_counts(gates, by=("run_id", "camera_id"))
+
+
+_HEAT_BY_SITE = sql.LIVED + """, ends AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL),
+heat AS (SELECT l.run_id, l.camera_id, cx AS x, cy AS y, sum(pow(0.995::DOUBLE, e.f - l.frame)) AS weight
+ FROM lived l JOIN ends e ON e.run_id = l.run_id AND e.camera_id = l.camera_id
+ WHERE cx BETWEEN 0 AND 699 - 50 * l.camera_id AND cy BETWEEN 0 AND 519 - 40 * l.camera_id GROUP BY ALL)"""
+
+
+def _heat_by_site(spark, folder):
+    return heat.heat_grid(kept(spark, folder), ends=run_ends(spark, folder), cameras=views.cameras(spark, folder))
+
+
+@query("heat_grid_by_site", sql.q(_HEAT_BY_SITE, "SELECT run_id, camera_id, x, y, round(weight, 6) AS weight FROM heat"))
+def heat_grid_by_site(spark, folder):
+    return _heat_by_site(spark, folder).withColumn("weight", F.round("weight", 6))
+
+
+@query("heat_smooth_by_site", sql.q(_HEAT_BY_SITE + """,
+raw AS (SELECT o, exp(-o*o/(2*5.0*5.0)::DOUBLE) AS e FROM (SELECT CAST(unnest(range(-15, 16)) AS INTEGER) AS o)),
+kern AS (SELECT o, e / (SELECT sum(e) FROM raw) AS k FROM raw),
+bx AS (SELECT run_id, camera_id, tx AS x, y, sum(weight * k) AS weight FROM (
+  SELECT run_id, camera_id, y, weight, k, unnest(CASE
+    WHEN x > 0 AND x <= 15 THEN [x + o, -x + o] WHEN x < 699 - 50 * camera_id AND x >= 684 - 50 * camera_id
+     THEN [x + o, 1398 - 100 * camera_id - x + o] ELSE [x + o] END) AS tx
+  FROM heat, kern) WHERE tx BETWEEN 0 AND 699 - 50 * camera_id GROUP BY ALL),
+by_ AS (SELECT run_id, camera_id, x, ty AS y, sum(weight * k) AS weight FROM (
+  SELECT run_id, camera_id, x, weight, k, unnest(CASE
+    WHEN y > 0 AND y <= 15 THEN [y + o, -y + o] WHEN y < 519 - 40 * camera_id AND y >= 504 - 40 * camera_id
+     THEN [y + o, 1038 - 80 * camera_id - y + o] ELSE [y + o] END) AS ty
+  FROM bx, kern) WHERE ty BETWEEN 0 AND 519 - 40 * camera_id GROUP BY ALL),
+peak AS (SELECT run_id, camera_id, greatest(max(weight), 1.0) AS p FROM by_ GROUP BY ALL)""", """
+SELECT b.run_id, b.camera_id, x, y, round(weight / p, 6) AS level FROM by_ b
+ JOIN peak k ON b.run_id = k.run_id AND b.camera_id = k.camera_id WHERE weight / p > 0.0005"""))
+def heat_smooth_by_site(spark, folder):
+    return heat.heat_smooth(_heat_by_site(spark, folder), cameras=views.cameras(spark, folder), keep=FAINT).withColumn(
+        "level", F.round("level", 6))
+
+
+@query("zone_of_point_raster_by_site", sql.q(sql.OBS, """
+SELECT event_id, CASE WHEN NOT (cx BETWEEN 0 AND 699 - 50 * camera_id AND cy BETWEEN 0 AND 519 - 40 * camera_id) THEN NULL
+ WHEN cx <= 120 + 20 * camera_id THEN 'W' WHEN cx BETWEEN 560 - 10 * camera_id AND 700 THEN 'E'
+ WHEN camera_id < 3 AND cy <= 90 + 5 * camera_id THEN 'N' WHEN camera_id < 3 AND cy >= 400 - 10 * camera_id THEN 'S' END AS zone
+FROM obs"""))
+def zone_of_point_raster_by_site(spark, folder):
+    zones = views.cameras(spark, folder).select("run_id", "camera_id", "frame_width", "frame_height", F.inline("zones"))
+    return zone_ops.zone_of_point_raster(
+        views.observations(spark, folder), zones, F.col("frame_width"), F.col("frame_height")).select("event_id", "zone")
+
+
+@query("tiles_of_box_by_site", sql.q(sql.OBS, """
+SELECT event_id, CAST(tc AS BIGINT) AS tile_col, CAST(tr AS BIGINT) AS tile_row FROM (
+ SELECT *, 700 - 50 * camera_id AS w, 520 - 40 * camera_id AS h FROM obs), (SELECT unnest(range(8)) AS tc), (SELECT unnest(range(8)) AS tr)
+WHERE tc*102 < w AND tr*102 < h AND x2 > tc*102 AND x1 < least(tc*102+128, w) AND y2 > tr*102 AND y1 < least(tr*102+128, h)"""))
+def tiles_of_box_by_site(spark, folder):
+    boxes = heat.on_frames(views.observations(spark, folder), views.cameras(spark, folder))
+    return tiles.tiles_of_box(boxes, F.col("frame_width"), F.col("frame_height"), 128, 128, 0.2).select("event_id", "tile_col", "tile_row")
+
+
 # --- aggregates ------------------------------------------------------------------------------
 
 @query("route_counts", sql.q(sql.routes_cte(), "SELECT run_id, camera_id, route, count(*) AS cnt FROM routes GROUP BY ALL"))
@@ -1062,6 +1183,6 @@ def _long_runs(name):
     query(f"{name}_long_runs", ORACLES[name])(asked)
 
 
-for _name in ("track_lives", "zone_routes", "headings", "shape_ema", "line_crossings_settled", "line_crossings_strict", "rolling_rate",
+for _name in ("track_lives", "zone_routes", "zone_routes_by_site", "headings_by_site", "headings", "shape_ema", "line_crossings_settled", "line_crossings_strict", "rolling_rate",
               "route_events", "od_by_class", "track_report"):
     _long_runs(_name)

@@ -38,11 +38,14 @@ flt AS (SELECT * FROM obs
   AND conf >= CASE cls WHEN 'truck' THEN 0.15 WHEN 'bus' THEN 0.2 ELSE 0.1 END
   AND (x2-x1)*(y2-y1) >= 200 AND (x2-x1) <= 60
   AND NOT ((x1+x2)/2.0 BETWEEN 320 AND 360 AND (y1+y2)/2.0 BETWEEN 100 AND 130))"""
-LIVED = FLT + """,
-zoned AS (SELECT *, CASE WHEN cx BETWEEN 0 AND 120 AND cy BETWEEN 0 AND 520 THEN 'W'
+ZONED = """zoned AS (SELECT *, CASE WHEN cx BETWEEN 0 AND 120 AND cy BETWEEN 0 AND 520 THEN 'W'
   WHEN cx BETWEEN 560 AND 700 AND cy BETWEEN 0 AND 520 THEN 'E'
   WHEN cx BETWEEN 0 AND 700 AND cy BETWEEN 0 AND 90 THEN 'N'
-  WHEN cx BETWEEN 0 AND 700 AND cy BETWEEN 400 AND 520 THEN 'S' END AS zone FROM flt),
+  WHEN cx BETWEEN 0 AND 700 AND cy BETWEEN 400 AND 520 THEN 'S' END AS zone FROM flt)"""
+
+
+def lived(zoned):
+    return FLT + ",\n" + zoned + """,
 cut AS (SELECT *, lag(frame) OVER t AS pf, lag(cx) OVER t AS pcx, lag(cy) OVER t AS pcy
   FROM zoned WINDOW t AS (PARTITION BY run_id, camera_id, track_id ORDER BY frame)),
 cut2 AS (SELECT *, CASE WHEN pf IS NULL THEN 1
@@ -51,16 +54,27 @@ cut3 AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY run_id, camera_id, track_i
   FROM cut2),
 lived AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, camera_id, track_id, life ORDER BY frame) AS BIGINT)
   AS obs_no FROM cut3)"""
-LIFE_SUM = LIVED + """,
+
+
+_LIFE_SUM = """,
 lives AS (SELECT run_id, camera_id, track_id, life, min(frame) AS first_frame, max(frame) AS last_frame,
   count(*) AS n_obs, arg_min(cls, frame) AS first_cls FROM lived GROUP BY ALL),
 ends AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL)"""
+LIVED = lived(ZONED)
+LIFE_SUM = LIVED + _LIFE_SUM
+
+# Zones and thresholds that differ from camera to camera: camera 3 has two zones only.
+ZONED_BY_SITE = """zoned AS (SELECT *, CASE WHEN cx BETWEEN 0 AND 120 + 20 * camera_id AND cy BETWEEN 0 AND 520 THEN 'W'
+  WHEN cx BETWEEN 560 - 10 * camera_id AND 700 AND cy BETWEEN 0 AND 520 THEN 'E'
+  WHEN camera_id < 3 AND cx BETWEEN 0 AND 700 AND cy BETWEEN 0 AND 90 + 5 * camera_id THEN 'N'
+  WHEN camera_id < 3 AND cx BETWEEN 0 AND 700 AND cy BETWEEN 400 - 10 * camera_id AND 520 THEN 'S' END AS zone FROM flt)"""
+BY_SITE = lived(ZONED_BY_SITE)
 
 
-def routes_cte(min_origin=3, min_dest=3, immediate=False):
-    """A plain step-by-step run of the route machine."""
+def routes_cte(min_origin=3, min_dest=3, immediate=False, lives=None):
+    """A plain step-by-step run of the route machine; thresholds may be expressions over `s`."""
     to_other = ("'done'" if immediate else "'transit'")
-    return LIFE_SUM + f""",
+    return (lives or LIVED) + _LIFE_SUM + f""",
 run(run_id, camera_id, track_id, life, n, st, o, zf, d, df, done_at) AS (
  SELECT run_id, camera_id, track_id, life, obs_no, CASE WHEN zone IS NULL THEN 'new' ELSE 'origin' END,
    zone, CASE WHEN zone IS NULL THEN 0 ELSE 1 END, CAST(NULL AS VARCHAR), 0, CAST(NULL AS BIGINT)

@@ -202,3 +202,24 @@ def drawn_zones(spark, folder):
         point(k % 50 + 120, k % 30 + 90), point(k % 50 + 40, k % 30 + 60 + k % 13),
         point(k % 50 - 20, k % 30 + 80))
     return table(spark, folder, "customer").select(k.alias("zone_id"), ring.alias("ring"))
+
+
+def cameras(spark, folder):
+    """One site per run and camera, as a join of `sources.site` tables gives it: zones, thresholds, frame size, directions and lines differ."""
+    k = F.col("camera_id").cast("int")
+
+    def ring(x1, y1, x2, y2):
+        return F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))))
+
+    zero, right, bottom = F.lit(0), F.lit(700), F.lit(520)
+    rings = {"W": ring(zero, zero, 120 + 20 * k, bottom), "E": ring(560 - 10 * k, zero, right, bottom),
+             "N": ring(zero, zero, right, 90 + 5 * k), "S": ring(zero, 400 - 10 * k, right, bottom)}
+    zones = F.array(*(F.struct(F.lit(i).alias("zone_order"), F.lit(n).alias("zone"), r.alias("ring")) for i, (n, r) in enumerate(rings.items())))
+    zones = F.slice(zones, 1, F.when(k == 3, 2).otherwise(4))
+    directions = F.array(*(F.struct(F.lit(n).alias("direction"), x.alias("dx"), y.alias("dy")) for n, x, y in (
+        ("up", zero, -10 - k), ("down", zero, 20 + k), ("right", 30 + zero, 5 * k), ("left", F.lit(-40), zero))))
+    return runs(spark, folder).select(
+        "run_id", "camera_id", zones.alias("zones"), F.transform(zones, lambda z: z["zone"]).alias("zone_names"),
+        (2 + k % 3).alias("min_origin"), (2 + k % 2).alias("min_dest"), (1 + k % 2).alias("min_crossing"),
+        F.when(k % 2 == 1, F.reverse(directions)).otherwise(F.slice(directions, 1, 3)).alias("directions"),
+        (700 - 50 * k).alias("frame_width"), (520 - 40 * k).alias("frame_height"))

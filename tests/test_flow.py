@@ -348,3 +348,19 @@ def test_two_vehicles_and_matrix(observe):
     assert (row.frames_processed, idle.frames_processed, idle.total_vehicles_tracked, idle.routes) == (900, 30, 0, {})
     assert (row.total_vehicles_tracked, row.total_routes_completed) == (2, 2)
     assert row.routes == {"A → B": 1, "B → A": 1}
+
+
+def test_sites_with_their_own_zones_and_thresholds(spark, observe):
+    """Two cameras in one job give what each gives alone with its own settings; a camera without a site has no zones."""
+    walk = {1: [(f, 50 if f < 4 else 350, 50) for f in range(1, 9)], 2: [(f, 350 if f < 6 else 50, 50) for f in range(1, 9)]}
+    obs = observe(walk, camera=0).union(observe(walk, camera=1)).union(observe(walk, camera=2))
+    place = F.when(F.col("camera_id") < 2, F.when(F.col("cx") < 100, 0).otherwise(F.when(F.col("camera_id") == 0, 1)))
+    lived = lives.with_lives(obs.withColumn("zone_order", place))
+    sites = spark.createDataFrame([("r", 0, ["A", "B"], 2, 2), ("r", 1, ["C"], 4, 3)],
+                                  "run_id string, camera_id bigint, zone_names array<string>, min_origin int, min_dest int")
+    for bits in ({}, {"chunk_bits": 1, "span_bits": 2}):
+        got = {(r.camera_id, r.track_id): (r.state, r.origin, r.destination) for r in routes.zone_routes(lived, sites, **bits).collect()}
+        for camera, names, low, high in ((0, ["A", "B"], 2, 2), (1, ["C"], 4, 3), (2, [], 3, 3)):
+            alone = routes.zone_routes(lived.filter(F.col("camera_id") == camera), names, low, high).collect()
+            assert {(camera, r.track_id): (r.state, r.origin, r.destination) for r in alone} == {k: v for k, v in got.items() if k[0] == camera}
+        assert got[0, 1] == ("done", "A", "B") and got[1, 1][0] == "new" and got[2, 1][0] == "new"
