@@ -5,15 +5,13 @@
 * `simple`: sign change of the centre between two observations.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from flowlattice.functions import geometry as g
 from flowlattice.functions.labels import DOWN, UP, crossing_key
-from flowlattice.operators.ordered import with_trailing
+from flowlattice.operators.ordered import fits, with_trailing
 from flowlattice.schemas import LIFE, RUN_CAMERA, TRACK
-from flowlattice.session import checkpointed
 
-_CLEAR_PLAN_EVERY = 8
 
 
 def line_array(lines):
@@ -112,15 +110,18 @@ def crossings_simple(lived, lines, by=RUN_CAMERA):
     return _first_per_key(events, LIFE)
 
 
-def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA,
-                     total_frames=None):
+def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA, total_frames=None):
     """Side change against the previous centre, confirmed by the line's side history.
 
     The history keeps the last N+1 qualifying sides since it was cleared, a count needs at least N
-    of them and all equal, and a count clears the track's history on every line. Whether a
-    candidate counts thus depends only on where the last clear was relative to its N-th last
-    qualifying rows. A life clears at most once per line and direction, so that many rounds of a
-    plain minimum find all counts, however long the life is.
+    of them and all equal, and a count clears the track's history on every line. The raw sides before a row do not depend on what
+    counted, so a row's history is known up to one thing: where the last clear was. Rows that could count for some place of the last
+    clear are few; a life's are folded in order by an automaton whose state is that place and what was counted. The fold and
+    the windows before it keep the partitioning by track that lives have, so no rows move.
+
+    A candidate whose N+1 sides agree only fails when a clear falls among its last N rows. A life clears at most once per line and
+    direction, so of each line and direction only the first few such candidates are kept. The others need a clear between two
+    of their rows, so they are kept only behind another candidate.
     """
     n = max(1, min_crossing)
     ends = _ends(None)
@@ -141,50 +142,45 @@ def crossings_strict(lived, lines, min_crossing=2, anchors="box", by=RUN_CAMERA,
     steady = F.col("_flips") & F.col("_needs_after").isNotNull()
     for k in range(1, n):
         steady = steady & (F.col(f"_side{k}") == F.col("side"))
-    candidates = checkpointed(rows.filter(steady).select(
+    candidates = rows.filter(steady).select(
         *LIFE, "frame", "line_order", "line", "direction", "cls", "_needs_after", "_older",
-        F.coalesce(F.col(f"_side{n}") == F.col("side"), F.lit(True)).alias("_older_agrees")))
-
-    def after_clear(frame):
-        return (frame > F.col("_clear.frame")) | (
-            (frame == F.col("_clear.frame")) & (F.col("line_order") > F.col("_clear.line_order")))
-
-    if not isinstance(lines, DataFrame):
-        n_lines = len(lines)
-    else:
-        # Lines per site, a number from the configuration.
-        n_lines = lines.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-    key = crossing_key(F.col("line"), F.col("direction"))
-    event = F.struct("frame", "line_order", "line", "direction", "cls")
-    found, state = [], None
-    for step in range(2 * n_lines):
-        open_rows = candidates
-        if state is None:
-            open_rows = open_rows.filter(F.col("_older_agrees"))
-            crossed = F.array().cast("array<string>")
-            open_rows = open_rows.withColumn("_crossed", crossed)
-        else:
-            open_rows = open_rows.join(state, list(LIFE)).filter(
-                after_clear(F.col("frame")) & after_clear(F.col("_needs_after"))
-                & (F.col("_older_agrees") | ~after_clear(F.col("_older")))
-                & ~F.array_contains("_crossed", key))
-        nearest = open_rows.groupBy(*LIFE).agg(
-            F.min(event).alias("_clear"), F.first("_crossed").alias("_crossed"))
-        if (step + 1) % _CLEAR_PLAN_EVERY == 0:
-            nearest = checkpointed(nearest)
-            if nearest.isEmpty():
-                break
-        found.append(nearest.select(*LIFE, "_clear.line", "_clear.direction", "_clear.cls",
-                                    "_clear.frame"))
-        state = nearest.withColumn("_crossed", F.array_append("_crossed", crossing_key(
-            F.col("_clear.line"), F.col("_clear.direction"))))
-    if not found:
-        found = [candidates.select(*LIFE, "line", "direction", "cls", "frame").limit(0)]
-    events = found[0]
-    for more in found[1:]:
-        events = events.union(more)
-    return events.withColumn("route", key)
+        F.coalesce(F.col(f"_side{n}") == F.col("side"), F.lit(True)).alias("_sure"))
+    candidates = _that_may_count(candidates, n, lines, total_frames)
+
+    at = "struct<frame:bigint,line_order:int>"
+    event = "array<struct<line:string,direction:string,cls:string,frame:bigint>>"
+    start = F.expr(f"named_struct('clear', CAST(NULL AS {at}), 'seen', CAST(array() AS array<string>), 'events', CAST(array() AS {event}))")
+
+    def step(state, row):
+        def after_clear(frame):
+            place = F.struct(frame.cast("bigint").alias("frame"), row["line_order"].cast("int").alias("line_order"))
+            return F.coalesce(place > state["clear"], F.lit(True))
+
+        key = crossing_key(row["line"], row["direction"])
+        counts = (~F.array_contains(state["seen"], key) & after_clear(row["_needs_after"])
+                  & (row["_sure"] | (state["clear"].isNotNull() & ~after_clear(row["_older"]))))
+        counted = F.struct(
+            F.struct(row["frame"].cast("bigint").alias("frame"), row["line_order"].cast("int").alias("line_order")).alias("clear"),
+            F.array_append(state["seen"], key).alias("seen"),
+            F.array_append(state["events"], F.struct(*(row[c].alias(c) for c in ("line", "direction", "cls", "frame")))).alias("events"))
+        return F.when(counts, counted).otherwise(state)
+
+    columns = ("frame", "line_order", "line", "direction", "cls", "_needs_after", "_older", "_sure")
+    walks = candidates.groupBy(*LIFE).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
+    return walks.select(*LIFE, F.inline(F.aggregate("_rows", start, step)["events"])).withColumn(
+        "route", crossing_key(F.col("line"), F.col("direction")))
+
+
+def _that_may_count(candidates, n, lines, total_frames):
+    """Candidates that some course of counts could reach, see `crossings_strict`."""
+    if isinstance(lines, DataFrame) or not fits(total_frames):
+        # Runs of unknown length, or sites of unknown size: all candidates are folded.
+        return candidates
+    most = 2 * len(lines) * n + 1
+    key = Window.partitionBy(*LIFE, "line_order", "direction", "_sure").orderBy("frame")
+    along = Window.partitionBy(*LIFE).orderBy("frame", "line_order")
+    ranked = candidates.withColumns({"_rank": F.row_number().over(key), "_near": F.lag("frame").over(along)})
+    return ranked.filter((F.col("_sure") & (F.col("_rank") <= most)) | (~F.col("_sure") & (F.col("_near") >= F.col("_older"))))
 
 
 SEMANTICS = {"settled": crossings_settled, "strict": crossings_strict}

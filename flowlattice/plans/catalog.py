@@ -615,13 +615,17 @@ def _side(x, y):
     return f"((ex2-ex1)*({y}-ey1) - (ey2-ey1)*({x}-ex1))"
 
 
-_NEAR = sql.LIVED + f""",
+def _near_lines(lines):
+    return sql.LIVED + f""",
 near AS (SELECT *, CASE WHEN hi > 0 AND lo_ < 0 THEN 0 WHEN hi > 0 THEN 1 WHEN lo_ < 0 THEN -1 ELSE 0 END AS side
  FROM (SELECT l.*, lo, line, ex1, ey1, ex2, ey2, tol,
    abs((ex2-ex1)*(ey1-cy) - (ex1-cx)*(ey2-ey1)) / sqrt(CAST((ex2-ex1)*(ex2-ex1) + (ey2-ey1)*(ey2-ey1) AS DOUBLE)) AS distance,
    greatest({_side('cx','cy')}, {_side('x1','y1')}, {_side('x2','y1')}, {_side('x2','y2')}, {_side('x1','y2')}) AS hi,
    least({_side('cx','cy')}, {_side('x1','y1')}, {_side('x2','y1')}, {_side('x2','y2')}, {_side('x1','y2')}) AS lo_
-  FROM lived l, {_LINES_SQL}) WHERE distance <= tol)"""
+  FROM lived l, {lines}) WHERE distance <= tol)"""
+
+
+_NEAR = _near_lines(_LINES_SQL)
 
 
 @query("line_sides", sql.q(_NEAR, """
@@ -661,7 +665,7 @@ def line_crossings_simple(spark, folder):
     return crossings.line_crossings(lived(spark, folder, prev=("cy",)), LINES, semantics="simple")
 
 
-def _strict_sql(n, anchors):
+def _strict_sql(n, anchors, near=_NEAR, n_lines=2):
     side = "side" if anchors == "box" else (
         f"CASE WHEN {_side('cx','cy')} > 0 THEN 1 WHEN {_side('cx','cy')} < 0 THEN -1 ELSE 0 END")
     c = "CASE WHEN p.s > 0 THEN '+' ELSE '-' END"
@@ -669,21 +673,22 @@ def _strict_sql(n, anchors):
     def hist(i):
         return f"right(CASE WHEN p.lo = {i} THEN w.h{i} || {c} ELSE w.h{i} END, {n + 1})"
 
-    own = f"right(CASE WHEN p.lo = 0 THEN w.h0 ELSE w.h1 END || {c}, {n + 1})"
+    own = "right(CASE p.lo " + " ".join(f"WHEN {i} THEN w.h{i}" for i in range(n_lines)) + f" END || {c}, {n + 1})"
     counts = (f"p.flips AND length({own}) >= {n} AND replace({own}, {c}, '') = '' "
               "AND NOT list_contains(w.seen, p.line || ' ' || p.direction)")
     key = "run_id, camera_id, track_id, life"
     same = " AND ".join(f"p.{k} = w.{k}" for k in key.split(", "))
-    return sql.q(_NEAR + f""",
+    histories = ", ".join(f"h{i}" for i in range(n_lines))
+    return sql.q(near + f""",
 q AS (SELECT *, CASE WHEN {_side('pcx','pcy')} > 0 THEN 1 ELSE -1 END * s < 0 AS flips,
   CASE WHEN cy > pcy THEN '↓' ELSE '↑' END AS direction,
   row_number() OVER (PARTITION BY {key} ORDER BY frame, lo) AS i
   FROM (SELECT *, {side} AS s FROM near WHERE opens = 0) WHERE s <> 0),
-walk({key}, i, h0, h1, seen, hit) AS (
- SELECT {key}, 0::BIGINT, '', '', []::VARCHAR[], FALSE FROM q WHERE i = 1
+walk({key}, i, {histories}, seen, hit) AS (
+ SELECT {key}, 0::BIGINT, {", ".join(["''"] * n_lines)}, []::VARCHAR[], FALSE FROM q WHERE i = 1
  UNION ALL
- SELECT {", ".join("w." + k for k in key.split(", "))}, p.i, CASE WHEN {counts} THEN '' ELSE {hist(0)} END,
-  CASE WHEN {counts} THEN '' ELSE {hist(1)} END,
+ SELECT {", ".join("w." + k for k in key.split(", "))}, p.i,
+  {", ".join(f"CASE WHEN {counts} THEN '' ELSE {hist(i)} END" for i in range(n_lines))},
   CASE WHEN {counts} THEN list_append(w.seen, p.line || ' ' || p.direction) ELSE w.seen END, {counts}
  FROM walk w JOIN q p ON {same} AND p.i = w.i + 1)""",
         f"SELECT {_EVENT} FROM walk JOIN q USING ({key}, i) WHERE hit")
@@ -703,6 +708,18 @@ def line_crossings_strict_first(spark, folder):
         total_frames=views.total_frames(spark, folder))
 
 
+# Lines so narrow that a box is only seen beyond them, which is when the rule counts boxes.
+NARROW_LINES = [{"name": "N1", "pt1": (352, 0), "pt2": (352, 520), "tolerance": 10}, {"name": "N2", "pt1": (0, 242), "pt2": (700, 242), "tolerance": 7},
+                {"name": "N3", "pt1": (348, 0), "pt2": (348, 520), "tolerance": 10}]
+_NARROW = _near_lines("(VALUES (0,'N1',352,0,352,520,10), (1,'N2',0,242,700,242,7), (2,'N3',348,0,348,520,10)) ln(lo, line, ex1, ey1, ex2, ey2, tol)")
+
+
+@query("line_crossings_strict_box", _strict_sql(1, "box", _NARROW, 3))
+def line_crossings_strict_box(spark, folder):
+    return crossings.line_crossings(
+        lived(spark, folder, prev=("cx", "cy")), NARROW_LINES, 1, "strict", total_frames=views.total_frames(spark, folder))
+
+
 HEADINGS_SQL = sql.LIVED + """,
 f AS (SELECT *, first_value(cx) OVER l AS fx, first_value(cy) OVER l AS fy FROM lived
   WINDOW l AS (PARTITION BY run_id, camera_id, track_id, life ORDER BY frame)),
