@@ -4,15 +4,14 @@ Pairs are found through a grid: a box is listed in every cell it touches, and on
 cell meet, so far-apart boxes of a crowded frame are never compared.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from flowlattice.functions import geometry as g
 from flowlattice.operators.filters import passes_sample_constraints
 from flowlattice.schemas import FRAME
-from flowlattice.session import checkpointed
 
 CELL = 128
-CROWD = 2048
+PASSES = 4
 
 
 def _cells(low, high, cell):
@@ -94,69 +93,44 @@ def match_samples(candidates, samples, constraints=None):
         *(F.col(f"_best.{c}").alias(c) for c in ("iou", "conf", "cls", "x1", "y1", "x2", "y2")))
 
 
-def _folded(dets, keys, threshold, score):
-    """Greedy suppression of small groups as one JVM fold per frame."""
-    payload = [c for c in dets.columns if c not in keys]
-    ranked = F.struct((-F.col("conf")).alias("_rank"), F.col("det_idx").alias("_idx"), *payload)
-    groups = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(ranked)).alias("_boxes"))
-    none = F.slice("_boxes", 1, 0)
-    kept = F.aggregate("_boxes", none, lambda kept, d: F.when(
-        F.exists(kept, lambda k: score(g.box_of(k), g.box_of(d)) > threshold), kept
-    ).otherwise(F.array_append(kept, d)))
-    return groups.select(*keys, F.inline(kept)).select(*dets.columns)
-
+def _apart(dets, keys, passes):
+    """Adds group numbers so that boxes of different groups of a frame cannot overlap.
 
-def _in_rounds(dets, keys, threshold, score, cell):
-    """The same result for frames of any size.
-
-    In every round the best undecided box of each cell is found; a box that leads all its cells
-    beats everything it could overlap, so it is kept, and what it covers is dropped. At most one
-    box per cell is compared with the cell's boxes, and no list of pairs is built.
+    Boxes are read from left to right; where one starts beyond the end of all before it, a new group starts. Every group is read again
+    from top to bottom, and so on in turns, so that what lies apart is cut off. All passes keep the frames' partitioning.
     """
-    keys = list(keys)
-    place = [*keys, "_gx", "_gy"]
-    lead = F.struct((-F.col("conf")).alias("_rank"), "det_idx", "x1", "y1", "x2", "y2")
-    left, kept = checkpointed(dets), None
-    while not left.isEmpty():
-        listed = in_cells(left, cell)
-        best = listed.groupBy(*place).agg(F.min(lead).alias("_lead")).select(*place, "_lead.*")
-        b = g.box()
-        cells_of_box = F.size(_cells(b.x1, b.x2, cell)) * F.size(_cells(b.y1, b.y2, cell))
-        winners = checkpointed(
-            best.groupBy(*keys, "det_idx", "x1", "y1", "x2", "y2").agg(
-                F.count(F.lit(1)).alias("_led"))
-            .filter(F.col("_led") == cells_of_box).drop("_led"))
-        covers = in_cells(winners, cell).select(
-            *place, *(F.col(c).alias(f"k_{c}") for c in ("det_idx", "x1", "y1", "x2", "y2")))
-        decided = listed.join(covers, place).filter(
-            (F.col("det_idx") == F.col("k_det_idx")) | (score(g.box("k_"), g.box()) > threshold)
-        ).select(*keys, "det_idx").distinct()
-        taken = left.join(winners.select(*keys, "det_idx"), [*keys, "det_idx"], "left_semi")
-        kept = taken if kept is None else kept.union(taken)
-        left = checkpointed(left.join(decided, [*keys, "det_idx"], "left_anti"))
-    return kept
-
-
-def nms(dets, threshold=0.3, metric="iou", class_aware=False, crowd=CROWD, cell=CELL):
+    groups = []
+    for k in range(passes):
+        low, high = (("x1", "x2"), ("y1", "y2"))[k % 2]
+        along = Window.partitionBy(*keys, *groups).orderBy(low, high)
+        before = along.rowsBetween(Window.unboundedPreceding, -1)
+        upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        opens = F.coalesce(F.col(low) >= F.max(high).over(before), F.lit(True)).cast("int")
+        dets = dets.withColumn("_opens", opens).withColumn(f"_group{k}", F.sum("_opens").over(upto)).drop("_opens")
+        groups.append(f"_group{k}")
+    return dets, groups
+
+
+def nms(dets, threshold=0.3, metric="iou", class_aware=False, passes=PASSES):
     """Greedy non-maximum suppression per frame: confidence, then input order; 0 disables.
 
-    Frames up to `crowd` boxes are folded in place. If there are larger ones (one count over the
-    keys tells), they go through `_in_rounds`, with the same result.
+    A box only ever meets boxes that it overlaps, so frames are cut into groups of boxes that lie apart (`_apart`) and every
+    group is one JVM fold. The plan is the same for frames of any size: one exchange by frame, no round trips. How far groups
+    are cut changes the work, never the result.
     """
     if threshold <= 0:
         return dets
     keys = [*FRAME, "cls"] if class_aware else list(FRAME)
     score = g.OVERLAP_METRICS[metric]
-    if crowd is None:
-        return _folded(dets, keys, threshold, score)
-    crowded = dets.groupBy(*keys).count().filter(F.col("count") > crowd).select(*keys)
-    if crowded.isEmpty():
-        return _folded(dets, keys, threshold, score)
-    crowded = checkpointed(crowded)
-    small = dets.join(crowded, keys, "left_anti")
-    large = dets.join(crowded, keys, "left_semi")
-    rounds = _in_rounds(large, keys, threshold, score, cell).select(*dets.columns)
-    return _folded(small, keys, threshold, score).unionByName(rounds)
+    cut, groups = _apart(dets, keys, passes)
+    payload = [c for c in dets.columns if c not in keys]
+    ranked = F.struct((-F.col("conf")).alias("_rank"), F.col("det_idx").alias("_idx"), *payload)
+    boxes = cut.groupBy(*keys, *groups).agg(F.array_sort(F.collect_list(ranked)).alias("_boxes"))
+    none = F.slice("_boxes", 1, 0)
+    kept = F.aggregate("_boxes", none, lambda kept, d: F.when(
+        F.exists(kept, lambda k: score(g.box_of(k), g.box_of(d)) > threshold), kept
+    ).otherwise(F.array_append(kept, d)))
+    return boxes.select(*keys, F.inline(kept)).select(*dets.columns)
 
 
 def synthetic_ids(dets):

@@ -407,8 +407,14 @@ def nms_ios(spark, folder):
 
 @query("nms_crowded_frames", _nms_sql(_IOU, 0.3))
 def nms_crowded_frames(spark, folder):
-    """The path for frames too large to fold, forced for all frames."""
-    return _kept_boxes(overlaps.nms(views.detections(spark, folder), 0.3, crowd=1))
+    """The same boxes with 64 frames laid side by side as one, so a frame holds some 500 boxes."""
+    at = F.pmod("frame", F.lit(64))
+    side_by_side = views.detections(spark, folder).select(
+        "run_id", "camera_id", F.shiftright("frame", 6).alias("frame"), (at * 8 + F.col("det_idx")).cast("int").alias("det_idx"),
+        *((F.col(c) + (at * 400 if c[0] == "x" else 0)).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")), "conf", "cls", at.alias("at"))
+    found = overlaps.nms(side_by_side, 0.3)
+    return found.select("camera_id", (F.shiftleft("frame", 6) + F.col("at")).alias("frame"),
+                        F.pmod("det_idx", F.lit(8)).alias("det_idx"), "cls", "conf")
 
 
 _TRK = """trk AS (SELECT run_id, camera_id, frame, CAST(det_idx + 1 AS BIGINT) AS track_id,
@@ -981,10 +987,15 @@ def vehicles_total(spark, folder):
     return summary.vehicles_total(lived(spark, folder))
 
 
-@query("active_per_frame", sql.q(sql.FLT, """
-SELECT run_id, camera_id, frame, count(*) AS active FROM flt GROUP BY ALL"""))
+_AXIS = sql.FLT + """,
+ends AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL),
+act AS (SELECT x.run_id, x.camera_id, x.frame, count(t.event_id) AS active FROM (
+  SELECT run_id, camera_id, unnest(range(1, f + 1)) AS frame FROM ends) x LEFT JOIN flt t USING (run_id, camera_id, frame) GROUP BY ALL)"""
+
+
+@query("active_per_frame", sql.q(_AXIS, "SELECT run_id, camera_id, frame, active FROM act"))
 def active_per_frame(spark, folder):
-    return summary.active_per_frame(kept(spark, folder))
+    return summary.active_per_frame(kept(spark, folder), views.runs(spark, folder))
 
 
 @query("class_totals", sql.q(sql.routes_cte(), "SELECT run_id, camera_id, coalesce(cls, 'unknown') AS cls, count(*) AS cnt FROM routes GROUP BY ALL"))
@@ -1052,13 +1063,12 @@ def pick_backend(spark, folder):
 
 # --- ordered aggregates and time --------------------------------------------------------------
 
-@query("rolling_rate", sql.q(sql.FLT + """,
-act AS (SELECT run_id, camera_id, frame, 1.0::DOUBLE / count(*) AS rate FROM flt GROUP BY ALL)""", """
-SELECT run_id, camera_id, frame, round(avg(rate) OVER (PARTITION BY run_id, camera_id ORDER BY frame
+@query("rolling_rate", sql.q(_AXIS, """
+SELECT run_id, camera_id, frame, round(avg(active) OVER (PARTITION BY run_id, camera_id ORDER BY frame
  ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS rolling FROM act"""))
 def rolling_rate(spark, folder):
-    rates = summary.active_per_frame(kept(spark, folder)).select(
-        "run_id", "camera_id", "frame", (F.lit(1.0) / F.col("active")).alias("rate"))
+    """Boxes a frame over the last 30 frames."""
+    rates = summary.active_per_frame(kept(spark, folder), views.runs(spark, folder)).withColumnRenamed("active", "rate")
     return summary.rolling_rate(rates, total_frames=views.total_frames(spark, folder)).select(
         "run_id", "camera_id", "frame", F.round("rolling", 6).alias("rolling"))
 

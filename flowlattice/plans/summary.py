@@ -7,6 +7,7 @@ from flowlattice.schemas import FRAME, LIFE, RUN_CAMERA
 
 PROGRESS_EVERY = 60
 RATE_WINDOW = 30
+_AXIS_BITS = 14
 
 
 def route_counts(events, key="route", by=()):
@@ -81,8 +82,20 @@ def vehicles_total(lived, by=RUN_CAMERA, approximate=False):
     return lived.groupBy(*by).agg(F.sum(F.col("new_life").cast("bigint")).alias("vehicles"))
 
 
-def active_per_frame(obs):
-    return obs.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("active"))
+def frame_axis(runs):
+    """Every frame of every run of `runs` (run_id, camera_id, total_frames), from 1, made in spans so that no row holds a whole run."""
+    last_span = F.shiftright(F.col("total_frames"), _AXIS_BITS)
+    spans = runs.filter("total_frames >= 1").select(
+        *RUN_CAMERA, "total_frames", F.explode(F.sequence(F.lit(0).cast("bigint"), last_span)).alias("_span"))
+    low = F.shiftleft("_span", _AXIS_BITS)
+    high = F.least("total_frames", low + (1 << _AXIS_BITS) - 1)
+    return spans.select(*RUN_CAMERA, F.explode(F.sequence(F.greatest(low, F.lit(1)), high)).alias("frame"))
+
+
+def active_per_frame(obs, runs):
+    """Boxes of every frame of the runs, also of frames without any."""
+    seen = obs.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("active"))
+    return frame_axis(runs).join(seen, list(FRAME), "left").withColumn("active", F.coalesce("active", F.lit(0)))
 
 
 def class_totals(rows, by=RUN_CAMERA):
@@ -97,7 +110,7 @@ def vehicles_by_class(labelled):
 
 
 def rolling_rate(rates, value="rate", n=RATE_WINDOW, total_frames=None):
-    """Mean of the last n per-frame values, fewer at the start of a run."""
+    """Mean of the values of the last n frames, fewer at the start of a run; `rates` has a row for every frame."""
     def look(window):
         return {"rolling": F.avg(value).over(window.rowsBetween(-(n - 1), 0))}
 

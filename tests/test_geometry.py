@@ -141,16 +141,16 @@ def _boxes(spark, rows):
         "run_id string, camera_id bigint, frame bigint, det_idx int, x1 int, y1 int, x2 int, y2 int, conf double, cls string")
 
 
-@pytest.mark.parametrize("crowd", [None, 2048, 1])
-def test_nms(spark, crowd):
+@pytest.mark.parametrize("passes", [0, 1, 4])
+def test_nms(spark, passes):
     boxes = _boxes(spark, [(0, 0, 10, 10, .9, "car"), (1, 1, 11, 11, .5, "truck"), (50, 50, 60, 60, .7, "bus")])
-    assert {r.cls for r in overlaps.nms(boxes, 0.3, crowd=crowd).collect()} == {"car", "bus"}
+    assert {r.cls for r in overlaps.nms(boxes, 0.3, passes=passes).collect()} == {"car", "bus"}
     low = _boxes(spark, [(0, 0, 10, 10, .9, "car"), (8, 8, 18, 18, .8, "car")])
-    assert overlaps.nms(low, 0.5, crowd=crowd).count() == 2
-    assert overlaps.nms(boxes, 0.0, crowd=crowd).count() == 3
+    assert overlaps.nms(low, 0.5, passes=passes).count() == 2
+    assert overlaps.nms(boxes, 0.0, passes=passes).count() == 3
 
 
-def test_nms_in_rounds_equals_plain_greedy_on_random_boxes(spark):
+def test_nms_equals_plain_greedy_on_random_boxes(spark):
     import random
 
     random.seed(7)
@@ -171,12 +171,20 @@ def test_nms_in_rounds_equals_plain_greedy_on_random_boxes(spark):
     for i in sorted(range(len(rows)), key=lambda i: (-rows[i][4], i)):
         if all(iou(rows[i], rows[k]) <= 0.3 for k in kept):
             kept.append(i)
-    for crowd in (2048, 10):
-        assert sorted(r.det_idx for r in overlaps.nms(boxes, 0.3, crowd=crowd).collect()) == sorted(kept)
+    for passes in (0, 1, 4):
+        assert sorted(r.det_idx for r in overlaps.nms(boxes, 0.3, passes=passes).collect()) == sorted(kept)
     # Suppressing twice changes nothing.
     assert overlaps.nms(overlaps.nms(boxes, 0.3), 0.3).count() == len(kept)
 
 
+def test_nms_of_many_boxes_that_lie_apart(spark):
+    """5,000 boxes of one frame, one of them covered: one exchange, and no pass over all pairs."""
+    boxes = _boxes(spark, [(x, y, x + 9, y + 9, .5, "car") for x in range(0, 1000, 10) for y in range(0, 500, 10)] + [(1, 1, 10, 10, .4, "car")])
+    kept = overlaps.nms(boxes, 0.3)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert kept.count() == 5000 and kept.filter("conf < 0.5").count() == 0
+
+
 def test_class_from_best_overlap(spark):
     tracks = spark.createDataFrame([("r", 0, 1, 1, 10, 10, 50, 50), ("r", 0, 2, 1, 10, 10, 50, 50)],
                                    "run_id string, camera_id bigint, frame bigint, track_id bigint, x1 int, y1 int, x2 int, y2 int")
