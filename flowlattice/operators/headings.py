@@ -47,6 +47,20 @@ def headings(lived, directions, min_origin=3, total_frames=None):
     return _earliest(found.select(*LIFE, "frame", "cls", "score", name.alias("direction")), total_frames)
 
 
+def direction_of_row(directions, min_origin=3):
+    """The direction that fits a row with `first_cx`, `first_cy` and `obs_no`, or null; the same rule as `headings`, as one column."""
+    dx, dy = (F.col("cx") - F.col("first_cx")).cast("double"), (F.col("cy") - F.col("first_cy")).cast("double")
+    length = F.sqrt(dx * dx + dy * dy)
+    best, name = F.lit(LOWEST_SCORE), F.lit(None).cast("string")
+    for direction, (start, end) in directions.items():
+        vx, vy = float(end[0] - start[0]), float(end[1] - start[1])
+        size = math.sqrt(vx * vx + vy * vy)
+        if size:
+            score = F.try_divide(dx * F.lit(vx) + dy * F.lit(vy), length * F.lit(size))
+            name, best = F.when(score > best, F.lit(direction)).otherwise(name), F.greatest(best, score)
+    return F.when((F.col("obs_no") >= max(min_origin, FEWEST_OBSERVATIONS)) & (length >= SHORTEST_MOVE), name)
+
+
 def _by_site(lived, cameras, min_origin):
     """Rows at which a direction of their own site fits."""
     own = cameras.select(*RUN_CAMERA, "directions", F.coalesce("min_origin", F.lit(min_origin)).alias("_least"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from flowlattice.functions import geometry as g, labels
 from flowlattice.operators import (
     calibration, crossings, filters, headings as heading_ops, heat, lives, overlaps,
-    routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
+    report, routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
 from flowlattice.plans import oracle as sql, replay, summary, views
 from flowlattice.schemas import SITE_CONFIG
 from flowlattice.session import materialized
@@ -558,22 +558,36 @@ def shape_ema(spark, folder):
         *(F.round(c, 6).alias(c) for c in shape.AVERAGES))
 
 
-@query("track_report", sql.q(f"{sql.routes_cte()}, {_EMA}, tr AS (SELECT run_id, camera_id, track_id, life, "
-    "count(*) AS trail_length, arg_min(cx, frame) AS first_x, arg_min(cy, frame) AS first_y, arg_max(cx, frame) AS last_x, "
-    "arg_max(cy, frame) AS last_y FROM (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, life "
-    "ORDER BY frame DESC) AS back FROM lived) WHERE back <= 64 GROUP BY ALL)", """
-SELECT v.run_id, v.camera_id, v.track_id, s.cls AS class, s.state, s.origin, CAST(NULL AS VARCHAR) AS direction,
+_TRAIL_SQL = """tr AS (SELECT run_id, camera_id, track_id, life,
+ count(*) AS trail_length, arg_min(cx, frame) AS first_x, arg_min(cy, frame) AS first_y, arg_max(cx, frame) AS last_x,
+ arg_max(cy, frame) AS last_y FROM (SELECT *, row_number() OVER (PARTITION BY run_id, camera_id, track_id, life
+ ORDER BY frame DESC) AS back FROM lived) WHERE back <= 64 GROUP BY ALL)"""
+
+
+def _report_sql(ctes, states):
+    """The report over `states`: (life, cls, state, origin, direction)."""
+    return sql.q(f"{ctes}, {_EMA}, {_TRAIL_SQL}, modes AS ({states})", """
+SELECT v.run_id, v.camera_id, v.track_id, s.cls AS class, s.state, s.origin, s.direction,
  first_x, first_y, last_x, last_y, CAST(trail_length AS INTEGER) AS trail_length, v.last_frame AS last_seen_frame,
  round(avg_width, 1) AS avg_width, round(avg_height, 1) AS avg_height, round(avg_area, 1) AS avg_area,
  round(avg_aspect, 2) AS avg_aspect, round(avg_elongation, 2) AS avg_elongation
-FROM lives v JOIN ends e USING (run_id, camera_id) JOIN states s USING (run_id, camera_id, track_id, life)
+FROM lives v JOIN ends e USING (run_id, camera_id) JOIN modes s USING (run_id, camera_id, track_id, life)
  JOIN ema USING (run_id, camera_id, track_id, life) JOIN tr USING (run_id, camera_id, track_id, life)
-WHERE floor(e.f/120.0)*120 - v.last_frame <= 200"""))
+WHERE floor(e.f/120.0)*120 - v.last_frame <= 200""")
+
+
+def _held(spark, folder, reports):
+    return report.track_report(reports, run_ends(spark, folder), lives.EVERY, lives.LIMIT)
+
+
+def zone_reports(spark, folder):
+    return report.life_reports(lived_in_zones(spark, folder), ZONE_NAMES)
+
+
+@query("track_report", _report_sql(sql.routes_cte(), """
+SELECT run_id, camera_id, track_id, life, cls, state, origin, CAST(NULL AS VARCHAR) AS direction FROM states"""))
 def track_report(spark, folder):
-    rows = materialized(lived_in_zones(spark, folder))
-    states = shape.zone_states(routes_of(spark, folder, rows))
-    return shape.track_report(rows, lives.track_lives(rows, run_ends(spark, folder)), states,
-                              views.total_frames(spark, folder))
+    return _held(spark, folder, zone_reports(spark, folder))
 
 
 def filtered(spark, folder):
@@ -757,6 +771,49 @@ def gate_counts(spark, folder):
         lived(spark, folder, prev=("cy",)), *views.FRAME_SIZE))
 
 
+# --- reports and counts of lines and directions mode ---------------------------------------------
+
+_LIVES_OF = "SELECT run_id, camera_id, track_id, life, arg_min(cls, frame) AS cls FROM lived GROUP BY ALL"
+
+
+def heading_reports(spark, folder):
+    return report.life_reports(lived(spark, folder, first=("cx", "cy")), directions=DIRECTIONS)
+
+
+_REPORT_LIVES = """, lives AS (SELECT run_id, camera_id, track_id, life, min(frame) AS first_frame, max(frame) AS last_frame,
+  count(*) AS n_obs FROM lived GROUP BY ALL), ends AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL)"""
+
+
+@query("track_report_directions", _report_sql(HEADINGS_SQL + _REPORT_LIVES, f"""
+SELECT v.*, CASE WHEN b.name IS NULL THEN 'tracking' ELSE 'done' END AS state, CAST(NULL AS VARCHAR) AS origin, b.name AS direction
+FROM ({_LIVES_OF}) v LEFT JOIN (SELECT * FROM b WHERE r = 1) b USING (run_id, camera_id, track_id, life)""").replace(
+    "SELECT v.*, CASE", "SELECT v.run_id, v.camera_id, v.track_id, v.life, v.cls, CASE"))
+def track_report_directions(spark, folder):
+    return _held(spark, folder, heading_reports(spark, folder))
+
+
+@query("track_report_lines", _report_sql(SETTLED_SQL + _REPORT_LIVES, f"""
+SELECT v.run_id, v.camera_id, v.track_id, v.life, v.cls, CASE WHEN c.life IS NULL THEN 'new' ELSE 'done' END AS state,
+ CAST(NULL AS VARCHAR) AS origin, CAST(NULL AS VARCHAR) AS direction
+FROM ({_LIVES_OF}) v LEFT JOIN (SELECT DISTINCT run_id, camera_id, track_id, life FROM q4 WHERE k = 1) c USING (run_id, camera_id, track_id, life)"""))
+def track_report_lines(spark, folder):
+    rows = lived(spark, folder)
+    found = crossings.line_crossings(rows, LINES, 2, total_frames=views.total_frames(spark, folder))
+    return _held(spark, folder, report.with_crossings(report.life_reports(rows), found))
+
+
+@query("heading_counts", sql.q(HEADINGS_SQL, """
+SELECT run_id, camera_id, name AS direction, count(*) AS cnt FROM b WHERE r = 1 GROUP BY ALL"""))
+def heading_counts(spark, folder):
+    return heading_reports(spark, folder).filter("state = 'done'").groupBy("run_id", "camera_id", "direction").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("crossing_counts", sql.q(SETTLED_SQL, """
+SELECT run_id, camera_id, line || ' ' || direction AS route, count(*) AS cnt FROM q4 WHERE k = 1 GROUP BY ALL"""))
+def crossing_counts(spark, folder):
+    return summary.route_counts(line_crossings_settled(spark, folder), by=("run_id", "camera_id"))
+
+
 # --- density ---------------------------------------------------------------------------------
 
 _HEAT = sql.LIVED + """, ends AS (SELECT run_id, camera_id, max(frame) AS f FROM obs GROUP BY ALL),
@@ -1012,13 +1069,26 @@ SELECT run_id, camera_id, max(o.frame) AS frames_processed, coalesce(max(v), 0)
  coalesce(max(n), 0) AS total_routes_completed, coalesce(max(listed), '') AS routes
 FROM obs o LEFT JOIN vehicles USING (run_id, camera_id) LEFT JOIN done USING (run_id, camera_id) GROUP BY ALL"""))
 def run_summary(spark, folder):
-    rows = materialized(lived_in_zones(spark, folder))
-    done = route_ops.completed(routes_of(spark, folder, rows))
-    found = summary.run_summary(rows, done, views.runs(spark, folder))
+    return _listed(report.run_totals(zone_reports(spark, folder), views.runs(spark, folder)))
+
+
+def _listed(found):
     return found.withColumn("routes", F.array_join(F.transform(
         F.map_entries("routes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "; "))
 
 
+@query("run_summary_directions", sql.q(HEADINGS_SQL + """,
+vehicles AS (SELECT run_id, camera_id, count(DISTINCT (track_id, life)) AS v FROM lived GROUP BY ALL),
+per AS (SELECT run_id, camera_id, name AS route, count(*) AS cnt FROM b WHERE r = 1 GROUP BY ALL),
+done AS (SELECT run_id, camera_id, CAST(sum(cnt) AS BIGINT) AS n, string_agg(route || '=' || cnt, '; ' ORDER BY cnt DESC, route) AS listed
+ FROM per GROUP BY ALL)""", """
+SELECT run_id, camera_id, max(o.frame) AS frames_processed, coalesce(max(v), 0) AS total_vehicles_tracked,
+ coalesce(max(n), 0) AS total_routes_completed, coalesce(max(listed), '') AS routes
+FROM obs o LEFT JOIN vehicles USING (run_id, camera_id) LEFT JOIN done USING (run_id, camera_id) GROUP BY ALL"""))
+def run_summary_directions(spark, folder):
+    return _listed(report.run_totals(heading_reports(spark, folder), views.runs(spark, folder)))
+
+
 @query("learn_constraints", sql.q(sql.FLT, """
 SELECT run_id, camera_id, greatest(1, CAST(trunc(min(w)*0.70::DOUBLE) AS BIGINT)) AS min_width,
  CAST(trunc(max(w)*1.45::DOUBLE) AS BIGINT) AS max_width,

@@ -364,3 +364,77 @@ def test_sites_with_their_own_zones_and_thresholds(spark, observe):
             alone = routes.zone_routes(lived.filter(F.col("camera_id") == camera), names, low, high).collect()
             assert {(camera, r.track_id): (r.state, r.origin, r.destination) for r in alone} == {k: v for k, v in got.items() if k[0] == camera}
         assert got[0, 1] == ("done", "A", "B") and got[1, 1][0] == "new" and got[2, 1][0] == "new"
+
+
+def test_one_aggregate_per_life(spark, observe, monkeypatch):
+    """Reports do not depend on how a life is cut into blocks, agree with the operators for each part, and move rows once."""
+    from flowlattice.operators import report
+
+    rng = random.Random(5)
+    tracks = {t: [(f, rng.randrange(0, 420), rng.randrange(0, 120)) for f in sorted(rng.sample(range(1, 900), 90))] for t in range(12)}
+    obs = zones.zone_of_point(observe(tracks, half=9), ZONES)
+    lived = lives.with_lives(obs, first=("cx", "cy"), prev=("zone_order",), total_frames=1000)
+    whole = report.life_reports(lived, list(ZONES), min_origin=2, min_dest=2)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {(r.track_id, r.life): r for r in whole.collect()}
+    monkeypatch.setattr(report, "_BLOCK_BITS", 3)
+    got = {(r.track_id, r.life): r for r in report.life_reports(lived, list(ZONES), min_origin=2, min_dest=2).collect()}
+    assert got.keys() == want.keys() and sum(r.state == "done" for r in got.values()) > 3
+    states = {(r.track_id, r.life): (r.state, r.origin, r.destination, r.frame) for r in routes.zone_routes(lived, list(ZONES), 2, 2).collect()}
+    averages = {(r.track_id, r.life): r for r in shape.shape_ema(lived).collect()}
+    trails = {(r.track_id, r.life): r.trail for r in shape.trails(lived).collect()}
+    for key, row in got.items():
+        a, b = row.asDict(), want[key].asDict()
+        assert all(a[c] == pytest.approx(b[c]) if c in shape.AVERAGES else a[c] == b[c] for c in a)
+        assert (row.state, row.origin, row.destination, row.done_at) == states[key]
+        assert all(row[c] == pytest.approx(averages[key][c]) for c in shape.AVERAGES)
+        assert (row.first_x, row.last_y, row.trail_length) == (trails[key][0].cx, trails[key][-1].cy, len(trails[key]))
+    found = {(r.track_id, r.life): r.direction for r in headings.headings(lived, {"E": ((0, 0), (9, 0)), "N": ((0, 9), (0, 0))}).collect()}
+    ways = report.life_reports(lived, directions={"E": ((0, 0), (9, 0)), "N": ((0, 9), (0, 0))}).collect()
+    assert {(r.track_id, r.life): r.direction for r in ways if r.state == "done"} == found
+
+
+def test_strict_crossings_equal_a_plain_walk(spark, observe):
+    """Random walks over three lines against the rule told step by step, with boxes and with centres."""
+    from collections import deque
+
+    rng = random.Random(11)
+    lines = [{"name": n, "pt1": a, "pt2": b, "tolerance": t} for n, a, b, t in (
+        ("V", (100, 0), (100, 200), 25), ("H", (0, 100), (200, 100), 30), ("D", (0, 0), (200, 200), 20))]
+    tracks = {t: [(f, rng.randrange(70, 131), rng.randrange(70, 131)) for f in range(1, 80)] for t in range(12)}
+
+    def side(line, x, y):
+        (x1, y1), (x2, y2) = line["pt1"], line["pt2"]
+        return (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+
+    def walked(points, n, half):
+        histories, seen, found, before = {}, set(), [], None
+        for frame, x, y in points:
+            for line in lines if before else ():
+                (x1, y1), (x2, y2) = line["pt1"], line["pt2"]
+                if abs(side(line, x, y)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5 > line["tolerance"]:
+                    continue
+                anchors = [(x, y)] + [(x + i * half, y + j * half) for i in (-1, 1) for j in (-1, 1)] * (half is not None and half > 0)
+                values = [side(line, *a) for a in anchors]
+                now = (max(values) > 0) - (min(values) < 0)
+                if now == 0:
+                    continue
+                history = histories.setdefault(line["name"], deque(maxlen=n + 1))
+                history.append(now)
+                flips = (1 if side(line, *before) > 0 else -1) * now < 0
+                key = line["name"], "↓" if y > before[1] else "↑"
+                if len(history) >= n and set(history) == {now} and flips and key not in seen:
+                    seen.add(key)
+                    found.append((*key, frame))
+                    histories.clear()
+            before = (x, y)
+        return found
+
+    for half, anchors in ((0, "center"), (4, "box")):
+        obs = observe(tracks, half=half)
+        for total in (1000, None):
+            lived = lives.with_lives(obs, prev=("cx", "cy"), total_frames=total)
+            for n in (1, 2):
+                got = crossings.line_crossings(lived, lines, n, "strict", anchors=anchors, total_frames=total).collect()
+                assert {(r.track_id, r.line, r.direction, r.frame) for r in got} == {
+                    (t, *e) for t, points in tracks.items() for e in walked(points, n, half)} and got
