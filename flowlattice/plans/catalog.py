@@ -348,6 +348,24 @@ def site_tables_directions(spark, folder):
     return _site_tables(spark, folder).directions
 
 
+@query("site_tables_zones", sql.q(_SITE, """
+SELECT site_id, CAST(i AS INTEGER) AS zone_order, 'Z' || i AS zone, CAST(np AS INTEGER) AS points,
+ CASE WHEN np < 3 THEN 0.0::DOUBLE WHEN np = 3 THEN s*s/2.0::DOUBLE ELSE CAST(s*s AS DOUBLE) END AS area FROM zn"""))
+def site_tables_zones(spark, folder):
+    zones = _site_tables(spark, folder).zones
+    return zones.select("site_id", "zone_order", "zone", F.size("ring").alias("points"), g.ring_area(F.col("ring")).cast("double").alias("area"))
+
+
+@query("site_tables_settings", sql.q(_SITE, f"""
+SELECT site_id, mode, conf AS conf_threshold, CAST(imgsz AS INTEGER) AS imgsz, CAST(mina AS INTEGER) AS min_area, CAST(maxa AS INTEGER) AS max_area,
+ {site.SETTING_DEFAULTS['min_origin_frames']} AS min_origin_frames, {site.SETTING_DEFAULTS['min_crossing_frames']} AS min_crossing_frames,
+ CAST(sw AS INTEGER) AS slice_width, ov AS overlap_ratio, CAST(age AS INTEGER) AS max_age, iou AS iou_threshold FROM c"""))
+def site_tables_settings(spark, folder):
+    return _site_tables(spark, folder).settings.select(
+        "site_id", "mode", "conf_threshold", "imgsz", "min_area", "max_area", "min_origin_frames", "min_crossing_frames",
+        "slice_width", "overlap_ratio", "max_age", "iou_threshold")
+
+
 # --- boxes against boxes, tiles ---------------------------------------------------------------
 
 _IOU = """CASE WHEN least({a}.x2,{b}.x2) > greatest({a}.x1,{b}.x1) AND least({a}.y2,{b}.y2) > greatest({a}.y1,{b}.y1) THEN
@@ -1050,6 +1068,16 @@ act AS (SELECT x.run_id, x.camera_id, x.frame, count(t.event_id) AS active FROM
   SELECT run_id, camera_id, unnest(range(1, f + 1)) AS frame FROM ends) x LEFT JOIN flt t USING (run_id, camera_id, frame) GROUP BY ALL)"""
 
 
+@query("vehicles_sketch", sql.q(sql.LIVED, """
+SELECT run_id, camera_id, count(DISTINCT (track_id, life)) AS vehicles, TRUE AS close FROM lived GROUP BY ALL"""))
+def vehicles_sketch(spark, folder):
+    """Vehicles of a run from sketches per half minute that are merged upwards, and whether they come within 5 % of the exact number."""
+    rows = lived(spark, folder)
+    merged = summary.merged_vehicles(summary.vehicle_sketches(rows, frames=750))
+    return summary.vehicles_total(rows).join(merged, ["run_id", "camera_id"]).select(
+        "run_id", "camera_id", "vehicles", (F.abs(F.col("estimate") - F.col("vehicles")) <= 0.05 * F.col("vehicles")).alias("close"))
+
+
 @query("active_per_frame", sql.q(_AXIS, "SELECT run_id, camera_id, frame, active FROM act"))
 def active_per_frame(spark, folder):
     return summary.active_per_frame(kept(spark, folder), views.runs(spark, folder))

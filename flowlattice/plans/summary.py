@@ -8,6 +8,7 @@ from flowlattice.schemas import FRAME, LIFE, RUN_CAMERA
 PROGRESS_EVERY = 60
 RATE_WINDOW = 30
 _AXIS_BITS = 14
+_SKETCH_BITS = 12
 
 
 def route_counts(events, key="route", by=()):
@@ -82,6 +83,18 @@ def vehicles_total(lived, by=RUN_CAMERA, approximate=False):
     return lived.groupBy(*by).agg(F.sum(F.col("new_life").cast("bigint")).alias("vehicles"))
 
 
+def vehicle_sketches(lived, frames, by=RUN_CAMERA):
+    """A mergeable sketch of the vehicles seen in every stretch of `frames` frames, as long however many there are."""
+    vehicle = F.xxhash64("run_id", "camera_id", "track_id", "life")
+    return lived.groupBy(*by, F.floor((F.col("frame") - 1) / F.lit(float(frames))).alias("stretch")).agg(
+        F.hll_sketch_agg(vehicle, F.lit(_SKETCH_BITS)).alias("sketch"))
+
+
+def merged_vehicles(sketches, by=RUN_CAMERA):
+    """Distinct vehicles over stretches, cameras or runs: vehicles in several of them count once. Within about 1.6 %, two times in three."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
 def frame_axis(runs):
     """Every frame of every run of `runs` (run_id, camera_id, total_frames), from 1, made in spans so that no row holds a whole run."""
     last_span = F.shiftright(F.col("total_frames"), _AXIS_BITS)
