@@ -104,3 +104,8 @@ def passes_sample_constraints(b, constraints):
 def confirmed(observations):
     """Rows that carry a confirmed track id."""
     return observations.filter(F.col("track_id") >= 0)
+
+
+def filter_tracked(observations, *args, **options):
+    """`filter_detections` of rows that come with track ids: rows without a confirmed id (null or negative) go first."""
+    return filter_detections(confirmed(observations), *args, **options)

@@ -1,5 +1,7 @@
 """Registered queries over the driver's tables, each with its SQL twin where SQL can say it."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from flowlattice.functions import geometry as g, labels
@@ -8,8 +10,8 @@ from flowlattice.operators import (
     report, routes as route_ops, scoring, shape, site_rules, tiles, tracker, zones as zone_ops)
 from flowlattice.plans import oracle as sql, replay, summary, views
 from flowlattice.schemas import SITE_CONFIG
-from flowlattice.session import materialized
-from flowlattice.sources import detections as source, site
+from flowlattice.session import shared_dir
+from flowlattice.sources import detections as source, run_files, sinks, site
 from flowlattice.streaming import flows, totals, tracks as live_tracks
 
 QUERIES, ORACLES = {}, {}
@@ -192,6 +194,14 @@ def filter_detections(spark, folder):
     return kept(spark, folder).select("event_id", "cls", "conf")
 
 
+@query("filter_tracked", sql.q(sql.FLT, "SELECT event_id, cls, conf, track_id FROM flt WHERE event_id % 7 <> 0 AND event_id % 11 <> 0"))
+def filter_tracked(spark, folder):
+    """Observations of which some have no id yet (null) or a lost one (negative)."""
+    given = F.when(F.col("event_id") % 7 == 0, -F.col("track_id") - 1).when(F.col("event_id") % 11 == 0, F.lit(None)).otherwise(F.col("track_id"))
+    rows = views.observations(spark, folder).withColumn("track_id", given)
+    return filters.filter_tracked(rows, 0.10, CONF_PER_CLASS, LIMITS, EXCLUSION).select("event_id", "cls", "conf", "track_id")
+
+
 @query("filter_by_settings", sql.q(sql.OBS, """
 SELECT event_id FROM obs WHERE cls IN ('car','truck','bus','motorbike')
  AND conf >= CASE WHEN camera_id = 3 THEN {floor}::DOUBLE WHEN camera_id = 1 AND cls = 'bus' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE + camera_id * 0.1::DOUBLE END
@@ -1159,6 +1169,39 @@ def pick_backend(spark, folder):
     return calibration.pick_backend(rows, ("whole", "tiled"))
 
 
+# --- result files, one per run, written and read back -----------------------------------------
+
+def _read_back(spark, rows, order, schema):
+    path = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    run_files.write_run_files(rows, path, order)
+    return run_files.read_run_files(spark, path.removeprefix("file://"), schema)
+
+
+@query("routes_csv", sql.q(sql.routes_cte(), """
+SELECT run_id, camera_id, route AS ruta, count(*) AS conteo,
+ floor(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY run_id, camera_id) * 10 + 0.5) / 10 AS porcentaje
+FROM routes GROUP BY run_id, camera_id, route"""))
+def routes_csv(spark, folder):
+    shares = summary.route_shares(events(spark, folder))
+    rows = shares.select("run_id", "camera_id", "route", "cnt", F.format_string("%.1f", "share").alias("share")).toDF("run_id", "camera_id", *sinks.ROUTES_HEADER)
+    return _read_back(spark, rows, (F.col("conteo").cast("bigint").desc(), "ruta"), "ruta string, conteo bigint, porcentaje double")
+
+
+@query("tracks_csv", ORACLES["track_report"])
+def tracks_csv(spark, folder):
+    rows = track_report(spark, folder).select("run_id", "camera_id", *sinks.TRACK_COLUMNS)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in run_files.RUN)
+    return _read_back(spark, rows, ("track_id",), kinds)
+
+
+@query("od_csv", ORACLES["od_matrix"])
+def od_csv(spark, folder):
+    zones = sorted(views.ZONES)
+    matrix = od_matrix(spark, folder).select("run_id", "camera_id", F.col("origin").alias(sinks.OD_CORNER), *zones)
+    read = _read_back(spark, matrix, (f"`{sinks.OD_CORNER}`",), f"`{sinks.OD_CORNER}` string, " + ", ".join(f"{z} bigint" for z in zones))
+    return read.withColumnRenamed(sinks.OD_CORNER, "origin")
+
+
 # --- ordered aggregates and time --------------------------------------------------------------
 
 @query("rolling_rate", sql.q(_AXIS, """
@@ -1183,6 +1226,12 @@ def progress_samples(spark, folder):
         done, views.runs(spark, folder), total_frames=views.total_frames(spark, folder)).withColumn("pct", F.round("pct", 6))
 
 
+@query("progress_table", ORACLES["progress_samples"])
+def progress_table(spark, folder):
+    rows = progress_samples(spark, folder).select("run_id", "camera_id", "frame", "routes", "pct", "frames_left")
+    return _read_back(spark, rows, ("frame",), "frame bigint, routes bigint, pct double, frames_left bigint")
+
+
 @query("route_events", sql.q(sql.routes_cte(), """
 SELECT run_id, camera_id, route, frame, count(*) AS new, min(cls) AS cls,
  CAST(sum(count(*)) OVER (PARTITION BY run_id, camera_id, route ORDER BY frame) AS BIGINT) AS cnt

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlattice.operators import lives, routes, shape, site_rules, tiles, zones
 from flowlattice.plans import summary
-from flowlattice.sources import detections, sinks, site
+from flowlattice.sources import detections, run_files, sinks, site
 
 CONFIG = {
     "counting_mode": "zones",
@@ -116,3 +116,27 @@ def test_tile_numbers(spark):
     grid = tiles.tile_grid(frames, 512, 512, 0.2).collect()
     assert len(grid) == 3 * 2
     assert max((t.tx2, t.ty2) for t in grid) == (1000, 600)
+
+
+def test_run_files_are_whole_ordered_and_replaced(spark, tmp_path):
+    runs = ["a", "b-c é/%x", None]
+    rows = [(r, k, n, f"v{n},\"q\"" if n % 2 else None) for r in runs for k in (0, 1) for n in range(30)]
+    frame = spark.createDataFrame(rows, "run_id string, camera_id bigint, n int, v string").repartition(5)
+    path = str(tmp_path / "files")
+    run_files.write_run_files(frame, path, (F.col("n").cast("int").desc(),))
+    with open(f"{path}/{run_files.file_name('a', 1)}", encoding="utf-8") as f:
+        lines = list(csv.reader(f))
+    assert lines[0] == ["n", "v"] and [int(r[0]) for r in lines[1:]] == list(range(29, -1, -1)) and lines[1][1] == 'v29,"q"'
+    back = run_files.read_run_files(spark, path, "n int, v string")
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
+    # A job that fails changes nothing; one that is done replaces its own runs.
+    fails = F.when(F.col("n") == 7, F.raise_error(F.lit("broken"))).otherwise(F.lit("new"))
+    with pytest.raises(Exception, match="broken"):
+        run_files.write_run_files(frame.filter("run_id = 'a'").withColumn("v", fails), path, ("n",))
+    assert sorted(p.name for p in (tmp_path / "files").iterdir() if p.is_file()) == sorted({run_files.file_name(r, k) for r in runs for k in (0, 1)})
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
+    run_files.write_run_files(frame.filter("run_id = 'a' AND n < 3").withColumn("v", F.lit("new")), path, ("n",))
+    got = run_files.read_run_files(spark, path, "n int, v string")
+    assert got.filter("run_id = 'a'").count() == 6 and got.count() == 126
+    run_files.write_run_files(frame.filter("false"), path, ("n",))
+    assert got.count() == 126
