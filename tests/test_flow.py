@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from flowlattice.operators import crossings, headings, heat, lives, ordered, routes, shape, zones
 from flowlattice.plans import summary
 
-ZONES = {"A": [(0, 0), (100, 0), (100, 100), (0, 100)], "B": [(300, 0), (400, 0), (400, 100), (300, 100)]}
+ZONES = {"A": [(4, 6), (131, 2), (127, 118), (9, 109)], "B": [(287, 3), (433, 8), (421, 122), (291, 117)]}
 IN_A, BETWEEN, IN_B = (50, 50), (200, 50), (350, 50)
 
 

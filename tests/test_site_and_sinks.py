@@ -11,8 +11,8 @@ from flowlattice.sources import detections, run_files, sinks, site
 
 CONFIG = {
     "counting_mode": "zones",
-    "zones": {"Norte": [[0, 0], [100, 0], [100, 100], [0, 100]], "Sur": [[300, 0], [400, 0], [400, 100], [300, 100]]},
-    "zone_order": ["Sur", "Norte"],
+    "zones": {"Quay": [[3, 5], [128, 2], [131, 117], [6, 111]], "Mill": [[291, 4], [427, 7], [433, 121], [288, 116]]},
+    "zone_order": ["Mill", "Quay"],
     "exclusion_zones": {"park": [[0, 0], [5, 0], [5, 5]]},
     "lines": [{"name": "L1", "points": [[0, 1], [2, 3]], "tolerance": 20}, {"points": [[0, 0], [9, 9]]},
               {"name": "bad", "points": [[1, 1]]}],
@@ -30,7 +30,7 @@ def sites(spark, tmp_path):
 
 
 def test_site_tables(sites):
-    assert [(r.zone_order, r.zone) for r in sites.zones.orderBy("zone_order").collect()] == [(0, "Sur"), (1, "Norte")]
+    assert [(r.zone_order, r.zone) for r in sites.zones.orderBy("zone_order").collect()] == [(0, "Mill"), (1, "Quay")]
     assert sites.exclusion.first().zone == "park"
     assert [(r.line_order, r.line, r.lx2, r.tolerance) for r in sites.lines.orderBy("line_order").collect()] == [
         (0, "L1", 2, 20), (1, "Linea 2", 9, 15)]
@@ -45,7 +45,7 @@ def test_site_tables(sites):
 def test_zone_table_places_points(spark, sites):
     points = spark.createDataFrame([("cruce", 50, 50), ("cruce", 350, 50), ("vacio", 50, 50)], "site_id string, cx int, cy int")
     found = zones.zone_of_point(points, sites.zones, by=("site_id",)).collect()
-    assert {(r.site_id, r.cx, r.zone) for r in found} == {("cruce", 50, "Norte"), ("cruce", 350, "Sur"), ("vacio", 50, None)}
+    assert {(r.site_id, r.cx, r.zone) for r in found} == {("cruce", 50, "Quay"), ("cruce", 350, "Mill"), ("vacio", 50, None)}
 
 
 def test_violations(spark, sites, tmp_path):
