@@ -12,15 +12,16 @@ text is one range, from its start to its end, and is complete at once.
 
 Both tokenizers may be started at a single blank between characters that are no white space: A splits there before it merges, and no piece
 of B goes on after a letter with a blank (this is checked on its vocabulary). A range is tokenized from the last such place
-before it to the first behind it, and what lies between two such places is remembered, up to `CACHED` of them.
+before it to the first behind it, and what lies between two such places is remembered, up to twice `CACHED` of them.
 
 How often ids are linked in the corpus is counted as in a word count. The texts of a task are kept in blocks of about `BLOCK_LINKS` links that
 know their distinct pairs; blocks ask for these pairs' counts, so what is shuffled are pairs of blocks and not links.
 """
 
+import gc
 import hashlib
-import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from flowlattice.llm import common
 
 CHUNK_BYTES, FAN_IN = 32_768, 16
-BLOCK_LINKS = 1_500_000
-CACHED = 250_000
+BLOCK_LINKS = 1_000_000
+# Bytes of text that are cut side by side; tokens and their places take some hundred times as much.
+TEXT_AT_ONCE = 1 << 20
+CACHED = 100_000
 _SAFE = re.compile("(?<=[^\\s\\u180e\\u2581]) (?=[^\\s\\u180e\\u2581])")
 _I = np.int64
 
@@ -64,49 +67,92 @@ class Vocabulary:
         self.marked = np.array([[f"{mark}{i}".encode() for i in range(len(tokens))] for mark in (",", opening)])
 
 
+def byte_level_encoding(path):
+    """A byte-level BPE file of `tokenizers` as a `tiktoken` encoding of ordinary text.
+
+    Merges made in the order of their ids are what ranks express; another order is refused. The pattern is the one that
+    byte-level pre-tokenizers split by.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    model, splitter = described["model"], described["pre_tokenizer"]
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if splitter["type"] != "ByteLevel" or splitter.get("add_prefix_space") or not splitter.get("use_regex", True) or described["normalizer"]:
+        raise ValueError("not a plain byte-level tokenizer")
+    if any(x >= y for x, y in zip(merged, merged[1:])) or min(merged, default=256) < 256:
+        raise ValueError("merges are not in the order of ids")
+    special = {t["content"]: t["id"] for t in described["added_tokens"]}
+    ranks = {byte_level(t): i for t, i in model["vocab"].items() if t not in special}
+    return tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+# Fixed value: how byte-level pre-tokenizers split text.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Pair:
-    """Tokenizers A (byte-level, `tokenizers`) and B (`sentencepiece`, adds the leading blank itself)."""
+    """Tokenizers A (a byte-level BPE file) and B (a `sentencepiece` model, adds the leading blank itself).
+
+    What was encoded is remembered in two generations: when the younger is full it becomes the older, and what is met again moves on.
+    """
 
     def __init__(self, a_path, b_path):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_file(a_path)
-        self.first.encode_special_tokens = True
-        entries = {i: t for t, i in self.first.get_vocab(with_added_tokens=True).items()}
-        special = self.first.get_added_tokens_decoder()
-        self.a = Vocabulary([special[i].content.encode() if i in special else byte_level(entries.get(i, "")) for i in range(max(entries) + 1)], ";")
+        self.first = byte_level_encoding(a_path)
+        tokens = {i: t.encode() for t, i in self.first._special_tokens.items()}
+        tokens.update((i, t) for t, i in self.first._mergeable_ranks.items())
+        self.a = Vocabulary([tokens.get(i, b"") for i in range(self.first.n_vocab)], ";")
         self.second = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         if any("\u2581" in p.lstrip("\u2581") for p in pieces):
             raise ValueError("a piece goes on with a blank, so texts cannot be cut at blanks")
         self.b = Vocabulary([bytes([int(p[1:-1], 16)]) if self.second.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)], "|")
         self.width = len(pieces)
-        self.known = {}
+        self.known, self.older = {}, {}
 
     def _learn(self, units):
-        found_a = [x.ids for x in self.first.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        found_b = self.second.encode(units, num_threads=1)
-        for unit, a, b in zip(units, found_a, found_b):
-            raw = b" " + unit.encode()
-            same = b"".join([self.a.tokens[i] for i in a]) == raw and b"".join([self.b.tokens[i] for i in b]) == raw
-            self.known[unit] = (np.array(a, np.int32).tobytes(), np.array(b, np.int32).tobytes()) if same else None
+        """For every unit the number of its A ids, those ids and its B ids as bytes; nothing where the bytes do not come back."""
+        older, known, encode = self.older, self.known, self.first.encode_ordinary
+        again = units & older.keys()
+        for u in again:
+            known[u] = older.pop(u)
+        new = list(units - again)
+        if not new:
+            return
+        texts = [" " + u for u in new]
+        sides = [encode(t) for t in texts], self.second.encode(new, num_threads=1)
+        raw = [t.encode() for t in texts]
+        found = [[b"".join(map(v.tokens.__getitem__, ids)) for ids in side] for v, side in zip((self.a, self.b), sides)]
+        for unit, a, b, *same in zip(new, *sides, raw, *found):
+            known[unit] = array("i", [len(a), *a, *b]).tobytes() if same[0] == same[1] == same[2] else b""
 
     def encode(self, texts):
         """(A ids, B ids) of a blank and each text, or None where a tokenizer does not give back the bytes."""
-        split, known = [_SAFE.split(t) for t in texts], self.known
-        missing = {u for units in split for u in units if u not in known}
-        if len(known) + len(missing) > CACHED:
-            known.clear()
-            missing = {u for units in split for u in units}
-        missing = list(missing)
-        for low in range(0, len(missing), 2000):
-            self._learn(missing[low:low + 2000])
-        made = []
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        known, made = self.known, []
+        split = [_SAFE.split(t) for t in texts]
+        self._learn({u for units in split for u in units if u not in known})
         for units in split:
-            found = [known[u] for u in units]
-            made.append(None if None in found else tuple(np.frombuffer(b"".join(side), np.int32).astype(_I) for side in zip(*found)))
+            found = list(map(known.__getitem__, units))
+            sizes = np.fromiter(map(len, found), _I, len(found)) // 4
+            if not sizes.all():
+                made.append(None)
+                continue
+            ids = np.frombuffer(b"".join(found), np.int32)
+            starts = np.cumsum(sizes) - sizes
+            # 0 where a unit's number of A ids is, then 1 for those ids, 2 for B's.
+            step = np.zeros(len(ids) + 1, np.int8)
+            step[starts[1:]] -= 2
+            step[starts + 1] += 1
+            step[starts + 1 + ids[starts]] += 1
+            side = np.cumsum(step[:-1], dtype=np.int8)
+            made.append((ids[side == 1].astype(_I), ids[side == 2].astype(_I)))
         return made
 
 
@@ -190,7 +236,13 @@ def fragments(pair, parts):
     """The fragment of each range, None where a tokenizer does not give back the bytes. Ranges are laid side by side and cut together."""
     sides = ([], [], [], [])
     spans, counts = [], []
-    encoded = pair.encode([p.text for p in parts])
+    collects = gc.isenabled()
+    gc.disable()  # the many small lists that encoding makes hold no cycles
+    try:
+        encoded = pair.encode([p.text for p in parts])
+    finally:
+        if collects:
+            gc.enable()
     for part, found in zip(parts, encoded):
         spans.append(part.high - part.low)
         tokens = []
@@ -313,7 +365,7 @@ def _long_fragments(docs, a_path, b_path, width, kind, chunk_bytes):
 
     def cut(batches):
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, TEXT_AT_ONCE):
                 for row, doc, text in zip(*(common.each(c) for c in part.columns)):
                     for k, r in enumerate(ranges(text, chunk_bytes)):
                         yield _batch([{"row": row, "doc_id": doc, "k": k, "low": r.low, "high": r.high, "start": r.start, "text": r.text}], arrow)
@@ -325,7 +377,7 @@ def _long_fragments(docs, a_path, b_path, width, kind, chunk_bytes):
     def tokenize(batches):
         pair = pair_of(a_path, b_path)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, TEXT_AT_ONCE):
                 rows = part.to_pylist()
                 found = fragments(pair, [Range(r["low"], r["high"], r["start"], r["text"]) for r in rows])
                 yield _batch([_fragment_row(r["row"], r["doc_id"], r["k"], f) for r, f in zip(rows, found)], made_arrow)
@@ -387,7 +439,7 @@ def _blocks(docs, tree, a_path, b_path, kind, chunk_bytes):
     def short(batches):
         pair = pair_of(a_path, b_path)
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, TEXT_AT_ONCE):
                 ids, texts = (list(common.each(c)) for c in part.columns)
                 some = [k for k, text in enumerate(texts) if text]
                 made = fragments(pair, [whole(texts[k]) for k in some]) if some else []
@@ -397,7 +449,7 @@ def _blocks(docs, tree, a_path, b_path, kind, chunk_bytes):
 
     def done(batches):
         for batch in batches:
-            for part in common.slices(batch):
+            for part in common.slices(batch, TEXT_AT_ONCE):
                 for row in part.to_pylist():
                     yield row["doc_id"], _fragment_of(row) if row["whole"] else None
 

@@ -1,6 +1,7 @@
 """Small helpers shared by the operators of this subpackage."""
 
 import contextlib
+import ctypes
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -24,15 +25,16 @@ def batches_of(spark, rows):
         spark.conf.set(_BATCH, before)
 
 
-_HELD = {}
+_HELD, _ASKED = {}, [False]
 
 
 def held(name, build):
-    """What `build` makes, held in this Python process until something else is asked for.
+    """What `build` makes, held in this Python process until something else is asked for, or a task ends that asked for nothing.
 
     Spark's Python workers live on from task to task, so words, models and tokenizers are kept between the tasks of a stage, but
     those of an earlier stage are let go.
     """
+    _ASKED[0] = True
     if name not in _HELD:
         _HELD.clear()
         _HELD[name] = build()
@@ -44,6 +46,48 @@ def let_go():
     _HELD.clear()
 
 
+class Recent(dict):
+    """What was worked out, bounded: when `limit` entries are exceeded they become the older generation, and the one before them goes."""
+
+    def __init__(self, limit):
+        super().__init__()
+        self.limit, self.older = limit, {}
+
+    def recall(self, key):
+        """An entry of the older generation, moved on to this one; None if there is none."""
+        value = self.older.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def tidy(self):
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
+def give_back():
+    """Return freed memory of Arrow and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries cannot
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def frugal():
+    """Around the work of a task: what it did not ask for is let go, and what was freed goes back to the system.
+
+    Workers wait for their next task with all that they ever held otherwise.
+    """
+    _ASKED[0] = False
+    try:
+        yield
+    finally:
+        if not _ASKED[0]:
+            let_go()
+        give_back()
+
+
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -68,15 +112,15 @@ def arrow_schema(schema):
 BATCH_ROWS, BATCH_BYTES = 256, 1 << 23
 
 
-def slices(batch):
-    """A batch in slices of at most `BATCH_ROWS` rows and, but for single rows, about `BATCH_BYTES`.
+def slices(batch, size=BATCH_BYTES):
+    """A batch in slices of at most `BATCH_ROWS` rows and, but for single rows, about `size` bytes.
 
     Texts become Python objects a slice at a time, so a worker's memory follows the longest texts and not the batch.
     """
     low = 0
     while low < batch.num_rows:
         rows = min(BATCH_ROWS, batch.num_rows - low)
-        while rows > 1 and batch.slice(low, rows).nbytes > BATCH_BYTES:
+        while rows > 1 and batch.slice(low, rows).nbytes > size:
             rows = -(-rows // 4)
         yield batch.slice(low, rows)
         low += rows
@@ -100,12 +144,13 @@ def add_columns(frame, needs, step, made, carry):
     whole, whole_arrow = arrow_schema(StructType([read.schema[c] for c in carry] + struct.fields))
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                columns = step({name: part.column(name).to_pylist() for name in needs})
-                arrays = [part.column(c).cast(whole_arrow.field(c).type) for c in carry]
-                arrays += [pa.array(columns[field.name], type=field.type) for field in arrow]
-                yield pa.RecordBatch.from_arrays(arrays, schema=whole_arrow)
+        with frugal():
+            for batch in batches:
+                for part in slices(batch):
+                    columns = step({name: part.column(name).to_pylist() for name in needs})
+                    arrays = [part.column(c).cast(whole_arrow.field(c).type) for c in carry]
+                    arrays += [pa.array(columns[field.name], type=field.type) for field in arrow]
+                    yield pa.RecordBatch.from_arrays(arrays, schema=whole_arrow)
 
     return read.mapInArrow(run, whole)
 
@@ -115,10 +160,11 @@ def map_rows(frame, step, schema):
     struct, arrow = arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                made = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(made[field.name], type=field.type) for field in arrow], schema=arrow)
+        with frugal():
+            for batch in batches:
+                for part in slices(batch):
+                    made = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(made[field.name], type=field.type) for field in arrow], schema=arrow)
 
     return frame.mapInArrow(run, struct)

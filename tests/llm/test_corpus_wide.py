@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from compare import compare, connect
 from flowlattice.llm import alignment, common, mixing, ranking
@@ -20,6 +21,10 @@ SMALL = "/root/testdata/sf0.001"
 PATHS = tuple(str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
+REFERENCE = Tokenizer.from_file(PATHS[0])
+REFERENCE.encode_special_tokens = True
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     return common.table(spark, SMALL, "documents")
@@ -131,7 +136,7 @@ def plain_ends(tokens, ids):
 def plain_alignment(pair, docs):
     made, counts = [], Counter()
     for doc, text in docs:
-        a = pair.first.encode(" " + (text or ""), add_special_tokens=False).ids
+        a = REFERENCE.encode(" " + (text or ""), add_special_tokens=False).ids
         b = pair.second.encode(text or "")
         raw = b" " + (text or "").encode()
         if not text or b"".join(pair.a.tokens[i] for i in a) != raw or b"".join(pair.b.tokens[i] for i in b) != raw:
@@ -196,6 +201,17 @@ def test_fragments_compose_to_the_whole(pair, words, size, left):
     assert not any(map(len, (*parts[0].prefix, *parts[0].suffix)))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_texts_are_encoded_as_a_whole(pair, text):
+    """What is put together from remembered parts is what both tokenizers make of the whole text."""
+    found = pair.encode([text])[0] if text else None
+    want = REFERENCE.encode(" " + text, add_special_tokens=False).ids, pair.second.encode(text)
+    raw = (" " + text).encode()
+    whole = b"".join(pair.a.tokens[i] for i in want[0]) == raw == b"".join(pair.b.tokens[i] for i in want[1])
+    assert (found is not None and tuple(x.tolist() for x in found) == want) if text and whole else found is None
+
+
 def test_ranges_of_one_long_run_are_not_cut(pair):
     assert len(list(alignment.ranges("x" * 5000, 64))) == 1
     some = list(alignment.ranges("x" * 500 + " " + "y" * 500 + " z", 64))

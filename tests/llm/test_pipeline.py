@@ -21,7 +21,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_every_operator_is_registered():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality rules", "toxicity", "n-gram Jaccard join", "benchmark decontamination", "packing"]
 
