@@ -132,7 +132,7 @@ def _counted(docs, block, shipped, name):
         block = _block_of(name, shipped)
         sums = np.zeros(len(block.codes), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in common.each(batch.column(0)):
                 sums += np.bincount(block.places(block.ids(words_of(text)), block.codes)[1], minlength=len(sums))
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"i": pa.array(some, pa.int64()), "n": pa.array(sums[some], pa.int64())})
@@ -162,7 +162,7 @@ def _joined(frame, name, shipped, first, carry):
 
     def run(batches):
         block = _block_of(name, shipped)
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole)):
             before = [c.to_pylist() for c in batch.columns[len(carry) + 1:]] or [None, None]
             hits, items = [], []
             for i, text in enumerate(batch.column(len(carry)).to_pylist()):

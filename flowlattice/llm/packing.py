@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from flowlattice.llm import common
 
 LENGTH, END_ID = 2048, 1
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 300_000
 # Marks that are never part of a word, and letters that no normalisation joins to a mark after them.
 _MARKS = b".,;:!?|%$&*#"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -50,20 +50,23 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
-        self.known = {}
+        self.known = common.Recent(CACHED_CHUNKS)
 
     def _encode(self, texts):
         return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks):
         parts, plain, other, model = {}, set(), set(), self.tokenizer.model
+        recall = self.known.recall
         for chunk in chunks:
+            if recall(chunk) is not None:
+                continue
             head = chunk.rstrip(_MARKS)
             if not head.isalpha() and not (head and _LATIN.fullmatch(head.decode("utf-8", "replace"))):
                 head = chunk
             parts[chunk] = (head, chunk[len(head):])
             for part in parts[chunk]:
-                if part and part not in self.known:
+                if part and part not in self.known and recall(part) is None:
                     (plain if part.isalpha() and part.islower() else other).add(part)
         for word in plain:
             self.known[word] = array(self.code, [t.id for t in model.tokenize(word.decode())]).tobytes()
@@ -75,8 +78,7 @@ class ChunkTokenizer:
 
     def encode(self, texts, end):
         """The ids of each text and the end id, as bytes of the vocabulary's width."""
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
+        self.known.tidy()
         get, close = self.known.get, array(self.code, [end]).tobytes()
         split = [chunks_of(t) for t in texts]
         found = [list(map(get, chunks)) for chunks in split]
@@ -97,17 +99,18 @@ def tokenized(docs, path, end=END_ID):
     struct, arrow = common.arrow_schema(f"doc_id {kind}, part bigint, start bigint, width int, ids binary")
 
     def run(batches):
-        tokenizer, part, start = tokenizer_of(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low in range(0, len(texts), 1000):
-                ids = tokenizer.encode(texts[low:low + 1000], end)
-                lengths = np.array([len(x) for x in ids], np.int64) // tokenizer.width
-                starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                start += int(lengths.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, 1000), pa.array(np.full(len(ids), part)), pa.array(starts),
-                     pa.array(np.full(len(ids), tokenizer.width, np.int32)), pa.array(ids, pa.binary())], schema=arrow)
+        part, start = TaskContext.get().partitionId(), 0
+        with common.frugal():
+            tokenizer = tokenizer_of(path)
+            for batch in batches:
+                for some in common.slices(batch):
+                    ids = tokenizer.encode(some.column(1).to_pylist(), end)
+                    lengths = np.array([len(x) for x in ids], np.int64) // tokenizer.width
+                    starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                    start += int(lengths.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0), pa.array(np.full(len(ids), part)), pa.array(starts),
+                         pa.array(np.full(len(ids), tokenizer.width, np.int32)), pa.array(ids, pa.binary())], schema=arrow)
 
     return common.materialized(docs.select("doc_id", "text").mapInArrow(run, struct), "tokens")
 

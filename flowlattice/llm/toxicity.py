@@ -29,7 +29,7 @@ SAMPLE_DOCS = {0: 6000, 1: 3000}
 ORDER, DISCOUNT, PASSAGE = 6, 0.95, 3
 CALIBRATE_EVERY = 3
 THRESHOLD = 0.7
-CACHED_WORDS, CACHED_GRAMS = 400_000, 400_000
+CACHED_WORDS, CACHED_GRAMS = 180_000, 180_000
 _START, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -101,16 +101,17 @@ class Scorer:
     """Margins of texts; ratios of words and of n-grams are remembered up to a bound on memory."""
 
     def __init__(self, model):
-        self.model, self.known, self.grams = model, {}, {}
+        self.model, self.known, self.grams = model, common.Recent(CACHED_WORDS), common.Recent(CACHED_GRAMS)
 
     def _ratio(self, word):
-        if len(self.known) >= CACHED_WORDS:
-            self.known.clear()
-        if len(self.grams) >= CACHED_GRAMS:
-            self.grams.clear()
+        ratio = self.known.recall(word)
+        if ratio is not None:
+            return ratio
         grams, ratio = self.grams, 0.0
         for gram in spelled(word):
             one = grams.get(gram)
+            if one is None:
+                one = grams.recall(gram)
             if one is None:
                 one = grams[gram] = self.model.ratio(gram)
             ratio += one
@@ -118,6 +119,8 @@ class Scorer:
         return ratio
 
     def margin(self, text):
+        self.known.tidy()
+        self.grams.tidy()
         get, words = self.known.get, words_of(text)
         words = [w for w, before in zip(words, [None, *words]) if w != before]
         if not words:
