@@ -11,34 +11,42 @@ from flowlattice.llm.common import table
 from flowlattice.session import materialized
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+ROWS_PER_BATCH = 1000
+
+
+def _documents(docs):
+    """The documents of a stage. Whole texts go to Python, so batches are short from here on, for all of the session."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    return docs.select(*DOCUMENT)
 
 
 def quality_stage(spark, docs, sf_dir):
     """Documents that the quality rules keep; the verdict is made beside the document, without a shuffle."""
-    return quality.quality_rules(docs, carry=DOCUMENT).where("kept").select(*DOCUMENT)
+    return quality.quality_rules(_documents(docs), carry=DOCUMENT).where("kept").select(*DOCUMENT)
 
 
 def toxicity_stage(spark, docs, sf_dir):
     """Documents not predicted to be toxic."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels"), carry=DOCUMENT).where("predicted = 0").select(*DOCUMENT)
+    return toxicity.toxicity(_documents(docs), table(spark, sf_dir, "labels"), carry=DOCUMENT).where("predicted = 0").select(*DOCUMENT)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """One document of each group of near duplicates, that of the smallest id."""
     # A null id is in no group.
+    docs = _documents(docs)
     copies = jaccard.jaccard_components(docs).where("component_id < doc_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*DOCUMENT)
 
 
 def decontamination_stage(spark, docs, sf_dir):
     """Documents without any passage of the benchmark."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=DOCUMENT)
+    found = decontamination.decontaminate(_documents(docs), table(spark, sf_dir, "benchmark"), carry=DOCUMENT)
     return found.where(~F.col("contaminated")).select(*DOCUMENT)
 
 
 def packing_stage(spark, docs, sf_dir):
     """The boundary records of the packed sequences."""
-    return packing.pack(docs, packing.vocabulary())
+    return packing.pack(_documents(docs), packing.vocabulary())
 
 
 STAGES = [
