@@ -18,10 +18,12 @@ To get there without comparing everything with everything:
    per component and block, so a group never becomes all its pairs.
 
 The links that are left out join nodes of one component already, so components are exact. Shingles and sets are
-known by 64-bit hashes.
+known by 64-bit hashes. On their way to a bucket the shingles of a range of hashes are cut to `TOKEN_BYTES`; two that
+become one by this only let more through to the comparison of whole sets.
 """
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,9 @@ from flowlattice.llm.components import components
 SHINGLE = 5
 SAMPLE_DOCS, FREQUENT_IN_SAMPLE, MOST_FREQUENT = 3000, 3, 200_000
 MIN_HASHES = 3
-NODES_PER_BUCKET, SHINGLES_PER_BUCKET, NODES_PER_BLOCK, FOLLOWERS_PER_CELL = 8000, 1_500_000, 4000, 500
-FLUSH_POSTINGS = 2_000_000
+NODES_PER_BUCKET, SHINGLES_PER_BUCKET, SHINGLES_PER_BLOCK, FOLLOWERS_PER_CELL = 8000, 750_000, 1_000_000, 500
+FLUSH_POSTINGS, TOKEN_BYTES = 1_000_000, 5
+PARTITIONS_PER_CELL = 4
 BITMAP_BITS = 1 << 25
 CACHED_WORDS = 150_000
 _U = np.uint64
@@ -176,12 +179,17 @@ def _search(spark, members, queries, sets, cells):
     A cell's members come first and are indexed, then its queries stream past.
     """
     rows = members.withColumn("kind", F.lit(0)).unionByName(queries.withColumn("kind", F.lit(1))).join(sets.select("node", "shingles"), "node")
-    rows = rows.repartition(max(1, cells), "cell").sortWithinPartitions("cell", "kind", "node")
+    # More partitions than cells, so that few cells fall into one task.
+    rows = rows.repartition(PARTITIONS_PER_CELL * cells, "cell").sortWithinPartitions("cell", "kind", "node")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches):
+        with common.frugal():
+            yield from search(batches)
+
+    def search(batches):
         cell, waiting, lists = None, [], None
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(common.slices, batches)):
             u, v = [], []
             for at, kind, node, comp, size, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != cell:
@@ -191,7 +199,7 @@ def _search(spark, members, queries, sets, cells):
                     waiting.append((node, comp, size, shingles))
                     continue
                 if lists is None and waiting:
-                    lists = Lists(waiting)
+                    lists, waiting = Lists(waiting), []
                 for other in lists.links(node, comp, size, shingles) if lists else ():
                     u.append(node)
                     v.append(other)
@@ -226,45 +234,76 @@ def _signatures(docs):
     return common.materialized(common.add_columns(docs, "text", step, "n bigint, node bigint", ("doc_id",)), "signatures")
 
 
+class Ranges:
+    """Equal ranges of 64-bit hashes, one a bucket; a hash is cut to `TOKEN_BYTES` within its range."""
+
+    def __init__(self, buckets):
+        per = (1 << 64) // buckets + 1
+        self.starts = np.array([k * per for k in range(buckets)], _U)
+        self.width = TOKEN_BYTES
+        self.shift = _U(max(0, (per - 1).bit_length() - 8 * self.width))
+
+    def of(self, hashes):
+        return np.searchsorted(self.starts, hashes, side="right") - 1
+
+    def cut(self, bucket, hashes):
+        within = ((hashes - self.starts[bucket]) >> self.shift).astype("<u8")
+        return within.view(np.uint8).reshape(-1, 8)[:, :self.width].tobytes()
+
+    def restored(self, bucket, raw):
+        """The hashes with nought in the bits that were cut."""
+        wide = np.zeros((len(raw) // self.width, 8), np.uint8)
+        wide[:, :self.width] = np.frombuffer(raw, np.uint8).reshape(-1, self.width)
+        return (wide.view("<u8").ravel() << self.shift) + self.starts[bucket]
+
+
 def _packed(frame, cut, buckets):
-    """(bucket, tokens, nodes): shingles by range of hashes, as sorted arrays. `cut` makes (node, shingles) of a batch; a
-    node counts once per task."""
-    struct, arrow = common.arrow_schema("bucket int, tokens binary, nodes binary")
-    per = (1 << 64) // buckets + 1
-    bounds = np.array([k * per for k in range(buckets)], _U)
+    """(bucket, tokens, nodes, counts): shingles by range of hashes, the nodes that have them, and how many each has.
+
+    `cut` makes (node, shingles) of a batch; a node counts once per task, and its shingles of one bucket stay in one row.
+    """
+    struct, arrow = common.arrow_schema("bucket int, tokens binary, nodes binary, counts binary")
+    ranges = Ranges(buckets)
+
+    def flushed(parts):
+        tokens = np.concatenate([p for p, _ in parts])
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p, _ in parts])
+        names = np.array([n for _, n in parts], np.int64)
+        bucket = ranges.of(tokens)
+        order = np.argsort(bucket, kind="stable")  # owners stay together
+        tokens, owner = tokens[order], owner[order]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [[], [], [], []]
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = owner[cuts[k]:cuts[k + 1]]
+            at = np.flatnonzero(np.diff(own, prepend=-1))
+            counts = np.diff(np.append(at, len(own))).astype("<u4")
+            for column, value in zip(rows, (k, ranges.cut(k, tokens[cuts[k]:cuts[k + 1]]), names[own[at]].tobytes(), counts.tobytes())):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, arrow)], schema=arrow)
 
     def run(batches):
         seen, parts, held = set(), [], 0
-
-        def flush():
-            tokens = np.concatenate([p for p, _ in parts])
-            nodes = np.repeat(np.array([n for _, n in parts], np.int64), [len(p) for p, _ in parts])
-            order = np.argsort(tokens)
-            tokens, nodes = tokens[order], nodes[order]
-            cuts = np.append(np.searchsorted(tokens, bounds), len(tokens))
-            some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(
-                (some, *([a[cuts[k]:cuts[k + 1]].tobytes() for k in some] for a in (tokens, nodes))), arrow)], schema=arrow)
-
-        for batch in batches:
-            for node, tokens in cut(batch):
-                if node in seen:
-                    continue
-                seen.add(node)
-                parts.append((tokens, node))
-                held += len(tokens)
-                if held >= FLUSH_POSTINGS:
-                    yield flush()
-                    parts, held = [], 0
-        if parts:
-            yield flush()
+        with common.frugal():
+            for batch in itertools.chain.from_iterable(map(common.slices, batches)):
+                for node, tokens in cut(batch):
+                    if node in seen:
+                        continue
+                    seen.add(node)
+                    parts.append((tokens, node))
+                    held += len(tokens)
+                    if held >= FLUSH_POSTINGS:
+                        yield flushed(parts)
+                        parts, held = [], 0
+            if parts:
+                yield flushed(parts)
 
     return frame.mapInArrow(run, struct)
 
 
 def _packed_fronts(docs, buckets, hot, hot_count):
     def cut(batch):
-        for text in batch.column(0).to_pylist():
+        for text in common.each(batch.column(0)):
             shingles = shingler()(text)
             if len(shingles):
                 yield set_key(shingles), front(shingles, hot, hot_count)
@@ -274,81 +313,89 @@ def _packed_fronts(docs, buckets, hot, hot_count):
 
 def _packed_sets(sets, buckets):
     def cut(batch):
-        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for node, raw in zip(common.each(batch.column(0)), common.each(batch.column(1))):
             yield node, np.frombuffer(raw, _U)
 
     return _packed(sets.select("node", "shingles"), cut, buckets)
 
 
-def _shared(group):
-    """(tokens, nodes, df) of the postings in one bucket whose token two or more nodes have."""
-    tokens = np.concatenate([np.frombuffer(x, _U) for x in group.column("tokens").to_pylist()])
-    nodes = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("nodes").to_pylist()])
+def _shared(group, ranges):
+    """(tokens, nodes, df) of the postings in one bucket whose token two or more nodes have.
+
+    A node that several tasks saw counts by its first row. Shingles of one node that were cut to the same token stay
+    apart, so no node is found to share less than it does.
+    """
+    bucket = group.column("bucket")[0].as_py()
+    nodes, counts = (np.concatenate([np.frombuffer(x, kind) for x in common.each(group.column(name))])
+                     for name, kind in (("nodes", np.int64), ("counts", "<u4")))
+    tokens = np.concatenate([ranges.restored(bucket, x) for x in common.each(group.column("tokens"))])
+    first = np.zeros(len(nodes), bool)
+    first[np.unique(nodes, return_index=True)[1]] = True
+    if not first.all():
+        tokens, nodes, counts = tokens[np.repeat(first, counts)], nodes[first], counts[first]
+    owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
     order = np.argsort(tokens, kind="stable")
-    tokens, nodes = tokens[order], nodes[order]
-    same = tokens[1:] == tokens[:-1]
-    several = np.append(same, False) | np.append(False, same)
-    tokens, nodes = tokens[several], nodes[several]
-    order = np.lexsort((nodes, tokens))
-    tokens, nodes = tokens[order], nodes[order]
-    new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1])) if len(tokens) else np.zeros(0, bool)
-    tokens, nodes = tokens[new], nodes[new]
-    _, which, df = np.unique(tokens, return_inverse=True, return_counts=True)
-    df = df[which]
-    return tokens[df > 1], nodes[df > 1], df[df > 1]
-
-
-def _shared_fronts(packed):
-    """(token, node, df): the postings of the fronts' shingles that two or more nodes have."""
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("df", pa.int64())])
+    tokens, owner = tokens[order], owner[order]
+    at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    df = np.diff(np.append(at, len(tokens)))
+    df = np.repeat(df, df)
+    several = df > 1
+    return tokens[several], nodes[owner[several]], df[several]
+
+
+def _shared_fronts(docs, buckets, hot, hot_count):
+    """(token, node): the postings of the fronts' shingles that two or more nodes have."""
+    schema, ranges = pa.schema([("token", pa.int64()), ("node", pa.int64())]), Ranges(buckets)
 
     def gather(group):
-        tokens, nodes, df = _shared(group)
-        return pa.Table.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes), pa.array(df.astype(np.int64))], schema=schema)
+        with common.frugal():
+            tokens, nodes, _ = _shared(group, ranges)
+            return pa.Table.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes)], schema=schema)
 
-    return common.materialized(packed.groupBy("bucket").applyInArrow(gather, "token bigint, node bigint, df bigint"), "fronts")
+    packed = _packed_fronts(docs, buckets, hot, hot_count)
+    return common.materialized(packed.groupBy("bucket").applyInArrow(gather, "token bigint, node bigint"), "fronts")
 
 
-def _support(packed):
+def _support(sets, buckets):
     """(node, many, logs): how many of a node's shingles some other node has too, and the sum of log2 of how many have them."""
-    schema = pa.schema([("node", pa.int64()), ("many", pa.int64()), ("logs", pa.float64())])
+    schema, ranges = pa.schema([("node", pa.int64()), ("many", pa.int64()), ("logs", pa.float64())]), Ranges(buckets)
 
     def count(group):
-        _, nodes, df = _shared(group)
-        names, which = np.unique(nodes, return_inverse=True)
-        return pa.Table.from_arrays([pa.array(names), pa.array(np.bincount(which, minlength=len(names)).astype(np.int64)),
-                                     pa.array(np.bincount(which, weights=np.log2(df), minlength=len(names)))], schema=schema)
+        with common.frugal():
+            _, nodes, df = _shared(group, ranges)
+            names, which = np.unique(nodes, return_inverse=True)
+            return pa.Table.from_arrays([pa.array(names), pa.array(np.bincount(which, minlength=len(names)).astype(np.int64)),
+                                         pa.array(np.bincount(which, weights=np.log2(df), minlength=len(names)))], schema=schema)
 
-    parts = packed.groupBy("bucket").applyInArrow(count, "node bigint, many bigint, logs double")
+    parts = _packed_sets(sets, buckets).groupBy("bucket").applyInArrow(count, "node bigint, many bigint, logs double")
     return parts.groupBy("node").agg(F.sum("many").alias("many"), F.sum("logs").alias("logs"))
 
 
 _SET = f"node bigint, n bigint, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
 
 
-def _likely(docs, ids):
-    """The rows of `docs` whose id may be among `ids`, by a bitmap of hashed ids of a fixed size, so that few texts of other
-    documents are shuffled. The fuller the bitmap the more others pass; the join that follows decides."""
+def _likely(frame, key, some):
+    """The rows of `frame` whose `key` may be among those of `some`, by a bitmap of hashes of a fixed size, so that few other
+    rows are shuffled. The fuller the bitmap the more others pass; the join that follows decides."""
     def place(column):
         return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
 
-    counted = place("doc_id") + 1  # Spark counts places and buckets from 1
-    parts = ids.groupBy(F.bitmap_bucket_number(counted).alias("k")).agg(
+    counted = place(key) + 1  # Spark counts places and buckets from 1
+    parts = some.groupBy(F.bitmap_bucket_number(counted).alias("k")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(counted)).alias("bits")).collect()  # BITMAP_BITS / 8 bytes at most
     bits = np.zeros((BITMAP_BITS // 32768, 4096), np.uint8)
     for row in parts:
         bits[row["k"] - 1] = np.frombuffer(row["bits"], np.uint8)
-    flags = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    flags = frame.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches):
         known = np.frombuffer(flags.value, np.uint8)
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(batch.num_columns - 1).to_numpy()
             keep = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select([0, 1])
+            yield batch.filter(pa.array(keep.astype(bool))).select(list(range(batch.num_columns - 1)))
 
-    kinds = docs.select("doc_id", "text").schema
-    return docs.where("doc_id is not null").select("doc_id", "text", place("doc_id").alias("_at")).mapInArrow(run, kinds)
+    return frame.where(F.col(key).isNotNull()).select("*", place(key).alias("_at")).mapInArrow(run, frame.schema)
 
 
 def _sets(docs, nodes):
@@ -357,26 +404,27 @@ def _sets(docs, nodes):
 
     def run(batches):
         seen = set()  # rows of one id may be repeated, and one id may stand for several texts
-        for batch in batches:
-            rows = []
-            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                shingles = shingler()(text)
-                if node in seen or not len(shingles) or set_key(shingles) != node:
-                    continue
-                seen.add(node)
-                rows.append([node, len(shingles), shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
-
-    picked = _likely(docs, nodes).join(nodes, "doc_id").select("node", "text")
+        with common.frugal():
+            for batch in itertools.chain.from_iterable(map(common.slices, batches)):
+                rows = []
+                for node, text in zip(*map(common.each, batch.columns)):
+                    shingles = shingler()(text)
+                    if node in seen or not len(shingles) or set_key(shingles) != node:
+                        continue
+                    seen.add(node)
+                    rows.append([node, len(shingles), shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    picked = _likely(docs.select("doc_id", "text"), "doc_id", nodes).join(nodes, "doc_id").select("node", "text")
     return common.materialized(picked.mapInArrow(run, struct), "sets")
 
 
-def _leader_links(spark, sets, cells):
+def _leader_links(spark, near, sets, cells):
     """Links of nodes with a leader among those of the same smallest hash."""
     pairs = None
     for k in range(MIN_HASHES):
-        leaders = sets.groupBy(f"least{k}").agg(F.max(F.struct("shared", "node")).alias("top"), F.count("*").alias("many")).where("many > 1")
-        part = sets.select("node", f"least{k}").join(leaders, f"least{k}").where("node <> top.node").select(
+        leaders = near.groupBy(f"least{k}").agg(F.max(F.struct("shared", "node")).alias("top"), F.count("*").alias("many")).where("many > 1")
+        part = near.select("node", f"least{k}").join(leaders, f"least{k}").where("node <> top.node").select(
             "node", F.col("top.node").alias("leader"), "many")
         pairs = part if pairs is None else pairs.unionByName(part)
     pairs = pairs.groupBy("node", "leader").agg(F.max("many").alias("many"))
@@ -389,15 +437,15 @@ def _leader_links(spark, sets, cells):
     return _search(spark, members, queries, sets, cells)
 
 
-def _cross_links(spark, sets, fronts, roots, blocks):
+def _cross_links(spark, near, sets, fronts, roots, blocks):
     """Links between nodes of different components on the lists that have several."""
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     placed = roots.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
     known = common.materialized(
-        sets.select("node", "n").join(placed, "node", "left").select(
+        near.select("node", "n").join(placed, "node", "left").select(
             "node", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"),
             F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("cell")), "known")
-    posted = fronts.select("token", "node").join(known.select("node", "comp", "size", "cell"), "node")
+    posted = _likely(fronts, "node", known).join(known.select("node", "comp", "size", "cell"), "node")
     mixed = posted.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.struct("size", "comp")).alias("top")).where("low <> high")
     posted = common.materialized(posted.join(mixed.select("token", "top"), "token"), "mixed")
     reached = posted.select("token", "cell").distinct()
@@ -425,20 +473,23 @@ def jaccard_components(docs):
         total = docs.count()
         hot, hot_count = frequent_shingles(docs)
         rows = _signatures(docs)
-        fronts = _shared_fronts(_packed_fronts(docs, max(8, -(-total // NODES_PER_BUCKET)), hot, hot_count))
+        fronts = _shared_fronts(docs, max(8, -(-total // NODES_PER_BUCKET)), hot, hot_count)
         firsts = rows.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
         nodes = common.materialized(fronts.groupBy("node").agg(F.count("*").alias("many")).join(firsts, "node").where(
             F.col("many") >= _least_shared(F.col("n"))).select("node", "doc_id"), "nodes")
         candidates = _sets(docs, nodes)
         # Of the whole set T shingles must be shared, which leaves little more than near copies.
         shingles = candidates.agg(F.sum("n")).first()[0] or 0
-        support = _support(_packed_sets(candidates, max(8, -(-shingles // SHINGLES_PER_BUCKET))))
-        sets = common.materialized(candidates.join(support, "node").where(F.col("many") >= F.floor((4 * F.col("n") + 4) / 5)).withColumn(
+        support = _support(candidates, max(8, -(-shingles // SHINGLES_PER_BUCKET)))
+        sizes = candidates.select("node", "n", *[f"least{k}" for k in range(MIN_HASHES)])
+        near = common.materialized(sizes.join(support, "node").where(F.col("many") >= F.floor((4 * F.col("n") + 4) / 5)).withColumn(
             "shared", F.col("logs") / F.col("n")), "near")
-        blocks = max(1, -(-sets.count() // NODES_PER_BLOCK))
+        # Sets stay where they are; the searches ask for those of near nodes only.
+        sets = common.materialized(_likely(candidates.select("node", "shingles"), "node", near), "near_sets")
+        blocks = max(1, -(-(near.agg(F.sum("n")).first()[0] or 0) // SHINGLES_PER_BLOCK))
         cells = max(blocks, 8)
-        first = _leader_links(spark, sets, cells)
-        second = _cross_links(spark, sets, fronts, components(first), blocks)
+        first = _leader_links(spark, near, sets, cells)
+        second = _cross_links(spark, near, sets, fronts, components(first), blocks)
         roots = common.materialized(components(first.unionByName(second)), "roots")
     named = rows.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
     lowest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -146,9 +146,10 @@ def random_copies():
     return list(enumerate(texts, 1000))
 
 
-@pytest.mark.parametrize("blocks", [4000, 7])
-def test_jaccard_groups(spark, awkward, monkeypatch, blocks):
-    monkeypatch.setattr(jaccard, "NODES_PER_BLOCK", blocks)
+@pytest.mark.parametrize("shingles, width", [(1_000_000, 5), (500, 5), (500, 1)])
+def test_jaccard_groups(spark, awkward, monkeypatch, shingles, width):
+    monkeypatch.setattr(jaccard, "SHINGLES_PER_BLOCK", shingles)
+    monkeypatch.setattr(jaccard, "TOKEN_BYTES", width)  # a byte makes many shingles of a bucket one token
     monkeypatch.setattr(jaccard, "FOLLOWERS_PER_CELL", 5)
     rows = pairs(awkward) + random_copies()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -158,6 +159,33 @@ def test_jaccard_groups(spark, awkward, monkeypatch, blocks):
     assert len(set(low.values())) < len(low) - 50
 
 
+def test_jaccard_of_one_large_group(spark):
+    """A third of all documents are near copies of one text; chains of edits link what is not alike."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, near(rng, base, rng.choice([0, 1, 2, 3]))) for k in range(150)]
+    chain = [f"c{k}" for k in range(120)]
+    for k in range(150, 210):
+        chain[rng.randrange(120)] = f"new{k}"
+        rows.append((k, " ".join(chain)))
+    rows += [(k, " ".join(f"d{rng.randint(0, 10**6)}" for _ in range(60))) for k in range(210, 450)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute.near_groups(rows)
+    assert list(got.values()).count(got[0]) > 100
+
+
+def test_postings_come_back_from_ranges():
+    hashes = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 5000, np.uint64))
+    for buckets in (1, 8, 33):
+        ranges = jaccard.Ranges(buckets)
+        where = ranges.of(hashes)
+        for k in range(buckets):
+            own = hashes[where == k]
+            back = ranges.restored(k, ranges.cut(k, own))
+            assert (ranges.of(back) == k).all() and (back <= own).all() and (own - back < (1 << int(ranges.shift))).all()
+
+
 def test_jaccard_of_nothing(no_docs, spark):
     assert jaccard.jaccard_components(no_docs).count() == 0
     alone = spark.createDataFrame([(3, "only this"), (1, None)], "doc_id bigint, text string")
