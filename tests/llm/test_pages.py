@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -71,6 +72,36 @@ def test_long_and_deep_pages(spark):
     assert html.main_text(pages_of(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>one</p><select><option>a<option>b</select><p>two</p>", "one two"),
+    ("<p>one<datalist><option>a<option>b</datalist>two", "one two"),
+    ("<p>one</p><button><div>x</button><p>two</p>", "one two"),
+    ("<p>one</p><video><p>no video</video><p>two</p>", "one two"),
+    ("<p>one</p><select><optgroup><option>a</select><object><ul><li>x</object><p>two</p>", "one two"),
+    ("<b>one<div>two</b> three</div></b> four", "one two three four"),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e", "a b c d e"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>d", "a b c d"),
+    ("<dl><dt>a<dd>b<dt>c<dd>d</dl></p></i>e", "a b c d e"),
+])
+def test_optional_and_missing_end_tags(page, want):
+    for html_text in (page, f"<article>{page}</article>"):
+        assert " ".join(text for _, text in html.blocks_of(html_text)) == want
+
+
+def test_names_of_parts_do_not_drop_text():
+    page = ("<article><p>T</p><div class=share-price>Shares rose</div><div class='related-work x'>Earlier work</div><p id=menu-of-the-day>Soup</p>"
+            "<div class=cookie-notice>no</div><div class='x site-footer'>no</div><div id=sidebar_left-2>no</div><div class='share buttons'>no</div>End</article>")
+    blocks, articles = html.page_of(page)
+    assert [t for kind, t in blocks if kind == html.ARTICLE] == ["T", "Shares rose", "Earlier work", "Soup", "End"] and articles == 1
+
+
+def test_pages_of_unpaired_tags_take_linear_time():
+    for page in ("<i></p>" * 40_000, "<div>" + "<i>" * 20_000 + "</b></p>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000):
+        began = time.process_time()
+        html.page_of(page)
+        assert time.process_time() - began < 5
+
+
 def brute_warc(rows):
     best = {}
     for page, _, body in rows:
