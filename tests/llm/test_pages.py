@@ -64,6 +64,48 @@ def test_boilerplate_of_a_host_is_found(spark):
     assert by_id[30] == f"{shared} {own[30]}" and by_id[38] == by_id[39] == own[39]
 
 
+def brute_repeats(rows):
+    """{(host, at, row): length} by comparing every suffix with every one of other content."""
+    found = {}
+    for k, (host, content, tokens) in enumerate(rows):
+        for at in range(len(tokens) - html.RUN + 1):
+            best = 0
+            for other, differs, words in rows:
+                if other == host and differs != content:
+                    for start in range(len(words)):
+                        n = 0
+                        while n < html.DEPTH and at + n < len(tokens) and start + n < len(words) and tokens[at + n] == words[start + n]:
+                            n += 1
+                        best = max(best, n)
+            if best >= html.RUN:
+                found[host, at, k] = best
+    return found
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_repeats_by_the_order_of_suffixes(spark, partitions):
+    """Lengths of repeats are those of a comparison of all suffixes, wherever the edges of tasks fall."""
+    rng = random.Random(partitions)
+    lines = [[f"w{rng.randint(0, 3)}" for _ in range(rng.randint(5, 25))] for _ in range(6)]
+    rows = []
+    for k in range(24):
+        words = [w for _ in range(rng.randint(0, 3)) for w in [*rng.choice(lines), f"own{rng.randint(0, 5)}"]]
+        rows.append((rng.choice("ab"), k, words))
+    rows += [("a", 100, ["same"] * 30), ("a", 100, ["same"] * 30), ("b", 101, ["same"] * 30), ("b", 102, ["same"] * 12), ("c", 103, lines[0] * 3)]
+    parsed = spark.createDataFrame([(h, c, k, t) for k, (h, c, t) in enumerate(rows)], "host string, content bigint, row bigint, tokens array<string>")
+    before = {name: spark.conf.get(name) for name in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = html._suffixes(parsed, "row").join(html.repeats(parsed), ["host", "key"]).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    want = brute_repeats(rows)
+    assert {(r["host"], r["at"], r["row"]): r["length"] for r in found} == want and len(want) > 100
+    assert max(want.values()) == html.DEPTH and len(set(want.values())) > 3
+
+
 def test_long_and_deep_pages(spark):
     deep = "<div>" * 3000 + "middle" + "</div>" * 3000
     long = "<article>" + "".join(f"<p>word{k} of a long page</p>" for k in range(20_000)) + "</article>"
