@@ -1,10 +1,13 @@
 """Live routes, crossings and headings: the batch semantics on Structured Streaming.
 
-Rows of a track may arrive in any order within the lateness of the watermark. They wait in a list, and a timer at the watermark
+Rows of a track may arrive in any order within the lateness of the watermark. They wait, and a timer at the watermark
 releases them in frame order; rows behind the watermark are dropped by Spark and counted in its progress (`late_rows`). What is
 released steps a small typed record per (run, camera, track), so results do not depend on how rows fall into batches. An
 event-time timer drops the record at the purge that would drop the track, so state stays as small as the traffic in view.
 
+A camera's tracks are dealt over `BUCKETS` by a hash of their id. The state of a bucket is one table of waiting rows and one of records, so
+state is read, timed and written once per bucket and not once per track.
+
 Results of a frame come when the watermark has passed it. Rows without a track are heartbeats: they move the watermark on and mean nothing
 else, so a source that ends or pauses sends one to have its last frames released.
 
@@ -13,15 +16,19 @@ Needs the RocksDB state store; `start` sets it.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from flowlattice.functions.labels import DOWN, UP
 from flowlattice.operators import crossings as crossing_ops
 from flowlattice.operators.headings import FEWEST_OBSERVATIONS, LOWEST_SCORE, SHORTEST_MOVE
 from flowlattice.operators.lives import EVERY, LIMIT
-from flowlattice.schemas import TRACK
+from flowlattice.schemas import RUN_CAMERA, TRACK
 
+BUCKETS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,10 +53,11 @@ class RouteMachine:
     def advance(self, state, rows):
         at, origin, seen, dest, stayed = state
         zones = np.array([z if isinstance(z, str) else None for z in rows["zone"]], object)
+        needs, stays = np.asarray(rows["min_origin"]), np.asarray(rows["min_dest"])
         found = []
         for start, stop in _runs(zones):
             zone, left = zones[start], stop - start
-            need, stay = max(1, int(rows["min_origin"].iloc[start])), max(2, int(rows["min_dest"].iloc[start]))
+            need, stay = max(1, int(needs[start])), max(2, int(stays[start]))
             if at == "new" and zone is not None:
                 at, origin, seen = "origin", zone, left
             elif at == "origin" and zone == origin:
@@ -86,8 +94,8 @@ class CrossingMachine:
 
     def advance(self, state, rows):
         side, length, turn, last, seen = (list(v) for v in state)
-        y, found = rows["cy"].to_numpy(), []
-        signs = np.array([[{"+": 1, "-": -1}.get(c, 0) for c in s] for s in rows["sides"]], int).reshape(len(rows), len(self.names))
+        y, found = np.asarray(rows["cy"]), []
+        signs = np.array([[{"+": 1, "-": -1}.get(c, 0) for c in s] for s in rows["sides"]], int).reshape(len(y), len(self.names))
         for k, name in enumerate(self.names):
             near = np.flatnonzero(signs[:, k])
             for start, stop in _runs(signs[near, k]):
@@ -123,10 +131,11 @@ class HeadingMachine:
         x, y, seen, done = state
         if done or not self.names:
             return state, []
-        x, y = (int(rows["cx"].iloc[0]), int(rows["cy"].iloc[0])) if seen == 0 else (x, y)
-        dx, dy = rows["cx"].to_numpy(float) - x, rows["cy"].to_numpy(float) - y
-        length, count = np.sqrt(dx * dx + dy * dy), seen + 1 + np.arange(len(rows))
-        scores = np.zeros((len(self.names), len(rows)))
+        cx, cy = np.asarray(rows["cx"]), np.asarray(rows["cy"])
+        x, y = (int(cx[0]), int(cy[0])) if seen == 0 else (x, y)
+        dx, dy = cx.astype(float) - x, cy.astype(float) - y
+        length, count = np.sqrt(dx * dx + dy * dy), seen + 1 + np.arange(len(cx))
+        scores = np.zeros((len(self.names), len(cx)))
         with np.errstate(divide="ignore", invalid="ignore"):
             for k, (vx, vy) in enumerate(self.vectors):
                 size = float(np.sqrt(vx * vx + vy * vy))
@@ -134,92 +143,141 @@ class HeadingMachine:
                     scores[k] = (dx * vx + dy * vy) / (length * size)
         fits = np.flatnonzero((count >= self.fewest) & (length >= SHORTEST_MOVE) & (scores.max(axis=0) > LOWEST_SCORE))
         found = [(int(fits[0]), (self.names[int(scores[:, fits[0]].argmax())],))] if len(fits) else []
-        return (x, y, seen + len(rows), bool(found)), found
+        return (x, y, seen + len(cx), bool(found)), found
+
+
+class Kept:
+    """A table in one state value, as an Arrow stream."""
+
+    def __init__(self, handle, name, schema):
+        self.state, self.schema = handle.getValueState(name, "body binary"), schema
+
+    def read(self):
+        held = self.state.get()
+        return self.schema.empty_table() if held is None else pa.ipc.open_stream(bytes(held[0])).read_all()
+
+    def write(self, columns):
+        """Put columns in the schema's order in place of what is kept; without rows nothing is kept."""
+        if not len(columns[0]):
+            self.state.clear()
+            return
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as stream:
+            stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema)], schema=self.schema))
+        self.state.update((sink.getvalue().to_pybytes(),))
+
+
+def _plain(column):
+    """An Arrow column as an array of integers where none is null, and of objects otherwise."""
+    if column.null_count == 0 and pa.types.is_integer(column.type):
+        return column.to_numpy()
+    made = np.empty(len(column), object)
+    made[:] = column.to_pylist()
+    return made
 
 
 class OrderedTracks(StatefulProcessor):
-    """Holds a track's rows until the watermark has passed them, then steps a machine through them, by the batch rule for lives."""
+    """Holds the rows of a bucket of tracks until the watermark has passed them, then steps a machine through those of each track, by
+    the batch rule for lives."""
 
     def __init__(self, machine, columns, fps, every=EVERY, limit=LIMIT):
         self.machine, self.columns = machine, columns
         self.fps, self.every, self.limit = fps, every, limit
+        self.schemas = [to_arrow_schema(StructType.fromDDL(text)) for text in (
+            f"track_id bigint, frame bigint, ts bigint, cls string, {machine.held}",
+            f"track_id bigint, life_start bigint, last bigint, last_ts bigint, kind string, {machine.state}")]
 
     def init(self, handle):
         self.handle = handle
-        self.names = ["frame", "ts", "cls", *self.machine.columns]
-        self.waiting = handle.getListState("waiting", f"frame bigint, ts bigint, kind string, {self.machine.held}")
-        self.life = handle.getValueState("life", f"life_start bigint, last bigint, last_ts bigint, kind string, {self.machine.state}")
+        self.waiting, self.lives = (Kept(handle, name, schema) for name, schema in zip(("waiting", "lives"), self.schemas))
         self.timer = handle.getValueState("timer", "at bigint")
 
     def _purge_after(self, frame):
         return ((frame + self.limit) // self.every + 1) * self.every
 
-    def _wake_at(self, ms):
-        before = self.timer.get()[0] if self.timer.exists() else None
+    def _purged_at(self, life):
+        """When the watermark is past this, in ms, the record goes."""
+        _, last, clock, *_ = life
+        return clock // 1000 + int((self._purge_after(last) - last) * 1000 / self.fps) + 1
+
+    def _wake_at(self, ms, before):
         if before != ms:
             if before is not None:
                 self.handle.deleteTimer(before)
-            self.handle.registerTimer(ms)
-            self.timer.update((ms,))
+            if ms is None:
+                self.timer.clear()
+            else:
+                self.handle.registerTimer(ms)
+                self.timer.update((ms,))
 
-    def _stepped(self, key, rows):
-        """Events of `rows`, which are in frame order and follow all that came before."""
-        frames, clock = rows["frame"].to_numpy(), rows["ts"].to_numpy()
-        life = self.life.get() if self.life.exists() else None
+    def _stepped(self, key, life, rows):
+        """(record, events) after `rows` of a track, which are in frame order and follow all that came before."""
+        frames, clock, kinds = rows["frame"], rows["ts"], rows["cls"]
         before = np.concatenate(([life[1] if life else frames[0]], frames[:-1]))
-        opens = ((before + self.limit) // self.every + 1) * self.every <= frames - 1
+        opens = self._purge_after(before) <= frames - 1
         opens[0] |= life is None
         found = []
         starts = sorted({0, *np.flatnonzero(opens).tolist()})
-        for start, stop in zip(starts, [*starts[1:], len(rows)]):
-            part = rows.iloc[start:stop]
-            begun, _, _, cls, *state = (int(frames[start]), None, None, part["cls"].iloc[0], *self.machine.fresh) if opens[start] else life
+        for start, stop in zip(starts, [*starts[1:], len(frames)]):
+            part = {name: rows[name][start:stop] for name in self.machine.columns}
+            begun, _, _, cls, *state = (int(frames[start]), None, None, kinds[start], *self.machine.fresh) if opens[start] else life
             state, events = self.machine.advance(tuple(state), part)
             life = (begun, int(frames[stop - 1]), int(clock[stop - 1]), cls, *state)
-            found += [(*key, begun, int(frames[start + at]), cls if self.machine.class_of_life else part["cls"].iloc[at], *event)
+            found += [(*key, begun, int(frames[start + at]), cls if self.machine.class_of_life else kinds[start + at], *event)
                       for at, event in events]
-        self.life.update(life)
-        return found
-
-    def _release(self, key, watermark):
-        held = pd.DataFrame(list(self.waiting.get()), columns=self.names) if self.waiting.exists() else pd.DataFrame(columns=self.names)
-        due = held["ts"].to_numpy(np.int64) <= watermark * 1000 if len(held) else np.zeros(0, bool)
+        return life, found
+
+    def _release(self, key, watermark, added, timer):
+        """Events that are due; `added` are new rows, and `timer` is the one that is set."""
+        held = pa.concat_tables([self.waiting.read(), *added])
+        rows = {name: _plain(held.column(name)) for name in held.column_names}
+        known = self.lives.read()
+        lives = {track: tuple(life) for track, *life in zip(*(c.to_pylist() for c in known.columns))}
+        due = rows["ts"] <= watermark * 1000
         found = []
         if due.any():
-            found = self._stepped(key, held[due].sort_values("frame", kind="stable"))
-            rest = held[~due]
-            self.waiting.clear()
-            if len(rest):
-                self.waiting.put(list(rest.astype(object).where(rest.notna(), None).itertuples(index=False, name=None)))
-            held = rest
-        if len(held):
-            # A timer fires when the watermark is past it.
-            self._wake_at(-(-int(held["ts"].min()) // 1000))
-        elif self.life.exists():
-            _, last, clock, *_ = self.life.get()
-            purge = clock // 1000 + int((self._purge_after(last) - last) * 1000 / self.fps) + 1
-            if purge < watermark:
-                self.life.clear()
-                self.timer.clear()
-            else:
-                self._wake_at(purge)
+            picked = np.flatnonzero(due)
+            picked = picked[np.lexsort((rows["frame"][picked], rows["track_id"][picked]))]  # stable, so equal frames keep their order
+            ready = {name: column[picked] for name, column in rows.items()}
+            for start, stop in _runs(ready["track_id"]):
+                track = int(ready["track_id"][start])
+                lives[track], events = self._stepped((*key, track), lives.get(track), {name: column[start:stop] for name, column in ready.items()})
+                found += events
+            rows = {name: column[~due] for name, column in rows.items()}
+        if due.any() or added:
+            self.waiting.write(list(rows.values()))
+        # A timer fires when the watermark is past it. A track with rows that wait keeps its record.
+        waits, times = set(rows["track_id"].tolist()), [-(-int(rows["ts"].min()) // 1000)] if len(rows["ts"]) else []
+        ends = {track: self._purged_at(life) for track, life in lives.items() if track not in waits}
+        gone = {track for track, at in ends.items() if at < watermark}
+        if due.any() or gone:
+            rest = [(track, *life) for track, life in lives.items() if track not in gone]
+            self.lives.write(list(zip(*rest)) if rest else [[]])
+        self._wake_at(min([*times, *(at for track, at in ends.items() if track not in gone)], default=None), timer)
         return pd.DataFrame(found, columns=self.columns)
 
+    def _set(self):
+        timer = self.timer.get()
+        return None if timer is None else timer[0]
+
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows))
-        if key[-1] is None or pd.isna(key[-1]):
+        batch = batch[batch["track_id"].notna()]
+        if not len(batch):
             yield pd.DataFrame([], columns=self.columns)
             return
         clock = batch["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        kept = batch[["frame", "cls", *self.machine.columns]].astype(object)
-        kept.insert(1, "ts", clock.astype(object))
-        kept = kept.where(kept.notna(), None)
-        self.waiting.appendList(list(kept.itertuples(index=False, name=None)))
-        yield self._release(key, timerValues.getCurrentWatermarkInMs())
+        columns = [clock if f.name == "ts" else batch[f.name] for f in self.waiting.schema]
+        added = pa.Table.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, self.waiting.schema)], schema=self.waiting.schema)
+        yield self._release(self._camera(key), timerValues.getCurrentWatermarkInMs(), [added], self._set())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.timer.clear()
-        yield self._release(key, timerValues.getCurrentWatermarkInMs())
+        yield self._release(self._camera(key), timerValues.getCurrentWatermarkInMs(), [], None)
+
+    @staticmethod
+    def _camera(key):
+        return tuple(None if pd.isna(part) else part for part in key[:len(RUN_CAMERA)])
 
     def close(self):
         pass
@@ -229,8 +287,8 @@ def _events(observations, machine, fps):
     schema = ("run_id string, camera_id bigint, track_id bigint, life_start bigint, frame bigint, "
               f"cls string, {machine.output}")
     columns = [field.split()[0] for field in schema.split(", ")]
-    rows = observations.select(*TRACK, "frame", "ts", "cls", *machine.columns)
-    return rows.groupBy(*TRACK).transformWithStateInPandas(
+    rows = observations.select(*TRACK, "frame", "ts", "cls", *machine.columns, F.pmod(F.xxhash64("track_id"), F.lit(BUCKETS)).alias("bucket"))
+    return rows.groupBy(*RUN_CAMERA, "bucket").transformWithStateInPandas(
         OrderedTracks(machine, columns, fps), schema, "append", "eventTime")
 
 

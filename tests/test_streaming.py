@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -140,6 +141,106 @@ def test_stream_headings_break_ties_like_the_batch(spark, observe, moves):
     assert {r.track_id: r.direction for r in batch.collect()} == live
 
 
+class Handle:
+    """The states and timers of one key; calls are counted."""
+
+    def __init__(self):
+        self.values, self.calls, self.timers = {}, 0, set()
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class State:
+            def get(self):
+                handle.calls += 1
+                return handle.values.get(name)
+
+            def update(self, value):
+                handle.calls += 1
+                handle.values[name] = value
+
+            def clear(self):
+                handle.calls += 1
+                handle.values.pop(name, None)
+
+        return State()
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.discard(ms)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _handled(processor, handle, key, rows, watermark=0):
+    processor.init(handle)
+    return [row for made in processor.handleInputRows(key, iter([rows]), Watermark(watermark)) for row in made.itertuples(index=False, name=None)]
+
+
+def test_state_is_read_and_written_once_for_a_bucket_of_tracks(spark):
+    """As many calls for 300 tracks as for one; events are those of every track alone, and records go with the purge."""
+    rows = pd.DataFrame([(k, f, "car", "A" if f < 10 + k % 7 else "B", 2, 2) for k in range(300) for f in range(1, 40)],
+                        columns=["track_id", "frame", "cls", "zone", "min_origin", "min_dest"])
+    rows["ts"] = pd.to_datetime(rows["frame"] * 40, unit="ms")
+    processor, calls, found = flows.OrderedTracks(flows.RouteMachine(), [*"abcdefgh"], 25.0), [], []
+    for tracks_ in (range(300), range(1)):
+        part, handle = rows[rows["track_id"].isin(tracks_)].sample(frac=1, random_state=1), Handle()
+        low = _handled(processor, handle, ("r", 0, 5), part[part["frame"] < 20], 400)
+        low += _handled(processor, handle, ("r", 0, 5), part[part["frame"] >= 20], 1_600)
+        found.append(sorted(low))
+        calls.append(handle.calls)
+        (at,), before = handle.timers, set(handle.values)
+        assert before == {"lives", "timer"}
+        processor.init(handle)
+        list(processor.handleExpiredTimer(("r", 0, 5), Watermark(at + 1), None))
+        assert not handle.values
+    assert found[0] == [("r", 0, k, 1, 11 + k % 7, "car", "A", "B") for k in range(300)] and found[1] == found[0][:1]
+    assert calls[0] == calls[1] < 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stretches_of_a_camera_are_tracked_apart(spark, seed):
+    """Whatever the batches, ids and boxes are those of one pass over the camera, and closed stretches leave no state."""
+    rng, frame, rows = np.random.default_rng(seed), 0, []
+    for _ in range(120):
+        frame += int(rng.choice([1, 1, 1, 1, 3, 4, 5, 6, 20]))
+        rows += [(frame, k, *(xy := rng.integers(0, 12, 2).tolist() if k % 2 else [200 + frame % 9, 50]), xy[0] + 40, xy[1] + 40) for k in range(rng.integers(1, 4))]
+    table = pd.DataFrame(rows, columns=["frame", "det_idx", "x1", "y1", "x2", "y2"])
+    plain, want = tracker.LiveTracks(3, 2, 0.2), []
+    for now, boxes in table.groupby("frame"):
+        found, ids = plain.advance(int(now), boxes[["x1", "y1", "x2", "y2"]].to_numpy(float))
+        want += [("r", 0, now, track, *box) for box, track in zip(np.trunc(found).astype(int).tolist(), ids.tolist())]
+    columns = ["run_id", "camera_id", "stretch", "open", "place", "frame", "x1", "y1", "x2", "y2"]
+    handles, got, most = {}, [], 0
+    edges = [0, *sorted(rng.choice(range(1, frame), 6, replace=False).tolist()), frame]
+    late = table[table["frame"] <= 3]
+    for low, high in zip(edges, edges[1:]):
+        batch = table[(table["frame"] > low) & (table["frame"] <= high)].sample(frac=1, random_state=seed)
+        batch = pd.concat([batch, late]) if low > 3 else batch
+        cut = pd.DataFrame(_handled(tracks.Stretches(3, columns), handles.setdefault("cut", Handle()), ("r", 0), batch), columns=columns)
+        middle = []
+        for stretch, part in cut.groupby("stretch"):
+            middle += _handled(tracks.StretchTracks(3, 2, 0.2), handles.setdefault(stretch, Handle()), ("r", 0, stretch), part)
+            most = max(most, stretch)
+        names = [field.split()[0] for field in tracks.StretchTracks.made.split(", ")]
+        if middle:
+            made = pd.DataFrame(middle, columns=names).sample(frac=1, random_state=seed)
+            got += _handled(tracks.CameraIds(), handles.setdefault("ids", Handle()), ("r", 0), made)
+    assert sorted(got) == sorted(want) and len(want) > 20 and most > 5
+    assert [k for k, handle in handles.items() if k not in ("cut", "ids") and handle.values] == [most]
+    assert handles["cut"].values["seen"][2] == len(late) * sum(low > 3 for low in edges[:-1])
+
+
 def test_totals_count_a_batch_once(spark, tmp_path):
     def batch(n):
         return spark.createDataFrame([("a", n), ("b", 1)], "k string, cnt bigint")
