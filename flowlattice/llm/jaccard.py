@@ -28,6 +28,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from flowlattice.llm import common
@@ -37,7 +38,7 @@ SHINGLE = 5
 SAMPLE_DOCS, FREQUENT_IN_SAMPLE, MOST_FREQUENT = 3000, 3, 200_000
 MIN_HASHES = 3
 NODES_PER_BUCKET, SHINGLES_PER_BUCKET, SHINGLES_PER_BLOCK, FOLLOWERS_PER_CELL = 8000, 750_000, 1_000_000, 500
-FLUSH_POSTINGS, TOKEN_BYTES = 1_000_000, 5
+FLUSH_POSTINGS, MOST_OWNERS, TOKEN_BYTES = 1_000_000, 1 << 16, 5
 PARTITIONS_PER_CELL = 4
 BITMAP_BITS = 1 << 25
 CACHED_WORDS = 150_000
@@ -311,16 +312,8 @@ def _packed_fronts(docs, buckets, hot, hot_count):
     return _packed(docs.select("text"), cut, buckets)
 
 
-def _packed_sets(sets, buckets):
-    def cut(batch):
-        for node, raw in zip(common.each(batch.column(0)), common.each(batch.column(1))):
-            yield node, np.frombuffer(raw, _U)
-
-    return _packed(sets.select("node", "shingles"), cut, buckets)
-
-
 def _shared(group, ranges):
-    """(tokens, nodes, df) of the postings in one bucket whose token two or more nodes have.
+    """(tokens, nodes) of the postings in one bucket whose token two or more nodes have.
 
     A node that several tasks saw counts by its first row. Shingles of one node that were cut to the same token stay
     apart, so no node is found to share less than it does.
@@ -336,11 +329,15 @@ def _shared(group, ranges):
     owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
+    several = _frequencies(tokens) > 1
+    return tokens[several], nodes[owner[several]]
+
+
+def _frequencies(tokens):
+    """How often each of the sorted tokens is there."""
     at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
     df = np.diff(np.append(at, len(tokens)))
-    df = np.repeat(df, df)
-    several = df > 1
-    return tokens[several], nodes[owner[several]], df[several]
+    return np.repeat(df, df)
 
 
 def _shared_fronts(docs, buckets, hot, hot_count):
@@ -349,29 +346,96 @@ def _shared_fronts(docs, buckets, hot, hot_count):
 
     def gather(group):
         with common.frugal():
-            tokens, nodes, _ = _shared(group, ranges)
+            tokens, nodes = _shared(group, ranges)
             return pa.Table.from_arrays([pa.array(tokens.view(np.int64)), pa.array(nodes)], schema=schema)
 
     packed = _packed_fronts(docs, buckets, hot, hot_count)
     return common.materialized(packed.groupBy("bucket").applyInArrow(gather, "token bigint, node bigint"), "fronts")
 
 
+def _blocks(sets, buckets):
+    """(bucket, block, names, tokens, owners): the shingles of blocks of sets by range of hashes, and whose they are.
+
+    A block's sets are numbered, and `owners` has the number of each shingle's set. One row of a block has the names.
+    """
+    struct, arrow = common.arrow_schema("bucket int, block bigint, names binary, tokens binary, owners binary")
+    ranges = Ranges(buckets)
+
+    def flushed(block, names, parts):
+        tokens = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(parts), dtype="<u2"), [len(p) for p in parts])
+        bucket = ranges.of(tokens)
+        order = np.argsort(bucket, kind="stable")  # owners stay together
+        tokens, owner = tokens[order], owner[order]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        there = np.flatnonzero(np.diff(cuts)).tolist()
+        spans = [slice(cuts[k], cuts[k + 1]) for k in there]
+        rows = (there, [block] * len(there), [np.array(names, np.int64).tobytes()] + [b""] * (len(there) - 1),
+                [ranges.cut(k, tokens[span]) for k, span in zip(there, spans)], [owner[span].tobytes() for span in spans])
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows, arrow)], schema=arrow)
+
+    def run(batches):
+        block, names, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        with common.frugal():
+            for batch in itertools.chain.from_iterable(map(common.slices, batches)):
+                for node, raw in zip(*map(common.each, batch.columns)):
+                    names.append(node)
+                    parts.append(np.frombuffer(raw, _U))
+                    held += len(parts[-1])
+                    if held >= FLUSH_POSTINGS or len(parts) == MOST_OWNERS:
+                        yield flushed(block, names, parts)
+                        block, names, parts, held = block + 1, [], [], 0
+            if parts:
+                yield flushed(block, names, parts)
+
+    return sets.select("node", "shingles").mapInArrow(run, struct)
+
+
+def _marked(sets, buckets):
+    """(block, names, owners, marks): the shingles of blocks that several nodes have, by owner; a mark is 8 log2 of how many.
+
+    A bucket answers each block in one row of three bytes a shingle, so what goes back grows with the shingles, however many buckets
+    a node's shingles lie in.
+    """
+    struct, arrow = common.arrow_schema("block bigint, names binary, owners binary, marks binary")
+    ranges = Ranges(buckets)
+
+    def mark(group):
+        with common.frugal():
+            bucket = group.column("bucket")[0].as_py()
+            tokens = [ranges.restored(bucket, raw) for raw in common.each(group.column("tokens"))]
+            ends = np.cumsum([len(x) for x in tokens])
+            tokens = np.concatenate(tokens)
+            order = np.argsort(tokens, kind="stable")
+            marks = np.empty(len(tokens), np.uint8)
+            marks[order] = np.minimum(np.rint(8 * np.log2(_frequencies(tokens[order]))), 255)
+            owners, found = [], []
+            for part, raw in zip(np.split(marks, ends[:-1]), common.each(group.column("owners"))):
+                owners.append(np.frombuffer(raw, "<u2")[part > 0].tobytes())
+                found.append(part[part > 0].tobytes())
+            columns = [group.column("block"), group.column("names"), pa.array(owners, pa.binary()), pa.array(found, pa.binary())]
+            return pa.Table.from_arrays(columns, schema=arrow)
+
+    return _blocks(sets, buckets).groupBy("bucket").applyInArrow(mark, struct)
+
+
 def _support(sets, buckets):
-    """(node, many, logs): how many of a node's shingles some other node has too, and the sum of log2 of how many have them."""
-    schema, ranges = pa.schema([("node", pa.int64()), ("many", pa.int64()), ("logs", pa.float64())]), Ranges(buckets)
+    """(node, many, logs): how many of a node's shingles some other node has too, and the sum of log2 of how many have them.
+
+    A node is in `sets` once.
+    """
+    struct, arrow = common.arrow_schema("node bigint, many bigint, logs double")
 
     def count(group):
-        with common.frugal():
-            _, nodes, df = _shared(group, ranges)
-            names, which = np.unique(nodes, return_inverse=True)
-            return pa.Table.from_arrays([pa.array(names), pa.array(np.bincount(which, minlength=len(names)).astype(np.int64)),
-                                         pa.array(np.bincount(which, weights=np.log2(df), minlength=len(names)))], schema=schema)
+        names, owners, marks = (np.concatenate([np.frombuffer(x, kind) for x in common.each(group.column(name))])
+                                for name, kind in (("names", np.int64), ("owners", "<u2"), ("marks", np.uint8)))
+        many, logs = (np.bincount(owners, weights, len(names)) for weights in (None, marks / 8))
+        return pa.Table.from_arrays([pa.array(names), pa.array(many.astype(np.int64)), pa.array(logs.astype(np.float64))], schema=arrow)
 
-    parts = _packed_sets(sets, buckets).groupBy("bucket").applyInArrow(count, "node bigint, many bigint, logs double")
-    return parts.groupBy("node").agg(F.sum("many").alias("many"), F.sum("logs").alias("logs"))
+    return _marked(sets, buckets).groupBy("block").applyInArrow(count, struct)
 
 
-_SET = f"node bigint, n bigint, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
+_SET = f"node bigint, at bigint, n bigint, shingles binary, {', '.join(f'least{k} bigint' for k in range(MIN_HASHES))}"
 
 
 def _likely(frame, key, some):
@@ -399,11 +463,11 @@ def _likely(frame, key, some):
 
 
 def _sets(docs, nodes):
-    """(node, n, shingles, least...): the sets of `nodes` (node, doc_id), cut again from one text each."""
+    """(node, at, n, shingles, least...): the sets of `nodes` (node, doc_id), cut again from one text each."""
     struct, arrow = common.arrow_schema(_SET)
 
     def run(batches):
-        seen = set()  # rows of one id may be repeated, and one id may stand for several texts
+        seen, place = set(), TaskContext.get().partitionId() << 40  # rows of one id may be repeated, and one id may stand for several texts
         with common.frugal():
             for batch in itertools.chain.from_iterable(map(common.slices, batches)):
                 rows = []
@@ -412,11 +476,16 @@ def _sets(docs, nodes):
                     if node in seen or not len(shingles) or set_key(shingles) != node:
                         continue
                     seen.add(node)
-                    rows.append([node, len(shingles), shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
+                    rows.append([node, place + len(seen), len(shingles), shingles.tobytes(), *(int((shingles * m).min().view(np.int64)) for m in _MIX[1:MIN_HASHES + 1])])
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
     picked = _likely(docs.select("doc_id", "text"), "doc_id", nodes).join(nodes, "doc_id").select("node", "text")
-    return common.materialized(picked.mapInArrow(run, struct), "sets")
+    sets = common.materialized(picked.mapInArrow(run, struct), "sets")
+    # Repeated rows may have come to several tasks.
+    again = sets.groupBy("node").agg(F.min("at").alias("first"), F.count("*").alias("many")).where("many > 1").select("node", "first")
+    if again.isEmpty():
+        return sets
+    return common.materialized(sets.join(again, "node", "left").where("at = coalesce(first, at)").select(sets.columns), "sets")
 
 
 def _leader_links(spark, near, sets, cells):

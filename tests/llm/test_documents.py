@@ -186,6 +186,32 @@ def test_postings_come_back_from_ranges():
             assert (ranges.of(back) == k).all() and (back <= own).all() and (own - back < (1 << int(ranges.shift))).all()
 
 
+def test_support_sends_a_node_back_once_however_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TOKEN_BYTES", 8)
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 1 << 64, 3000, np.uint64))
+    sets = {node: np.sort(rng.choice(pool, int(rng.integers(1, 200)), replace=False)) for node in range(-40, 40)}
+    frame = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in sets.items()], "node bigint, shingles binary").repartition(3)
+    df = Counter(x for s in sets.values() for x in s.tolist())
+    logs = {n: sum(round(8 * np.log2(df[x])) / 8 for x in s.tolist() if df[x] > 1) for n, s in sets.items()}
+    for buckets, postings, blocks in ((1, 1_000_000, 3), (8, 1_000_000, 3), (300, 1_000_000, 3), (300, 500, 20)):
+        monkeypatch.setattr(jaccard, "FLUSH_POSTINGS", postings)
+        got = {r["node"]: (r["many"], r["logs"]) for r in jaccard._support(frame, buckets).collect()}
+        assert got == {n: (sum(df[x] > 1 for x in s.tolist()), logs[n]) for n, s in sets.items()}
+        back = jaccard._marked(frame, buckets).collect()
+        assert len({r["block"] for r in back}) <= blocks and len(back) <= blocks * buckets
+        # Three bytes a shared shingle, not a row for each bucket of a node.
+        assert sum(len(r["owners"]) + len(r["marks"]) for r in back) == 3 * sum(n for n, _ in got.values())
+        assert sum(len(r["names"]) for r in back) == 8 * len(sets)
+
+
+def test_sets_are_kept_once_of_repeated_rows(spark):
+    rows = [(k % 5, " ".join(f"w{k % 5}x{i}" for i in range(9))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    nodes = jaccard._signatures(docs).select("node", "doc_id").distinct()
+    assert sorted(r["n"] for r in jaccard._sets(docs, nodes).collect()) == [5] * 5
+
+
 def test_jaccard_of_nothing(no_docs, spark):
     assert jaccard.jaccard_components(no_docs).count() == 0
     alone = spark.createDataFrame([(3, "only this"), (1, None)], "doc_id bigint, text string")
