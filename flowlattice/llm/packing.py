@@ -27,20 +27,17 @@ CACHED_CHUNKS = 300_000
 # Marks that are never part of a word, and letters that no normalisation joins to a mark after them.
 _MARKS = b".,;:!?|%$&*#"
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-
-
-def chunks_of(text):
-    """What lies between ASCII white space. A-Z is lower-cased, as the tokenizer does, unless that could make a special token."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return (raw if b"<|" in raw else raw.lower()).split()
+# How the tokenizer's byte level writes bytes: those of printable Latin-1 characters as these, the others as what follows U+00FF.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LEVEL = {b: b for b in _SHOWN} | {b: 0x100 + k for k, b in enumerate(sorted(set(range(0x100)) - set(_SHOWN)))}
 
 
 class ChunkTokenizer:
     """Ids of texts by a tokenizer that drops white space and lower-cases, so chunks between white space are encoded once each.
 
     Chunks are remembered up to a bound on memory. A chunk of plain letters and closing marks is the ids of
-    both parts, as the tokenizer never joins letters with marks; a word of a-z goes to the tokenizer's model at once, since
-    its normalizer and splitter leave such a word alone.
+    both parts, as the tokenizer never joins letters with marks; a word of Latin letters goes to the tokenizer's model at once, lower-cased
+    and as its byte level writes it, since its normalizer and splitter do no more to such a word.
     """
 
     def __init__(self, path):
@@ -52,41 +49,56 @@ class ChunkTokenizer:
         self.width = array(self.code).itemsize
         self.known = common.Recent(CACHED_CHUNKS)
 
-    def _encode(self, texts):
-        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pack(self, ids):
+        return array(self.code, ids).tobytes()
 
     def _learn(self, chunks):
-        parts, plain, other, model = {}, set(), set(), self.tokenizer.model
-        recall = self.known.recall
+        known, recall, tokenize = self.known, self.known.recall, self.tokenizer.model.tokenize
+        split, other = [], set()
         for chunk in chunks:
             if recall(chunk) is not None:
                 continue
             head = chunk.rstrip(_MARKS)
-            if not head.isalpha() and not (head and _LATIN.fullmatch(head.decode("utf-8", "replace"))):
-                head = chunk
-            parts[chunk] = (head, chunk[len(head):])
-            for part in parts[chunk]:
-                if part and part not in self.known and recall(part) is None:
-                    (plain if part.isalpha() and part.islower() else other).add(part)
-        for word in plain:
-            self.known[word] = array(self.code, [t.id for t in model.tokenize(word.decode())]).tobytes()
+            if not (plain := head.isalpha()) and not (head and _LATIN.fullmatch(head.decode("utf-8", "replace"))):
+                other.add(chunk)
+                continue
+            if known.get(head) is None and recall(head) is None:
+                word = head.lower() if plain else head.decode().lower().encode()
+                known[head] = self._pack([t.id for t in tokenize(word.decode("latin-1").translate(_BYTE_LEVEL))])
+            if len(head) < len(chunk):
+                tail = chunk[len(head):]
+                split.append((chunk, head, tail))
+                if tail not in known and recall(tail) is None:
+                    other.add(tail)
         other = list(other)
-        for word, ids in zip(other, self._encode([w.decode("utf-8", "replace") for w in other])):
-            self.known[word] = array(self.code, ids).tobytes()
-        for chunk, (head, tail) in parts.items():
-            self.known[chunk] = self.known[head] + self.known[tail] if tail else self.known[head]
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)
+        for word, found in zip(other, encoded):
+            known[word] = self._pack(found.ids)
+        for chunk, head, tail in split:
+            known[chunk] = known[head] + known[tail]
+
+    def encode(self, column, end):
+        """(ids, bounds): the ids of an Arrow column of texts, each closed by the end id, and the texts' bounds among them.
 
-    def encode(self, texts, end):
-        """The ids of each text and the end id, as bytes of the vocabulary's width."""
+        A-Z is lower-cased before, as the tokenizer does, unless that could make a special token.
+        """
         self.known.tidy()
-        get, close = self.known.get, array(self.code, [end]).tobytes()
-        split = [chunks_of(t) for t in texts]
-        found = [list(map(get, chunks)) for chunks in split]
-        missing = [k for k, ids in enumerate(found) if None in ids]
-        self._learn({c for k in missing for c, ids in zip(split[k], found[k]) if ids is None})
+        chunks, codes, bounds = common.distinct_words(column, unless="<|")
+        ids = list(map(self.known.get, chunks))
+        missing = [k for k, found in enumerate(ids) if found is None]
+        self._learn([chunks[k] for k in missing])
         for k in missing:
-            found[k] = map(get, split[k])
-        return [b"".join(ids) + close for ids in found]
+            ids[k] = self.known[chunks[k]]
+        ids.append(self._pack([end]))
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        codes = np.insert(codes.astype(np.int64), bounds[1:], len(chunks))
+        bounds = bounds + np.arange(len(bounds))
+        # Each chunk's ids lie together: from where they start, less where they go, the place of every id follows.
+        took = lengths[codes]
+        goes = np.append(0, np.cumsum(took))
+        places = np.repeat((np.cumsum(lengths) - lengths)[codes] - goes[:-1], took) + np.arange(goes[-1])
+        return flat[places], goes[bounds]
 
 
 def tokenizer_of(path):
@@ -103,14 +115,14 @@ def tokenized(docs, path, end=END_ID):
         with common.frugal():
             tokenizer = tokenizer_of(path)
             for batch in batches:
-                for some in common.slices(batch):
-                    ids = tokenizer.encode(some.column(1).to_pylist(), end)
-                    lengths = np.array([len(x) for x in ids], np.int64) // tokenizer.width
-                    starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
-                    start += int(lengths.sum())
+                for some in common.slices(batch, most=common.ARROW_ROWS):
+                    ids, bounds = tokenizer.encode(some.column(1), end)
+                    n, width = some.num_rows, tokenizer.width
+                    raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(ids)])
                     yield pa.RecordBatch.from_arrays(
-                        [some.column(0), pa.array(np.full(len(ids), part)), pa.array(starts),
-                         pa.array(np.full(len(ids), tokenizer.width, np.int32)), pa.array(ids, pa.binary())], schema=arrow)
+                        [some.column(0), pa.array(np.full(n, part)), pa.array(start + bounds[:-1]),
+                         pa.array(np.full(n, width, np.int32)), raw], schema=arrow)
+                    start += int(bounds[-1])
 
     return common.materialized(docs.select("doc_id", "text").mapInArrow(run, struct), "tokens")
 
