@@ -41,7 +41,6 @@ NODES_PER_BUCKET, SHINGLES_PER_BUCKET, SHINGLES_PER_BLOCK, FOLLOWERS_PER_CELL =
 FLUSH_POSTINGS, MOST_OWNERS, TOKEN_BYTES = 1_000_000, 1 << 16, 5
 PARTITIONS_PER_CELL = 4
 BITMAP_BITS = 1 << 25
-CACHED_WORDS = 150_000
 _U = np.uint64
 # Odd multipliers that mix hashes.
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -66,35 +65,25 @@ def linked(shared, n, m):
     return 9 * shared >= 4 * (n + m)
 
 
-class Shingler:
-    """Sorted distinct 64-bit hashes of a text's shingles; word hashes are remembered up to a bound on memory."""
-
-    def __init__(self):
-        self.known = {}
-
-    def __call__(self, text):
-        words = common.ascii_lower_words(text)
-        if not words:
-            return np.zeros(0, _U)
-        if len(words) < SHINGLE:
-            return np.array([xxhash.xxh3_64_intdigest(b"\x00" + b" ".join(words), seed=1)], _U)
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), _U, len(words))
-        m = len(words) - SHINGLE + 1
-        mixed = np.zeros(m, _U)
-        for k in range(SHINGLE):
-            mixed = (mixed ^ (h[k:k + m] * _MIX[k])) * _MIX[0]
-            mixed ^= mixed >> _U(29)
-        return np.unique(mixed)
-
-
-def shingler():
-    return common.held("shingler", Shingler)
+def shingle_sets(column):
+    """Sorted distinct 64-bit hashes of the shingles of each text of an Arrow column."""
+    words, codes, bounds = common.distinct_words(column)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), _U, len(words))[codes]
+    m = max(0, len(codes) - SHINGLE + 1)
+    mixed = np.zeros(m, _U)
+    for k in range(SHINGLE):  # those across two texts are left out below
+        mixed ^= hashes[k:k + m] * _MIX[k]
+        mixed *= _MIX[0]
+        mixed ^= mixed >> _U(29)
+    for low, high in itertools.pairwise(bounds.tolist()):
+        if high - low >= SHINGLE:
+            found = np.sort(mixed[low:high - SHINGLE + 1])
+            yield found[np.append(True, found[1:] != found[:-1])]
+        elif high > low:
+            text = b" ".join(words[c] for c in codes[low:high].tolist())
+            yield np.array([xxhash.xxh3_64_intdigest(b"\x00" + text, seed=1)], _U)
+        else:
+            yield np.zeros(0, _U)
 
 
 def set_key(shingles):
@@ -209,15 +198,20 @@ def _search(spark, members, queries, sets, cells):
     return common.materialized(rows.select(*[c.split()[0] for c in _ROW.split(", ")]).mapInArrow(run, "u bigint, v bigint"), "found")
 
 
+def _arrow_slices(batches):
+    for batch in batches:
+        yield from common.slices(batch, most=common.ARROW_ROWS)
+
+
 def frequent_shingles(docs):
     """(sorted hashes, counts) of shingles frequent in a bounded sample; only the order of the search depends on it."""
     ids = docs.select("doc_id", F.xxhash64("doc_id").alias("_h")).where("doc_id is not null").orderBy("_h", "doc_id").limit(SAMPLE_DOCS)
     sampled = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
 
     def cut(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingler()(text).view(np.int64))], ["s"])
+        for batch in _arrow_slices(batches):
+            for shingles in shingle_sets(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64))], ["s"])
 
     rows = (sampled.select("text").mapInArrow(cut, "s bigint").groupBy("s").count().where(F.col("count") >= FREQUENT_IN_SAMPLE)
             .orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect())
@@ -228,11 +222,17 @@ def frequent_shingles(docs):
 
 def _signatures(docs):
     """(doc_id, n, node) per document: how many shingles, and which node its set is."""
-    def step(columns):
-        sets = list(map(shingler(), columns["text"]))
-        return {"n": [len(s) for s in sets], "node": [set_key(s) if len(s) else None for s in sets]}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    struct, arrow = common.arrow_schema(f"doc_id {kind}, n bigint, node bigint")
+
+    def run(batches):
+        with common.frugal():
+            for batch in _arrow_slices(batches):
+                n, node = zip(*((len(s), set_key(s) if len(s) else None) for s in shingle_sets(batch.column(1))))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).cast(arrow.field(0).type), pa.array(n, pa.int64()), pa.array(node, pa.int64())], schema=arrow)
 
-    return common.materialized(common.add_columns(docs, "text", step, "n bigint, node bigint", ("doc_id",)), "signatures")
+    return common.materialized(docs.select("doc_id", "text").mapInArrow(run, struct), "signatures")
 
 
 class Ranges:
@@ -286,7 +286,7 @@ def _packed(frame, cut, buckets):
     def run(batches):
         seen, parts, held = set(), [], 0
         with common.frugal():
-            for batch in itertools.chain.from_iterable(map(common.slices, batches)):
+            for batch in _arrow_slices(batches):
                 for node, tokens in cut(batch):
                     if node in seen:
                         continue
@@ -304,8 +304,7 @@ def _packed(frame, cut, buckets):
 
 def _packed_fronts(docs, buckets, hot, hot_count):
     def cut(batch):
-        for text in common.each(batch.column(0)):
-            shingles = shingler()(text)
+        for shingles in shingle_sets(batch.column(0)):
             if len(shingles):
                 yield set_key(shingles), front(shingles, hot, hot_count)
 
@@ -469,10 +468,9 @@ def _sets(docs, nodes):
     def run(batches):
         seen, place = set(), TaskContext.get().partitionId() << 40  # rows of one id may be repeated, and one id may stand for several texts
         with common.frugal():
-            for batch in itertools.chain.from_iterable(map(common.slices, batches)):
+            for batch in _arrow_slices(batches):
                 rows = []
-                for node, text in zip(*map(common.each, batch.columns)):
-                    shingles = shingler()(text)
+                for node, shingles in zip(common.each(batch.column(0)), shingle_sets(batch.column(1))):
                     if node in seen or not len(shingles) or set_key(shingles) != node:
                         continue
                     seen.add(node)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,41 @@ def test_postings_come_back_from_ranges():
             assert (ranges.of(back) == k).all() and (back <= own).all() and (own - back < (1 << int(ranges.shift))).all()
 
 
+ODD = [None, "", " ", "\n\t \x0b\x0c\r", "  aB\x1cc d\x85e f g  h ", "a b c d", "a b c d e", "a b c d e f a b c d e f", "É Ñ ß ÿ × ª K ẞ İ",
+       "it's a <|endoftext|> X<|STARTOFTEXT|> b", "naïve, ÀÉ... ÑANDÚ.!! don't 12 a12, \U0001f600 日本", "á, b.\u0301 é.\u0301 x.\u0338",
+       *(f"{chr(c)}q{chr(c)} Z{chr(c)}, {chr(c)}" for c in [*range(1, 0x180), *range(0x300, 0x340)])]
+
+
+def test_words_are_numbered_in_arrow():
+    for column in (pa.array(ODD), pa.array(ODD).slice(5), pa.array([], pa.string()), pa.array([None], pa.string())):
+        words, codes, bounds = common.distinct_words(column)
+        assert len(set(words)) == len(words) and len(bounds) == len(column) + 1
+        for text, low, high in zip(column.to_pylist(), bounds, bounds[1:]):
+            assert [words[c].decode() for c in codes[low:high]] == brute.words(text)
+        sets = list(jaccard.shingle_sets(column))
+        assert [len(s) for s in sets] == [len(brute.shingles(t)) for t in column.to_pylist()]
+        assert all((np.diff(s) > 0).all() for s in sets)
+
+
+def test_packing_encodes_each_distinct_chunk_once(monkeypatch):
+    tokenizer = packing.ChunkTokenizer(packing.vocabulary())
+    own, asked = tokenizer.known, []
+
+    class Known(common.Recent):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    tokenizer.known = Known(own.limit)
+    for column in (pa.array(ODD), pa.array(ODD).slice(7), pa.array(["", None], pa.string())):
+        ids, bounds = tokenizer.encode(column, 1)
+        plain = tokenizer.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)
+        assert [ids[low:high].tolist() for low, high in zip(bounds, bounds[1:])] == [[*found.ids, 1] for found in plain]
+    asked.clear()
+    tokenizer.encode(pa.array(["the same few words, "] * 500), 1)
+    assert len(asked) <= 12  # by distinct chunk, not by occurrence
+
+
 def test_support_sends_a_node_back_once_however_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TOKEN_BYTES", 8)
     rng = np.random.default_rng(8)
