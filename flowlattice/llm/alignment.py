@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from flowlattice.llm import common
 
 CHUNK_BYTES, FAN_IN = 32_768, 16
-BLOCK_LINKS = 1_000_000
+BLOCK_LINKS = 500_000
 # Bytes of text that are cut side by side; tokens and their places take some hundred times as much.
 TEXT_AT_ONCE = 1 << 20
+# Rows that go to Python at once, and bytes of rows that Spark decodes at once from the tables in between.
+BATCH_ROWS, ROW_GROUP = 256, 8 << 20
 CACHED = 100_000
 _SAFE = re.compile("(?<=[^\\s\\u180e\\u2581]) (?=[^\\s\\u180e\\u2581])")
 _I = np.int64
@@ -364,23 +366,25 @@ def _long_fragments(docs, a_path, b_path, width, kind, chunk_bytes):
     struct, arrow = common.arrow_schema(_PART.format(id=kind))
 
     def cut(batches):
-        for batch in batches:
-            for part in common.slices(batch, TEXT_AT_ONCE):
-                for row, doc, text in zip(*(common.each(c) for c in part.columns)):
-                    for k, r in enumerate(ranges(text, chunk_bytes)):
-                        yield _batch([{"row": row, "doc_id": doc, "k": k, "low": r.low, "high": r.high, "start": r.start, "text": r.text}], arrow)
+        with common.frugal():
+            for batch in batches:
+                for part in common.slices(batch, TEXT_AT_ONCE):
+                    for row, doc, text in zip(*(common.each(c) for c in part.columns)):
+                        for k, r in enumerate(ranges(text, chunk_bytes)):
+                            yield _batch([{"row": row, "doc_id": doc, "k": k, "low": r.low, "high": r.high, "start": r.start, "text": r.text}], arrow)
 
     long = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").where(F.octet_length("text") >= chunk_bytes)
-    parts = common.materialized(long.mapInArrow(cut, struct), "ranges")
+    parts = common.materialized(long.mapInArrow(cut, struct), "ranges", ROW_GROUP)
     made, made_arrow = common.arrow_schema(_FRAGMENT.format(id=kind))
 
     def tokenize(batches):
-        pair = pair_of(a_path, b_path)
-        for batch in batches:
-            for part in common.slices(batch, TEXT_AT_ONCE):
-                rows = part.to_pylist()
-                found = fragments(pair, [Range(r["low"], r["high"], r["start"], r["text"]) for r in rows])
-                yield _batch([_fragment_row(r["row"], r["doc_id"], r["k"], f) for r, f in zip(rows, found)], made_arrow)
+        with common.frugal():
+            pair = pair_of(a_path, b_path)
+            for batch in batches:
+                for part in common.slices(batch, TEXT_AT_ONCE):
+                    rows = part.to_pylist()
+                    found = fragments(pair, [Range(r["low"], r["high"], r["start"], r["text"]) for r in rows])
+                    yield _batch([_fragment_row(r["row"], r["doc_id"], r["k"], f) for r, f in zip(rows, found)], made_arrow)
 
     def composed(group):
         rows = sorted(group.to_pylist(), key=lambda r: r["k"])
@@ -389,14 +393,19 @@ def _long_fragments(docs, a_path, b_path, width, kind, chunk_bytes):
             found = compose(found, _fragment_of(r), width)
         return pa.Table.from_pylist([_fragment_row(rows[0]["row"], rows[0]["doc_id"], rows[0]["k"] // FAN_IN, found)], schema=made_arrow)
 
-    tree = common.materialized(parts.repartition("row", "k").mapInArrow(tokenize, made), "fragments")
+    tree = common.materialized(parts.repartition("row", "k").mapInArrow(tokenize, made), "fragments", ROW_GROUP)
     last = parts.agg(F.max("k")).first()[0] or 0
     while last > 0:
-        tree = common.materialized(tree.groupBy("row", F.floor(F.col("k") / FAN_IN).alias("up")).applyInArrow(composed, made), "fragments")
+        tree = common.materialized(tree.groupBy("row", F.floor(F.col("k") / FAN_IN).alias("up")).applyInArrow(composed, made), "fragments", ROW_GROUP)
         last //= FAN_IN
     return tree
 
 
+def _place_type(pairs):
+    """What holds a place among so many pairs; few blocks have more than two bytes can number."""
+    return np.uint16 if pairs <= 1 << 16 else np.uint32
+
+
 class _Blocks:
     """Texts gathered to blocks of about `BLOCK_LINKS` links."""
 
@@ -417,7 +426,7 @@ class _Blocks:
 
     def close(self):
         pairs, at, totals = np.unique(np.concatenate(self.keys), return_inverse=True, return_counts=True)
-        columns = [*map(list, zip(*self.rows)), pairs, totals, at.astype(np.uint32).tobytes()]
+        columns = [*map(list, zip(*self.rows)), pairs, totals, at.astype(_place_type(len(pairs))).tobytes()]
         row = [[(self.task << 24) + self.made], *([c] for c in columns)]
         self.made += 1
         self._clear()
@@ -429,12 +438,13 @@ def _blocks(docs, tree, a_path, b_path, kind, chunk_bytes):
     struct, arrow = common.arrow_schema(_BLOCK.format(id=kind))
 
     def gathered(found):
-        blocks = _Blocks(arrow, TaskContext.get().partitionId())
-        for doc, fragment in found:
-            if blocks.add(doc, fragment):
+        with common.frugal():
+            blocks = _Blocks(arrow, TaskContext.get().partitionId())
+            for doc, fragment in found:
+                if blocks.add(doc, fragment):
+                    yield blocks.close()
+            if blocks.rows:
                 yield blocks.close()
-        if blocks.rows:
-            yield blocks.close()
 
     def short(batches):
         pair = pair_of(a_path, b_path)
@@ -455,7 +465,7 @@ def _blocks(docs, tree, a_path, b_path, kind, chunk_bytes):
 
     few = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text") < chunk_bytes, F.lit(True)))
     return common.materialized(few.mapInArrow(lambda batches: gathered(short(batches)), struct).unionByName(
-        tree.mapInArrow(lambda batches: gathered(done(batches)), struct)), "blocks")
+        tree.mapInArrow(lambda batches: gathered(done(batches)), struct)), "blocks", ROW_GROUP)
 
 
 ALIGNED = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -471,7 +481,7 @@ def align(docs, a_path, b_path, chunk_bytes=CHUNK_BYTES):
     width = pair_of(a_path, b_path).width
     common.let_go()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    with common.batches_of(docs.sparkSession, 1000):
+    with common.batches_of(docs.sparkSession, BATCH_ROWS):
         tree = _long_fragments(docs, a_path, b_path, width, kind, chunk_bytes)
         blocks = _blocks(docs, tree, a_path, b_path, kind, chunk_bytes)
     asked = blocks.select(F.col("block").alias("asking"), F.inline(F.arrays_zip("pairs", "totals")))
@@ -484,7 +494,7 @@ def align(docs, a_path, b_path, chunk_bytes=CHUNK_BYTES):
         row = {n: block.column(n).combine_chunks() for n in block.column_names}
         links = row["n_links"].flatten().to_numpy()
         order = np.argsort(found.column("pairs").to_numpy())
-        at = np.frombuffer(row["at"][0].as_py(), np.uint32)
+        at = np.frombuffer(row["at"][0].as_buffer(), _place_type(found.num_rows))
         ends = np.cumsum(links)
 
         def summed(values):

@@ -7,10 +7,13 @@ import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from compare import compare, connect
@@ -225,6 +228,28 @@ def test_blocks_of_few_links(spark, pair, monkeypatch):
     assert Counter(tuple(r) for r in alignment.align(docs, *PATHS).collect()) == whole
 
 
+@pytest.mark.parametrize("pairs, width", [(9000, 2), (1 << 16, 2), ((1 << 16) + 1, 4)])
+def test_blocks_are_bounded_and_hold_short_places(spark, pairs, width):
+    """A block is one row, so its size counts: half a million links, two bytes each while those can number its pairs."""
+    keys = (np.arange(100_000) * 7) % pairs + 5
+    blocks = alignment._Blocks(common.arrow_schema(alignment._BLOCK.format(id="bigint"))[1], 3)
+    added = 0
+    while not blocks.add(added, alignment.Fragment(True, alignment._NONE, alignment._NONE, b"1|2", keys, 1, 1, 1)):
+        added += 1
+    row = blocks.close().to_pylist()[0]
+    assert len(row["at"]) == width * sum(row["n_links"]) <= width * 600_000
+    places = np.frombuffer(row["at"], alignment._place_type(len(row["pairs"])))
+    assert (np.array(row["pairs"])[places] == np.tile(keys, added + 1)).all() and sum(row["totals"]) == len(places)
+
+
+def test_tables_of_long_rows_have_small_row_groups(spark):
+    docs = spark.range(24, numPartitions=1).select(F.expr("concat_ws(' ', transform(sequence(1, 4000), x -> sha2(concat(id, ' ', x), 256)))").alias("text"))
+    for row_group, most in ((None, 24), (1 << 20, 8)):
+        table = common.materialized(docs, "long", row_group)
+        found = [pq.ParquetFile(path.removeprefix("file:")).metadata for path in table.inputFiles()]
+        assert max(m.row_group(k).num_rows for m in found for k in range(m.num_row_groups)) <= most and table.count() == 24
+
+
 # Ranked search
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
