@@ -64,6 +64,16 @@ def test_boilerplate_of_a_host_is_found(spark):
     assert by_id[30] == f"{shared} {own[30]}" and by_id[38] == by_id[39] == own[39]
 
 
+def test_main_text_beside_an_article_is_searched(spark):
+    """What `main` holds beside a page's article is no text of that page, but says what other pages of the host repeat."""
+    note = "read more of our letters in the next issue of spring"
+    rows = [(1, "http://h/", f"<main><p>{note}</p><article>{'long article of one page ' * 20}</article></main>"),
+            (2, "http://h/", f"<div>{note}</div><p>only here</p>"), (3, "http://g/", f"<div>{note}</div><p>only here</p>"),
+            (4, "http://g/", f"<article>{note} and the article goes on</article>")]
+    got = texts(pages_of(spark, rows))
+    assert got == {1: ("long article of one page " * 20).strip(), 2: "only here", 3: f"{note} only here", 4: f"{note} and the article goes on"}
+
+
 def brute_repeats(rows):
     """{(host, at, row): length} by comparing every suffix with every one of other content."""
     found = {}
